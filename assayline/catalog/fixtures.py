@@ -72,3 +72,98 @@ def eval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
             "toxicity",
         )
     )
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gate requests: the pairs with thresholds that reach every rule of the cascade."""
+    n = F.col("sample_id")
+    return eval_pairs(spark, sf_dir).select(
+        "*",
+        F.col("toxicity").alias("candidate_toxicity"),
+        F.create_map(F.lit("toxicity"), F.lit(0.05)).alias("baseline_toxicity"),
+        (F.lit(0.25) + F.lit(0.125) * (n % 5)).alias("min_score"),
+        F.when(n % 4 == 0, F.array(F.lit("toxicity:toxicity"), F.lit("pii:email")))
+        .when(n % 4 == 1, F.array(F.lit("hallucination")))
+        .otherwise(F.array().cast("array<string>"))
+        .alias("block_on_flags"),
+        (n % 3 == 0).alias("store_full_payloads"),
+    ).withColumn("baseline", F.when(n % 6 != 5, F.col("baseline")))
+
+
+def nli(sentences: Column) -> Column:
+    """Entailment probabilities by whole-number rule, in 1/128 so that sums are exact.
+
+    A fixture, not a model: contradiction and entailment tie for some sentences.
+    """
+    n = F.col("sample_id")
+
+    def probabilities(_, position):
+        con = (n * 7 + position * 13) % 64
+        ent = (n * 11 + position * 29) % 64
+        return F.struct(
+            (con / F.lit(128.0)).alias("contradiction"),
+            (ent / F.lit(128.0)).alias("entailment"),
+            ((F.lit(128) - con - ent) / F.lit(128.0)).alias("neutral"),
+        )
+
+    return F.transform(sentences, probabilities)
+
+
+def sentence_similarity(sentences: Column) -> Column:
+    """Similarity per sentence by the same kind of rule, in 1/64."""
+    n = F.col("sample_id")
+    return F.transform(
+        sentences, lambda _, position: ((n * 5 + position * 17) % 65) / F.lit(64.0)
+    )
+
+
+def judge(samples_df: DataFrame) -> DataFrame:
+    """Judge scores from the quality labels; unlabelled documents have none."""
+    level = F.when(F.col("quality") == 1, 4).otherwise(2)
+    answer = F.struct(
+        level.alias("coherence"), (level + 1).alias("fluency"), level.alias("relevance")
+    )
+    return samples_df.withColumn("judge", F.when(F.col("quality").isNotNull(), answer))
+
+
+def numeric_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One generated amount per order, checked against the true one."""
+    total, k = F.col("o_totalprice"), F.col("o_orderkey") % 4
+    money = lambda x: x.cast("decimal(18,2)").cast("string")
+    amount = (
+        F.when(k == 0, money(total * F.lit(1.02)))
+        .when(k == 1, money(total * F.lit(1.2)))
+        .when(k == 2, money(total))
+        .otherwise(F.concat(money(total / F.lit(1000.0)), F.lit(" thousand")))
+    )
+    return spread(table(spark, sf_dir, "orders")).select(
+        F.col("o_orderkey").alias("sample_id"),
+        F.concat(F.lit("The order total was $"), money(total), F.lit(".")).alias("source"),
+        F.concat(F.lit("The order came to $"), amount, F.lit(".")).alias("generated"),
+    )
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved runs: every event is one save, and the user id says which run it saves."""
+    code = F.col("event_id") % 10
+    return table(spark, sf_dir, "events").select(
+        F.format_string("run-%05d", F.col("user_id")).alias("run_id"),
+        F.col("event_id").alias("ingest_seq"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("created_at"),
+        F.col("ts").alias("saved_at"),
+        F.col("event_type").alias("suite_id"),
+        F.concat(F.lit("v"), F.floor(F.col("event_id") / 1000).cast("string")).alias(
+            "suite_version"
+        ),
+        (F.col("event_id") * 37 % 10001 / F.lit(10000.0)).alias("aggregate_score"),
+        F.when(code < 6, "pass").when(code < 9, "fail").otherwise("human_review").alias("decision"),
+        F.when(code < 6, "5b").when(code < 8, "3a").when(code == 8, "2").otherwise("3b").alias(
+            "reason_code"
+        ),
+    )
+
+
+# Settings whose words do occur in the documents (the default ones never do).
+CORPUS_TERMS = ("the", "are", "von")
+CORPUS_TOPICS = ("mit", "une")
+CORPUS_COMPETITORS = ("tion", "SCH")

@@ -12,7 +12,7 @@ inside SQL lambdas rebuild a hash set per pair and were several times slower.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -93,10 +93,23 @@ def _grounding(sentences: pa.Array, source: pa.Array) -> pa.Array:
     )
 
 
-@F.arrow_udf(GROUNDING_TYPE)
-def sentence_grounding(sentences: pa.Array, source: pa.Array) -> pa.Array:
+def _once(function: Callable, result: T.DataType) -> Callable[..., Column]:
+    """An Arrow UDF whose result is computed in a projection of its own.
+
+    Expressions over a deterministic Python UDF are all inlined into their consumers, however
+    often these use them: a score that is read thirty times would be computed thirty times.
+    Declaring the function non-deterministic keeps the projections apart.
+    """
+    return F.arrow_udf(function, result).asNondeterministic()
+
+
+def sentence_grounding(sentences: Column, source: Column) -> Column:
     """Containment in, and cosine with, the whole source, for each sentence of a row."""
-    return _grounding(sentences, source)
+
+    def grounding(sentences: pa.Array, source: pa.Array) -> pa.Array:
+        return _grounding(sentences, source)
+
+    return _once(grounding, GROUNDING_TYPE)(sentences, source)
 
 
 def _blocks(sizes: np.ndarray):
@@ -183,8 +196,7 @@ def best_matches(sentences: Column, evidence: Column, facts: Sequence[str] = ())
     """
     fact_sets = token_sets_of(facts)
 
-    @F.arrow_udf(MATCH_TYPE)
     def match(sentences: pa.Array, evidence: pa.Array) -> pa.Array:
         return _matches(sentences, evidence, fact_sets)
 
-    return match(sentences, evidence)
+    return _once(match, MATCH_TYPE)(sentences, evidence)

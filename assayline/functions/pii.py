@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .expr import empty_array, let
+from .expr import empty_array
 from .text import spans, unicode_pattern
 
 # Pattern per kind, in reporting order.
@@ -33,39 +33,37 @@ def _possible(text: Column, kind: str) -> Column:
 
 def pii_matches(text: Column) -> Column:
     """array<struct<type, match>> of every match of every pattern."""
-    parts = [
-        F.when(
-            _possible(text, kind),
-            F.transform(
-                F.regexp_extract_all(text, F.lit(pii_regex(kind)), F.lit(0)),
-                lambda m, kind=kind: F.struct(F.lit(kind).alias("type"), m.alias("match")),
-            ),
-        ).otherwise(empty_array("struct<type:string,match:string>"))
-        for kind in PII_PATTERNS
-    ]
-    return F.concat(*parts)
+
+    def found(kind: str) -> Column:
+        return F.transform(
+            F.regexp_extract_all(text, F.lit(pii_regex(kind)), F.lit(0)),
+            lambda m: F.struct(F.lit(kind).alias("type"), m.alias("match")),
+        )
+
+    nothing = empty_array("struct<type:string,match:string>")
+    return F.concat(
+        *[F.when(_possible(text, k), found(k)).otherwise(nothing) for k in PII_PATTERNS]
+    )
 
 
 def detect_pii(text: Column) -> Column:
     """Findings with character offsets, as an array of :data:`PII_TYPE`."""
 
-    def located(t: Column, kind: str) -> Column:
+    def located(kind: str) -> Column:
         regex = pii_regex(kind)
         return F.zip_with(
-            F.regexp_extract_all(t, F.lit(regex), F.lit(0)),
-            spans(t, regex),
+            F.regexp_extract_all(text, F.lit(regex), F.lit(0)),
+            spans(text, regex),
             lambda m, s: F.struct(
                 F.lit(kind).alias("type"), m.alias("match"),
                 s["start"].alias("start"), s["end"].alias("end"),
             ),
         )
 
-    parts = [
-        F.when(_possible(text, kind), let(text, lambda t, kind=kind: located(t, kind)))
-        .otherwise(empty_array(PII_TYPE))
-        for kind in PII_PATTERNS
-    ]
-    return F.concat(*parts)
+    nothing = empty_array(PII_TYPE)
+    return F.concat(
+        *[F.when(_possible(text, k), located(k)).otherwise(nothing) for k in PII_PATTERNS]
+    )
 
 
 def redact_pii(text: Column) -> Column:

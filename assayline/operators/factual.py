@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.expr import count_where, empty_array, let
 from ..functions.lexical import best_matches
 from ..functions.numbers import claims_of, extract_numbers, first_close_number
-from ..functions.rounding import round_exact
+from ..functions.rounding import round_sql
 from ..functions.text import excerpt
-from ..schema import WARNING, flag, no_flags, no_sub_scores, sub_scores
+from ..schema import WARNING, flag, no_flags
 from ..settings import FactualSettings, Slot
 from .results import add_result
 from .shared import missing_text, source_column, with_shared
@@ -110,10 +110,13 @@ def evaluate_factual(
     total = F.size(claims)
 
     def accuracy(kind: str) -> Column:
-        return round_exact(of_type(kind, True) / F.greatest(of_type(kind), F.lit(1.0)), 4)
+        return of_type(kind, True) / F.greatest(of_type(kind), F.lit(1.0))
 
-    unverified = F.filter(claims, lambda c: ~c["verified"])
-    category = lambda c: F.concat(F.lit("factual:"), c["type"])
+    def unverified() -> Column:
+        return F.filter(claims, lambda c: ~c["verified"])
+
+    def category(c: Column) -> Column:
+        return F.concat(F.lit("factual:"), c["type"])
 
     def claim_flag(c: Column) -> Column:
         message = F.concat(
@@ -121,7 +124,17 @@ def evaluate_factual(
         )
         return flag(category(c), message, WARNING, c["text"])
 
-    source_flag = flag("factual", "Cannot verify facts without a source document.", WARNING)
+    def source_flag() -> Column:
+        return flag("factual", "Cannot verify facts without a source document.", WARNING)
+
+    def claim_results() -> Column:
+        rounded = round_sql("c.similarity", 4)
+        return F.expr(
+            f"transform(`{slot.temp('verified_claims')}`, c -> named_struct('text', c.text, "
+            "'type', c.type, 'value', c.value, 'unit', c.unit, 'verified', c.verified, "
+            f"'similarity', {rounded}, 'source_value', c.source_value, 'evidence', c.evidence))"
+        )
+
     return add_result(
         df,
         slot,
@@ -129,29 +142,26 @@ def evaluate_factual(
         score=F.when(no_source, F.lit(0.0))
         .when(no_content, F.lit(1.0))
         .otherwise(verified.cast("double") / total.cast("double")),
-        sub_scores=F.when(no_source | no_content, no_sub_scores()).otherwise(
-            sub_scores(
-                textual_accuracy=accuracy("textual"), numerical_accuracy=accuracy("numerical")
-            )
-        ),
-        passed=F.lit(True),
-        categories=F.when(no_source, F.array(F.lit("factual")))
+        error=F.when(~no_source, missing_text(slot)),
+        sub_scores=lambda: {
+            "textual_accuracy": accuracy("textual"),
+            "numerical_accuracy": accuracy("numerical"),
+        },
+        has_sub_scores=~(no_source | no_content),
+        passed=lambda: F.lit(True),
+        categories=lambda: F.when(no_source, F.array(F.lit("factual")))
         .when(no_content, empty_array("string"))
-        .otherwise(F.transform(unverified, category)),
-        flags=F.when(no_source, F.array(source_flag))
+        .otherwise(F.transform(unverified(), category)),
+        flags=lambda: F.when(no_source, F.array(source_flag()))
         .when(no_content, no_flags())
-        .otherwise(F.transform(unverified, claim_flag)),
-        details=F.struct(
-            F.lit("model" if slot.claim_matches else "lexical").alias("method"),
+        .otherwise(F.transform(unverified(), claim_flag)),
+        details=lambda: F.struct(
             F.when(no_source, "No source / knowledge base provided.").alias("error"),
             F.when(~no_source & no_content, "No verifiable claims found.").alias("note"),
             total.alias("total_claims"),
             verified.alias("verified_claims"),
             (total - verified).alias("unverified_claims"),
-            F.transform(
-                claims,
-                lambda c: c.withField("similarity", round_exact(c["similarity"], 4)),
-            ).alias("claim_results"),
+            claim_results().alias("claim_results"),
         ),
-        error=F.when(~no_source, missing_text(slot)),
+        method=lambda: F.lit("model" if slot.claim_matches else "lexical"),
     )

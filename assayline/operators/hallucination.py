@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import array_mean, count_where, empty_array
 from ..functions.lexical import sentence_grounding
-from ..functions.rounding import round_exact
+from ..functions.rounding import round_sql
 from ..functions.text import excerpt
-from ..schema import CRITICAL, WARNING, flag, no_flags, no_sub_scores, sub_scores
+from ..schema import CRITICAL, WARNING, flag, no_flags
 from ..settings import HallucinationSettings, Slot
 from .results import add_result
 from .shared import missing_text, source_column, with_shared
@@ -97,10 +97,13 @@ def evaluate_hallucination(
             r["similarity"] < F.lit(settings.similarity_floor)
         )
 
-    flagged = F.filter(scored, lambda r: contradicts(r) | unsupported(r))
-    category = lambda r: F.when(contradicts(r), "hallucination:contradiction").otherwise(
-        "hallucination:unsupported"
-    )
+    def flagged() -> Column:
+        return F.filter(scored, lambda r: contradicts(r) | unsupported(r))
+
+    def category(r: Column) -> Column:
+        return F.when(contradicts(r), "hallucination:contradiction").otherwise(
+            "hallucination:unsupported"
+        )
 
     def sentence_flag(r: Column) -> Column:
         opening = F.when(contradicts(r), "Sentence contradicts source").otherwise(
@@ -113,46 +116,47 @@ def evaluate_hallucination(
             r["sentence"],
         )
 
-    source_flag = flag(
-        "hallucination", "Cannot assess hallucination without source document.", WARNING
-    )
+    def source_flag() -> Column:
+        return flag(
+            "hallucination", "Cannot assess hallucination without source document.", WARNING
+        )
+
     composite = (
         F.lit(settings.entailment_weight) * entailment
         + F.lit(settings.similarity_weight) * similarity
     )
-    scores = sub_scores(
-        entailment=round_exact(entailment, 4), semantic_similarity=round_exact(similarity, 4)
-    )
+    def sentence_results() -> Column:
+        rounded = ", ".join(
+            f"'{field}', {round_sql(f'r.{field}', 4)}"
+            for field in ("entailment_prob", "contradiction_prob", "similarity")
+        )
+        return F.expr(
+            f"transform(`{slot.temp('grounding')}`, r -> named_struct("
+            f"'sentence', r.sentence, 'nli_label', r.nli_label, {rounded}))"
+        )
+
     return add_result(
         df,
         slot,
         NAME,
         score=F.when(no_source, F.lit(0.0)).when(no_content, F.lit(1.0)).otherwise(composite),
-        sub_scores=F.when(no_source | no_content, no_sub_scores()).otherwise(scores),
-        passed=no_source | ~F.exists(scored, contradicts),
-        categories=F.when(no_source, F.array(F.lit("hallucination")))
+        error=F.when(~no_source, missing_text(slot)),
+        sub_scores=lambda: {"entailment": entailment, "semantic_similarity": similarity},
+        has_sub_scores=~(no_source | no_content),
+        passed=lambda: no_source | ~F.exists(scored, contradicts),
+        categories=lambda: F.when(no_source, F.array(F.lit("hallucination")))
         .when(no_content, empty_array("string"))
-        .otherwise(F.transform(flagged, category)),
-        flags=F.when(no_source, F.array(source_flag))
+        .otherwise(F.transform(flagged(), category)),
+        flags=lambda: F.when(no_source, F.array(source_flag()))
         .when(no_content, no_flags())
-        .otherwise(F.transform(flagged, sentence_flag)),
-        details=F.struct(
-            F.lit("model" if slot.nli else "lexical").alias("method"),
+        .otherwise(F.transform(flagged(), sentence_flag)),
+        details=lambda: F.struct(
             F.when(no_source, "No source document provided for grounding.").alias("error"),
             F.when(~no_source & no_content, "No scoreable sentences in generated text.").alias("note"),
             F.size(scored).alias("num_sentences"),
             count_where(scored, contradicts).alias("num_contradictions"),
             count_where(scored, unsupported).alias("num_unsupported"),
-            F.transform(
-                scored,
-                lambda r: F.struct(
-                    r["sentence"].alias("sentence"),
-                    r["nli_label"].alias("nli_label"),
-                    round_exact(r["entailment_prob"], 4).alias("entailment_prob"),
-                    round_exact(r["contradiction_prob"], 4).alias("contradiction_prob"),
-                    round_exact(r["similarity"], 4).alias("similarity"),
-                ),
-            ).alias("sentence_results"),
+            sentence_results().alias("sentence_results"),
         ),
-        error=F.when(~no_source, missing_text(slot)),
+        method=lambda: F.lit("model" if slot.nli else "lexical"),
     )

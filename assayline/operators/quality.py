@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import let
 from ..functions.rounding import format_fixed
 from ..functions.text import raw_sentences, words
-from ..schema import WARNING, flag, sub_scores
+from ..schema import WARNING, flag
 from ..settings import QualitySettings, Slot
 from .results import add_result
 from .shared import missing_text
@@ -90,16 +90,17 @@ def evaluate_quality(
         "fluency": fluency(mean_length),
         "relevance": relevance(text, prompt),
     }
-    rationales = {
-        "coherence": F.lit("Heuristic: based on transition word density."),
-        "fluency": F.concat(
-            F.lit("Heuristic: avg sentence length = "), format_fixed(mean_length, 1),
-            F.lit(" words."),
-        ),
-        "relevance": F.when(
+    def rule_rationale(dimension: str) -> Column:
+        if dimension == "coherence":
+            return F.lit("Heuristic: based on transition word density.")
+        if dimension == "fluency":
+            length = format_fixed(slot.temp("words_per_sentence"), 1)
+            return F.concat(
+                F.lit("Heuristic: avg sentence length = "), length, F.lit(" words.")
+            )
+        return F.when(
             F.coalesce(prompt, F.lit("")) != "", "Heuristic: keyword overlap with prompt."
-        ).otherwise("Heuristic: no prompt provided for comparison."),
-    }
+        ).otherwise("Heuristic: no prompt provided for comparison.")
 
     def judged(dimension: str) -> Column:
         # A judge answer without this dimension counts as 3; judge values are truncated
@@ -113,10 +114,10 @@ def evaluate_quality(
 
     def rationale(dimension: str) -> Column:
         if not use_judge:
-            return rationales[dimension]
+            return rule_rationale(dimension)
         name = f"{dimension}_rationale"
         given = F.coalesce(judge[name], F.lit("")) if name in has_rationale else F.lit("")
-        return F.when(judge.isNotNull(), given).otherwise(rationales[dimension])
+        return F.when(judge.isNotNull(), given).otherwise(rule_rationale(dimension))
 
     df = df.withColumns(
         {
@@ -130,31 +131,19 @@ def evaluate_quality(
         if use_judge
         else F.lit("heuristic")
     )
-    low = F.filter(
-        F.array(
+
+    def low() -> Column:
+        scores = F.array(
             *[F.struct(F.lit(d).alias("dimension"), value[d].alias("value")) for d in DIMENSIONS]
-        ),
-        lambda x: x["value"] <= 2,
-    )
-    flags = F.filter(
-        F.array(
-            *[
-                F.when(
-                    value[d] <= 2,
-                    flag(
-                        f"quality:{d}",
-                        F.concat(
-                            F.lit(f"Low {d} score: "), value[d].cast("string"), F.lit("/5 — "),
-                            rationale(d),
-                        ),
-                        WARNING,
-                    ),
-                )
-                for d in DIMENSIONS
-            ]
-        ),
-        lambda f: f.isNotNull(),
-    )
+        )
+        return F.filter(scores, lambda x: x["value"] <= 2)
+
+    def low_flag(d: str) -> Column:
+        message = F.concat(
+            F.lit(f"Low {d} score: "), value[d].cast("string"), F.lit("/5 — "), rationale(d)
+        )
+        return F.when(value[d] <= 2, flag(f"quality:{d}", message, WARNING))
+
     out_of_range = F.lit(False)
     for d in DIMENSIONS:
         out_of_range = out_of_range | ~value[d].between(1, 5)
@@ -163,15 +152,20 @@ def evaluate_quality(
         slot,
         NAME,
         score=total.cast("double") / F.lit(15.0),
-        sub_scores=sub_scores(**{d: value[d].cast("double") / F.lit(5.0) for d in DIMENSIONS}),
-        passed=F.lit(True),
-        categories=F.transform(low, lambda x: F.concat(F.lit("quality:"), x["dimension"])),
-        flags=flags,
-        details=F.struct(
+        error=missing_text(slot),
+        sub_scores=lambda: {d: value[d].cast("double") / F.lit(5.0) for d in DIMENSIONS},
+        passed=lambda: F.lit(True),
+        categories=lambda: F.transform(
+            low(), lambda x: F.concat(F.lit("quality:"), x["dimension"])
+        ),
+        flags=lambda: F.filter(
+            F.array(*[low_flag(d) for d in DIMENSIONS]), lambda f: f.isNotNull()
+        ),
+        details=lambda: F.struct(
             *[value[d].alias(d) for d in DIMENSIONS],
             *[rationale(d).alias(f"{d}_rationale") for d in DIMENSIONS],
             method.alias("method"),
             out_of_range.alias("judge_out_of_range"),
         ),
-        error=missing_text(slot),
+        method=lambda: method,
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 
@@ -60,13 +61,17 @@ def evaluate(
     slots: Slot | Iterable[Slot] = (Slot(),),
     settings: Settings = Settings(),
     names: Iterable[str] | None = None,
+    parts: Iterable[str] | None = None,
 ) -> DataFrame:
     """Score every row for every slot.
 
     One narrow pass: a candidate and its baseline are scored side by side in the same row,
-    so nothing has to be regrouped afterwards. Disabled evaluators never enter the plan.
+    so nothing has to be regrouped afterwards. Disabled evaluators never enter the plan, and
+    neither do result parts other than ``parts``.
     """
     slots = [slots] if isinstance(slots, Slot) else list(slots)
+    if parts is not None:
+        slots = [replace(slot, parts=tuple(parts)) for slot in slots]
     names = enabled_evaluators(settings) if names is None else list(names)
     for slot in slots:
         for name in names:

@@ -7,16 +7,15 @@ only scores never builds flags, spans or details.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import empty_array
-from ..functions.rounding import round_exact
+from ..functions.rounding import round_entries, round_exact
 from ..schema import CRITICAL, no_flags, no_sub_scores
-from ..settings import Slot
-
-PARTS = ("score", "sub_scores", "passed", "categories", "flags", "details", "error")
-
+from ..settings import PARTS, Slot
 
 def add_result(
     df: DataFrame,
@@ -24,26 +23,49 @@ def add_result(
     name: str,
     *,
     score: Column,
-    sub_scores: Column,
-    passed: Column,
-    categories: Column,
-    flags: Column,
-    details: Column,
     error: Column,
+    sub_scores: Callable[[], dict[str, Column]],
+    has_sub_scores: Column | None = None,
+    passed: Callable[[], Column],
+    categories: Callable[[], Column],
+    flags: Callable[[], Column],
+    details: Callable[[], Column],
+    method: Callable[[], Column],
 ) -> DataFrame:
-    """Add the result columns. A row with an error scores 0 and raises no flag."""
-    failed = error.isNotNull()
-    return df.withColumns(
-        {
-            slot.out(f"{name}_score"): F.when(failed, F.lit(0.0)).otherwise(round_exact(score, 4)),
-            slot.out(f"{name}_sub_scores"): F.when(failed, no_sub_scores()).otherwise(sub_scores),
-            slot.out(f"{name}_passed"): failed | F.coalesce(passed, F.lit(True)),
-            slot.out(f"{name}_categories"): F.when(failed, empty_array("string")).otherwise(categories),
-            slot.out(f"{name}_flags"): F.when(failed, no_flags()).otherwise(flags),
-            slot.out(f"{name}_details"): details,
-            slot.out(f"{name}_error"): error,
-        }
+    """Add the wanted result columns. A row with an error scores 0 and raises no flag.
+
+    The parts are functions, so an unwanted part costs nothing, not even planning time.
+    """
+    df = df.withColumns(
+        {slot.temp(f"{name}_score"): score, slot.temp(f"{name}_error"): error}
     )
+    failed = F.col(slot.temp(f"{name}_error")).isNotNull()
+    out = {}
+    if "sub_scores" in slot.parts:
+        raw = sub_scores()
+        df = df.withColumns({slot.temp(f"{name}_{k}"): v for k, v in raw.items()})
+        rounded = F.create_map(
+            *[x for k in raw for x in (F.lit(k), round_exact(slot.temp(f"{name}_{k}"), 4))]
+        )
+        none = failed if has_sub_scores is None else failed | ~has_sub_scores
+        out["sub_scores"] = F.when(none, no_sub_scores()).otherwise(rounded)
+    if "score" in slot.parts:
+        out["score"] = F.when(failed, F.lit(0.0)).otherwise(
+            round_exact(slot.temp(f"{name}_score"), 4)
+        )
+    if "passed" in slot.parts:
+        out["passed"] = failed | F.coalesce(passed(), F.lit(True))
+    if "categories" in slot.parts:
+        out["categories"] = F.when(failed, empty_array("string")).otherwise(categories())
+    if "flags" in slot.parts:
+        out["flags"] = F.when(failed, no_flags()).otherwise(flags())
+    if "details" in slot.parts:
+        out["details"] = details()
+    if "method" in slot.parts:
+        out["method"] = F.when(~failed, method())
+    if "error" in slot.parts:
+        out["error"] = F.col(slot.temp(f"{name}_error"))
+    return df.withColumns({slot.out(f"{name}_{part}"): c for part, c in out.items()})
 
 
 def passed_from_flags(flags: Column) -> Column:
@@ -88,9 +110,9 @@ def result_json(df: DataFrame, name: str, slot: Slot = Slot()) -> Column:
     return F.to_json(
         F.struct(
             F.lit(name).alias("evaluator"),
-            round_exact(col("score"), 4).alias("score"),
+            round_exact(slot.out(f"{name}_score"), 4).alias("score"),
             col("passed").alias("passed"),
-            F.transform_values(col("sub_scores"), lambda _, v: round_exact(v, 4)).alias("sub_scores"),
+            round_entries(slot.out(f"{name}_sub_scores"), 4).alias("sub_scores"),
             col("flags").alias("flags"),
             col("details").alias("details"),
         ),

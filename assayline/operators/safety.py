@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import brand
-from ..functions.expr import empty_array
 from ..functions.pii import pii_matches
-from ..functions.rounding import format_fixed, round_exact
+from ..functions.rounding import format_fixed, round_entries
 from ..functions.text import excerpt
-from ..schema import CRITICAL, WARNING, flag, sub_scores
+from ..schema import CRITICAL, WARNING, flag
 from ..settings import SafetySettings, Slot
 from .results import add_result
 from .shared import missing_text
@@ -18,7 +17,7 @@ from .shared import missing_text
 NAME = "content_safety"
 
 
-def high_toxicity(toxicity, threshold: float):
+def high_toxicity(toxicity: Column, threshold: float) -> Column:
     """Entries at or above the threshold, in the order of the map."""
     return F.map_entries(F.map_filter(toxicity, lambda _, v: v >= F.lit(threshold)))
 
@@ -52,73 +51,70 @@ def evaluate_safety(
     high, max_tox = F.col(slot.temp("high_toxicity")), F.col(slot.temp("max_toxicity"))
     pii_severity = CRITICAL if settings.pii_is_critical else WARNING
 
-    violations = F.concat(
-        brand.word_violations(text, brand.TERM, terms),
-        brand.word_violations(text, brand.TOPIC, topics),
-        brand.competitor_violations(text, competitors),
-    )
-    categories = F.concat(
-        F.transform(high, lambda t: F.concat(F.lit("toxicity:"), t["key"])),
-        *[F.array_repeat(F.lit(f"brand:{kind}"), n) for kind, n in per_kind.items()],
-        F.transform(pii, lambda p: F.concat(F.lit("pii:"), p["type"])),
-    )
-    flags = F.concat(
-        F.transform(
-            high,
-            lambda t: flag(
-                F.concat(F.lit("toxicity:"), t["key"]),
-                F.concat(
-                    F.lit("High "), t["key"], F.lit(" score: "), format_fixed(t["value"], 3)
-                ),
-                CRITICAL,
-            ),
-        ),
-        F.transform(
-            violations,
-            lambda v: flag(F.concat(F.lit("brand:"), v["type"]), v["message"], WARNING),
-        ),
-        F.transform(
-            pii,
-            lambda p: flag(
-                F.concat(F.lit("pii:"), p["type"]),
-                F.concat(
-                    F.lit("PII detected ("), p["type"], F.lit("): "), excerpt(p["match"], 20)
-                ),
-                pii_severity,
-            ),
-        ),
-    )
+    def violations() -> Column:
+        return F.concat(
+            brand.word_violations(text, brand.TERM, terms),
+            brand.word_violations(text, brand.TOPIC, topics),
+            brand.competitor_violations(text, competitors),
+        )
+
+    def categories() -> Column:
+        return F.concat(
+            F.transform(high, lambda t: F.concat(F.lit("toxicity:"), t["key"])),
+            *[F.array_repeat(F.lit(f"brand:{kind}"), n) for kind, n in per_kind.items()],
+            F.transform(pii, lambda p: F.concat(F.lit("pii:"), p["type"])),
+        )
+
+    def toxicity_flag(t: Column) -> Column:
+        message = F.concat(
+            F.lit("High "), t["key"], F.lit(" score: "), format_fixed(t["value"], 3)
+        )
+        return flag(F.concat(F.lit("toxicity:"), t["key"]), message, CRITICAL)
+
+    def brand_flag(v: Column) -> Column:
+        return flag(F.concat(F.lit("brand:"), v["type"]), v["message"], WARNING)
+
+    def pii_flag(p: Column) -> Column:
+        message = F.concat(
+            F.lit("PII detected ("), p["type"], F.lit("): "), excerpt(p["match"], 20)
+        )
+        return flag(F.concat(F.lit("pii:"), p["type"]), message, pii_severity)
+
+    def flags() -> Column:
+        return F.concat(
+            F.transform(high, toxicity_flag),
+            F.transform(violations(), brand_flag),
+            F.transform(pii, pii_flag),
+        )
+
+    def details() -> Column:
+        return F.struct(
+            brand.content_rating(max_tox, n_brand + n_pii).alias("content_rating"),
+            round_entries(slot.toxicity, 4).alias("toxicity_scores"),
+            F.transform(violations(), lambda v: v.dropFields("message")).alias("brand_violations"),
+            pii.alias("pii_findings"),
+            n_pii.alias("pii_count"),
+        )
+
     brand_score, pii_score = brand.brand_score(n_brand), brand.pii_score(n_pii)
-    composite = (F.lit(1.0) - max_tox + brand_score + pii_score) / F.lit(3.0)
     clean_of_pii = n_pii == 0 if settings.pii_is_critical else F.lit(True)
     return add_result(
         df,
         slot,
         NAME,
-        score=composite,
-        sub_scores=sub_scores(
-            toxicity=round_exact(F.lit(1.0) - max_tox, 4),
-            brand_alignment=round_exact(brand_score, 4),
-            pii_safety=round_exact(pii_score, 4),
-        ),
-        passed=(F.size(high) == 0) & clean_of_pii,
-        categories=F.coalesce(categories, empty_array("string")),
-        flags=flags,
-        details=F.struct(
-            brand.content_rating(max_tox, n_brand + n_pii).alias("content_rating"),
-            F.transform_values(toxicity, lambda _, v: round_exact(v, 4)).alias("toxicity_scores"),
-            F.transform(
-                violations,
-                lambda v: F.struct(
-                    v["type"].alias("type"), v["value"].alias("value"),
-                    v["start"].alias("start"), v["end"].alias("end"),
-                ),
-            ).alias("brand_violations"),
-            pii.alias("pii_findings"),
-            n_pii.alias("pii_count"),
-        ),
+        score=(F.lit(1.0) - max_tox + brand_score + pii_score) / F.lit(3.0),
         error=F.coalesce(
             missing_text(slot),
             F.when(toxicity.isNull(), F.lit("toxicity scores are missing")),
         ),
+        sub_scores=lambda: {
+            "toxicity": F.lit(1.0) - max_tox,
+            "brand_alignment": brand_score,
+            "pii_safety": pii_score,
+        },
+        passed=lambda: (F.size(high) == 0) & clean_of_pii,
+        categories=categories,
+        flags=flags,
+        details=details,
+        method=lambda: F.lit("rules"),
     )

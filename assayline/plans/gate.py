@@ -44,11 +44,10 @@ def with_hallucination_flag(flags: Column, grounding_score: Column) -> Column:
 def evaluator_method(df: DataFrame, slot: Slot, settings: Settings, names: Sequence[str]) -> Column:
     if "quality" not in names:
         return F.lit("Deterministic Only")
-    method = F.col(slot.out("quality_details"))["method"]
+    method = F.col(slot.out("quality_method"))
     judge = settings.quality.model or "Gemini"
     return (
-        F.when(F.col(slot.out("quality_error")).isNotNull(), "Deterministic Only")
-        .when(method == "judge", f"Deterministic + {judge} Judge")
+        F.when(method == "judge", f"Deterministic + {judge} Judge")
         .when(method == "heuristic", "Deterministic + Heuristic Fallback")
         .otherwise("Deterministic Only")
     )
@@ -68,7 +67,8 @@ def decide(
     its row, so the whole gate is one narrow stage.
     """
     names = enabled_evaluators(settings) if names is None else list(names)
-    scored = evaluate(requests, (candidate, baseline), settings, names)
+    scored = evaluate(requests, candidate, settings, names, ("score", "categories", "method"))
+    scored = evaluate(scored, baseline, settings, names, ("score",))
 
     def scores(slot: Slot) -> list[Column]:
         return [F.col(slot.out(f"{n}_score")) for n in names]

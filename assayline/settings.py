@@ -63,6 +63,10 @@ class Settings:
 BUILT_IN = ("hallucination", "factual_accuracy", "content_safety", "quality")
 
 
+# What an evaluator can add to a row, see operators.results.
+PARTS = ("score", "sub_scores", "passed", "categories", "flags", "details", "method", "error")
+
+
 @dataclass(frozen=True)
 class Slot:
     """Where an evaluator finds its inputs in a row, and the prefix of what it adds.
@@ -70,7 +74,8 @@ class Slot:
     ``nli`` is array<struct<contradiction, entailment, neutral>> and ``similarity`` is
     array<double>, both aligned with the kept sentences; ``claim_matches`` is
     array<struct<similarity, position>> aligned the same way. Without them the lexical
-    stand-ins are used. ``judge`` is struct<coherence, fluency, relevance, ...>.
+    stand-ins are used. ``judge`` is struct<coherence, fluency, relevance, ...>. Only the listed ``parts``
+    of each result are built.
     """
 
     text: str = "generated"
@@ -82,6 +87,7 @@ class Slot:
     claim_matches: str | None = None
     judge: str | None = None
     prefix: str = ""
+    parts: tuple[str, ...] = PARTS
 
     def out(self, name: str) -> str:
         return f"{self.prefix}{name}"
