@@ -145,12 +145,20 @@ def numeric_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved runs: every event is one save, and the user id says which run it saves."""
+    return runs_of(table(spark, sf_dir, "events"))
+
+
+def runs_of(events: DataFrame) -> DataFrame:
     code = F.col("event_id") % 10
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.format_string("run-%05d", F.col("user_id")).alias("run_id"),
         F.col("event_id").alias("ingest_seq"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("created_at"),
-        F.col("ts").alias("saved_at"),
+        # The event times carry no zone; they are taken as UTC, whatever the session zone.
+        F.expr(
+            "timestampadd(MICROSECOND, timestampdiff(MICROSECOND, "
+            "TIMESTAMP_NTZ '1970-01-01 00:00:00', ts), TIMESTAMP '1970-01-01 00:00:00Z')"
+        ).alias("saved_at"),
         F.col("event_type").alias("suite_id"),
         F.concat(F.lit("v"), F.floor(F.col("event_id") / 1000).cast("string")).alias(
             "suite_version"
@@ -167,3 +175,17 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 CORPUS_TERMS = ("the", "are", "von")
 CORPUS_TOPICS = ("mit", "une")
 CORPUS_COMPETITORS = ("tion", "SCH")
+
+
+def letter_model():
+    """A deterministic stand-in for an embedding model: the counts of the letters a to z."""
+    import numpy as np
+
+    def embed(texts):
+        out = np.zeros((len(texts), 26), dtype=np.float32)
+        for i, text in enumerate(texts):
+            codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64) - 97
+            out[i] = np.bincount(codes[(codes >= 0) & (codes < 26)], minlength=26)
+        return out
+
+    return embed

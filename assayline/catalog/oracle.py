@@ -862,7 +862,7 @@ SELECT suite_id, lang, evaluator, {r('md', 6)} AS mean_diff, {r('effect', 6)} AS
 FROM compared""")
 _add("paired_ttest", _BY_SUITE + f"""
 SELECT suite_id, evaluator,
-       CASE WHEN t IS NOT NULL THEN {r('t', 6)} ELSE 'nan'::DOUBLE END AS t_statistic,
+       CASE WHEN t IS NOT NULL THEN {r('t', 6)} END AS t_statistic,
        CASE WHEN p IS NOT NULL THEN {r('p', 6)} END AS p_value
 FROM compared WHERE n >= 30""")
 _add("wilcoxon_signed_rank", _BY_SUITE_LANG + f"""
@@ -917,3 +917,124 @@ ORDER BY created_at DESC, run_id LIMIT 10""")
 _add("get_run", _with(_LATEST) + """
 SELECT run_id, ingest_seq, created_at, suite_id, aggregate_score FROM latest
 WHERE run_id = 'run-00007'""")
+
+# --- extension surface --------------------------------------------------------------------
+_add("custom_evaluator", _SAFE + f"""
+SELECT s.sample_id, 'content_safety' AS evaluator, s.sf AS score,
+       (s.tox >= 0.5::DOUBLE)::BIGINT + s.n_brand + s.n_pii AS n_flags FROM s_scores s
+UNION ALL
+SELECT doc_id, 'brevity', {r('least(1.0::DOUBLE, 1500.0::DOUBLE / greatest(length(text), 1)::DOUBLE)')},
+       (length(text) > 1500)::BIGINT
+FROM documents""")
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _letters(x: str) -> str:
+    counts = [f"(length({x}) - length(replace({x}, '{c}', '')))::BIGINT AS n_{c}" for c in _LETTERS]
+    return ", ".join(counts)
+
+
+def _dot(a: str, b: str) -> str:
+    return " + ".join(f"{a}.n_{c} * {b}.n_{c}" for c in _LETTERS)
+
+
+_VECTORS = f"""mine AS (SELECT sample_id, slot, pos, s, {_letters('s')} FROM sents),
+theirs AS (SELECT sample_id, slot, pos, {_letters('s')} FROM src_sents),
+whole AS (SELECT sample_id, slot, {_letters('source')} FROM outs),
+lettered AS (
+  SELECT m.sample_id, m.slot, m.pos, m.s,
+         CASE WHEN ({_dot('m', 'm')}) * ({_dot('w', 'w')}) > 0
+              THEN ({_dot('m', 'w')})::DOUBLE / sqrt((({_dot('m', 'm')}) * ({_dot('w', 'w')}))::DOUBLE)
+              ELSE 0.0::DOUBLE END AS sim
+  FROM mine m JOIN whole w USING (sample_id, slot)),
+letter_pairs AS (
+  SELECT m.sample_id, m.slot, m.pos, t.pos AS ev,
+         CASE WHEN ({_dot('m', 'm')}) * ({_dot('t', 't')}) > 0
+              THEN ({_dot('m', 't')})::DOUBLE / sqrt((({_dot('m', 'm')}) * ({_dot('t', 't')}))::DOUBLE)
+              ELSE 0.0::DOUBLE END AS sim
+  FROM mine m JOIN theirs t ON m.sample_id = t.sample_id AND m.slot = t.slot),
+matches AS (
+  SELECT p.sample_id, p.slot, p.pos, s.s, p.sim, p.ev FROM letter_pairs p
+  JOIN sents s USING (sample_id, slot, pos)
+  QUALIFY row_number() OVER (PARTITION BY p.sample_id, p.slot, p.pos ORDER BY p.sim DESC, p.ev) = 1)"""
+_EMBEDDED = _with(SAMPLES, SENTS, SRC_SENTS, _VECTORS)
+_add("model_scorer", _EMBEDDED + f"""
+SELECT l.sample_id, l.pos, {r('l.sim', 6)} AS similarity, {r('m.sim', 6)} AS best_similarity,
+       m.ev AS best_position
+FROM lettered l JOIN matches m USING (sample_id, slot, pos)""")
+_add("model_scored_evaluators", _with(SAMPLES, SENTS, SRC_SENTS, _VECTORS, NUMBERS, CLAIMS, FACTUAL) + f""",
+h AS (
+  SELECT sample_id, count(*) AS n, avg(((sample_id * 11 + pos * 29) % 64) / 128.0::DOUBLE) AS e,
+         avg(sim) AS s FROM lettered GROUP BY ALL)
+SELECT o.sample_id,
+       CASE WHEN o.source = '' THEN 0.0 WHEN h.n IS NULL THEN 1.0
+            ELSE {r('0.6::DOUBLE * h.e + 0.4::DOUBLE * h.s')} END AS hallucination_score,
+       'model' AS hallucination_method, f.f AS factual_accuracy_score,
+       'model' AS factual_accuracy_method
+FROM outs o JOIN f_scores f USING (sample_id, slot) LEFT JOIN h USING (sample_id)""")
+
+# --- configured or documented, not part of a decision ---------------------------------------
+_add("weighted_score", _SAMPLE_SCORES + f"""
+SELECT sample_id, {r('(0.3::DOUBLE * h + 0.25::DOUBLE * f + 0.25::DOUBLE * sf + 0.2::DOUBLE * q) / (0.3::DOUBLE + 0.25::DOUBLE + 0.25::DOUBLE + 0.2::DOUBLE)', 6)}
+       AS weighted_score
+FROM scores""")
+_add("rating_by_table", _with(SAMPLES, _pii("sample_id", "outs", "generated")) + """
+SELECT suite_id, CASE WHEN tox < 0.1 AND n <= 0 THEN 'G' WHEN tox < 0.25 AND n <= 0 THEN 'PG'
+                      WHEN tox < 0.6 AND n <= 2 THEN 'PG-13' ELSE 'R' END AS rating,
+       count(*) AS n
+FROM (SELECT o.sample_id, o.suite_id, o.tox, count(p.found) AS n
+      FROM outs o LEFT JOIN pii p USING (sample_id) GROUP BY ALL)
+GROUP BY ALL""")
+_add("rubric_check", _with(PAIRS, f"""gold AS (
+  SELECT DISTINCT sample_id, w FROM (
+    SELECT sample_id, unnest({_words('lower(baseline)')}) AS w FROM pairs) WHERE w <> ''),
+have AS (
+  SELECT DISTINCT sample_id, w, 1 AS one FROM (
+    SELECT sample_id, unnest({_words('lower(candidate)')}) AS w FROM pairs))""") + f"""
+SELECT p.sample_id, CASE WHEN g.o IS NOT NULL THEN {r('g.o')} END AS gold_overlap
+FROM pairs p LEFT JOIN (
+  SELECT sample_id, count(one)::DOUBLE / count(*)::DOUBLE AS o
+  FROM gold LEFT JOIN have USING (sample_id, w) GROUP BY ALL) g USING (sample_id)""")
+_add("run_metrics", _with(_RUNS) + f"""
+SELECT suite_id, runs, passes, failures, reviews, regressions,
+       {r('passes::DOUBLE / runs::DOUBLE', 6)} AS pass_ratio
+FROM (SELECT suite_id, count(*) AS runs, count(*) FILTER (decision = 'pass') AS passes,
+             count(*) FILTER (decision = 'fail') AS failures,
+             count(*) FILTER (decision = 'human_review') AS reviews,
+             count(*) FILTER (reason_code IN ('3a', '3b')) AS regressions
+      FROM runs GROUP BY ROLLUP (suite_id))""")
+_add("regression_trend", _with(_RUNS) + f""",
+means AS (
+  SELECT suite_id, suite_version, count(*) AS runs,
+         sum(round(aggregate_score * 10000)::BIGINT)::DOUBLE / (count(*)::DOUBLE * 10000) AS m
+  FROM runs GROUP BY ALL),
+windowed AS (
+  SELECT *, m - lag(m) OVER w AS change,
+         avg(m) OVER (PARTITION BY suite_id ORDER BY suite_version
+                      ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS rolling
+  FROM means WINDOW w AS (PARTITION BY suite_id ORDER BY suite_version))
+SELECT suite_id, suite_version, runs, {r('m', 6)} AS mean_score,
+       CASE WHEN change IS NOT NULL THEN {r('change', 6)} END AS change,
+       {r('rolling', 6)} AS rolling_mean
+FROM windowed""")
+_add("golden_set_latest", """
+SELECT user_id AS case_id, event_id AS version, event_type, props FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""")
+_add("enforcement_level", GATE + """
+SELECT d.sample_id, CASE WHEN code = '1' OR x.sample_id IS NOT NULL THEN 'hard_gate'
+                         WHEN code IN ('2', '3a', '3b') THEN 'ticket' ELSE 'monitor' END AS level
+FROM decided d LEFT JOIN (
+  SELECT DISTINCT sample_id FROM all_flags
+  WHERE starts_with(category, 'pii:') OR starts_with(category, 'toxicity:')) x USING (sample_id)""")
+_add("no_regression_on_blockers", _with(PAIRS, AB_OUTS, _PAIRED) + """
+SELECT sample_id, concat_ws('|', CASE WHEN ah < bh THEN 'hallucination' END,
+         CASE WHEN af < bf THEN 'factual_accuracy' END,
+         CASE WHEN asf < bsf THEN 'content_safety' END,
+         CASE WHEN aq < bq THEN 'quality' END) AS regressed
+FROM wide""")
+_add("spot_check_stream", _with(_RUNS) + """
+SELECT strftime(day, '%Y-%m-%d') AS day, suite_id, decision, count(*) AS n
+FROM (SELECT *, date_trunc('day', saved_at) AS day FROM runs)
+WHERE day + INTERVAL 1 DAY <= (SELECT max(saved_at) FROM runs) - INTERVAL 10 MINUTE
+GROUP BY ALL""")

@@ -906,8 +906,8 @@ def paired_effect(spark, sf):
 def paired_ttest(spark, sf):
     result = ab.compare(_paired_scores(spark, sf), BY_SUITE)
     return result.filter("test = 0").select(
-        "suite_id", "evaluator", "t_statistic",
-        F.when(~F.isnan("p_value"), F.col("p_value")).alias("p_value"),
+        "suite_id", "evaluator",
+        *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("t_statistic", "p_value")],
     )
 
 
@@ -986,3 +986,192 @@ def get_run(spark, sf):
     return history.get_run(given.runs(spark, sf), "run-00007").select(
         "run_id", "ingest_seq", "created_at", "suite_id", "aggregate_score"
     )
+
+
+# --- extension surface --------------------------------------------------------------------
+
+
+@query
+def custom_evaluator(spark, sf):
+    """A user's evaluator, registered by name and scored beside the built-in ones."""
+    from ..operators.registry import register
+    from ..operators.results import add_result
+
+    @register("brevity")
+    def brevity(df, slot, settings):
+        length = F.length(slot.text).cast("double")
+        limit = float(settings.get("limit", 2000))
+        too_long = length > F.lit(limit)
+        return add_result(
+            df, slot, "brevity",
+            score=F.least(F.lit(1.0), F.lit(limit) / F.greatest(length, F.lit(1.0))),
+            error=F.when(F.col(slot.text).isNull(), F.lit("generated text is missing")),
+            sub_scores=lambda: {"length": length},
+            passed=lambda: F.lit(True),
+            categories=lambda: F.when(too_long, F.array(F.lit("brevity:long"))).otherwise(
+                F.array().cast("array<string>")
+            ),
+            flags=lambda: F.array().cast(
+                "array<struct<category:string,message:string,severity:string,"
+                "span:struct<start:int,end:int>,evidence:string>>"
+            ),
+            details=lambda: F.struct(length.alias("length")),
+            method=lambda: F.lit("rules"),
+        )
+
+    settings = Settings(content_safety=CORPUS_SAFETY, custom={"brevity": {"limit": 1500}})
+    names = ["content_safety", "brevity"]
+    parts = ("score", "categories")
+    scored = evaluate(given.samples(spark, sf), Slot(), settings, names, parts)
+    from ..operators.registry import unregister
+
+    unregister("brevity")
+    rows = result_rows(scored, names, ["sample_id"], parts=parts)
+    return rows.select("sample_id", "evaluator", "score", _long(F.size("categories")).alias("n_flags"))
+
+
+def _embedded(spark, sf):
+    from ..operators.models import with_embedding_scores
+
+    samples = with_embedding_scores(given.samples(spark, sf), given.letter_model)
+    return samples.withColumn("nli", given.nli(text.split_sentences(F.col("generated"))))
+
+
+@query
+def model_scorer(spark, sf):
+    """Embedding scores from a model that is loaded in the tasks."""
+    scores = _embedded(spark, sf).select(
+        "sample_id",
+        F.posexplode(F.arrays_zip("similarity", "claim_matches")).alias("pos", "m"),
+    )
+    return scores.select(
+        "sample_id",
+        _long(F.col("pos")).alias("pos"),
+        round_exact(F.col("m.similarity"), 6).alias("similarity"),
+        round_exact(F.col("m.claim_matches.similarity"), 6).alias("best_similarity"),
+        _long(F.col("m.claim_matches.position")).alias("best_position"),
+    )
+
+
+@query
+def model_scored_evaluators(spark, sf):
+    """Hallucination and factual scores on model columns instead of the stand-ins."""
+    slot = Slot(nli="nli", similarity="similarity", claim_matches="claim_matches")
+    names = ["hallucination", "factual_accuracy"]
+    scored = evaluate(_embedded(spark, sf), slot, names=names, parts=("score", "method"))
+    return scored.select(
+        "sample_id", "hallucination_score", "hallucination_method", "factual_accuracy_score",
+        "factual_accuracy_method",
+    )
+
+
+# --- configured or documented, not part of a decision ---------------------------------------
+
+
+@query
+def weighted_score(spark, sf):
+    from ..plans.monitoring import weighted_score as weighted
+
+    scored = evaluate(given.samples(spark, sf), settings=CORPUS, parts=("score",))
+    scores = {n: F.col(f"{n}_score") for n in BUILT_IN}
+    return scored.select("sample_id", round_exact(weighted(scores), 6).alias("weighted_score"))
+
+
+@query
+def rating_by_table(spark, sf):
+    from ..plans.monitoring import rating_by_tiers
+
+    found = given.samples(spark, sf).select(
+        "suite_id",
+        brand.max_toxicity(F.col("toxicity")).alias("tox"),
+        F.size(pii_matches(F.col("generated"))).alias("issues"),
+    )
+    tiers = (("G", 0.1, 0), ("PG", 0.25, 0), ("PG-13", 0.6, 2), ("R", 1.0, 999))
+    rating = rating_by_tiers(F.col("tox"), F.col("issues"), tiers)
+    return found.groupBy("suite_id", rating.alias("rating")).agg(F.count("*").alias("n"))
+
+
+@query
+def rubric_check(spark, sf):
+    from ..plans.monitoring import gold_overlap
+
+    pairs = given.eval_pairs(spark, sf)
+    return pairs.select(
+        "sample_id",
+        round_exact(gold_overlap(F.col("candidate"), F.col("baseline")), 4).alias("gold_overlap"),
+    )
+
+
+@query
+def run_metrics(spark, sf):
+    from ..plans.monitoring import run_metrics as metrics
+
+    return metrics(given.runs(spark, sf)).withColumn("pass_ratio", round_exact("pass_ratio", 6))
+
+
+@query
+def regression_trend(spark, sf):
+    from ..plans.monitoring import regression_trend as trend
+
+    result = trend(given.runs(spark, sf))
+    return result.select(
+        "suite_id", "suite_version", "runs",
+        *[round_exact(c, 6).alias(c) for c in ("mean_score", "change", "rolling_mean")],
+    )
+
+
+@query
+def golden_set_latest(spark, sf):
+    cases = given.table(spark, sf, "events").select(
+        F.col("user_id").alias("case_id"), F.col("event_id").alias("version"), "event_type", "props"
+    )
+    return history.latest_by(cases, "case_id", "version")
+
+
+@query
+def enforcement_level(spark, sf):
+    from ..plans.monitoring import enforcement_level as level
+
+    decided = _decided(spark, sf)
+    critical = F.exists(
+        "flags", lambda f: f.startswith("pii:") | f.startswith("toxicity:")
+    )
+    return decided.select("sample_id", level(F.col("reason_code"), critical).alias("level"))
+
+
+@query
+def no_regression_on_blockers(spark, sf):
+    from ..plans.monitoring import regressed_dimensions
+
+    scored = evaluate(_pairs(spark, sf), (A, B), CORPUS, parts=("score",))
+    down = regressed_dimensions(
+        {n: F.col(A.out(f"{n}_score")) for n in BUILT_IN},
+        {n: F.col(B.out(f"{n}_score")) for n in BUILT_IN},
+    )
+    return scored.select("sample_id", _joined(down).alias("regressed"))
+
+
+@query
+def spot_check_stream(spark, sf):
+    """The events as a stream of decided runs, counted per day once a day is final."""
+    from ..session import shared_folder
+    from ..streaming.spot_check import start_spot_check
+
+    schema = given.table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    out, checkpoint = shared_folder(spark, "spot-check"), shared_folder(spark, "spot-check-state")
+    running = start_spot_check(
+        given.runs_of(stream), lambda df: df, out, checkpoint, key="run_id", time="saved_at",
+        window="1 day", available_now=True,
+    )
+    running.awaitTermination()
+    result = "window_start timestamp, window_end timestamp, suite_id string, decision string, n long"
+    return spark.read.schema(result).parquet(out).select(
+        F.date_format(
+            F.convert_timezone(
+                F.current_timezone(), F.lit("UTC"), F.col("window_start").cast("timestamp_ntz")
+            ),
+            "yyyy-MM-dd",
+        ).alias("day"),
+        "suite_id", "decision", "n",
+    )

@@ -37,18 +37,20 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def latest_runs(runs: DataFrame) -> DataFrame:
-    """The last saved version of each run.
+def latest_by(df: DataFrame, key: str, version: str) -> DataFrame:
+    """The row with the highest version of each key.
 
-    ``max_by`` combines on the map side, so a run that was saved very often is reduced
-    before the shuffle, where a window would sort all its versions in one task.
+    ``max_by`` combines on the map side, so a key with very many versions is reduced before
+    the shuffle, where a window would sort all its versions in one task.
     """
-    rest = [c for c in runs.columns if c != "run_id"]
-    return (
-        runs.groupBy("run_id")
-        .agg(F.max_by(F.struct(*rest), "ingest_seq").alias("latest"))
-        .select("run_id", "latest.*")
-    )
+    rest = [c for c in df.columns if c != key]
+    latest = df.groupBy(key).agg(F.max_by(F.struct(*rest), version).alias("latest"))
+    return latest.select(key, "latest.*")
+
+
+def latest_runs(runs: DataFrame) -> DataFrame:
+    """The last saved version of each run."""
+    return latest_by(runs, "run_id", "ingest_seq")
 
 
 def recent_runs(runs: DataFrame, limit: int = DEFAULT_RECENT) -> DataFrame:
