@@ -27,6 +27,11 @@ DEFAULT_FORBIDDEN_TOPICS = ("politics", "religion", "gambling", "weapons")
 TERM, TOPIC, COMPETITOR = "forbidden_term", "forbidden_topic", "competitor_mention"
 _NAME_KEY = {TERM: "term", TOPIC: "topic", COMPETITOR: "name"}
 
+# Capitals that no lower-case letter maps to: they are lowered before the text is raised.
+_UPPER_ONLY = "\u212a\u212b\u2126\u0130\u1e9e\u03f4"
+_UPPER_ONLY_LOWERED = "k\u00e5\u03c9i\u00df\u03b8"
+_LOWERED = str.maketrans(_UPPER_ONLY, _UPPER_ONLY_LOWERED)
+
 _RULE_TYPE = "array<struct<value:string,needle:string,pattern:string,label:string>>"
 VIOLATION_TYPE = "struct<type:string,value:string,start:int,end:int,message:string>"
 
@@ -43,7 +48,7 @@ def _rule_array(kind: str, values: Sequence[str]) -> Column:
     rules = [
         {
             "value": v,
-            "needle": v.upper().lower() if kind != COMPETITOR else v.lower(),
+            "needle": v.lower() if kind == COMPETITOR else v.translate(_LOWERED).upper(),
             "pattern": word_pattern(v),
             "label": f"{{'type': '{kind}', '{_NAME_KEY[kind]}': {v!r}",
         }
@@ -54,7 +59,7 @@ def _rule_array(kind: str, values: Sequence[str]) -> Column:
 
 def _fold(text: Column) -> Column:
     """Case folding that maps every letter a case-insensitive match treats as equal."""
-    return F.lower(F.upper(text))
+    return F.upper(F.translate(text, _UPPER_ONLY, _UPPER_ONLY_LOWERED))
 
 
 def _applicable(text: Column, kind: str, values: Sequence[str]) -> Column:

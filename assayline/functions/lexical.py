@@ -30,6 +30,10 @@ MATCH_TYPE = T.ArrayType(
 # Word budget of one block of evidence: bounds the dense block of a comparison.
 _BLOCK_WORDS = 16384
 _BLOCK_SENTENCES = 256
+# Rows with at most this many (sentence, evidence) pairs are compared together, in runs of
+# at most so many pairs; larger rows are compared one by one as dense blocks.
+_SMALL_ROW_PAIRS = 2048
+_SMALL_RUN_PAIRS = 131072
 
 
 def token_set(text: Column) -> Column:
@@ -54,7 +58,10 @@ def _starts(lengths: np.ndarray) -> np.ndarray:
 
 def _codes(*token_arrays: pa.Array) -> list[np.ndarray]:
     """Integer codes of the words, shared by all given arrays."""
-    encoded = pa.chunked_array(token_arrays, pa.string()).combine_chunks().dictionary_encode()
+    filled = [a for a in token_arrays if len(a)]
+    if not filled:
+        return [np.zeros(0, dtype=np.int64) for _ in token_arrays]
+    encoded = pa.concat_arrays(filled).dictionary_encode()
     codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     return np.split(codes, np.cumsum([len(a) for a in token_arrays])[:-1])
 
@@ -163,6 +170,58 @@ def _best(codes, sizes, evidence_codes, evidence_sizes):
     return best, position
 
 
+def _matches_of_small_rows(rows, codes, sizes, first, ev_codes, ev_sizes, ev_first, best, position):
+    """All rows of ``rows`` (consecutive) at once, as one join on (row, word).
+
+    Pairs of a sentence and a piece of evidence that share no word never come up; a sentence
+    without any pair keeps similarity 0 at position 0.
+    """
+    start, stop = rows
+    lo, hi, ev_lo, ev_hi = first[start], first[stop], ev_first[start], ev_first[stop]
+    at, ev_at = _starts(sizes), _starts(ev_sizes)
+    codes, ev_codes = codes[at[lo] : at[hi]], ev_codes[ev_at[ev_lo] : ev_at[ev_hi]]
+    if not len(codes) or not len(ev_codes):
+        return
+    row_of = np.repeat(np.arange(start, stop), np.diff(first[start : stop + 1]))
+    ev_row_of = np.repeat(np.arange(start, stop), np.diff(ev_first[start : stop + 1]))
+    sentence = np.repeat(np.arange(hi - lo), sizes[lo:hi])
+    evidence = np.repeat(np.arange(ev_hi - ev_lo), ev_sizes[ev_lo:ev_hi])
+    width = max(codes.max(), ev_codes.max()) + 1
+    keys, ev_keys = row_of[sentence] * width + codes, ev_row_of[evidence] * width + ev_codes
+    order = np.argsort(ev_keys, kind="stable")
+    left = np.searchsorted(ev_keys[order], keys, "left")
+    hits = np.searchsorted(ev_keys[order], keys, "right") - left
+    within = np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits)
+    met = evidence[order][np.repeat(left, hits) + within]
+    pairs, shared = np.unique(np.repeat(sentence, hits) * (ev_hi - ev_lo) + met, return_counts=True)
+    if not len(pairs):
+        return
+    s, e = np.divmod(pairs, ev_hi - ev_lo)
+    similarity = shared / np.sqrt((sizes[lo + s] * ev_sizes[ev_lo + e]).astype(np.float64))
+    ranked = np.lexsort((e, -similarity, s))
+    found, at_rank = np.unique(s[ranked], return_index=True)
+    top = ranked[at_rank]
+    best[lo + found] = similarity[top]
+    position[lo + found] = (ev_lo + e[top] - ev_first[row_of[found]]).astype(np.int32)
+
+
+def _row_groups(pairs_per_row: np.ndarray):
+    """(start, stop, small): runs of rows with few pairs to compare, or one large row."""
+    start, total = 0, 0
+    for row, pairs in enumerate(pairs_per_row):
+        large = pairs > _SMALL_ROW_PAIRS
+        if row > start and (large or total + pairs > _SMALL_RUN_PAIRS):
+            yield start, row, True
+            start, total = row, 0
+        if large:
+            yield row, row + 1, False
+            start, total = row + 1, 0
+        else:
+            total += pairs
+    if start < len(pairs_per_row):
+        yield start, len(pairs_per_row), True
+
+
 def _matches(sentences: pa.Array, evidence: pa.Array, facts: list[list[str]]) -> pa.Array:
     per_row, per_sentence, words = _nested(sentences)
     ev_per_row, ev_per_sentence, ev_words = _nested(evidence)
@@ -173,15 +232,21 @@ def _matches(sentences: pa.Array, evidence: pa.Array, facts: list[list[str]]) ->
     at, ev_at = _starts(per_sentence), _starts(ev_per_sentence)
     best = np.zeros(len(per_sentence))
     position = np.zeros(len(per_sentence), dtype=np.int32)
-    for row in range(len(per_row)):
-        lo, hi, ev_lo, ev_hi = first[row], first[row + 1], ev_first[row], ev_first[row + 1]
-        if hi > lo:
-            best[lo:hi], position[lo:hi] = _best(
-                codes[at[lo] : at[hi]],
-                per_sentence[lo:hi],
-                np.concatenate([ev_codes[ev_at[ev_lo] : ev_at[ev_hi]], fact_codes]),
-                np.concatenate([ev_per_sentence[ev_lo:ev_hi], fact_sizes]),
+    pairs = per_row * (ev_per_row if not facts else _SMALL_ROW_PAIRS + 1)
+    for start, stop, small in _row_groups(pairs):
+        if small:
+            _matches_of_small_rows(
+                (start, stop), codes, per_sentence, first, ev_codes, ev_per_sentence, ev_first,
+                best, position,
             )
+            continue
+        lo, hi, ev_lo, ev_hi = first[start], first[stop], ev_first[start], ev_first[stop]
+        best[lo:hi], position[lo:hi] = _best(
+            codes[at[lo] : at[hi]],
+            per_sentence[lo:hi],
+            np.concatenate([ev_codes[ev_at[ev_lo] : ev_at[ev_hi]], fact_codes]),
+            np.concatenate([ev_per_sentence[ev_lo:ev_hi], fact_sizes]),
+        )
     return _list_of_structs(
         per_row, sentences, {"similarity": pa.array(best), "position": pa.array(position)}
     )

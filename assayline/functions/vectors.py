@@ -18,8 +18,10 @@ _BLOCK = 1024  # rows of one side compared at a time: bounds the similarity bloc
 def _matrix(rows: pa.Array) -> np.ndarray:
     """All vectors of a list-of-vectors column, stacked."""
     vectors = rows.flatten()
+    if not len(vectors):
+        return np.zeros((0, 1))
     values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 1))
+    return values.reshape(len(vectors), -1)
 
 
 def _safe_divide(dot: np.ndarray, squares: np.ndarray) -> np.ndarray:
@@ -30,13 +32,12 @@ def _safe_divide(dot: np.ndarray, squares: np.ndarray) -> np.ndarray:
 def _cosines(sentences: pa.Array, source: pa.Array) -> pa.Array:
     per_row = _lengths(sentences)
     mine = _matrix(sentences)
-    width = mine.shape[1]
-    whole = source.fill_null([0.0] * width) if source.null_count else source
-    theirs = whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    theirs = theirs.reshape(len(per_row), -1)[np.repeat(np.arange(len(per_row)), per_row)]
-    if len(mine) == 0:
-        cosine = np.zeros(0)
-    else:
+    cosine = np.zeros(len(mine))
+    if len(mine):
+        # Rows without a sentence may have no source vector at all; they are not looked at.
+        used = source.filter(pa.array(per_row > 0))
+        theirs = used.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        theirs = np.repeat(theirs.reshape(len(used), -1), per_row[per_row > 0], axis=0)
         squares = (mine * mine).sum(axis=1) * (theirs * theirs).sum(axis=1)
         cosine = _safe_divide((mine * theirs).sum(axis=1), squares)
     return pa.ListArray.from_arrays(pa.array(_starts(per_row).astype(np.int32)), pa.array(cosine))
