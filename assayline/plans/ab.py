@@ -155,12 +155,13 @@ def compare(pairs: DataFrame, by: Sequence[str], alpha: float = 0.05) -> DataFra
     """The full comparison per group of ``by``: statistics, p-value and winner."""
     stats = paired_statistics(pairs, by)
     use_t, nonzero = F.col("is_t_test"), F.col("n_nonzero")
-    tested = stats.withColumn(
-        "p",
-        paired_p_value(
-            use_t, F.col("t"), (F.col("n") - 1).cast("double"), F.col("w"), nonzero,
-            F.col("tie_term"),
-        ),
+    p_value = paired_p_value(
+        use_t, F.col("t"), (F.col("n") - 1).cast("double"), F.col("w"), nonzero,
+        F.col("tie_term"),
+    )
+    # Undefined comes back from Python as null; it is reported as not-a-number.
+    tested = stats.withColumn("p_", p_value).withColumn(
+        "p", F.coalesce("p_", F.lit(float("nan")))
     )
     significant = ~F.isnan("p") & (F.col("p") < F.lit(alpha))
     return tested.select(

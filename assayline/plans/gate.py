@@ -145,7 +145,9 @@ def run_records(decided: DataFrame) -> DataFrame:
     """
     if "created_at" not in decided.columns:
         now = F.date_format(
-            F.convert_timezone(F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz")),
+            F.convert_timezone(
+                F.current_timezone(), F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz")
+            ),
             "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'",
         )
         decided = decided.withColumn("created_at", now)

@@ -17,7 +17,13 @@ def save_runs(runs: DataFrame, path: str, ingest_seq: int) -> None:
     if "created_at" not in runs.columns:
         runs = runs.withColumn(
             "created_at",
-            F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"),
+            F.date_format(
+                F.convert_timezone(
+                    F.current_timezone(), F.lit("UTC"),
+                    F.current_timestamp().cast("timestamp_ntz"),
+                ),
+                "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'",
+            ),
         )
     (
         runs.withColumns(
