@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -67,8 +68,11 @@ def decide(
     its row, so the whole gate is one narrow stage.
     """
     names = enabled_evaluators(settings) if names is None else list(names)
-    scored = evaluate(requests, candidate, settings, names, ("score", "categories", "method"))
-    scored = evaluate(scored, baseline, settings, names, ("score",))
+    slots = (
+        replace(candidate, parts=("score", "categories", "method")),
+        replace(baseline, parts=("score",)),
+    )
+    scored = evaluate(requests, slots, settings, names)
 
     def scores(slot: Slot) -> list[Column]:
         return [F.col(slot.out(f"{n}_score")) for n in names]

@@ -12,10 +12,20 @@ RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.parquet.filterPushdown": "true",
+    # Text columns make wide rows: bound the Arrow batches by size, not only by row count.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
+    # Evaluators are large expressions; recording a call site for each node is slow.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
+def recommended(builder):
+    """A session builder with the recommended settings."""
+    for key, value in RECOMMENDED.items():
+        builder = builder.config(key, value)
+    return builder
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores when the input has fewer splits than the cluster has cores.
 

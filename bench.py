@@ -18,6 +18,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from assayline.catalog.queries import QUERIES  # noqa: E402
+from assayline.session import recommended  # noqa: E402
 
 HEADLINE = (
     "decisions_by_suite", "overall_winner", "promotion_decision", "hallucination_score",
@@ -32,13 +33,12 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        recommended(SparkSession.builder.master(f"local[{cpus}]"))
         .appName("bench")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
