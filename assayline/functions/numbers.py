@@ -23,7 +23,6 @@ NUMBER_PATTERN = (
 MAGNITUDES = {"billion": 1e9, "million": 1e6, "thousand": 1e3}
 
 _PATTERN = unicode_pattern(NUMBER_PATTERN, ignore_case=True)
-_SIGN, _CURRENCY, _DIGITS, _PERCENT, _UNIT = 1, 2, 3, 4, 5
 _HAS_DIGIT = r"\p{Nd}"
 
 NUMBER_TYPE = "struct<value:double,unit:string,match:string,start:int,end:int,negative:boolean>"
@@ -38,31 +37,35 @@ def _other_digits() -> tuple[str, str]:
 _OTHER_DIGITS, _ASCII_DIGITS = _other_digits()
 
 
-def _group(match: Column, index: int) -> Column:
-    return F.regexp_extract(match, _PATTERN, index)
+def _groups(match: Column) -> Column:
+    """The parts of one match, each cut once."""
+    return F.struct(
+        *[
+            F.regexp_extract(match, _PATTERN, i).alias(name)
+            for i, name in enumerate(("sign", "currency", "digits", "percent", "unit"), start=1)
+        ]
+    )
 
 
-def _value(match: Column) -> Column:
-    digits = F.replace(_group(match, _DIGITS), F.lit(","), F.lit(""))
+def _value(parts: Column) -> Column:
+    digits = F.replace(parts["digits"], F.lit(","), F.lit(""))
     # Only a text that has them pays for the long translation table.
     ascii_digits = F.when(
         digits.rlike(r"[^0-9.]"), F.translate(digits, _OTHER_DIGITS, _ASCII_DIGITS)
     ).otherwise(digits)
-    unit = F.lower(_group(match, _UNIT))
     factor = F.lit(1.0)
     for word, size in MAGNITUDES.items():
-        factor = F.when(unit == word, F.lit(size)).otherwise(factor)
+        factor = F.when(F.lower(parts["unit"]) == word, F.lit(size)).otherwise(factor)
     return ascii_digits.try_cast("double") * factor
 
 
-def _unit(match: Column) -> Column:
-    currency, percent = _group(match, _CURRENCY), _group(match, _PERCENT)
+def _unit(parts: Column) -> Column:
     # A blank before the magnitude word is taken by the percent group, so the unit of
     # "81.8 billion" is empty although the factor applies.
     return (
-        F.when(currency != "", currency)
-        .when(percent != "", F.regexp_extract(percent, "(%?)$", 1))
-        .otherwise(_group(match, _UNIT))
+        F.when(parts["currency"] != "", parts["currency"])
+        .when(parts["percent"] != "", F.regexp_extract(parts["percent"], "(%?)$", 1))
+        .otherwise(parts["unit"])
     )
 
 
@@ -70,13 +73,16 @@ def extract_numbers(text: Column) -> Column:
     """All numbers of ``text`` in order, as an array of :data:`NUMBER_TYPE`."""
 
     def describe(match: Column, span: Column) -> Column:
-        return F.struct(
-            _value(match).alias("value"),
-            _unit(match).alias("unit"),
-            match.alias("match"),
-            span["start"].alias("start"),
-            span["end"].alias("end"),
-            (_group(match, _SIGN) == "-").alias("negative"),
+        return let(
+            _groups(match),
+            lambda parts: F.struct(
+                _value(parts).alias("value"),
+                _unit(parts).alias("unit"),
+                match.alias("match"),
+                span["start"].alias("start"),
+                span["end"].alias("end"),
+                (parts["sign"] == "-").alias("negative"),
+            ),
         )
 
     found = let(
