@@ -46,7 +46,7 @@ def evaluator_method(df: DataFrame, slot: Slot, settings: Settings, names: Seque
     if "quality" not in names:
         return F.lit("Deterministic Only")
     method = F.col(slot.out("quality_method"))
-    judge = settings.quality.model or "Gemini"
+    judge = settings.quality.model or "Gemini"  # fixed value: label of an unnamed judge
     return (
         F.when(method == "judge", f"Deterministic + {judge} Judge")
         .when(method == "heuristic", "Deterministic + Heuristic Fallback")
