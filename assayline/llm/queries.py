@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assayline.llm import minhash_dedup, mixing, token_counts
+from assayline.llm import decontamination, minhash_dedup, mixing, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,12 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), size=2)
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    )
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken"
@@ -33,6 +39,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_source_mixing": op10_source_mixing,
 }
 
@@ -56,22 +63,37 @@ with sized as (
   window fill as (order by cap::double / weight, source nulls last
                   rows between unbounded preceding and 1 preceding)
 ), rested as (
-  select *, min(case when cap::double / weight < level then null else level end) over () as rest
+  select *, max(level) over () as rest
   from levels
 ), plan as (
   select source, source_size,
          case when cap::double / weight < level then cap::double
               else least(cap::double, weight * rest) end as target
   from rested
-), rated as (
-  select d.doc_id, d.size, p.source_size, p.target,
+), drawn as (
+  select *, length(bin(size)) as class,
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, '') || ':' || md5(body)), 1, 8))::bigint
+           / 4294967296.0::double as draw
+  from sized
+), classes as (
+  select source, class, count(*) as n from drawn group by source, class
+), grouped as (
+  select d.*, p.source_size, p.target,
          case when p.source_size > 0 then p.target / p.source_size else 0 end as rate,
-         ('0x' || substr(md5('mix:' || coalesce(d.doc_id::varchar, '') || ':' || md5(d.body)), 1, 8))::bigint
-           / 4294967296.0::double as chance
-  from sized d join plan p on d.source is not distinct from p.source
+         floor(d.draw * ceil(c.n / 256))::bigint as grp
+  from drawn d
+  join plan p on d.source is not distinct from p.source
+  join classes c on d.source is not distinct from c.source and d.class = c.class
+), ranked_docs as (
+  select *, rate - floor(rate) as fraction,
+         row_number() over (partition by source, class, grp order by size, draw, doc_id) as rnk,
+         ('0x' || substr(md5('mix:' || coalesce(source, '') || ':' || class || ':' || grp), 1, 8))::bigint
+           / 4294967296.0::double as start
+  from grouped
 )
 select doc_id, size, source_size, target,
-       size * (floor(rate)::bigint + (chance < rate - floor(rate))::bigint) as taken
-from rated
+       size * (floor(rate) + floor(rnk * fraction + start)
+               - floor((rnk - 1) * fraction + start))::bigint as taken
+from ranked_docs
 """,
 }
