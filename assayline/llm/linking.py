@@ -1,10 +1,13 @@
 """Links between similar items that share table keys, and their connected components.
 
 ``entries`` holds ``key, node`` rows. Within a key every node is compared with the key's
-smallest node. Keys whose nodes then still lie in several components are compared once more:
-each node outside the key's largest component with all nodes of other components. So every
-pair of nodes that share a key is either in one component already or has been judged, and
-no group is expanded into all of its pairs. Keys are grouped by a window that spills.
+smallest node. Of keys whose nodes then still lie in several components, a node of the largest
+component and one outside it, drawn by a hash that differs by key and round, are compared
+with all nodes of other components, for some rounds: work that is linear in the entries, after
+which large groups of alike nodes are one component. What still lies apart is compared with
+all nodes of other components that share a key. So every pair of nodes with a common key is
+in one component or has been judged, and no group of alike nodes is expanded into all of its
+pairs. Keys are grouped by a window that spills.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 from assayline.llm.shared import cut
 
 MAX_ROUNDS = 60
+PIVOT_ROUNDS = 6
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -70,12 +74,28 @@ def judged(pairs: DataFrame, payloads: DataFrame, alike: Callable[[bytes, bytes]
     )
 
 
+def merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, size, component`` after links between the nodes have joined components."""
+    placed = nodes.select("node", "component")
+    ends = (
+        links.join(placed.toDF("a", "x"), "a").join(placed.toDF("b", "y"), "b")
+        .where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    )
+    further = components(ends).toDF("component", "target")
+    return cut(
+        nodes.join(further, "component", "left")
+        .select("node", "size", F.coalesce("target", "component").alias("component"))
+    )
+
+
 def link(
-    entries: DataFrame, fetch: Callable[[DataFrame], DataFrame], alike: Callable[[bytes, bytes], bool]
+    entries: DataFrame, fetch: Callable[[DataFrame], DataFrame], alike: Callable[[bytes, bytes], bool],
+    percent: int,
 ) -> DataFrame:
-    """``node, component`` of all nodes that have a link.
+    """``node, component`` of all nodes that share a key with another.
 
-    ``fetch`` turns a table of distinct ``node`` into ``node, payload``.
+    ``fetch`` turns a table of distinct ``node`` into ``node, payload, size``; nodes are never
+    alike if the smaller size is below ``percent`` of the larger.
     """
     group = Window.partitionBy("key")
     shared = cut(
@@ -84,28 +104,45 @@ def link(
     )
     payloads = cut(fetch(shared.select("node").distinct()))
     stars = shared.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    links = cut(judged(stars, payloads, alike))
-    labels = components(links)
-
-    placed = (
-        shared.join(labels, "node", "left")
-        .select("key", "node", "low", F.coalesce("component", "node").alias("component"))
-    )
-    mixed = (
-        placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts"))
-        .where("parts > 1").select("key", F.col("top.component").alias("main"))
-    )
-    placed = cut(placed.join(mixed, "key"))
-    apart = placed.where("component <> main").select(
-        "key", F.col("node").alias("x"), F.col("component").alias("cx")
-    )
-    rest = (
-        placed.join(apart, "key")
-        .where("component <> cx and (component = main or node < x) and node <> low and x <> low")
-        .select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-    )
-    more = cut(judged(rest, payloads, alike))
-    if not more.limit(1).count():
-        return labels
-    return components(links.union(more))
+    nodes = payloads.select("node", "size", F.col("node").alias("component"))
+    nodes = merged(nodes, cut(judged(stars, payloads, alike)))
+    keys = shared.select("key", "node")
+    near = 100 * F.least("size", "z") >= percent * F.greatest("size", "z")
+
+    for turn in range(PIVOT_ROUNDS + 1):
+        placed = keys.join(nodes, "node")
+        mixed = (
+            placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("key").agg(
+                F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all")
+            ).where("parts > 1")
+            .select("key", F.col("top.component").alias("main"), "all", (F.col("all") - F.col("top.n")).alias("apart"))
+        )
+        placed = cut(placed.join(mixed, "key"))
+        keys = placed.select("key", "node")  # a key of one component stays one
+        apart = F.col("component") != F.col("main")
+        left = placed.where(apart).agg(F.sum("all").alias("pairs")).first()["pairs"] or 0
+        if not left:
+            break
+        if turn == PIVOT_ROUNDS or left <= placed.count():
+            # what is left is linear in the entries, or no choice of pivots has joined it
+            other = placed.where(apart).select(
+                "key", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("size").alias("z")
+            )
+            pairs = placed.join(other, "key").where(
+                (F.col("component") != F.col("cx")) & (~apart | (F.col("node") < F.col("x"))) & near
+            )
+            pairs = pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+            nodes = merged(nodes, cut(judged(pairs, payloads, alike)))
+            break
+        draw = F.xxhash64(F.lit(turn), "key", "node")
+        pivots = placed.groupBy("key").agg(
+            F.min_by(F.struct("node", "component", "size"), F.when(~apart, draw)).alias("p"),
+            F.min_by(F.struct("node", "component", "size"), F.when(apart, draw)).alias("q"),
+        ).select("key", F.explode(F.array("p", "q")).alias("p")).select(
+            "key", F.col("p.node").alias("x"), F.col("p.component").alias("cx"), F.col("p.size").alias("z")
+        )
+        pairs = placed.join(pivots, "key").where((F.col("component") != F.col("cx")) & near)
+        pairs = pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+        nodes = merged(nodes, cut(judged(pairs, payloads, alike)))
+    return nodes.select("node", "component")

@@ -23,12 +23,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayline.llm import hashing
 from assayline.llm.linking import link
-from assayline.llm.shared import chunks, cut
+from assayline.llm.shared import NO_ID, chunks, cut, row_key
 
 HALVES = 12
 ROWS = 2
@@ -87,30 +87,30 @@ def sketched(docs: DataFrame, size: int, halves: int, rows: int) -> DataFrame:
     return source.mapInArrow(run, "doc_id long, node long, n_shingles long, keys array<long>")
 
 
-def near_duplicates(
+def groups(
     docs: DataFrame, size: int = 5, percent: int = 80, halves: int = HALVES, rows: int = ROWS
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row."""
+    """``doc_id, node, n_shingles, group`` of every row; the group is null for an empty set."""
     table = cut(sketched(docs, size, halves, rows))
     entries = table.select("node", F.explode("keys").alias("key"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"))
+    d, h = row_key()
+    texts = docs.select(d.alias("d"), h.alias("node"), "text")
 
     def fetch(nodes: DataFrame) -> DataFrame:
-        holders = table.groupBy("node").agg(F.min("doc_id").alias("holder")).join(nodes, "node")
-        held = texts.join(
-            holders.withColumnRenamed("node", "n"),
-            texts["doc_id"].eqNullSafe(F.col("holder")) & (texts["node"] == F.col("n")),
-        ).select("node", "text")
+        holders = table.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("d")).join(nodes, "node")
+        held = texts.join(holders, ["d", "node"]).dropDuplicates(["d", "node"]).select("node", "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             state: dict = {}
             for batch, found in chunks(batches, "text"):
+                own = sets(found, size, state)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node"), pa.array([s.tobytes() for s in sets(found, size, state)], pa.binary())],
-                    ["node", "payload"],
+                    [batch.column("node"), pa.array([s.tobytes() for s in own], pa.binary()),
+                     pa.array([len(s) for s in own], pa.int64())],
+                    ["node", "payload", "size"],
                 )
 
-        return held.mapInArrow(run, "node long, payload binary")
+        return held.mapInArrow(run, "node long, payload binary, size long")
 
     def alike(a: bytes, b: bytes) -> bool:
         x, y = len(a) // 8, len(b) // 8
@@ -121,11 +121,18 @@ def near_duplicates(
         common = int(np.count_nonzero(both[1:] == both[:-1]))
         return 100 * common >= percent * (x + y - common)
 
-    labels = link(entries, fetch, alike)
-    grouped = table.select("doc_id", "node", "n_shingles").join(labels, "node", "left").select(
-        "doc_id", "n_shingles",
+    labels = link(entries, fetch, alike, percent)
+    return table.select("doc_id", "node", "n_shingles").join(labels, "node", "left").select(
+        "doc_id", "node", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("group"),
     )
+
+
+def near_duplicates(
+    docs: DataFrame, size: int = 5, percent: int = 80, halves: int = HALVES, rows: int = ROWS
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row."""
+    grouped = groups(docs, size, percent, halves, rows)
     lowest = grouped.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("low"))
     joined = grouped.join(lowest, "group", "left").withColumn(
         "component_id", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("low"))
@@ -133,3 +140,25 @@ def near_duplicates(
     return joined.select(
         "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
+
+
+def representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group, with its columns: the smallest id, then hash of the text.
+
+    Rows without words are in no group and stay.
+    """
+    grouped = groups(docs, size, percent).where("group is not null").select(
+        "group", F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.col("node").alias("h")
+    )
+    chosen = grouped.groupBy("group").agg(F.min(F.struct("d", "h")).alias("first")).select("first.*")
+    grouped = grouped.select("d", "h").distinct().withColumn("grouped", F.lit(True))
+    decided = grouped.join(chosen.withColumn("chosen", F.lit(True)), ["d", "h"], "left")
+    d, h = row_key()
+    keyed = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), d.alias("d"), h.alias("h")
+    ).join(decided, ["d", "h"], "left")
+    # a chosen row that is repeated stays once; the join has brought its repeats together
+    turn = F.row_number().over(Window.partitionBy("d", "h").orderBy("h"))
+    return keyed.withColumn("turn", turn).where(
+        F.col("grouped").isNull() | (F.col("chosen").isNotNull() & (F.col("turn") == 1))
+    ).select("row.*")

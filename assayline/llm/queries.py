@@ -6,24 +6,69 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from assayline.llm import decontamination, minhash_dedup, mixing, token_counts
+from pyspark.sql import functions as F
+
+from assayline.llm import (
+    decontamination,
+    fingerprints,
+    html_extract,
+    line_dedup,
+    minhash_dedup,
+    mixing,
+    quality_classifier,
+    suffix_dedup,
+    token_counts,
+    warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), with_bytes=False).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(
         _table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
     )
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints_of_edits(_table(spark, sf_dir, "documents"))
+
+
+def op5_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(spark, _table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    ).select("doc_id", "text_score", "meta_score", "score", "rejected", (~F.col("rejected")).alias("kept"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), size=2)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines_removed", F.length("text").cast("long").alias("n_chars_kept"),
+        F.sha2("text", 256).alias("kept_sha256"), "text",
+    )
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
@@ -37,8 +82,14 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_token_counts": op2_token_counts,
+    "op3_html_extraction": op3_html_extraction,
+    "op4_document_fingerprints": op4_document_fingerprints,
+    "op5_warc_packages": op5_warc_packages,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_line_dedup": op8_line_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_source_mixing": op10_source_mixing,
 }
