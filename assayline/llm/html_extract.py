@@ -167,7 +167,9 @@ def labelled_pages(seed: int = 5, pages: int = 60) -> list[tuple[str, list[int]]
             parts.append((f'<{tag} class="{name}">{inner}</{tag}>', [0] * n))
 
         n = draw.randint(3, 8)
-        furniture("nav", draw.choice(["menu", "top", ""]), f"<ul>{links(n)}</ul>", n)
+        bare = draw.random() < 0.3  # nothing before or after the article
+        if not bare:
+            furniture("nav", draw.choice(["menu", "top", ""]), f"<ul>{links(n)}</ul>", n)
         if not plain:
             furniture("div", draw.choice(["cookie-notice", "banner", "ad"]), f"<p>{prose(4, 60)}</p>", 1)
         body, labels = [], []
@@ -195,8 +197,9 @@ def labelled_pages(seed: int = 5, pages: int = 60) -> list[tuple[str, list[int]]
             # text of a page outside any article that no container marks
             parts.append((f"<div><p>{prose(1, 6)}</p></div>", [0]))
         n = draw.randint(2, 5)
-        furniture("div", "related", f"<ul>{links(n)}</ul>", n)
-        furniture("footer", "", f"<p>{prose(2, 9)}</p>", 1)
+        if not bare:
+            furniture("div", "related", f"<ul>{links(n)}</ul>", n)
+            furniture("footer", "", f"<p>{prose(2, 9)}</p>", 1)
         out.append(("".join(p for p, _ in parts), [x for _, own in parts for x in own]))
     return out
 
