@@ -22,6 +22,7 @@ from assayline.llm.shared import cut
 
 MAX_ROUNDS = 60
 PIVOT_ROUNDS = 6
+DIRECT_PAIRS = 4  # compare what lies apart in full once it is at most this many pairs an entry
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -76,6 +77,8 @@ def judged(pairs: DataFrame, payloads: DataFrame, alike: Callable[[bytes, bytes]
 
 def merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``node, size, component`` after links between the nodes have joined components."""
+    if links.isEmpty():
+        return nodes
     placed = nodes.select("node", "component")
     ends = (
         links.join(placed.toDF("a", "x"), "a").join(placed.toDF("b", "y"), "b")
@@ -124,7 +127,7 @@ def link(
         left = placed.where(apart).agg(F.sum("all").alias("pairs")).first()["pairs"] or 0
         if not left:
             break
-        if turn == PIVOT_ROUNDS or left <= placed.count():
+        if turn == PIVOT_ROUNDS or left <= DIRECT_PAIRS * placed.count():
             # what is left is linear in the entries, or no choice of pivots has joined it
             other = placed.where(apart).select(
                 "key", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("size").alias("z")
