@@ -1,8 +1,9 @@
 """Views over the given tables that play the part of evaluation inputs.
 
-Every document is used whole. As a stand-in for a grounding source, each text is given the
-first half of its own characters, so that some of its sentences are grounded and some are
-not; the text that is evaluated is never cut.
+Every document is used whole, and so are its source and prompt. As a stand-in for a
+grounding source, documents with an even id are given their own text, which grounds every
+sentence, and others the text of the document after them, which grounds some at best. The
+prompt is the text after, too; the last document has its own text for both.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import words
 from ..session import spread
 
 
@@ -18,15 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _inputs(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumns(
-        {
-            "source": F.substring(
-                F.col(text), F.lit(1), F.floor(F.length(text) / 2).cast("int")
-            ),
-            "prompt": F.array_join(F.slice(words(F.col(text)), 1, 12), " "),
-        }
-    )
+def _inputs(df: DataFrame, text: str, key: str, following: DataFrame) -> DataFrame:
+    """Add source and prompt; ``following`` has each document's id and the text after it."""
+    joined = df.join(following.withColumnRenamed("doc_id", key), key, "left")
+    after = F.coalesce(F.col("following"), F.col(text))
+    return joined.withColumns(
+        {"source": F.when(F.col(key) % 2 == 0, F.col(text)).otherwise(after), "prompt": after}
+    ).drop("following")
+
+
+def _following(docs: DataFrame) -> DataFrame:
+    return docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("following"))
 
 
 def _toxicity() -> Column:
@@ -40,7 +42,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One sample per document."""
-    docs = documents(spark, sf_dir).select(
+    whole = documents(spark, sf_dir)
+    docs = whole.select(
         F.col("doc_id").alias("sample_id"),
         F.col("source").alias("suite_id"),
         "lang",
@@ -50,27 +53,16 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("sample_id"), "quality", "toxic"
     )
     joined = docs.join(labels, "sample_id", "left")
-    return _inputs(joined, "generated").withColumn("toxicity", _toxicity())
+    inputs = _inputs(joined, "generated", "sample_id", _following(whole))
+    return inputs.withColumn("toxicity", _toxicity())
 
 
 def eval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even documents are candidates, the odd document after each is its baseline."""
-    docs = documents(spark, sf_dir)
-    pair = F.expr("doc_id div 2").alias("sample_id")
-    candidate = docs.filter("doc_id % 2 = 0").select(
-        pair, "doc_id", F.col("source").alias("suite_id"), "lang",
-        F.col("text").alias("candidate"),
-    )
-    baseline = docs.filter("doc_id % 2 = 1").select(pair, F.col("text").alias("baseline"))
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    joined = candidate.join(baseline, "sample_id", "left").join(labels, "doc_id", "left")
-    return (
-        _inputs(joined, "candidate")
-        .withColumn("toxicity", _toxicity())
-        .select(
-            "sample_id", "suite_id", "lang", "candidate", "baseline", "source", "prompt",
-            "toxicity",
-        )
+    """Every document is a candidate; its baseline is the document after it, if it has another text."""
+    return samples(spark, sf_dir).withColumnRenamed("generated", "candidate").withColumn(
+        "baseline", F.when(F.col("prompt") != F.col("candidate"), F.col("prompt"))
+    ).select(
+        "sample_id", "suite_id", "lang", "candidate", "baseline", "source", "prompt", "toxicity"
     )
 
 
@@ -87,7 +79,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.array().cast("array<string>"))
         .alias("block_on_flags"),
         (n % 3 == 0).alias("store_full_payloads"),
-    ).withColumn("baseline", F.when(n % 6 != 5, F.col("baseline")))
+    )
 
 
 def nli(sentences: Column) -> Column:

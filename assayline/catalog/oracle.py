@@ -56,26 +56,24 @@ def _tokens(name: str, source: str, column: str, keys: str) -> str:
   WHERE tok <> '')"""
 
 
-_FIRST_WORDS = (
-    "array_to_string(string_split(trim(regexp_replace({x}, '\\s+', ' ', 'g')), ' ')[1:12], ' ')"
-)
-_HALF = "substring({x}, 1, CAST(length({x}) // 2 AS BIGINT))"
 _TOX = "CASE WHEN toxic = 1 THEN 0.9::DOUBLE WHEN toxic = 0 THEN 0.05::DOUBLE ELSE 0.2::DOUBLE END"
 
 # One row per scored text: (sample_id, slot, suite_id, lang, generated, source, prompt, tox).
+# An even document has its own text as source, others the one after; that is the prompt.
 SAMPLES = f"""outs AS (
   SELECT d.doc_id AS sample_id, 0 AS slot, d.source AS suite_id, d.lang, d.text AS generated,
-         {_HALF.format(x='d.text')} AS source, {_FIRST_WORDS.format(x='d.text')} AS prompt,
-         {_TOX} AS tox
-  FROM documents d LEFT JOIN labels l USING (doc_id))"""
+         CASE WHEN d.doc_id % 2 = 0 THEN d.text ELSE coalesce(n.text, d.text) END AS source,
+         coalesce(n.text, d.text) AS prompt, {_TOX} AS tox
+  FROM documents d LEFT JOIN documents n ON n.doc_id = d.doc_id + 1
+  LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 
 PAIRS = f"""pairs AS (
-  SELECT c.doc_id // 2 AS sample_id, c.source AS suite_id, c.lang, c.text AS candidate,
-         b.text AS baseline, {_HALF.format(x='c.text')} AS source,
-         {_FIRST_WORDS.format(x='c.text')} AS prompt, {_TOX} AS tox
-  FROM documents c LEFT JOIN documents b ON b.doc_id = c.doc_id + 1
-  LEFT JOIN labels l ON l.doc_id = c.doc_id
-  WHERE c.doc_id % 2 = 0)"""
+  SELECT d.doc_id AS sample_id, d.source AS suite_id, d.lang, d.text AS candidate,
+         CASE WHEN n.text <> d.text THEN n.text END AS baseline,
+         CASE WHEN d.doc_id % 2 = 0 THEN d.text ELSE coalesce(n.text, d.text) END AS source,
+         coalesce(n.text, d.text) AS prompt, {_TOX} AS tox
+  FROM documents d LEFT JOIN documents n ON n.doc_id = d.doc_id + 1
+  LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 
 
 def _slots(baseline_tox: str, baseline_when: str) -> str:
@@ -88,7 +86,7 @@ def _slots(baseline_tox: str, baseline_when: str) -> str:
 
 
 AB_OUTS = _slots("tox", "true")
-GATE_OUTS = _slots("0.05::DOUBLE", "sample_id % 6 <> 5")
+GATE_OUTS = _slots("0.05::DOUBLE", "true")
 K = "sample_id, slot"
 
 SENTS = _sentences("sents", "outs", "generated", K)
@@ -405,17 +403,33 @@ SELECT d.doc_id, s.pos, s.s AS sentence FROM documents d LEFT JOIN sents s USING
 _add("extract_numbers", _with(_numbers("nums", "documents", "text", D)) + """
 SELECT doc_id, k AS pos, value, unit, m AS match, negative FROM nums""")
 
-_add("extract_claims", _with(_DOC_SENTS, _numbers("nums", "sents", "s", f"{D}, pos")) + """
-SELECT s.doc_id, s.textual, coalesce(n.numerical, 0) AS numerical,
-       coalesce(n.value_sum, 0)::BIGINT AS value_sum
-FROM (SELECT doc_id, count(*) AS textual FROM sents GROUP BY ALL) s
-LEFT JOIN (SELECT doc_id, count(*) AS numerical,
-                  sum(CASE WHEN value < 1e9 THEN floor(value)::BIGINT END) AS value_sum
-           FROM nums GROUP BY ALL) n USING (doc_id)""")
+_add("extract_claims", _with(_DOC_SENTS, _numbers("nums", "sents", "s", f"{D}, pos")) + """,
+claims AS (
+  SELECT doc_id, pos, -1 AS k, 'textual' AS claim_type, s, NULL::DOUBLE AS value, NULL AS unit FROM sents
+  UNION ALL
+  SELECT n.doc_id, n.pos, n.k, 'numerical', s.s, n.value, n.unit
+  FROM nums n JOIN sents s ON s.doc_id = n.doc_id AND s.pos = n.pos)
+SELECT d.doc_id, c.position, c.claim_type, md5(c.s) AS text_md5, c.value, c.unit
+FROM documents d LEFT JOIN (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, k) - 1 AS position FROM claims) c
+USING (doc_id)""")
 
 _add("detect_pii", _with(_pii(D, "documents", "text")) + """
 SELECT doc_id, kind AS pii_type, found FROM pii""")
 
+# A match starts after the pieces and matches before it.
+_add("match_spans", "WITH cut AS (\n  " + "\n  UNION ALL ".join(
+    f"SELECT doc_id, '{kind}' AS pii_type, regexp_extract_all(text, '{pattern}') AS m, "
+    f"regexp_split_to_array(text, '{pattern}') AS p FROM documents"
+    for kind, pattern in _PII.items()) + """),
+found AS (SELECT *, unnest(m) AS cut, generate_subscripts(m, 1) AS i FROM cut),
+placed AS (
+  SELECT doc_id, pii_type, cut,
+         (list_sum(list_transform(p[1:i], lambda x: length(x)))
+          + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS span_start
+  FROM found)
+SELECT doc_id, pii_type, span_start, span_start + length(cut) AS span_end, cut FROM placed""")
+
 _add("forbidden_terms", _with(CORPUS_RULES, _hits(D, "documents", "text")) + """
 SELECT d.doc_id, coalesce(sum(h.n), 0)::BIGINT AS hits
 FROM documents d LEFT JOIN hits h ON h.doc_id = d.doc_id AND h.kind = 'forbidden_term'
@@ -689,7 +703,7 @@ SELECT suite_id, decision, code AS reason_code, count(*) AS n FROM decided GROUP
 _add("redact_payload", _with(PAIRS) + """
 SELECT sample_id, CASE WHEN keep THEN md5(prompt) END AS prompt_md5,
        CASE WHEN keep THEN length(candidate) END AS candidate_chars,
-       CASE WHEN keep AND sample_id % 6 <> 5 THEN length(baseline) END AS baseline_chars,
+       CASE WHEN keep THEN length(baseline) END AS baseline_chars,
        CASE WHEN NOT keep THEN true END AS input_redacted,
        CASE WHEN NOT keep THEN true END AS output_redacted
 FROM (SELECT *, sample_id % 3 = 0 AS keep FROM pairs)""")
@@ -1006,14 +1020,14 @@ FROM (SELECT suite_id, count(*) AS runs, count(*) FILTER (decision = 'pass') AS
       FROM runs GROUP BY ROLLUP (suite_id))""")
 _add("regression_trend", _with(_RUNS) + f""",
 means AS (
-  SELECT suite_id, suite_version, count(*) AS runs,
+  SELECT suite_id, suite_version, count(*) AS runs, min(ingest_seq) AS first_saved,
          sum(round(aggregate_score * 10000)::BIGINT)::DOUBLE / (count(*)::DOUBLE * 10000) AS m
   FROM runs GROUP BY ALL),
 windowed AS (
   SELECT *, m - lag(m) OVER w AS change,
-         avg(m) OVER (PARTITION BY suite_id ORDER BY suite_version
+         avg(m) OVER (PARTITION BY suite_id ORDER BY first_saved
                       ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS rolling
-  FROM means WINDOW w AS (PARTITION BY suite_id ORDER BY suite_version))
+  FROM means WINDOW w AS (PARTITION BY suite_id ORDER BY first_saved))
 SELECT suite_id, suite_version, runs, {r('m', 6)} AS mean_score,
        CASE WHEN change IS NOT NULL THEN {r('change', 6)} END AS change,
        {r('rolling', 6)} AS rolling_mean
@@ -1036,5 +1050,4 @@ FROM wide""")
 _add("spot_check_stream", _with(_RUNS) + """
 SELECT strftime(day, '%Y-%m-%d') AS day, suite_id, decision, count(*) AS n
 FROM (SELECT *, date_trunc('day', saved_at) AS day FROM runs)
-WHERE day + INTERVAL 1 DAY <= (SELECT max(saved_at) FROM runs) - INTERVAL 10 MINUTE
 GROUP BY ALL""")

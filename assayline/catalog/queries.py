@@ -93,13 +93,12 @@ QUERIES["extract_numbers"] = QUERIES.pop("extract_numbers_query")
 @query
 def extract_claims_query(spark, sf):
     docs = given.documents(spark, sf)
-    claims = docs.select("doc_id", F.explode(extract_claims(F.col("text"))).alias("c"))
-    return claims.groupBy("doc_id").agg(
-        F.count_if(F.col("c.type") == "textual").alias("textual"),
-        F.count_if(F.col("c.type") == "numerical").alias("numerical"),
-        F.coalesce(
-            F.sum(F.when(F.col("c.value") < 1e9, F.floor("c.value"))), F.lit(0)
-        ).cast("long").alias("value_sum"),
+    claims = docs.select(
+        "doc_id", F.posexplode_outer(extract_claims(F.col("text"))).alias("position", "c")
+    )
+    return claims.select(
+        "doc_id", _long(F.col("position")).alias("position"), F.col("c.type").alias("claim_type"),
+        F.md5("c.text").alias("text_md5"), F.col("c.value").alias("value"), F.col("c.unit").alias("unit"),
     )
 
 
@@ -994,10 +993,9 @@ def get_run(spark, sf):
 @query
 def custom_evaluator(spark, sf):
     """A user's evaluator, registered by name and scored beside the built-in ones."""
-    from ..operators.registry import register
+    from ..operators.registry import registered
     from ..operators.results import add_result
 
-    @register("brevity")
     def brevity(df, slot, settings):
         length = F.length(slot.text).cast("double")
         limit = float(settings.get("limit", 2000))
@@ -1022,10 +1020,8 @@ def custom_evaluator(spark, sf):
     settings = Settings(content_safety=CORPUS_SAFETY, custom={"brevity": {"limit": 1500}})
     names = ["content_safety", "brevity"]
     parts = ("score", "categories")
-    scored = evaluate(given.samples(spark, sf), Slot(), settings, names, parts)
-    from ..operators.registry import unregister
-
-    unregister("brevity")
+    with registered("brevity", brevity):
+        scored = evaluate(given.samples(spark, sf), Slot(), settings, names, parts)
     rows = result_rows(scored, names, ["sample_id"], parts=parts)
     return rows.select("sample_id", "evaluator", "score", _long(F.size("categories")).alias("n_flags"))
 
@@ -1153,12 +1149,23 @@ def no_regression_on_blockers(spark, sf):
 
 @query
 def spot_check_stream(spark, sf):
-    """The events as a stream of decided runs, counted per day once a day is final."""
+    """The events as a stream of decided runs, counted per day once a day is final.
+
+    A closing event three days after the last one makes all days final; its own is not.
+    """
     from ..session import shared_folder
     from ..streaming.spot_check import start_spot_check
 
-    schema = given.table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    events = given.table(spark, sf, "events")
+    closing = events.groupBy().agg(F.max("ts").alias("last")).select(
+        *[
+            (F.col("last") + F.expr("INTERVAL 3 DAYS") if c.name == "ts" else F.lit(0)).cast(c.dataType).alias(c.name)
+            for c in events.schema
+        ]
+    )
+    incoming = shared_folder(spark, "spot-check-events")
+    events.union(closing).write.parquet(incoming)
+    stream = spark.readStream.schema(events.schema).parquet(incoming)
     out, checkpoint = shared_folder(spark, "spot-check"), shared_folder(spark, "spot-check-state")
     running = start_spot_check(
         given.runs_of(stream), lambda df: df, out, checkpoint, key="run_id", time="saved_at",

@@ -7,7 +7,6 @@ probability needs Python, on one row per (suite, evaluator).
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -65,7 +64,6 @@ def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2.0))
 
 
-@lru_cache(maxsize=64)
 def signed_rank_tail(n: int) -> np.ndarray:
     """P(W <= w) for w = 0 .. n(n+1)/2 under the null, without ties."""
     counts = np.zeros(n * (n + 1) // 2 + 1)
@@ -75,10 +73,18 @@ def signed_rank_tail(n: int) -> np.ndarray:
     return np.cumsum(counts) / 2.0**n
 
 
-def signed_rank_two_sided(w: float, n: int, tie_term: float) -> float:
-    """Exact when no |difference| is tied, else the normal approximation."""
+def signed_rank_two_sided(
+    w: float, n: int, tie_term: float, tails: dict[int, np.ndarray] | None = None
+) -> float:
+    """Exact when no |difference| is tied, else the normal approximation.
+
+    ``tails`` keeps the distributions that a caller has needed so far.
+    """
     if tie_term == 0:
-        return min(1.0, 2.0 * float(signed_rank_tail(n)[int(w)]))
+        tails = {} if tails is None else tails
+        if n not in tails:
+            tails[n] = signed_rank_tail(n)
+        return min(1.0, 2.0 * float(tails[n][int(w)]))
     mean = n * (n + 1) / 4.0
     variance = (n * (n + 1) * (2 * n + 1) - tie_term / 2.0) / 24.0
     return normal_two_sided((w - mean) / math.sqrt(variance))
@@ -94,9 +100,10 @@ def paired_p_value(
         use_t: pd.Series, t: pd.Series, freedom: pd.Series,
         w: pd.Series, n: pd.Series, tie: pd.Series,
     ) -> pd.Series:
+        tails: dict[int, np.ndarray] = {}
         out = [
             t_two_sided(t_, f_) if u
-            else (signed_rank_two_sided(w_, int(n_), tie_) if n_ >= 2 else 1.0)
+            else (signed_rank_two_sided(w_, int(n_), tie_, tails) if n_ >= 2 else 1.0)
             for u, t_, f_, w_, n_, tie_ in zip(use_t, t, freedom, w, n, tie)
         ]
         return pd.Series(out, dtype="float64")

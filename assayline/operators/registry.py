@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -41,6 +42,20 @@ def unregister(name: str) -> None:
     _EVALUATORS.pop(name, None)
 
 
+@contextmanager
+def registered(name: str, evaluator: Evaluator) -> Iterator[None]:
+    """Have an evaluator under ``name`` for the time of a block, whatever happens in it."""
+    before = _EVALUATORS.get(name)
+    _EVALUATORS[name] = evaluator
+    try:
+        yield
+    finally:
+        if before is None:
+            _EVALUATORS.pop(name, None)
+        else:
+            _EVALUATORS[name] = before
+
+
 def get_evaluator(name: str) -> Evaluator:
     if name not in _EVALUATORS:
         raise KeyError(f"no evaluator named {name!r}; known: {', '.join(_EVALUATORS)}")
@@ -69,6 +84,7 @@ def evaluate(
     so nothing has to be regrouped afterwards. Disabled evaluators never enter the plan, and
     neither do result parts other than ``parts``.
     """
+    given = df.columns
     slots = [slots] if isinstance(slots, Slot) else list(slots)
     if parts is not None:
         slots = [replace(slot, parts=tuple(parts)) for slot in slots]
@@ -76,4 +92,4 @@ def evaluate(
     for slot in slots:
         for name in names:
             df = get_evaluator(name)(df, slot, settings.of(name))
-    return without_shared(df)
+    return without_shared(df, given)

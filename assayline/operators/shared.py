@@ -49,8 +49,10 @@ def with_shared(df: DataFrame, slot: Slot) -> DataFrame:
     return df
 
 
-def without_shared(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if not c.startswith("_")])
+def without_shared(df: DataFrame, given: list[str]) -> DataFrame:
+    """Drop what scoring added for its own use; the caller's ``given`` columns stay."""
+    own = set(given)
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c in own or not c.startswith("_")])
 
 
 def missing_text(slot: Slot) -> Column:

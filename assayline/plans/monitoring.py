@@ -75,24 +75,27 @@ def run_metrics(runs: DataFrame) -> DataFrame:
     )
 
 
-def regression_trend(runs: DataFrame, version: str = "suite_version", rolling: int = 3) -> DataFrame:
+def regression_trend(
+    runs: DataFrame, version: str = "suite_version", rolling: int = 3, saved: str = "ingest_seq"
+) -> DataFrame:
     """Mean score per suite and version, its change, and a rolling mean over versions.
 
-    Runs are reduced to one row per (suite, version) first; the window sees only those.
+    Versions stand in the order in which they were first saved, whatever their names. Runs
+    are reduced to one row per (suite, version) first; the window sees only those.
     """
     units = F.round(F.col("aggregate_score") * 10000).cast("long")
     means = runs.groupBy("suite_id", version).agg(
-        F.count("*").alias("runs"), F.sum(units).alias("units")
+        F.count("*").alias("runs"), F.sum(units).alias("units"), F.min(saved).alias("first_saved")
     ).withColumn(
         "mean_score", F.col("units").cast("double") / (F.col("runs").cast("double") * 10000.0)
     )
-    order = Window.partitionBy("suite_id").orderBy(version)
+    order = Window.partitionBy("suite_id").orderBy("first_saved", version)
     return means.withColumns(
         {
             "change": F.col("mean_score") - F.lag("mean_score").over(order),
             "rolling_mean": F.avg("mean_score").over(order.rowsBetween(1 - rolling, 0)),
         }
-    ).drop("units")
+    ).drop("units", "first_saved")
 
 
 def enforcement_level(reason_code: Column, any_critical: Column) -> Column:

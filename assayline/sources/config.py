@@ -47,19 +47,23 @@ def settings_from_config(config: Mapping[str, Any] | None) -> Settings:
 
 
 def load_settings(path: str, missing_ok: bool = False) -> Settings:
-    """Settings of a YAML or JSON file; with ``missing_ok`` an unreadable file gives defaults."""
+    """Settings of a YAML or JSON file; with ``missing_ok`` a file that isn't there gives defaults.
+
+    A file that is there but cannot be read or parsed is an error. Without a YAML library
+    only JSON can be parsed.
+    """
     try:
         with open(path, encoding="utf-8") as file:
             text = file.read()
-        try:
-            import yaml
-        except ImportError:
-            return settings_from_config(json.loads(text))
-        return settings_from_config(yaml.safe_load(text))
-    except Exception:
+    except FileNotFoundError:
         if missing_ok:
             return Settings()
         raise
+    try:
+        import yaml
+    except ImportError:
+        return settings_from_config(json.loads(text))
+    return settings_from_config(yaml.safe_load(text))
 
 
 def settings_table(spark: SparkSession, settings: Settings) -> DataFrame:

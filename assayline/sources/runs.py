@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+WRITERS = 16  # tasks that share a day and suite when runs are saved
 DEFAULT_RECENT = 10  # fixed value: runs listed when no limit is given
 
 
@@ -33,7 +34,10 @@ def save_runs(runs: DataFrame, path: str, ingest_seq: int) -> None:
                 "suite": F.col("suite_id"),
             }
         )
+        .repartition("run_date", "suite", F.pmod(F.xxhash64("run_id"), F.lit(WRITERS)))
+        .sortWithinPartitions("run_date", "suite", "run_id")
         .write.mode("append")
+        .option("parquet.bloom.filter.enabled#run_id", "true")
         .partitionBy("run_date", "suite")
         .parquet(path)
     )
@@ -44,14 +48,13 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_by(df: DataFrame, key: str, version: str) -> DataFrame:
-    """The row with the highest version of each key.
+    """The row with the highest version of each key; versions of a key are distinct.
 
-    ``max_by`` combines on the map side, so a key with very many versions is reduced before
-    the shuffle, where a window would sort all its versions in one task.
+    Only keys and versions are aggregated, as numbers in a hash table that combines on the
+    map side; the other columns are joined to what is left.
     """
-    rest = [c for c in df.columns if c != key]
-    latest = df.groupBy(key).agg(F.max_by(F.struct(*rest), version).alias("latest"))
-    return latest.select(key, "latest.*")
+    last = df.groupBy(key).agg(F.max(version).alias(version))
+    return df.join(last, [key, version], "left_semi")
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
@@ -60,8 +63,17 @@ def latest_runs(runs: DataFrame) -> DataFrame:
 
 
 def recent_runs(runs: DataFrame, limit: int = DEFAULT_RECENT) -> DataFrame:
-    """Newest first; equal times by run id. Top-k per partition, then a merge."""
-    return latest_runs(runs).orderBy(F.col("created_at").desc(), "run_id").limit(limit)
+    """Newest first; equal times by run id.
+
+    The runs are chosen by id, version and time only, and their rows are fetched afterwards.
+    """
+    narrow = runs.groupBy("run_id").agg(
+        F.max("ingest_seq").alias("ingest_seq"), F.max_by("created_at", "ingest_seq").alias("t")
+    )
+    order = (F.col("t").desc(), F.col("run_id"))
+    chosen = narrow.orderBy(*order).limit(limit).select("run_id", "ingest_seq")
+    found = runs.join(chosen, ["run_id", "ingest_seq"], "left_semi")
+    return found.orderBy(F.col("created_at").desc(), "run_id").limit(limit)
 
 
 def get_run(runs: DataFrame, run_id: str) -> DataFrame:
