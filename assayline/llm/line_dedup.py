@@ -1,15 +1,15 @@
 """Fuzzy line deduplication: MinHash over character shingles, one line per component is kept.
 
 Lines are split at ``\\n`` and compared without the white space around them. A line's set
-holds its distinct strings of ``GRAM`` bytes. ``BANDS`` bands of ``ROWS`` minhashes make the
-table keys: at similarity 0.8 a pair is missed with probability (1 - 0.8**2)**BANDS, about
-0.2 %, at 0.9 with 5e-5. Candidates are confirmed by exact Jaccard similarity of the full
+holds its distinct strings of ``GRAM`` bytes; a shorter line is one string, so it is alike with
+equal lines only. ``BANDS`` bands of ``ROWS`` minhashes make the
+table keys: at similarity 0.8 a pair is missed with probability (1 - 0.8**ROWS)**BANDS, about
+0.2 %, at 0.9 with 3e-6, and unlike lines rarely share a key however many there are. Candidates are confirmed by exact Jaccard similarity of the full
 sets, and components come from :mod:`assayline.llm.linking`. Of each component the first
 occurrence stays (smallest ``doc_id``, then a hash of the text, then line number); all
 others, exact and fuzzy, are removed.
 
-Lines of fewer than ``LEAST_WORDS`` words are always kept: headings, list marks and short
-replies repeat by chance. Null texts stay null and empty ones empty. A null ``doc_id`` sorts
+Blank lines are always kept. Null texts stay null and empty ones empty. A null ``doc_id`` sorts
 first. Rows that repeat both id and text are one document: both keep the same lines. All
 columns of the input are kept, and the number of rows never changes.
 """
@@ -28,21 +28,36 @@ from assayline.llm.linking import link
 from assayline.llm.shared import chunks, cut, row_key
 
 GRAM = 8
-BANDS = 6
-ROWS = 2
+BANDS = 12
+ROWS = 4
 PERCENT = 80
-LEAST_WORDS = 5
+BLOCK_GRAMS = 1 << 16
 
 
-def eligible(text: bytes, least: int = LEAST_WORDS) -> list[tuple[int, bytes]]:
-    """Numbers and stripped contents of the lines that take part."""
+def eligible(text: bytes) -> list[tuple[int, bytes]]:
+    """Numbers and stripped contents of the lines that are not blank."""
     lines = ((i, line.strip()) for i, line in enumerate(text.split(b"\n")))
-    return [(i, x) for i, x in lines if len(x.split(None, least - 1)) >= least and len(x) >= GRAM]
+    return [(i, x) for i, x in lines if x]
 
 
-def grams(line: bytes) -> np.ndarray:
-    """The sorted distinct ``GRAM``-byte strings of a line, as integers."""
-    return np.unique(np.ndarray((len(line) - GRAM + 1,), np.uint64, line, strides=(1,)))
+def grams(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ``GRAM``-byte strings of all lines as integers, and how many each line has.
+
+    A line of fewer bytes is one string, filled up with zeros and its length.
+    """
+    at = np.cumsum([0, *map(len, lines)])
+    sizes = np.diff(at)
+    data = np.frombuffer(b"".join(lines) + bytes(GRAM), np.uint8)
+    every = np.ndarray((at[-1],), np.uint64, data, strides=(1,))
+    counts = np.maximum(sizes - GRAM + 1, 1)
+    first = np.cumsum(counts) - counts
+    place = np.repeat(at[:-1] - first, counts) + np.arange(counts.sum())
+    values = every[place]
+    short = np.flatnonzero(sizes < GRAM)
+    bits = (8 * sizes[short]).astype(np.uint64)
+    values[first[short]] &= (np.uint64(1) << bits) - np.uint64(1)
+    values[first[short]] |= sizes[short].astype(np.uint64) << np.uint64(56)
+    return values, counts
 
 
 def line_nodes(lines: list[bytes], state: dict) -> np.ndarray:
@@ -53,38 +68,42 @@ def line_nodes(lines: list[bytes], state: dict) -> np.ndarray:
 
 
 def band_keys(lines: list[bytes], bands: int, rows: int) -> np.ndarray:
-    """Table keys, one row per line, from minhashes of all positions of all lines at once."""
-    data = b"".join(lines) + bytes(GRAM)
-    at = np.cumsum([0, *map(len, lines)])
-    values = np.ndarray((at[-1],), np.uint64, data, strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
-    values ^= values >> np.uint64(32)
-    values *= np.uint64(0xBF58476D1CE4E5B9)
-    small = (values >> np.uint64(32)).astype(np.uint32)
-    # a range up to a line's last gram, and one to be ignored, in turn
-    cuts = np.stack([at[:-1], at[1:] - GRAM + 1], axis=1).ravel()
-    seeds = mix(np.arange(1, 2 * bands * rows + 1, dtype=np.uint64)).astype(np.uint32)
+    """Table keys, one row per line, from minhashes of all strings of all lines.
+
+    Lines are taken in blocks whose values stay in a processor's cache.
+    """
     out = np.zeros((len(lines), bands), np.uint64)
-    for i in range(bands):
-        for j in range(rows):
-            k = 2 * (i * rows + j)
-            hashed = (small ^ seeds[k]) * (seeds[k + 1] | np.uint32(1))
-            out[:, i] = mix(out[:, i] + np.minimum.reduceat(hashed, cuts)[::2])
-        out[:, i] = mix(out[:, i] + np.uint64(i + 1))
+    seeds = mix(np.arange(1, 2 * bands * rows + 1, dtype=np.uint64)).astype(np.uint32)
+    start = size = 0
+    for end in range(1, len(lines) + 1):
+        size += len(lines[end - 1])
+        if end < len(lines) and size < BLOCK_GRAMS:
+            continue
+        values, counts = grams(lines[start:end])
+        values *= np.uint64(0x9E3779B97F4A7C15)
+        values ^= values >> np.uint64(32)
+        values *= np.uint64(0xBF58476D1CE4E5B9)
+        small = (values >> np.uint64(32)).astype(np.uint32)
+        hashed = np.empty_like(small)
+        first = np.cumsum(counts) - counts
+        own = out[start:end]
+        for i in range(bands):
+            for j in range(rows):
+                k = 2 * (i * rows + j)
+                np.bitwise_xor(small, seeds[k], out=hashed)
+                np.multiply(hashed, seeds[k + 1] | np.uint32(1), out=hashed)
+                own[:, i] = mix(own[:, i] + np.minimum.reduceat(hashed, first))
+            own[:, i] = mix(own[:, i] + np.uint64(i + 1))
+        start, size = end, 0
     return out
 
 
-def alike(a: bytes, b: bytes, percent: int = PERCENT) -> bool:
-    """Whether two lines have a Jaccard similarity of at least ``percent`` / 100."""
-    x, y = grams(a), grams(b)
-    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-        return False
-    both = np.concatenate([x, y])
-    both.sort()
-    common = int(np.count_nonzero(both[1:] == both[:-1]))
-    return 100 * common >= percent * (len(x) + len(y) - common)
+def line_set(line: bytes) -> np.ndarray:
+    """The sorted distinct strings of a line."""
+    return np.unique(grams([line])[0])
 
 
-def _sketched(docs: DataFrame, bands: int, rows: int, least: int) -> DataFrame:
+def _sketched(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """``d, h, lines, nodes, fresh, keys``: keys of the lines that are new in a task."""
     d, h = row_key()
     source = docs.select(d.alias("d"), h.alias("h"), "text")
@@ -93,7 +112,7 @@ def _sketched(docs: DataFrame, bands: int, rows: int, least: int) -> DataFrame:
         state: dict = {}
         seen: set[int] = set()
         for batch, texts in chunks(batches, "text"):
-            found = [eligible(t, least) for t in texts]
+            found = [eligible(t) for t in texts]
             lines = [x for doc in found for _, x in doc]
             if not lines:
                 continue
@@ -121,10 +140,10 @@ def _sketched(docs: DataFrame, bands: int, rows: int, least: int) -> DataFrame:
 
 
 def line_components(
-    docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: int = LEAST_WORDS, percent: int = PERCENT
+    docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT
 ) -> DataFrame:
     """``d, h, line, component, first`` of all lines that repeat: ``first`` is the one that stays."""
-    table = cut(_sketched(docs, bands, rows, least))
+    table = cut(_sketched(docs, bands, rows))
     entries = table.select("fresh", F.posexplode("keys").alias("i", "key")).select(
         "key", F.get("fresh", F.floor(F.col("i") / bands).cast("int")).alias("node")
     )
@@ -150,7 +169,7 @@ def line_components(
                         lines.append(split[x["line"]].strip())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(nodes, pa.int64()), pa.array(lines, pa.binary()),
-                     pa.array([len(grams(x)) for x in lines], pa.int64())],
+                     pa.array([len(line_set(x)) for x in lines], pa.int64())],
                     ["node", "payload", "size"],
                 )
 
@@ -158,7 +177,7 @@ def line_components(
             run, "node long, payload binary, size long"
         )
 
-    labels = link(entries, fetch, lambda a, b: alike(a, b, percent), percent)
+    labels = link(entries, fetch, line_set, percent)
     grouped = places.join(labels, "node", "left").select(
         "d", "h", "line", F.coalesce("component", "node").alias("component")
     )
@@ -169,10 +188,10 @@ def line_components(
 
 
 def dedup_lines(
-    docs: DataFrame, bands: int = BANDS, rows: int = ROWS, least: int = LEAST_WORDS, percent: int = PERCENT
+    docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT
 ) -> DataFrame:
     """The input with its columns, repeated lines removed from ``text``, plus ``n_lines_removed``."""
-    places = line_components(docs, bands, rows, least, percent)
+    places = line_components(docs, bands, rows, percent)
     dropped = places.where(F.struct("d", "h", "line") != F.col("first")).groupBy("d", "h").agg(
         F.collect_set("line").alias("dropped")
     )

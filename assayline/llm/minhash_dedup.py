@@ -112,16 +112,7 @@ def groups(
 
         return held.mapInArrow(run, "node long, payload binary, size long")
 
-    def alike(a: bytes, b: bytes) -> bool:
-        x, y = len(a) // 8, len(b) // 8
-        if 100 * min(x, y) < percent * max(x, y):
-            return False
-        both = np.concatenate([np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)])
-        both.sort()
-        common = int(np.count_nonzero(both[1:] == both[:-1]))
-        return 100 * common >= percent * (x + y - common)
-
-    labels = link(entries, fetch, alike, percent)
+    labels = link(entries, fetch, lambda payload: np.frombuffer(payload, np.uint64), percent)
     return table.select("doc_id", "node", "n_shingles").join(labels, "node", "left").select(
         "doc_id", "node", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("group"),

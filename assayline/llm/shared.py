@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
@@ -18,8 +17,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder all executors share.
 
     The cluster names that folder in ``spark.checkpoint.dir``. Only where it is unset, as in
-    local tests, a local folder is set. Shuffle files of finished jobs are released
-    afterwards: Spark deletes them when the driver collects its garbage.
+    local tests, a local folder is set.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -30,15 +28,7 @@ def cut(df: DataFrame) -> DataFrame:
         if not named and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="assayline-checkpoints-"))
-    out = df.checkpoint()
-    release(spark)
-    return out
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files and checkpoints that nothing refers to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    return df.checkpoint()
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
