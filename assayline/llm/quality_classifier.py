@@ -3,48 +3,63 @@
 A document is bad when its label says low quality or toxic. Two logistic classifiers see
 different views of it: the text view its style (shares of symbols, capitals and repeated words
 and the like) and which words of a vocabulary occur; the metadata view its length, language
-and source. Both start from the same labelled documents. In every round each view labels
-the unlabelled documents of which it is most confident, and the other view learns from
-them. A view may teach only as far as it is right on the labelled documents set aside: a
-round's confidence bound is the one at which its held-out precision is at least ``TRUST``, and a
-view that never reaches it teaches nothing. At the end both views are calibrated on the
-documents set aside, a third logistic model on the two calibrated log-odds combines them, and all
-documents are scored.
-
-Fitting uses bounded samples: at most ``MOST_LABELLED`` labelled and ``MOST_UNLABELLED`` other
-documents, those with the smallest hashes of their ids. Only their features are collected.
-The vocabulary is chosen on the labelled sample. Scoring is a map over all documents.
+and source. Both start from the labelled documents. In every round each view labels, among
+all unlabelled documents, those of which it is confident, and the other view learns from
+them by a Newton step whose sums executors add up. A view may teach only as far as it is right
+on labelled documents it has not seen: its bounds are those at which its precision there, with
+one wrong answer added, is at least ``TRUST``. A step that raises the loss on those documents is undone.
+
+Labelled documents fall into ``FOLDS`` folds by a hash of their id. Co-training runs once for
+each fold set aside, all of them in the same passes. Both views are calibrated on the scores that
+every labelled document gets from the run which has not seen it, a third logistic model on the two
+calibrated log-odds combines them, and all documents are scored by the mean of the runs.
+
+The fit is bounded in labelled rows only: at most ``MOST_LABELLED``, those with the smallest
+hashes of their ids. Words are counted on executors; a word enters the vocabulary by the
+smallest of its deviations over the folds, so words that stand out in one fold by chance stay
+out. The driver sees counts, sums, and the features of labelled documents.
 
 Null texts count as empty, null languages and sources as a value of their own, and a null
 ``n_chars`` as the length of the text. Repeated labels of a document count once, bad if any
-of them is. Without labels of both kinds nothing can be learnt: every document scores 0.
-Repeated rows score the same. Columns of the input are kept.
+of them is. Of rows that repeat a labelled id, the one with the smallest hash of its text is
+learnt from. Unless every fold has labels of both kinds nothing can be learnt: every document scores 0.
+Repeated rows score the same. Columns of the input are kept; score columns replace input
+columns of the same names.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayline.llm.shared import cut
+
 MOST_LABELLED = 12_000
-MOST_UNLABELLED = 6_000
-VOCABULARY = 400
+VOCABULARY = 200
+LEAST_SEEN = 5
+LEAST_DEVIATION = 1.0
+FOLDS = 3
 ROUNDS = 3
 TRUST = 0.98
-TAUGHT = 400
 LIMIT = 0.5
 BUCKETS = 64
+BLOCK = 2048
+ADDED = ("text_score", "meta_score", "score", "rejected")
 
 _WORD = re.compile(r"\w+")
 _SYMBOL = re.compile(r"[^\w\s]")
+_ODD_END = re.compile(r"[*#$%&!|=~^](?=\s|$)")
+_DIGIT = re.compile(r"\d")
 STYLE = 10
 
 
@@ -53,247 +68,354 @@ def style(text: str) -> tuple[list[float], set[str]]:
     words = _WORD.findall(text.lower())
     distinct = set(words)
     n, size = max(1, len(words)), max(1, len(text))
-    tokens = text.split()
     symbols = _SYMBOL.findall(text)
-    repeats = sum(a == b for a, b in zip(words, words[1:]))
-    upper = sum(t.isupper() and len(t) > 1 for t in tokens)
-    odd = sum(t[-1] in "*#$%&!|=~^" for t in tokens)
-    lines = [x for x in text.split("\n") if x.strip()]
-    common = max(Counter(symbols).values(), default=0)
+    lines = [x for x in text.split("\n") if x and not x.isspace()]
     return [
-        len(symbols) / size, upper / n, repeats / n, odd / n, len(distinct) / n,
-        common / n, np.log1p(len(words)), sum(map(len, words)) / n / 10,
-        len({*lines}) / max(1, len(lines)), sum(c.isdigit() for c in text) / size,
+        len(symbols) / size, sum(map(str.isupper, text.split())) / n, sum(map(eq, words, words[1:])) / n,
+        len(_ODD_END.findall(text)) / n, len(distinct) / n,
+        max(Counter(symbols).values(), default=0) / n, math.log1p(len(words)), sum(map(len, words)) / n / 10,
+        len({*lines}) / max(1, len(lines)), len(_DIGIT.findall(text)) / size,
     ], distinct
 
 
-def metadata(lang: str | None, source: str | None, n_chars: int) -> list[float]:
-    """Metadata features: length, and hashed buckets of language and source."""
-    out = [0.0] * (1 + 2 * BUCKETS)
-    out[0] = float(np.log1p(n_chars))
-    for i, value in enumerate((lang, source)):
-        out[1 + i * BUCKETS + zlib.crc32(repr(value).encode()) % BUCKETS] = 1.0
-    return out
+def buckets(lang: str | None, source: str | None) -> tuple[int, int]:
+    """Hashed buckets of language and source."""
+    return tuple(i * BUCKETS + zlib.crc32(repr(x).encode()) % BUCKETS for i, x in enumerate((lang, source)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 60) -> np.ndarray:
     """Coefficients (intercept last) by Newton's method with a ridge penalty."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    ridge = np.full(x.shape[1], penalty * len(x))
-    ridge[-1] = 1e-9
     w = np.zeros(x.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + ridge * w
-        curve = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge)
-        step = np.linalg.solve(curve, slope)
+        step = np.linalg.solve(*_newton(x, y, w, penalty))
         w -= step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
+def _ridge(size: int, n: float, penalty: float) -> np.ndarray:
+    ridge = np.full(size, penalty * n)
+    ridge[-1] = 1e-9
+    return ridge
+
+
+def _newton(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Curvature and slope of the penalised loss; x ends in ones."""
+    ridge = _ridge(len(w), len(x), penalty)
+    slope, curve = _sums(x, y, w)
+    return curve + np.diag(ridge), slope + ridge * w
+
+
+def _sums(x: np.ndarray, y, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p = _probability(np.clip(x @ w, -30, 30))
+    return x.T @ (p - y), (x * (p * (1 - p) + 1e-6)[:, None]).T @ x
+
+
 def odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.clip(x @ w[:-1] + w[-1], -30, 30)
 
 
+def _probability(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
+
+
+def _loss(score: np.ndarray, y: np.ndarray) -> float:
+    return float(np.mean(np.logaddexp(0, np.where(y > 0, -score, score))))
+
+
+@dataclass
+class Features:
+    """How rows become standardised matrices of either view; small, so it travels with functions."""
+
+    words: dict[str, int]
+    moments: list[tuple[np.ndarray, np.ndarray]]
+
+    def views(self, style_rows, word_rows, size: np.ndarray, bucket_rows) -> list[np.ndarray]:
+        x, m = self.raw(style_rows, word_rows, size, bucket_rows)
+        return [(raw - mean) / scale for raw, (mean, scale) in zip((x, m), self.moments, strict=True)]
+
+    def raw(self, style_rows, word_rows, size: np.ndarray, bucket_rows) -> tuple[np.ndarray, np.ndarray]:
+        n = len(size)
+        x = np.zeros((n, STYLE + len(self.words)))
+        x[:, :STYLE] = np.asarray(style_rows, float).reshape(n, STYLE)
+        lengths = [len(w) for w in word_rows]
+        at = np.fromiter((i for w in word_rows for i in w), int, sum(lengths))
+        x[np.repeat(np.arange(n), lengths), STYLE + at] = 1.0
+        m = np.zeros((n, 1 + 2 * BUCKETS))
+        m[:, 0] = np.log1p(size)
+        m[np.arange(n)[:, None], 1 + np.asarray(bucket_rows, int).reshape(n, 2)] = 1.0
+        return x, m
+
+    def of_batch(self, batch: pa.RecordBatch) -> list[np.ndarray]:
+        return self.views(*self.columns(batch))
+
+    @staticmethod
+    def columns(batch) -> tuple:
+        return (
+            batch.column("style").to_pylist(), batch.column("words").to_pylist(),
+            np.asarray(batch.column("size")),
+            batch.column("buckets").to_pylist(),
+        )
+
+
 @dataclass
 class Model:
     """What scoring needs; small, so it travels with the function."""
 
-    vocabulary: dict[str, int]
-    mean: np.ndarray
-    scale: np.ndarray
-    text: np.ndarray
-    meta: np.ndarray
-    meta_mean: np.ndarray
-    meta_scale: np.ndarray
-    text_fit: np.ndarray
-    meta_fit: np.ndarray
+    features: Features
+    weights: list[list[np.ndarray]]  # by fold set aside, then view
+    calibration: list[np.ndarray]
     combine: np.ndarray
 
-    def views(self, texts: list[str], rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    def views(self, texts: list[str], langs: list, sources: list, sizes: np.ndarray) -> list[np.ndarray]:
         """Calibrated log-odds of being bad by either view."""
-        x = np.zeros((len(texts), STYLE + len(self.vocabulary)))
-        for i, text in enumerate(texts):
-            x[i, :STYLE], words = style(text)
-            for word in words & self.vocabulary.keys():
-                x[i, STYLE + self.vocabulary[word]] = 1.0
-        m = np.array([metadata(*r) for r in rows])
-        text = odds((x - self.mean) / self.scale, self.text)
-        meta = odds((m - self.meta_mean) / self.meta_scale, self.meta)
-        return odds(text[:, None], self.text_fit), odds(meta[:, None], self.meta_fit)
+        found = [style(t) for t in texts]
+        words = self.features.words
+        both = self.features.views(
+            [s for s, _ in found], [[words[w] for w in own & words.keys()] for _, own in found], sizes,
+            [buckets(*x) for x in zip(langs, sources, strict=True)],
+        )
+        mean = [np.mean([odds(x, w[k]) for w in self.weights], axis=0) for k, x in enumerate(both)]
+        return [odds(x[:, None], fit) for x, fit in zip(mean, self.calibration, strict=True)]
 
 
-def _probability(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _bounds(score: np.ndarray, bad: np.ndarray, trust: float) -> tuple[float, float]:
+    """Log-odds up to and from which unseen documents are good or bad with ``trust``."""
+    out = []
+    for order, right in ((np.argsort(score, kind="stable"), ~bad), (np.argsort(-score, kind="stable"), bad)):
+        # one wrong answer more than was seen
+        sure = np.cumsum(right[order]) / np.arange(2, len(order) + 2) >= trust
+        out.append(score[order][np.flatnonzero(sure)[-1]] if sure.any() else None)
+    low, high = out
+    return (-np.inf if low is None else low), (np.inf if high is None else high)
+
+
+def _known(labels: DataFrame, most: int) -> DataFrame:
+    """``id, bad, fold`` of at most ``most`` labelled documents."""
+    bad = ((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")
+    return (
+        labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(bad).alias("bad"))
+        .orderBy(F.xxhash64("id"), "id").limit(most)
+        .withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(FOLDS)).cast("int"))
+    )
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(
+        F.col("doc_id").cast("long").alias("id"), text.alias("text"), "lang", "source",
+        F.coalesce(F.col("n_chars").cast("long"), F.length(text).cast("long")).alias("size"),
+    )
 
 
-def _vocabulary(words: list[set[str]], bad: np.ndarray, most: int) -> dict[str, int]:
-    """The words whose document frequency differs most between bad and good documents.
+def _vocabulary(labelled: DataFrame, sizes: dict[tuple[int, int], int], most: int) -> dict[str, int]:
+    """The words whose document frequency differs most between bad and good documents in every fold.
 
-    The difference is measured in standard errors; words seen in fewer than five bad and five
-    good documents together are left out.
+    The difference is measured in standard errors, and the fold where it is least counts;
+    words seen in fewer than ``LEAST_SEEN`` documents, or deviating there by less than
+    ``LEAST_DEVIATION``, are left out.
     """
-    counts: dict[str, list[int]] = {}
-    for own, y in zip(words, bad, strict=True):
-        for word in own:
-            counts.setdefault(word, [0, 0])[int(y)] += 1
-    n = np.maximum(1, [np.sum(~bad), np.sum(bad)])
-    scored = []
-    for word, (good, ill) in counts.items():
-        if good + ill >= 5:
-            a, b = good / n[0], ill / n[1]
-            share = (good + ill) / n.sum()
-            scored.append((-abs(a - b) / np.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]) + 1e-12), word))
-    return {word: i for i, (_, word) in enumerate(sorted(scored)[:most])}
+    words = F.array_distinct(F.split(F.lower("text"), r"(?U)\W+"))
+    keys = [(k, y) for k in range(FOLDS) for y in (0, 1)]
+    counts = labelled.select("fold", "bad", F.explode(words).alias("word")).where("word <> ''").groupBy("word").agg(
+        F.count(F.lit(1)).alias("n"),
+        *(F.count_if((F.col("fold") == k) & (F.col("bad") == y)).alias(f"n{k}{y}") for k, y in keys),
+    ).where(F.col("n") >= LEAST_SEEN)
+
+    def deviation(k: int):
+        good, ill = max(1, sizes.get((k, 0), 0)), max(1, sizes.get((k, 1), 0))
+        share = (F.col(f"n{k}0") + F.col(f"n{k}1")) / (good + ill)
+        error = F.sqrt(share * (1 - share) * (1 / good + 1 / ill) + 1e-12)
+        return (F.col(f"n{k}1") / ill - F.col(f"n{k}0") / good) / error
+
+    z = [deviation(k) for k in range(FOLDS)]
+    least = F.greatest(F.least(*z), -F.greatest(*z))
+    best = counts.select("word", F.round(least, 9).alias("z")).where(F.col("z") >= LEAST_DEVIATION).orderBy(F.desc("z"), "word").limit(most)
+    return {r["word"]: i for i, r in enumerate(best.collect())}
+
+
+def _featured(docs: DataFrame, known: DataFrame, words: dict[str, int]) -> DataFrame:
+    """Features of all documents, with ``bad`` and ``fold`` where they are labelled."""
+    # at most MOST_LABELLED labels, so they may be broadcast
+    source = _plain(docs).join(F.broadcast(known), "id", "left").withColumn("h", F.xxhash64("text"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(start, BLOCK)
+                found = [style(t) for t in batch.column("text").to_pylist()]
+                near = [
+                    list(buckets(*x))
+                    for x in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in ("id", "h", "bad", "fold", "size")),
+                     pa.array([x for x, _ in found], pa.list_(pa.float64())),
+                     pa.array([sorted(words[w] for w in own & words.keys()) for _, own in found], pa.list_(pa.int32())),
+                     pa.array(near, pa.list_(pa.int32()))],
+                    ["id", "h", "bad", "fold", "size", "style", "words", "buckets"],
+                )
 
-def _bounds(score: np.ndarray, bad: np.ndarray, trust: float) -> tuple[float, float]:
-    """Log-odds below and above which held-out documents are good or bad with ``trust``."""
-    order = np.argsort(score)
-    low, high = -np.inf, np.inf
-    right = np.cumsum(~bad[order]) / np.arange(1, len(order) + 1)
-    if (right >= trust).any():
-        low = score[order][np.flatnonzero(right >= trust)[-1]]
-    right = np.cumsum(bad[order][::-1]) / np.arange(1, len(order) + 1)
-    if (right >= trust).any():
-        high = score[order][::-1][np.flatnonzero(right >= trust)[-1]]
-    return low, high
-
-
-def _sample(docs: DataFrame, labels: DataFrame, most_labelled: int, most_unlabelled: int) -> tuple[list, list]:
-    """Bounded samples: (text, lang, source, n_chars, bad) rows and the same without ``bad``."""
-    bad = ((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")
-    known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(bad).alias("bad"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    rows = docs.select(
-        "doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source",
-        F.coalesce(F.col("n_chars").cast("long"), F.length(F.coalesce("text", F.lit(""))).cast("long")).alias("n_chars"),
-    )
-    # the chosen labels are bounded, so they may be broadcast
-    labelled = rows.join(F.broadcast(chosen), "doc_id")
-    others = (
-        docs.select("doc_id").where("doc_id is not null").join(known, "doc_id", "left_anti")
-        .orderBy(F.xxhash64(F.lit("pool"), "doc_id"), "doc_id").limit(most_unlabelled)
+    return source.mapInArrow(
+        run, "id long, h long, bad int, fold int, size long, style array<double>, words array<int>, buckets array<int>"
     )
-    pool = rows.join(F.broadcast(others.distinct()), "doc_id").withColumn("bad", F.lit(-1))
+
+
+def _taught(pool: DataFrame, features: Features, weights: list, bounds: list) -> dict[tuple[int, int, int], tuple]:
+    """Sums over what each view is taught by the other: by (fold, student, class), n, slope, curvature.
+
+    Every partition yields one row a key; they are added up in two steps, so no task reads
+    more than about the square root of their number.
+    """
+    parts = pool.rdd.getNumPartitions()
+    keys = [(k, view, y) for k in range(FOLDS) for view in (0, 1) for y in (0, 1)]
+    sizes = [len(w) for w in weights[0]]
+    upper = [np.triu_indices(n) for n in sizes]
+
+    def empty() -> list[np.ndarray]:
+        return [np.zeros(1 + sizes[v] + len(upper[v][0])) for _, v, _ in keys]
+
+    def packed(total: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(range(len(keys)), pa.int32()), pa.array([t.tobytes() for t in total], pa.binary())], ["k", "sums"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = empty()
+        for whole in batches:
+            for start in range(0, whole.num_rows, BLOCK):
+                views = features.of_batch(whole.slice(start, BLOCK))
+                wide = [np.hstack([x, np.ones((len(x), 1))]) for x in views]
+                for out, (k, student, y) in zip(total, keys, strict=True):
+                    score = odds(views[1 - student], weights[k][1 - student])
+                    low, high = bounds[k][1 - student]
+                    sure = wide[student][score >= high if y else score <= low]
+                    if len(sure):
+                        slope, curve = _sums(sure, float(y), weights[k][student])
+                        out += np.concatenate([[len(sure)], slope, curve[upper[student]]])
+        yield packed(total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = empty()
         for batch in batches:
-            found = [(*style(r["text"]), r) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r["doc_id"] for *_, r in found], pa.int64()),
-                 pa.array([x for x, *_ in found], pa.list_(pa.float64())),
-                 pa.array([" ".join(sorted(w)) for _, w, _ in found]),
-                 pa.array([metadata(r["lang"], r["source"], r["n_chars"]) for *_, r in found], pa.list_(pa.float64())),
-                 pa.array([r["bad"] for *_, r in found], pa.int32())],
-                ["doc_id", "style", "words", "meta", "bad"],
-            )
-
-    features = labelled.unionByName(pool).mapInArrow(
-        run, "doc_id long, style array<double>, words string, meta array<double>, bad int"
-    ).toPandas().sort_values(["bad", "doc_id"], kind="stable")
-    return features[features["bad"] >= 0], features[features["bad"] < 0]
+            for k, sums in zip(batch.column("k").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                total[k] += np.frombuffer(sums)
+        yield packed(total)
+
+    schema = "k int, sums binary"
+    sums = pool.mapInArrow(run, schema)
+    for n in (math.ceil(math.sqrt(parts)), 1):
+        sums = sums.repartition(n).mapInArrow(add, schema)
+    out = {}
+    for r in sums.collect():
+        k, view, y = keys[r["k"]]
+        flat = np.frombuffer(r["sums"])
+        curve = np.zeros((sizes[view], sizes[view]))
+        curve[upper[view]] = flat[1 + sizes[view] :]
+        out[k, view, y] = flat[0], flat[1 : 1 + sizes[view]], curve + np.triu(curve, 1).T
+    return out
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED,
-    most_unlabelled: int = MOST_UNLABELLED, vocabulary: int = VOCABULARY, rounds: int = ROUNDS,
+    docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, vocabulary: int = VOCABULARY,
+    rounds: int = ROUNDS, trust: float = TRUST,
 ) -> Model | None:
-    """Co-train both views on bounded samples; nothing if the labels are of one kind."""
-    labelled, pool = _sample(docs, labels, most_labelled, most_unlabelled)
-    bad = labelled["bad"].to_numpy() == 1
-    # every third document of either kind is set aside
-    place = np.where(bad, np.cumsum(bad), np.cumsum(~bad))
-    aside = place % 3 == 0
-    if min(np.sum(bad & aside), np.sum(~bad & aside)) < 2:
+    """Co-train both views; nothing unless every fold has labels of both kinds."""
+    known = cut(_known(labels, most_labelled))
+    labelled = _plain(docs).join(F.broadcast(known), "id")
+    sizes = {(r["fold"], r["bad"]): r["count"] for r in labelled.groupBy("fold", "bad").count().collect()}
+    if any((k, y) not in sizes for k in range(FOLDS) for y in (0, 1)):
         return None
-    words = [set(x.split()) for x in labelled["words"]]
-    names = _vocabulary([w for w, out in zip(words, aside, strict=True) if not out], bad[~aside], vocabulary)
-
-    def text_view(frame, own: list[set[str]]) -> np.ndarray:
-        x = np.zeros((len(frame), STYLE + len(names)))
-        for i, (row, seen) in enumerate(zip(frame["style"], own, strict=True)):
-            x[i, :STYLE] = row
-            for word in seen & names.keys():
-                x[i, STYLE + names[word]] = 1.0
-        return x
-
-    pool_words = [set(x.split()) for x in pool["words"]]
-    x, u = text_view(labelled, words), text_view(pool, pool_words)
-    m = np.array(labelled["meta"].tolist())
-    v = np.array(pool["meta"].tolist()).reshape(-1, m.shape[1])
-
-    def scaled(a: np.ndarray, b: np.ndarray) -> tuple:
-        mean, scale = a[~aside].mean(axis=0), a[~aside].std(axis=0)
-        scale = np.where(scale > 1e-9, scale, 1.0)
-        return (a - mean) / scale, (b - mean) / scale, mean, scale
-
-    x, u, mean, scale = scaled(x, u)
-    m, v, meta_mean, meta_scale = scaled(m, v)
+    words = _vocabulary(labelled, sizes, vocabulary)
+    table = cut(_featured(docs, known, words))
+    row = F.struct("bad", "fold", "size", "style", "words", "buckets")
+    learnt = (
+        table.where("bad is not null").groupBy("id").agg(F.min_by(row, "h").alias("r")).select("id", "r.*")
+        .toArrow().sort_by("id")
+    )
+    bad, fold = (learnt.column(c).to_numpy() for c in ("bad", "fold"))
     y = bad.astype(float)
-    views = [(x, u), (m, v)]
-    taught: list[dict[int, float]] = [{}, {}]  # what each view has learnt from the other
-    weights = [None, None]
-    for turn in range(rounds + 1):
-        for k, (own, free) in enumerate(views):
-            extra = list(taught[k])
-            weights[k] = logistic(
-                np.vstack([own[~aside], free[extra]]), np.concatenate([y[~aside], [taught[k][i] for i in extra]])
-            )
-        if turn == rounds:
+    if any(not np.any((fold == k) & (bad == b)) for k in range(FOLDS) for b in (0, 1)):
+        return None
+    raw = Features(words, []).raw(*Features.columns(learnt))
+    scales = [np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1.0) for x in raw]
+    features = Features(words, [(x.mean(axis=0), s) for x, s in zip(raw, scales, strict=True)])
+    views = features.views(*Features.columns(learnt))
+    wide = [np.hstack([x, np.ones((len(x), 1))]) for x in views]
+    seen = [fold != k for k in range(FOLDS)]
+    weights = [[_rounded(logistic(x[s], y[s])) for x in views] for s in seen]
+    pool = table.where("bad is null")
+    for _ in range(rounds):
+        aside = [[odds(x[~s], w) for x, w in zip(views, own, strict=True)] for s, own in zip(seen, weights, strict=True)]
+        bounds = [[_bounds(score, bad[~s] == 1, trust) for score in own] for s, own in zip(seen, aside, strict=True)]
+        if not np.isfinite(np.array(bounds)).any():
             break
-        for k, (own, free) in enumerate(views):
-            low, high = _bounds(odds(own[aside], weights[k]), bad[aside], TRUST)
-            score = odds(free, weights[k])
-            order = np.argsort(score, kind="stable")
-            goods = [i for i in order if score[i] <= low and i not in taught[1 - k]][: TAUGHT]
-            bads = [i for i in order[::-1] if score[i] >= high and i not in taught[1 - k]][: TAUGHT]
-            taught[1 - k].update({i: 0.0 for i in goods} | {i: 1.0 for i in bads})
-    fits = [logistic(odds(own[aside], w)[:, None], y[aside]) for (own, _), w in zip(views, weights, strict=True)]
-    both = np.stack(
-        [odds(odds(own[aside], w)[:, None], f) for (own, _), w, f in zip(views, weights, fits, strict=True)], axis=1
-    )
-    return Model(names, mean, scale, weights[0], weights[1], meta_mean, meta_scale, fits[0], fits[1],
-                 logistic(both, y[aside]))
+        sums = _taught(pool, features, weights, bounds)
+        for k, s in enumerate(seen):
+            for view in (0, 1):
+                w = weights[k][view]
+                curve, slope = _newton(wide[view][s], y[s], w)
+                for label in (0, 1):
+                    n, more_slope, more_curve = sums[k, view, label]
+                    # what is taught weighs as much as what is known, however large the corpus is
+                    share = min(1.0, np.sum(bad[s] == label) / n) if n else 0.0
+                    slope, curve = slope + share * more_slope, curve + share * more_curve
+                step = _rounded(w - np.linalg.solve(curve, slope))
+                if _loss(odds(views[view][~s], step), y[~s]) <= _loss(aside[k][view], y[~s]):
+                    weights[k][view] = step
+    apart = [np.zeros(len(y)) for _ in views]
+    for own, s in zip(weights, seen, strict=True):
+        for out, x, w in zip(apart, views, own, strict=True):
+            out[~s] = odds(x[~s], w)
+    calibration = [logistic(out[:, None], y) for out in apart]
+    both = np.stack([odds(out[:, None], c) for out, c in zip(apart, calibration, strict=True)], axis=1)
+    return Model(features, weights, calibration, logistic(both, y))
+
+
+def _rounded(w: np.ndarray) -> np.ndarray:
+    """Weights without the digits that depend on the order in which partitions are added."""
+    return np.round(w, 5)
 
 
 def score(docs: DataFrame, model: Model | None, limit: float = LIMIT) -> DataFrame:
     """The input with ``text_score, meta_score, score, rejected``: probabilities of being bad."""
-    added = ("text_score", "meta_score", "score")
+    kept = [c for c in docs.columns if c not in ADDED]
     if model is None:
-        return docs.select("*", *(F.lit(0.0).alias(c) for c in added), F.lit(False).alias("rejected"))
-    size = F.coalesce(F.col("n_chars").cast("long"), F.length(F.coalesce("text", F.lit(""))).cast("long"))
-    columns = [f"c{i}" for i in range(len(docs.columns))]
+        return docs.select(
+            *(F.col(f"`{c}`") for c in kept), *(F.lit(0.0).alias(c) for c in ADDED[:3]), F.lit(False).alias("rejected")
+        )
+    columns = [f"c{i}" for i in range(len(kept))]
+    text = F.coalesce(F.col("text"), F.lit(""))
+    size = F.coalesce(F.col("n_chars").cast("long"), F.length(text).cast("long"))
     source = docs.select(
-        *(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, columns, strict=True)),
-        F.coalesce("text", F.lit("")).alias("v_text"), F.col("lang").alias("v_lang"),
-        F.col("source").alias("v_source"), size.alias("v_size"),
+        *(F.col(f"`{c}`").alias(n) for c, n in zip(kept, columns, strict=True)),
+        text.alias("v_text"), F.col("lang").alias("v_lang"), F.col("source").alias("v_source"), size.alias("v_size"),
     )
     schema = source.select(*columns).schema
-    for name in added:
+    for name in ADDED[:3]:
         schema = schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                rows = list(zip(*(batch.column(c).to_pylist() for c in ("v_lang", "v_source", "v_size")), strict=True))
-                views = model.views(batch.column("v_text").to_pylist(), rows)
+            for start in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(start, BLOCK)
+                texts, langs, sources = (batch.column(c).to_pylist() for c in ("v_text", "v_lang", "v_source"))
+                views = model.views(texts, langs, sources, batch.column("v_size").to_numpy())
                 total = odds(np.stack(views, axis=1), model.combine)
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c) for c in columns), *(pa.array(_probability(x)) for x in (*views, total))],
-                    [*columns, *added],
+                    [*columns, *ADDED[:3]],
                 )
 
     scored = source.mapInArrow(run, schema)
     return scored.select(
-        *(F.col(n).alias(c) for n, c in zip(columns, docs.columns, strict=True)), *added,
+        *(F.col(n).alias(c) for n, c in zip(columns, kept, strict=True)), *ADDED[:3],
         (F.col("score") >= limit).alias("rejected"),
     )
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fit on bounded samples of ``docs`` and score them all."""
+    """Fit on the labelled documents and the pool of all others, and score them all."""
     return score(docs, fit(docs, labels))
