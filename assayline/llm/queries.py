@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayline.llm import (
+    centroid_clustering,
+    conversation_repair,
     decontamination,
     fingerprints,
     html_extract,
@@ -18,6 +20,7 @@ from assayline.llm import (
     quality_classifier,
     suffix_dedup,
     token_counts,
+    topk_search,
     warc,
 )
 
@@ -81,6 +84,19 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.clustered(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation_repair.damaged(_table(spark, sf_dir, "conversations"))
+    return conversation_repair.reports(damaged, dropped="dropped")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_token_counts": op2_token_counts,
@@ -92,9 +108,64 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_source_mixing": op10_source_mixing,
+    "op11_exact_topk": op11_exact_topk,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
+_WHOLE = """whole as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings
+  where embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0
+)"""
+
+
+def _clustering_sql(rounds: int = 5, centroids: int = 40, size: int = 64) -> str:
+    """k-means in SQL: a pair of common table expressions for each round."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""near{i} as materialized (
+  select vec_id, v, min(struct_pack(
+           d := list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint,
+           k := cluster)) as best
+  from kept, c{i} group by vec_id, v
+)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} as materialized (
+  select cluster, coalesce(m.c, c{i}.c) as c
+  from c{i} left join (
+    select cluster, list(mean order by i) as c
+    from (select best.k as cluster, i, floor(sum(v[i])::double / count(*))::bigint as mean
+          from near{i}, generate_series(1, {size}) as g(i) group by all)
+    group by cluster
+  ) m using (cluster)
+)""")
+    return f"""with {_WHOLE}, kept as materialized (
+  select * from whole where len(v) = {size}
+), c0 as materialized (
+  select (row_number() over (order by sha256('2:' || vec_id), v) - 1)::int as cluster, v as c
+  from kept order by cluster limit {centroids}
+), {", ".join(steps)}
+select vec_id, best.k as cluster, best.d as distance,
+       (sum(best.d) over (partition by best.k))::bigint as cluster_inertia,
+       (sum(best.d) over ())::bigint as inertia,
+       sha256(array_to_string(c, ',')) as centroid_sha256
+from near{rounds} join c{rounds} on cluster = best.k"""
+
+
 ORACLE = {
+    "op11_exact_topk": f"""with {_WHOLE}, scored as (
+  select q.vec_id as query_id, c.vec_id,
+         list_dot_product(q.v::double[], c.v::double[])::bigint as score
+  from whole q join whole c on len(q.v) = len(c.v) and q.vec_id <> c.vec_id
+  where q.vec_id % 50 = 0
+), ranked as (
+  select *, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank
+  from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 5""",
+    "op12_centroid_clustering": _clustering_sql(),
     "op10_source_mixing": r"""
 with sized as (
   select doc_id, source, coalesce(text, '') as body,
