@@ -12,8 +12,9 @@ of seeds; only a block is broadcast, so its size has a bound for any benchmark.
 is not shuffled: seeds are made, probed and verified in one stage, and only verified hits
 are grouped.
 
-Items with fewer than ``LEAST_WORDS`` words are too short to identify anything and
-contaminate nothing; items shorter than the window are compared whole. Null and empty texts
+Items shorter than the window are compared whole. An item of fewer than ``EXACT_WORDS`` words has
+no room for substitutions: it is met by a mask of all of its words, where they follow each
+other exactly, so an item of one word meets every document with that word. Null and empty texts
 are never contaminated. Repeated items and documents give the same result each. Columns
 other than ids and texts are ignored.
 """
@@ -31,7 +32,7 @@ from assayline.llm.shared import row_key
 MASKS = ("1001111", "11001101", "11100011")
 WINDOW = 13
 PERCENT = 80
-LEAST_WORDS = 8
+EXACT_WORDS = 8
 PIECE_WORDS = 4096
 BLOCK_SEEDS = 1_000_000
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -47,15 +48,32 @@ def seeds(words: Column, at: Column, masks: tuple[str, ...]) -> Column:
     return F.array(*(
         F.when(
             at + len(mask) <= F.size(words),
-            F.xxhash64(F.lit(m), *(F.get(words, at + i) for i, bit in enumerate(mask) if bit == "1")),
+            F.xxhash64(F.lit(mask), *(F.get(words, at + i) for i, bit in enumerate(mask) if bit == "1")),
         )
-        for m, mask in enumerate(masks)
+        for mask in masks
     ))
 
 
+def short_masks(known: DataFrame) -> tuple[str, ...]:
+    """A mask of ones for each length that a short item has: fewer than ``EXACT_WORDS``."""
+    lengths = known.where(F.size("item") < EXACT_WORDS).select(F.size("item").alias("n")).distinct().collect()
+    return tuple("1" * n for n in sorted(r["n"] for r in lengths))
+
+
+def item_seeds(masks: tuple[str, ...]) -> Column:
+    """The seeds of an item at word ``j``: masks with gaps, or the whole item if it is short."""
+    item, at = F.col("item"), F.col("j")
+    short = [m for m in masks if "0" not in m]
+    whole = F.filter(
+        F.array(*(F.when((F.size(item) == len(m)) & (at == 0), F.get(seeds(item, at, (m,)), F.lit(0))) for m in short)),
+        lambda x: x.isNotNull(),
+    ) if short else F.array().cast("array<long>")
+    return F.when(F.size(item) < EXACT_WORDS, whole).otherwise(seeds(item, at, tuple(m for m in masks if "0" in m)))
+
+
 def pieces(benchmark: DataFrame) -> DataFrame:
     """``item_id, piece, item``: hashed words in overlapping pieces of bounded length."""
-    hashed = benchmark.select("item_id", word_hashes("text").alias("words")).where(F.size("words") >= LEAST_WORDS)
+    hashed = benchmark.select("item_id", word_hashes("text").alias("words")).where(F.size("words") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - WINDOW, F.lit(0)), F.lit(PIECE_WORDS))
     return hashed.select("item_id", "words", F.explode(starts).alias("start")).select(
         "item_id", F.slice("words", F.col("start") + 1, F.lit(PIECE_WORDS + WINDOW - 1)).alias("item"),
@@ -67,6 +85,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     known = pieces(benchmark)
     total = known.agg(F.sum(F.size("item"))).first()[0] or 0
     blocks = max(1, -(-total * len(masks) // block))
+    masks = (*masks, *short_masks(known))
     d, h = row_key()
     corpus = docs.select(d.alias("d"), h.alias("h"), word_hashes("text").alias("words"))
     placed = corpus.select("d", "h", "words", F.posexplode("words").alias("i", "word")).select(
@@ -79,7 +98,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
 
 def _hits(placed: DataFrame, known: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     tests = known.select("piece", "item", F.posexplode("item").alias("j", "word")).select(
-        "piece", "j", F.explode(seeds(F.col("item"), F.col("j"), masks)).alias("seed")
+        "piece", "j", F.explode(item_seeds(masks)).alias("seed")
     ).where("seed is not null").distinct()
     # both sides that are broadcast hold one block, which is bounded
     hits = placed.where("seed is not null").join(F.broadcast(tests), "seed").join(F.broadcast(known), "piece")
@@ -117,5 +136,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no benchmark item contaminates, with their columns."""
     found = overlaps(docs, benchmark).select("d", "h").distinct()
     d, h = row_key()
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), d.alias("d"), h.alias("h"))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), d.alias("d"), h.alias("h"))
     return keyed.join(found, ["d", "h"], "left_anti").select("row.*")

@@ -100,54 +100,68 @@ def band_keys(lines: list[bytes], bands: int, rows: int) -> np.ndarray:
 
 def line_set(line: bytes) -> np.ndarray:
     """The sorted distinct strings of a line."""
-    return np.unique(grams([line])[0])
+    if len(line) < GRAM:
+        return grams([line])[0]
+    values = np.sort(np.ndarray((len(line) - GRAM + 1,), np.uint64, line, strides=(1,)))
+    return values[np.concatenate([[True], values[1:] != values[:-1]])]
+
+
+def _lines(batches: Iterator[pa.RecordBatch], state: dict) -> Iterator[tuple]:
+    """Chunks of rows with their lines: the rows, (number, line) by row, all lines, their nodes."""
+    for batch, texts in chunks(batches, "text"):
+        found = [eligible(t) for t in texts]
+        lines = [x for doc in found for _, x in doc]
+        if lines:
+            yield batch, found, lines, line_nodes(lines, state)
 
 
 def _sketched(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``d, h, lines, nodes, fresh, keys``: keys of the lines that are new in a task."""
-    d, h = row_key()
-    source = docs.select(d.alias("d"), h.alias("h"), "text")
+    """``key, node`` of the lines that are new in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {}
         seen: set[int] = set()
-        for batch, texts in chunks(batches, "text"):
-            found = [eligible(t) for t in texts]
-            lines = [x for doc in found for _, x in doc]
-            if not lines:
-                continue
-            nodes = line_nodes(lines, state)
+        for _, _, lines, nodes in _lines(batches, state):
             new: list[int] = []
             for i, node in enumerate(nodes.tolist()):
                 if node not in seen:
                     seen.add(node)
                     new.append(i)
-            keys = band_keys([lines[i] for i in new], bands, rows).view(np.int64) if new else np.zeros((0, bands), np.int64)
+            if new:
+                keys = band_keys([lines[i] for i in new], bands, rows).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.ravel()), pa.array(np.repeat(nodes[new], bands))], ["key", "node"]
+                )
+
+    return docs.select("text").mapInArrow(run, "key long, node long")
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """``d, h, lines, nodes``: which lines a row has."""
+    d, h = row_key()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict = {}
+        for batch, found, _, nodes in _lines(batches, state):
             at = np.cumsum([0, *map(len, found)])
-            fresh = np.searchsorted(new, at)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("d"), batch.column("h"),
                  pa.array([[i for i, _ in doc] for doc in found], pa.list_(pa.int32())),
-                 pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(nodes)),
-                 pa.ListArray.from_arrays(pa.array(fresh, pa.int32()), pa.array(nodes[new], pa.int64())),
-                 pa.ListArray.from_arrays(pa.array(fresh * bands, pa.int32()), pa.array(keys.ravel()))],
-                ["d", "h", "lines", "nodes", "fresh", "keys"],
+                 pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(nodes))],
+                ["d", "h", "lines", "nodes"],
             )
 
-    return source.mapInArrow(
-        run, "d long, h long, lines array<int>, nodes array<long>, fresh array<long>, keys array<long>"
+    return docs.select(d.alias("d"), h.alias("h"), "text").mapInArrow(
+        run, "d long, h long, lines array<int>, nodes array<long>"
     )
 
 
-def line_components(
-    docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT
-) -> DataFrame:
-    """``d, h, line, component, first`` of all lines that repeat: ``first`` is the one that stays."""
-    table = cut(_sketched(docs, bands, rows))
-    entries = table.select("fresh", F.posexplode("keys").alias("i", "key")).select(
-        "key", F.get("fresh", F.floor(F.col("i") / bands).cast("int")).alias("node")
-    )
-    places = table.select("d", "h", F.explode(F.arrays_zip("lines", "nodes")).alias("x")).select(
+def line_components(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
+    """``d, h, line, component, first`` of all lines that repeat: ``first`` is the one that stays.
+
+    Keys go straight into the shuffle that groups them; which lines a row has is a pass of its own.
+    """
+    places = cut(_placed(docs)).select("d", "h", F.explode(F.arrays_zip("lines", "nodes")).alias("x")).select(
         "d", "h", F.col("x.lines").alias("line"), F.col("x.nodes").alias("node")
     )
     d, h = row_key()
@@ -156,28 +170,26 @@ def line_components(
     def fetch(nodes: DataFrame) -> DataFrame:
         wanted = (
             nodes.join(places, "node").groupBy("node").agg(F.min(F.struct("d", "h", "line")).alias("at"))
-            .groupBy("at.d", "at.h").agg(F.collect_list(F.struct("at.line", "node")).alias("wanted"))
+            .groupBy("at.d", "at.h").agg(F.collect_list("at.line").alias("lines"), F.collect_list("node").alias("nodes"))
         )
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                nodes, lines = [], []
-                for text, asked in zip(batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
+                lines = []
+                for text, numbers in zip(batch.column("text"), batch.column("lines").to_pylist(), strict=True):
                     split = (text.as_py() or "").encode().split(b"\n")
-                    for x in asked:
-                        nodes.append(x["node"])
-                        lines.append(split[x["line"]].strip())
+                    lines += [split[i].strip() for i in numbers]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes, pa.int64()), pa.array(lines, pa.binary()),
+                    [batch.column("nodes").flatten(), pa.array(lines, pa.binary()),
                      pa.array([len(line_set(x)) for x in lines], pa.int64())],
                     ["node", "payload", "size"],
                 )
 
-        return texts.join(wanted, ["d", "h"]).select("text", "wanted").mapInArrow(
+        return texts.join(wanted, ["d", "h"]).select("text", "lines", "nodes").mapInArrow(
             run, "node long, payload binary, size long"
         )
 
-    labels = link(entries, fetch, line_set, percent)
+    labels = link(_sketched(docs, bands, rows), fetch, line_set, percent)
     grouped = places.join(labels, "node", "left").select(
         "d", "h", "line", F.coalesce("component", "node").alias("component")
     )
@@ -187,10 +199,8 @@ def line_components(
     return grouped.join(firsts, "component")
 
 
-def dedup_lines(
-    docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT
-) -> DataFrame:
-    """The input with its columns, repeated lines removed from ``text``, plus ``n_lines_removed``."""
+def _shortened(docs: DataFrame, bands: int, rows: int, percent: int) -> DataFrame:
+    """``row, text, removed``: every input row, its text without repeated lines, and their number."""
     places = line_components(docs, bands, rows, percent)
     dropped = places.where(F.struct("d", "h", "line") != F.col("first")).groupBy("d", "h").agg(
         F.collect_set("line").alias("dropped")
@@ -209,9 +219,27 @@ def dedup_lines(
         ),
         "\n",
     )
-    joined = keyed.join(dropped, ["d", "h"], "left")
-    text = F.when(F.col("dropped").isNull(), F.col("row.text")).otherwise(kept)
-    return joined.select(
-        *(text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns),
-        F.coalesce(F.size("dropped"), F.lit(0)).alias("n_lines_removed"),
+    return keyed.join(dropped, ["d", "h"], "left").select(
+        "row", F.when(F.col("dropped").isNull(), F.col("row.text")).otherwise(kept).alias("text"),
+        F.coalesce(F.size("dropped"), F.lit(0)).alias("removed"),
+    )
+
+
+def dedup_lines(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
+    """The input with its columns, repeated lines removed from ``text``, plus ``n_lines_removed``.
+
+    An input column of that name is replaced.
+    """
+    return _shortened(docs, bands, rows, percent).select(
+        *(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "n_lines_removed"),
+        F.col("removed").alias("n_lines_removed"),
+    )
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The input with its columns, whatever their names; ``n_chars`` follows a changed ``text``."""
+    size = F.when(F.col("removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    changed = {"text": F.col("text"), "n_chars": size}
+    return _shortened(docs, BANDS, ROWS, PERCENT).select(
+        *(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns)
     )

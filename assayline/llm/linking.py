@@ -116,12 +116,22 @@ def _digest(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(code), F.sum(code.cast("decimal(38,0)"))).first())
 
 
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.sort(np.concatenate([x, y]), kind="stable")  # a merge of two sorted sets
+    same = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * same >= percent * (len(both) - same)
+
+
 def alike_in_group(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that connect all members with a similarity of ``percent`` / 100 or more.
 
     Links between members that earlier links connect are left out.
     """
     n = len(sets)
+    if n == 2:  # most groups are
+        return [(0, 1)] if _alike(*sets, percent) else []
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(n), sizes)
     _, code, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -151,11 +161,8 @@ def alike_in_group(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]
                 for j in np.flatnonzero(row & (label != label[i])).tolist():
                     if j <= i or label[j] == label[i]:
                         continue
-                    if not sure:
-                        both = np.sort(np.concatenate([sets[i], sets[j]]), kind="stable")
-                        same = int(np.count_nonzero(both[1:] == both[:-1]))
-                        if 100 * same < percent * (len(both) - same):
-                            continue
+                    if not sure and not _alike(sets[i], sets[j], percent):
+                        continue
                     out.append((i, j))
                     label[label == label[j]] = label[i]
     return out

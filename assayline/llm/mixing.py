@@ -1,21 +1,22 @@
 """Mixing sources to target weights with DataFrame functions only.
 
 Sizes are summed per source, targets are found from the sums, and a document of a source
-with rate ``target / size`` is taken ``floor(rate)`` times plus once more with a probability
-equal to the fraction, seeded by hashes: a rerun takes the same. The draws are systematic in
-groups of about ``GROUP`` documents of one source and size class (chosen by a hash of id and
-text): in order of size, every rank has the same probability, and a group's number of copies
-is off by less than one. Independent draws miss a small source's target by 10 % and more when
-few long documents hold most of its words. No group grows with the source.
+with rate ``target / size`` is taken ``floor(rate)`` times plus once more by a Bernoulli draw
+whose probability is the fraction. The draw is a hash of a seed, the id and the text, so a rerun
+takes the same. Where few long documents hold most of a source's words, independent draws
+miss the target by 10 % and more, so every source uses that one of ``SEEDS`` seeds whose
+documents come nearest to its target: all sums are found in one aggregation.
 
 Sources in code point order, null last, get the given weights in turn. A source stops at
 ``most`` times its size; what is above goes to the others by weight until none is above.
 That is the level ``x`` with sum(min(most * size, weight * x)) = sum(size), found from
 running sums over the table of sources (one row per source; the documents are only summed,
-with partial sums, and joined).
+with partial sums, and joined). Texts are read once for the plan, which is then worked out on
+a narrow checkpoint of ids, sources, sizes and hashes.
 
 Null texts have size 0. A source of size 0 has target 0 and its documents are taken 0 times.
-Repeated rows are decided alike and each count. ``repeat`` keeps the columns of the input.
+Repeated rows are decided alike and each count. ``repeat`` keeps the columns of the input; a
+column ``copy`` is replaced.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayline.llm.shared import cut
+
 WEIGHTS = (5, 2, 1)
 MOST = 3
-GROUP = 256
+SEEDS = 32
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -61,57 +64,62 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     )
 
 
-def chance(*parts: Column) -> Column:
-    """A number in [0, 1) from the first 32 bits of an MD5 of the parts."""
-    name = F.concat_ws(":", *(F.coalesce(x.cast("string"), F.lit("")) for x in parts))
-    return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
-
-
-def mix(
-    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix",
-    carry: tuple[str, ...] = (),
-) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` and the carried columns."""
-    rows = docs.select(
-        "doc_id", "source", words().alias("size"),
-        chance(F.lit(seed), F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("draw"),
-        *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)),
-    ).withColumn("class", F.length(F.bin("size")))
-    classes = docs.select("source", words().alias("size")).groupBy(
-        "source", F.length(F.bin("size")).alias("class")
-    ).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
-    sizes = classes.groupBy("source").agg(F.sum("words").alias("source_size"))
-    goals = targets(sizes, weights, most).withColumnRenamed("source", "s")
+def named(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """The name of a document in its draws: its id and a hash of its text."""
+    return F.md5(F.concat_ws(
+        ":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")))
+    ))
+
+
+def draws(name: Column, seed: str, count: int = SEEDS) -> list[Column]:
+    """Numbers in [0, 1) for each of ``count`` seeds: 32 bits each of salted hashes of a name."""
+    salted = [F.md5(F.concat(F.lit(f"{seed}:{i}:"), name)) for i in range(-(-count // 4))]
+    return [
+        F.conv(F.substring(salted[i // 4], 8 * (i % 4) + 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+        for i in range(count)
+    ]
+
+
+def plan(narrow: DataFrame, weights: tuple[int, ...], most: int, seed: str) -> DataFrame:
+    """``s, source_size, target, rate, use``: for each source its rate and the seed it uses."""
+    sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = classes.join(goals, F.col("source").eqNullSafe(F.col("s"))).select(
-        "s", F.col("class").alias("c"), "source_size", "target", rate.alias("rate"),
-        F.ceil(F.col("n") / GROUP).alias("groups"),
-    )
-    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c")))
-    joined = joined.withColumn("group", F.floor(F.col("draw") * F.col("groups")))
-    place = Window.partitionBy("source", "class", "group").orderBy("size", "draw", "doc_id")
-    start = chance(F.lit(seed), F.col("source"), F.col("class"), F.col("group"))
-    # of r documents, floor(r * fraction + start) have been taken once more
+    goals = targets(sizes, weights, most).withColumn("rate", rate).withColumnRenamed("source", "s")
+    rows = narrow.join(goals, F.col("source").eqNullSafe(F.col("s")))
     fraction = F.col("rate") - F.floor("rate")
-    joined = joined.withColumn("rank", F.row_number().over(place)).withColumn("start", start)
-    more = F.floor(F.col("rank") * fraction + F.col("start")) - F.floor(
-        (F.col("rank") - 1) * fraction + F.col("start")
+    more = [F.sum(F.when(draw < fraction, F.col("size")).otherwise(F.lit(0))) for draw in draws(F.col("name"), seed)]
+    near = rows.groupBy("s", "source_size", "target", "rate").agg(F.array(*more).alias("more"))
+    miss = F.transform(
+        "more", lambda x: F.abs(F.floor("rate") * F.col("source_size") + x - F.col("target")),
+    )
+    return near.withColumn("miss", miss).select(
+        "s", "source_size", "target", "rate",
+        (F.array_position("miss", F.array_min("miss")) - 1).cast("int").alias("use"),
     )
-    return joined.withColumn("copies", (F.floor("rate") + more).cast("long")).select(
-        "doc_id", "source", "size", "source_size", "target", "copies",
-        (F.col("size") * F.col("copies")).alias("taken"),
-        *(F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)),
+
+
+def _taken(rows: DataFrame, goals: DataFrame, seed: str) -> DataFrame:
+    """Rows with ``source, size, name`` and what their source's plan gives them: ``copies``."""
+    draw = F.get(F.array(*draws(F.col("name"), seed)), F.col("use"))
+    copies = F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")
+    return rows.join(goals, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", copies.cast("long"))
+
+
+def _narrow(docs: DataFrame) -> DataFrame:
+    return cut(docs.select("doc_id", "source", words().alias("size"), named().alias("name")))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
+    """``doc_id, source, size, source_size, target, copies, taken`` of every row."""
+    narrow = _narrow(docs)
+    return _taken(narrow, plan(narrow, weights, most, seed), seed).select(
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
     )
 
 
 def repeat(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
     """The mixed corpus: every document as many times as it is taken, ``copy`` from 0."""
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    mixed = mix(docs, weights, most, seed, carry)
-    # "size" and the like may be columns of the documents, too: the carried ones come last
-    named = mixed.toDF(*(f"m_{i}" for i in range(7)), *(f"c_{c}" for c in carry))
-    place = {"doc_id": "m_0", "source": "m_1"} | {c: f"c_{c}" for c in carry}
-    return named.where("m_5 > 0").select(
-        *(F.col(f"`{place[c]}`").alias(c) for c in docs.columns),
-        F.explode(F.sequence(F.lit(0), (F.col("m_5") - 1).cast("int"))).alias("copy"),
-    )
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != "copy"]
+    rows = docs.select(F.struct(*kept).alias("row"), "source", named().alias("name"))
+    taken = _taken(rows, plan(_narrow(docs), weights, most, seed), seed).where("copies > 0")
+    return taken.select("row.*", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("copy"))

@@ -419,3 +419,10 @@ def score(docs: DataFrame, model: Model | None, limit: float = LIMIT) -> DataFra
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fit on the labelled documents and the pool of all others, and score them all."""
     return score(docs, fit(docs, labels))
+
+
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows that are not rejected, with the columns of the input, whatever their names."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    needed = [F.col(c) for c in ("doc_id", "text", "lang", "source", "n_chars")]
+    return classify(docs.select(row, *needed), labels).where("not rejected").select("row.*")

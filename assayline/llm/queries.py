@@ -168,8 +168,9 @@ select query_id, rank, vec_id, score from ranked where rank <= 5""",
     "op12_centroid_clustering": _clustering_sql(),
     "op10_source_mixing": r"""
 with sized as (
-  select doc_id, source, coalesce(text, '') as body,
-         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size
+  select doc_id, source,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+         md5(coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as name
   from documents
 ), sizes as (
   select source, sum(size)::bigint as source_size from sized group by source
@@ -192,30 +193,23 @@ with sized as (
          case when cap::double / weight < level then cap::double
               else least(cap::double, weight * rest) end as target
   from rested
-), drawn as (
-  select *, length(bin(size)) as class,
-         ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, '') || ':' || md5(body)), 1, 8))::bigint
-           / 4294967296.0::double as draw
-  from sized
-), classes as (
-  select source, class, count(*) as n from drawn group by source, class
-), grouped as (
+), rated as (
   select d.*, p.source_size, p.target,
-         case when p.source_size > 0 then p.target / p.source_size else 0 end as rate,
-         floor(d.draw * ceil(c.n / 256))::bigint as grp
-  from drawn d
-  join plan p on d.source is not distinct from p.source
-  join classes c on d.source is not distinct from c.source and d.class = c.class
-), ranked_docs as (
-  select *, rate - floor(rate) as fraction,
-         row_number() over (partition by source, class, grp order by size, draw, doc_id) as rnk,
-         ('0x' || substr(md5('mix:' || coalesce(source, '') || ':' || class || ':' || grp), 1, 8))::bigint
-           / 4294967296.0::double as start
-  from grouped
+         case when p.source_size > 0 then p.target / p.source_size else 0 end as rate
+  from sized d join plan p on d.source is not distinct from p.source
+), drawn as (
+  select r.*, seed,
+         ('0x' || substr(md5('mix:' || (seed // 4) || ':' || name), (8 * (seed % 4) + 1)::int, 8))::bigint
+           / 4294967296.0::double < rate - floor(rate) as more
+  from rated r, generate_series(0, 31) as g(seed)
+), sums as (
+  select source, seed, abs(any_value(floor(rate) * source_size - target) + sum(case when more then size else 0 end)) as miss
+  from drawn group by source, seed
+), used as (
+  select source, arg_min(seed, struct_pack(m := miss, s := seed)) as seed from sums group by source
 )
-select doc_id, size, source_size, target,
-       size * (floor(rate) + floor(rnk * fraction + start)
-               - floor((rnk - 1) * fraction + start))::bigint as taken
-from ranked_docs
+select d.doc_id, d.size, d.source_size, d.target,
+       d.size * (floor(d.rate) + d.more::int)::bigint as taken
+from drawn d join used u on d.source is not distinct from u.source and d.seed = u.seed
 """,
 }

@@ -4,6 +4,8 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from assayline.llm import decontamination, line_dedup, linking, minhash_dedup
@@ -78,22 +80,56 @@ def test_components_of_a_long_chain(spark):
     assert all(got[i] == 0 for i in range(101)) and got[501] == 500
 
 
-def test_pivots_join_what_the_first_node_does_not_link(spark):
-    # 0 is alike with none; the others form a ring of near values in one key
-    values = {i: i for i in range(1, 40)} | {0: 1000}
-    entries = spark.createDataFrame([(9, i) for i in values], "key long, node long")
+def test_components_of_several_partitions(spark):
+    draw = random.Random(2)
+    pairs = [(draw.randrange(3000), draw.randrange(3000)) for _ in range(1500)] + [(i + 1, i) for i in range(5000, 5400)]
+    roots = closed(6000, pairs)
+    links = spark.createDataFrame(pairs, "a long, b long")
+    got = {r.node: r.component for r in linking.components(links, part_links=100).collect()}
+    assert got == {i: roots[i] for a, b in pairs if a != b for i in (a, b)}
+
+
+@pytest.mark.parametrize("items", [10**6, 60])
+def test_every_link_of_a_group_is_found(spark, items):
+    # a chain of near sets in one key, a stranger, and a second chain that shares its middle
+    sets = {i: np.arange(i, i + 20) for i in range(1, 40)} | {0: np.arange(900, 920)}
+    sets |= {100 + i: np.concatenate([np.arange(500 + i, 515 + i), np.arange(5)]) for i in range(0, 12, 2)}
+    entries = spark.createDataFrame([(9, i) for i in sets], "key long, node long")
     payloads = spark.createDataFrame(
-        [(i, str(v).encode(), 10) for i, v in values.items()], "node long, payload binary, size long"
+        [(i, x.astype(np.uint64).tobytes(), len(x)) for i, x in sets.items()], "node long, payload binary, size long"
     )
     labels = linking.link(
-        entries, lambda nodes: payloads.join(nodes, "node"), lambda a, b: abs(int(a) - int(b)) == 1, 80
+        entries, lambda nodes: payloads.join(nodes, "node"), lambda x: np.frombuffer(x, np.uint64), 80, items
     )
-    got = {r.node: r.component for r in labels.collect()}
-    assert got[0] == 0 and {got[i] for i in range(1, 40)} == {1}
+    names = sorted(sets)
+    roots = closed(len(names), [
+        (i, j) for i, j in combinations(range(len(names)), 2)
+        if 100 * len(x := {*sets[names[i]]} & {*sets[names[j]]}) >= 80 * (len({*sets[names[i]]} | {*sets[names[j]]}))
+    ])
+    assert {r.node: r.component for r in labels.collect()} == {n: names[r] for n, r in zip(names, roots)}
+
+
+def test_links_of_random_groups_equal_brute_force():
+    draw = np.random.default_rng(4)
+    for n in (2, 30, 300):
+        base = draw.integers(0, 10**6, 60)
+        sets = []
+        for _ in range(n):
+            x = base.copy()
+            some = draw.random(60) < draw.choice([0.02, 0.1, 0.2])
+            x[some] = draw.integers(0, 40, some.sum())
+            sets.append(np.unique(np.concatenate([x, draw.integers(0, 10**6, draw.integers(0, 9))])).astype(np.uint64))
+        whole = [{*x.tolist()} for x in sets]
+        links = [
+            (i, j) for i, j in combinations(range(n), 2)
+            if 100 * len(whole[i] & whole[j]) >= 80 * len(whole[i] | whole[j])
+        ]
+        found = linking.alike_in_group(sets, 80)
+        assert set(found) <= set(links) and closed(n, found) == closed(n, links)
 
 
 def jaccard_lines(a, b):
-    x, y = ({s[i : i + 8] for i in range(len(s) - 7)} for s in (a, b))
+    x, y = ({s[i : i + 8] for i in range(max(1, len(s) - 7))} for s in (a, b))
     return 100 * len(x & y) >= 80 * len(x | y)
 
 
@@ -120,9 +156,9 @@ def test_line_dedup_matches_brute_force(docs, corpus):
     for r in corpus:
         before.setdefault(r[0], []).append(r[1])
     for r in got:
-        kept = None if r.text is None else r.text.split("\n")
+        # a text of which nothing is left is empty, like a text of one empty line
         assert any(
-            (kept is None) == (t is None) and (t is None or _removed(t.split("\n"), kept, r.n_lines_removed))
+            (r.text is None) == (t is None) and (t is None or _removed(t, r.text, r.n_lines_removed))
             for t in before[r.doc_id]
         )
     rest = [x for r in got if r.doc_id is not None for _, x in line_dedup.eligible((r.text or "").encode())]
@@ -130,7 +166,10 @@ def test_line_dedup_matches_brute_force(docs, corpus):
     assert all(x in {y for _, y in line_dedup.eligible(corpus[7][1].encode())} for x in twice)
 
 
-def _removed(before, kept, n):
+def _removed(text, left, n):
+    before, kept = text.split("\n"), left.split("\n")
+    if len(before) == n:
+        return left == ""
     rest = iter(before)
     return len(before) - len(kept) == n and all(x in rest for x in kept)
 
