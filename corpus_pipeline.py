@@ -12,7 +12,6 @@ have; an empty table stays empty.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from assayline.llm import decontamination, line_dedup, minhash_dedup, mixing, quality_classifier
 from assayline.session import shared_folder
@@ -24,14 +23,12 @@ ORACLE_SQL = None
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_classifier.classify(docs, labels).where("not rejected").select(*docs.columns)
+    return quality_classifier.keep(docs, labels)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each component of alike lines once; ``n_chars`` follows the text."""
-    kept = line_dedup.dedup_lines(docs)
-    size = F.when(F.col("n_lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return kept.withColumn("n_chars", size).select(*docs.columns)
+    return line_dedup.without_repeats(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
