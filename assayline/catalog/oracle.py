@@ -541,6 +541,27 @@ SELECT o.sample_id, f.f AS factual_accuracy_score, coalesce(c.ok, 0) AS verified
        coalesce(c.n, 0) AS total
 FROM outs o JOIN f_scores f USING (sample_id) LEFT JOIN f_counts c USING (sample_id)""")
 
+_add("corpus_as_knowledge", _with(
+    _sentences("tsents", "conversations", "text", "conv_id, turn"),
+    _tokens("ttok", "tsents", "s", "conv_id, turn, pos"),
+    _sentences("dsents", "documents", "text", "doc_id"),
+    _tokens("dtok", "dsents", "s", "doc_id, pos")) + """,
+tlen AS (SELECT conv_id, turn, pos, count(*) AS n FROM ttok GROUP BY ALL),
+dlen AS (SELECT doc_id, pos, count(*) AS n FROM dtok GROUP BY ALL),
+common AS (
+  SELECT t.conv_id, t.turn, t.pos, d.doc_id, d.pos AS fact, count(*) AS n
+  FROM ttok t JOIN dtok d USING (tok) GROUP BY ALL),
+near AS (
+  SELECT c.conv_id, c.turn, c.pos, c.doc_id * 100000 + c.fact AS fact_id,
+         c.n / sqrt((t.n * d.n)::DOUBLE) AS similarity
+  FROM common c JOIN tlen t USING (conv_id, turn, pos) JOIN dlen d ON d.doc_id = c.doc_id AND d.pos = c.fact),
+best AS (
+  SELECT conv_id, turn, pos, similarity, fact_id FROM near WHERE similarity >= 0.65::DOUBLE
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn, pos ORDER BY similarity DESC, fact_id) = 1)
+SELECT c.conv_id, c.turn, (SELECT count(*) FROM tsents s WHERE s.conv_id = c.conv_id AND s.turn = c.turn) AS sentences,
+       count(b.fact_id) AS known, coalesce(sum(b.fact_id), 0)::BIGINT AS fact_ids, max(b.similarity) AS best
+FROM conversations c LEFT JOIN best b USING (conv_id, turn) GROUP BY ALL""")
+
 # --- safety -----------------------------------------------------------------------------
 _SAFE = _with(SAMPLES, SAFETY)
 _add("result_record", _SAFE + f""",
@@ -876,7 +897,9 @@ SELECT suite_id, lang, evaluator, {r('md', 6)} AS mean_diff, {r('effect', 6)} AS
 FROM compared""")
 _add("paired_ttest", _BY_SUITE + f"""
 SELECT suite_id, evaluator,
-       CASE WHEN t IS NOT NULL THEN {r('t', 6)} END AS t_statistic,
+       -- equal differences have no spread: t is infinite, as a paired test returns it
+       CASE WHEN t IS NOT NULL THEN {r('t', 6)} WHEN md > 0 THEN 'inf'::DOUBLE
+            WHEN md < 0 THEN '-inf'::DOUBLE END AS t_statistic,
        CASE WHEN p IS NOT NULL THEN {r('p', 6)} END AS p_value
 FROM compared WHERE n >= 30""")
 _add("wilcoxon_signed_rank", _BY_SUITE_LANG + f"""

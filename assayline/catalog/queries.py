@@ -533,6 +533,27 @@ def knowledge_base_union(spark, sf):
     )
 
 
+@query
+def corpus_as_knowledge(spark, sf):
+    """Every sentence of every turn against the sentences of all documents as facts."""
+    from ..operators.knowledge import match_with_knowledge
+
+    facts = given.documents(spark, sf).select(
+        "doc_id", F.posexplode(text.split_sentences(F.col("text"))).alias("pos", "fact")
+    ).select((F.col("doc_id") * 100_000 + F.col("pos")).alias("fact_id"), "fact")
+    turns = given.table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 100_000 + F.col("turn")).alias("sample_id"), F.col("text").alias("generated"),
+        F.lit("").alias("source"), "conv_id", "turn",
+    )
+    matched = match_with_knowledge(turns, facts)
+    found = F.filter("claim_matches", lambda m: m["fact_id"].isNotNull())
+    return matched.select(
+        "conv_id", "turn", _long(F.size("claim_matches")).alias("sentences"), _long(F.size(found)).alias("known"),
+        F.aggregate(found, F.lit(0).cast("long"), lambda a, m: a + m["fact_id"]).alias("fact_ids"),
+        F.array_max(F.transform(found, lambda m: m["similarity"])).alias("best"),
+    )
+
+
 @query
 def factual_score(spark, sf):
     scored = evaluate(given.samples(spark, sf), names=["factual_accuracy"])

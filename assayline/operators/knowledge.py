@@ -1,28 +1,89 @@
-"""Claims against a knowledge base that is a table.
-
-The size of the table is measured first. A small one travels with the matching function. A
-large one is cut into blocks of some hundred facts; every block meets the sentences of every
-sample in a salted equi-join, is compared as one array operation, and only the best match of
-each sentence goes on, through a maximum that combines on the map side. Both ways give the
-same rows.
+"""Claims against a knowledge base that is a table: a set-cosine join over an inverted index.
+
+A fact is evidence for a sentence when the cosine of their word sets is at least ``floor``, below
+which no claim is supported. Both sides are reduced to distinct word sets, and each set is
+indexed by its rarest words only: with cosine c, two sets of n and m words share at least
+c**2 * max(n, m) of them, so one of the first n - ceil(c**2 * n) + 1 words of either, in one
+order for all sets, is common. The order puts the ``FREQUENT`` most frequent words of the facts
+last, by frequency, so that they are seldom looked up; all other words come first.
+Sets whose sizes are too far apart never meet, a pair that shares several indexed words is
+compared at the first of them only, and the best fact per sentence combines on the map
+side. There is one path for few and for many facts; only the bounded list of frequent
+words is sent to the tasks.
 """
 
 from __future__ import annotations
 
-import json
-import math
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexical import best_matches, token_set
-from ..settings import Slot
+from ..settings import FactualSettings, Slot
 from .shared import source_column, with_shared, without_shared
 
-MAX_LOCAL_FACTS = 2_000
-MAX_LOCAL_CHARS = 2_000_000
-BLOCK_FACTS = 512
-SALTS = 64
+FREQUENT = 10_000
+# keeps a product that is a whole number from being rounded up by its last bit
+_SLACK = 1e-9
+
+
+def frequent_words(facts: DataFrame, most: int = FREQUENT) -> list[str]:
+    """The most frequent words of ``words`` sets, most frequent last."""
+    counts = facts.select(F.explode("words").alias("word")).groupBy("word").count()
+    top = counts.where("count > 1").orderBy(F.desc("count"), "word").limit(most).collect()
+    return [r["word"] for r in reversed(top)]
+
+
+def indexed_words(words: Column, frequent: list[str], floor: float) -> Column:
+    """The words of a sorted set by which it has to be found, in the order of all sets."""
+    known = pa.array(frequent, pa.string())
+
+    def prefixes(sets: pa.Array) -> pa.Array:
+        sizes = sets.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = sets.flatten()
+        rank = pc.index_in(words, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((rank, row))  # stable: unranked words keep the order of the set
+        length = np.where(sizes > 0, sizes - np.ceil(floor * floor * sizes - _SLACK).astype(np.int64) + 1, 0)
+        place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        kept = order[place < length[row]]
+        offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), words.take(pa.array(kept)).cast(pa.string()))
+
+    return F.arrow_udf(prefixes, "array<string>").asNondeterministic()(words)
+
+
+def indexed(sets: DataFrame, frequent: list[str], floor: float) -> DataFrame:
+    """``words`` sets with their size ``n`` and ``prefix``, the words by which they have to be found."""
+    return sets.where(F.size("words") > 0).withColumn("n", F.size("words")).withColumn(
+        "prefix", indexed_words(F.col("words"), frequent, floor)
+    )
+
+
+def similar_sets(sentences: DataFrame, facts: DataFrame, floor: float, most: int = FREQUENT) -> DataFrame:
+    """``words, similarity, fact_id``: the best fact of every ``words`` set that has one.
+
+    ``facts`` has ``fact_id, words``, one row per set; equal similarities go to the smaller id.
+    """
+    frequent = frequent_words(facts, most)
+    asked, known = indexed(sentences, frequent, floor), indexed(facts, frequent, floor)
+    probes = asked.select("words", "n", "prefix", F.explode("prefix").alias("word"))
+    index = known.select(
+        "fact_id", F.col("words").alias("f_words"), F.col("n").alias("f_n"), F.col("prefix").alias("f_prefix"),
+        F.explode("prefix").alias("word"),
+    )
+    low = F.lit(floor * floor) * F.greatest("n", "f_n") - F.lit(_SLACK)
+    first = F.get(F.array_intersect("prefix", "f_prefix"), F.lit(0))
+    met = probes.join(index, "word").where((F.least("n", "f_n") >= low) & (F.col("word") == first))
+    shared = F.size(F.array_intersect("words", "f_words"))
+    similarity = shared / F.sqrt((F.col("n") * F.col("f_n")).cast("double"))
+    return (
+        met.select("words", "fact_id", similarity.alias("similarity")).where(F.col("similarity") >= floor)
+        .groupBy("words").agg(F.max(F.struct("similarity", (-F.col("fact_id")).alias("back"))).alias("m"))
+        .select("words", "m.similarity", (-F.col("m.back")).alias("fact_id"))
+    )
 
 
 def match_with_knowledge(
@@ -31,94 +92,44 @@ def match_with_knowledge(
     slot: Slot = Slot(),
     key: str = "sample_id",
     out: str = "claim_matches",
-    max_local_facts: int = MAX_LOCAL_FACTS,
+    floor: float = FactualSettings().textual_threshold,
+    most_frequent: int = FREQUENT,
 ) -> DataFrame:
     """Add the best evidence per kept sentence: array<struct<similarity, position, fact_id>>.
 
-    ``facts`` has fact_id, a unique long, and fact. Source sentences come first, then facts
-    by id; the first best one wins. ``position`` is null when the evidence is a fact.
+    ``facts`` has fact_id, a unique long, and fact; ``key`` is unique. The row's own source comes
+    first; a fact wins where it is more similar and reaches ``floor``, the smallest id among
+    equal ones. ``position`` is null when the evidence is a fact. Facts without words, null ones
+    included, are never evidence.
     """
-    size = facts.agg(F.count("*").alias("n"), F.sum(F.length("fact")).alias("chars")).first()
+    if not 0 < floor <= 1:
+        raise ValueError("the floor has to be above 0 and at most 1")
     df = with_shared(samples, slot)
-    if size["n"] <= max_local_facts and (size["chars"] or 0) <= MAX_LOCAL_CHARS:
-        df = _with_local_facts(df, facts, slot, out)
-    else:
-        df = _with_fact_blocks(df, facts, slot, key, out, math.ceil(size["n"] / BLOCK_FACTS))
-    return without_shared(df)
-
-
-def _entry(similarity: Column, position: Column, fact_id: Column) -> Column:
-    return F.struct(
-        similarity.alias("similarity"),
-        position.cast("int").alias("position"),
-        fact_id.cast("long").alias("fact_id"),
-    )
-
-
-def _with_local_facts(df: DataFrame, facts: DataFrame, slot: Slot, out: str) -> DataFrame:
-    local = sorted((r["fact_id"], r["fact"]) for r in facts.select("fact_id", "fact").collect())
-    ids = F.from_json(F.lit(json.dumps([i for i, _ in local])), "array<long>")
-    own = source_column(slot, "sentence_tokens")
-    matches = best_matches(F.col(slot.temp("sentence_tokens")), F.col(own), [f for _, f in local])
-    n_own = F.size(own)
-    return df.withColumn("_matches", matches).withColumn(
-        out,
-        F.transform(
-            "_matches",
-            lambda m: _entry(
-                m["similarity"],
-                F.when(m["position"] < n_own, m["position"]),
-                F.get(ids, F.when(m["position"] >= n_own, m["position"] - n_own)),
-            ),
-        ),
+    own = best_matches(
+        F.col(slot.temp("sentence_tokens")), F.col(source_column(slot, "sentence_tokens"))
     )
-
-
-def _with_fact_blocks(
-    df: DataFrame, facts: DataFrame, slot: Slot, key: str, out: str, n_blocks: int
-) -> DataFrame:
-    block = F.pmod(F.xxhash64("fact_id"), F.lit(n_blocks)).cast("int").alias("block")
-    blocks = (
-        facts.select("fact_id", token_set(F.col("fact")).alias("tokens"), block)
-        .groupBy("block")
-        .agg(F.array_sort(F.collect_list(F.struct("fact_id", "tokens"))).alias("facts"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sets = (
+        facts.select(F.col("fact_id").cast("long"), F.array_sort(token_set(F.col("fact"))).alias("words"))
+        .where(F.size("words") > 0).groupBy("words").agg(F.min("fact_id").alias("fact_id"))
     )
     asked = df.select(
-        key,
-        F.col(slot.temp("sentence_tokens")).alias("sentences"),
-        F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("salt"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"),
-    )
-    found = best_matches(F.col("sentences"), F.transform("facts", lambda f: f["tokens"]))
-    met = asked.join(blocks, ["block", "salt"]).withColumn("found", found)
-    best = (
-        met.select(key, "facts", F.posexplode("found").alias("sentence", "m"))
-        .select(
-            key,
-            "sentence",
-            F.struct(
-                F.col("m.similarity").alias("similarity"),
-                (-F.get("facts", F.col("m.position"))["fact_id"]).alias("back"),
-            ).alias("match"),
-        )
-        .groupBy(key, "sentence")
-        .agg(F.max("match").alias("match"))
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("sentence", "match"))).alias("_from_facts"))
-    )
-    own = best_matches(
-        F.col(slot.temp("sentence_tokens")), F.col(source_column(slot, "sentence_tokens"))
+        F.col(f"`{key}`").alias("key"), F.posexplode(slot.temp("sentence_tokens")).alias("sentence", "tokens")
+    ).select("key", "sentence", F.array_sort("tokens").alias("words"))
+    best = similar_sets(asked.select("words").distinct(), sets, floor, most_frequent)
+    per_row = (
+        asked.join(best, "words").groupBy("key")
+        .agg(F.map_from_entries(F.collect_list(F.struct("sentence", F.struct("similarity", "fact_id")))).alias("_from_facts"))
+        .withColumnRenamed("key", "_key")
     )
 
-    def better(a: Column, b: Column) -> Column:
-        theirs = b["match"]
-        return F.when(
-            theirs["similarity"] > a["similarity"],
-            _entry(theirs["similarity"], F.lit(None), -theirs["back"]),
-        ).otherwise(_entry(a["similarity"], a["position"], F.lit(None)))
+    def better(mine: Column, i: Column) -> Column:
+        fact = F.try_element_at("_from_facts", i)
+        wins = F.coalesce(fact["similarity"] > mine["similarity"], F.lit(False))
+        return F.struct(
+            F.when(wins, fact["similarity"]).otherwise(mine["similarity"]).alias("similarity"),
+            F.when(~wins, mine["position"]).cast("int").alias("position"),
+            F.when(wins, fact["fact_id"]).cast("long").alias("fact_id"),
+        )
 
-    nothing = F.array().cast(best.schema["_from_facts"].dataType)
-    return df.withColumn("_own", own).join(best, key, "left").withColumn(
-        out, F.zip_with("_own", F.coalesce("_from_facts", nothing), better)
-    )
+    joined = df.withColumn("_own", own).join(per_row, F.col(f"`{key}`") == F.col("_key"), "left")
+    return without_shared(joined.withColumn(out, F.transform("_own", better)), [*samples.columns, out])

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from assayline.functions import brand
 from assayline.functions.lexical import best_matches, sentence_grounding
+from assayline.functions.text import split_sentences
 from assayline.functions.vectors import best_vector_matches, vector_cosines
 from assayline.operators import quality
 from assayline.operators.hallucination import nli_label
-from assayline.operators.knowledge import match_with_knowledge
+from assayline.operators.knowledge import indexed, match_with_knowledge
 from assayline.operators.registry import (
     available_evaluators, enabled_evaluators, evaluate, get_evaluator, register, unregister,
 )
@@ -281,19 +282,61 @@ def test_signed_numbers_and_first_match_and_knowledge(spark):
     assert r["factual_accuracy_sub_scores"]["numerical_accuracy"] == 0.0
 
 
-def test_knowledge_table_gives_the_same_matches_either_way(spark):
-    facts = spark.createDataFrame(
-        [(i * 7, f"fact number w{i % 5} about topic w{i % 11}") for i in range(1500)],
-        "fact_id long, fact string")
-    df = rows(spark, [("Fact number w3 about topic w4. Entirely other words here.",
-                       "Entirely other words here.", "", CALM),
-                      ("", "nothing", "", CALM), ("Topic w9 about fact number.", "x", "", CALM)])
-    local = match_with_knowledge(df, facts)
-    blocks = match_with_knowledge(df, facts, max_local_facts=0)
-    key = lambda d: [(r["sample_id"], r["claim_matches"]) for r in d.orderBy("sample_id").collect()]
-    assert key(local) == key(blocks)
-    r = evaluate(local, Slot(claim_matches="claim_matches"), names=["factual_accuracy"])
+def plain_words(text):
+    return sorted(set(re.findall(r"\w+", (text or "").lower())))
+
+
+@pytest.mark.parametrize("floor", [0.65, 0.3, 1.0])
+@pytest.mark.parametrize("most_frequent", [0, 3, 10_000])
+def test_knowledge_join_equals_every_pair(spark, floor, most_frequent):
+    draw = random.Random(11)
+    words = [f"w{i}" for i in range(30)] + ["common"] * 15 + ["often"] * 9
+    text = lambda n: " ".join(draw.choice(words) for _ in range(n))
+    facts = [(i * 7, text(draw.randint(1, 9))) for i in range(300)] + [(5000, None), (5001, ""), (3, "W1 w2 w1")]
+    given = [". ".join(text(draw.randint(3, 9)).capitalize() for _ in range(draw.randint(0, 4))) for _ in range(40)]
+    given += [None, "", "Short.", facts[5][1] + " and no more"]
+    df = spark.createDataFrame(
+        [(i, g, facts[i % 300][1], "x") for i, g in enumerate(given)],
+        "sample_id long, generated string, source string, words string",
+    )
+    got = match_with_knowledge(
+        df, spark.createDataFrame(facts, "fact_id long, fact string"), floor=floor, most_frequent=most_frequent
+    )
+    assert got.columns == [*df.columns, "claim_matches"]
+    own = match_with_knowledge(df, spark.createDataFrame([], "fact_id long, fact string"))
+    sentences = df.select("sample_id", split_sentences(F.col("generated")).alias("s"))
+    known = [(i, plain_words(f)) for i, f in facts if plain_words(f)]
+    mine = {r.sample_id: r.claim_matches for r in own.collect()}
+    found = {r.sample_id: r.claim_matches for r in got.collect()}
+    for r in sentences.collect():
+        for i, sentence in enumerate(r.s or []):
+            x = plain_words(sentence)
+            sims = [(len({*x} & {*y}) / math.sqrt(len(x) * len(y)), -j) for j, y in known] if x else []
+            best = max(sims, default=(0, 0))
+            want = mine[r.sample_id][i]
+            if best[0] >= floor and best[0] > want["similarity"]:
+                assert tuple(found[r.sample_id][i]) == (best[0], None, -best[1])
+            else:
+                assert found[r.sample_id][i] == want
+    assert any(m["fact_id"] is not None for ms in found.values() for m in ms or []) or floor == 1.0
+
+
+def test_facts_support_claims(spark):
+    facts = spark.createDataFrame([(4, "Copper melts late"), (9, "late melts copper")], "fact_id long, fact string")
+    df = rows(spark, [("Copper melts late.", "Something else entirely.", "", CALM), ("", "nothing", "", CALM)])
+    matched = match_with_knowledge(df, facts)
+    assert matched.orderBy("sample_id").first()["claim_matches"][0]["fact_id"] == 4
+    r = evaluate(matched, Slot(claim_matches="claim_matches"), names=["factual_accuracy"])
     assert r.orderBy("sample_id").first()["factual_accuracy_sub_scores"]["textual_accuracy"] == 1.0
+    with pytest.raises(ValueError):
+        match_with_knowledge(df, facts, floor=0.0)
+
+
+def test_indexed_words_are_few_and_rare(spark):
+    sets = spark.createDataFrame([(["a", "b", "c", "d", "e"],), (["d"],)], "words array<string>")
+    got = [r.prefix for r in indexed(sets, ["b", "a"], 0.8).collect()]
+    # 5 - ceil(0.64 * 5) + 1 words; frequent ones come last
+    assert got == [["c", "d"], ["d"]]
 
 
 # --- registry and records

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 from assayline.catalog import fixtures
+from assayline.catalog.oracle import ORACLE
+from assayline.catalog.queries import QUERIES
 from assayline.plans import report
 from assayline.session import shared_folder
 from assayline.settings import Settings
@@ -158,7 +160,7 @@ def test_pair_fixture_has_the_surveyed_counts(spark):
     sf = "/root/testdata/sf0.01"
     rating = entry_point.queries()["content_rating"](spark, sf)
     got = {r["rating"]: r["n"] for r in rating.groupBy("rating").agg(F.sum("n").alias("n")).collect()}
-    assert got == {"G": 153, "PG": 314, "PG-13": 16, "R": 17}
+    assert got == {"G": 328, "PG": 594, "PG-13": 26, "R": 52}
     claims = entry_point.queries()["verify_numerical"](spark, SF)
     assert claims.filter("verified").count() == 1125 and claims.count() == 1500
 
@@ -195,5 +197,6 @@ def test_oracle(spark, name):
     assert len(got) > 0 and sorted(got, key=repr) == sorted(want, key=repr)
 
 
-def test_every_query_but_the_span_check_has_an_oracle():
-    assert set(entry_point.queries()) - set(entry_point.oracle_sql()) <= {"match_spans"}
+def test_every_query_of_the_library_has_an_oracle():
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry_point.queries()) and set(ORACLE) <= set(entry_point.oracle_sql())
