@@ -341,10 +341,9 @@ def policy_only(spark, sf):
     docs = given.documents(spark, sf)
     terms = brand.count_word_rules(F.col("text"), brand.TERM, given.CORPUS_TERMS)
     pii = F.size(pii_matches(F.col("text")))
-    return docs.groupBy(F.col("source").alias("suite_id")).agg(
-        F.sum(_long(terms)).alias("term_hits"),
-        F.sum(_long(pii)).alias("pii_hits"),
-        F.count_if((terms == 0) & (pii == 0)).alias("clean"),
+    found = docs.select(F.col("source").alias("suite_id"), _long(terms).alias("t"), _long(pii).alias("p"))
+    return found.groupBy("suite_id").agg(
+        F.sum("t").alias("term_hits"), F.sum("p").alias("pii_hits"), F.count_if(F.expr("t = 0 and p = 0")).alias("clean")
     )
 
 

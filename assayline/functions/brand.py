@@ -1,8 +1,8 @@
 """Brand rules: forbidden terms, forbidden topics, competitor names.
 
-The rules are configuration, held as one array literal. Each text is scanned with a plain
-substring search first; only the rules whose words occur at all run their regex. The plan
-therefore stays the same size for ten rules or ten thousand.
+The rules are configuration, held as one array literal, so the plan stays the same size for ten
+rules or ten thousand. Terms and topics are whole words: all of them are found in one pass
+over a text (see ``functions.rules``). Competitor names are substrings.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .expr import array_sum, empty_array, let
-from .text import spans, word_pattern
+from .expr import empty_array, let
+from .rules import count_by_rule, rule_matches
 
 # The rules used when a configured list is missing or empty.
 DEFAULT_FORBIDDEN_TERMS = (
@@ -27,12 +27,7 @@ DEFAULT_FORBIDDEN_TOPICS = ("politics", "religion", "gambling", "weapons")
 TERM, TOPIC, COMPETITOR = "forbidden_term", "forbidden_topic", "competitor_mention"
 _NAME_KEY = {TERM: "term", TOPIC: "topic", COMPETITOR: "name"}
 
-# Capitals that no lower-case letter maps to: they are lowered before the text is raised.
-_UPPER_ONLY = "\u212a\u212b\u2126\u0130\u1e9e\u03f4"
-_UPPER_ONLY_LOWERED = "k\u00e5\u03c9i\u00df\u03b8"
-_LOWERED = str.maketrans(_UPPER_ONLY, _UPPER_ONLY_LOWERED)
-
-_RULE_TYPE = "array<struct<value:string,needle:string,pattern:string,label:string>>"
+_RULE_TYPE = "array<struct<value:string,needle:string,label:string>>"
 VIOLATION_TYPE = "struct<type:string,value:string,start:int,end:int,message:string>"
 
 
@@ -48,8 +43,7 @@ def _rule_array(kind: str, values: Sequence[str]) -> Column:
     rules = [
         {
             "value": v,
-            "needle": v.lower() if kind == COMPETITOR else v.translate(_LOWERED).upper(),
-            "pattern": word_pattern(v),
+            "needle": v.lower(),
             "label": f"{{'type': '{kind}', '{_NAME_KEY[kind]}': {v!r}",
         }
         for v in values
@@ -57,65 +51,53 @@ def _rule_array(kind: str, values: Sequence[str]) -> Column:
     return F.from_json(F.lit(json.dumps(rules)), _RULE_TYPE)
 
 
-def _fold(text: Column) -> Column:
-    """Case folding that maps every letter a case-insensitive match treats as equal."""
-    return F.upper(F.translate(text, _UPPER_ONLY, _UPPER_ONLY_LOWERED))
-
-
-def _applicable(text: Column, kind: str, values: Sequence[str]) -> Column:
-    haystack = F.lower(text) if kind == COMPETITOR else _fold(text)
+def _named(text: Column, names: Sequence[str]) -> Column:
+    """The competitors whose name occurs in a text."""
     return let(
-        haystack,
-        lambda h: F.filter(_rule_array(kind, values), lambda r: F.contains(h, r["needle"])),
+        F.lower(text),
+        lambda h: F.filter(_rule_array(COMPETITOR, names), lambda r: F.contains(h, r["needle"])),
     )
 
 
 def count_word_rules(text: Column, kind: str, values: Sequence[str]) -> Column:
     """Whole-word occurrences of all rules together."""
-    if not values:
-        return F.lit(0)
-    hits = F.transform(
-        _applicable(text, kind, values),
-        lambda r: F.regexp_count(text, r["pattern"]).cast("double"),
-    )
-    return array_sum(hits).cast("int")
+    return F.size(rule_matches(text, values)) if values else F.lit(0)
 
 
 def count_competitors(text: Column, names: Sequence[str]) -> Column:
     """Competitors named at least once, as a case-folded substring."""
     if not names:
         return F.lit(0)
-    return F.size(_applicable(text, COMPETITOR, names))
+    return F.size(_named(text, names))
 
 
-def word_violations(text: Column, kind: str, values: Sequence[str]) -> Column:
-    """One entry per occurrence, rules in configured order."""
+def word_violations(matches: Column, kind: str, values: Sequence[str], first: int = 0) -> Column:
+    """One entry per match of the rules ``values``, which count from ``first``, in rule order."""
     if not values:
         return empty_array(VIOLATION_TYPE)
 
-    def occurrences(r: Column) -> Column:
-        return F.transform(
-            spans(text, r["pattern"]),
-            lambda s: F.struct(
-                F.lit(kind).alias("type"),
-                r["value"].alias("value"),
-                s["start"].alias("start"),
-                s["end"].alias("end"),
-                F.concat(
-                    F.lit("Brand violation: "), r["label"], F.lit(", 'span': ("),
-                    s["start"].cast("string"), F.lit(", "), s["end"].cast("string"), F.lit(")}"),
-                ).alias("message"),
-            ),
+    def violation(rules: Column, m: Column) -> Column:
+        r = F.get(rules, m["rule"] - first)
+        return F.struct(
+            F.lit(kind).alias("type"),
+            r["value"].alias("value"),
+            m["start"].alias("start"),
+            m["end"].alias("end"),
+            F.concat(
+                F.lit("Brand violation: "), r["label"], F.lit(", 'span': ("),
+                m["start"].cast("string"), F.lit(", "), m["end"].cast("string"), F.lit(")}"),
+            ).alias("message"),
         )
 
-    return F.flatten(F.transform(_applicable(text, kind, values), occurrences))
+    own = F.filter(matches, lambda m: m["rule"].between(first, first + len(values) - 1))
+    return let(_rule_array(kind, values), lambda rules: F.transform(own, lambda m: violation(rules, m)))
 
 
 def competitor_violations(text: Column, names: Sequence[str]) -> Column:
     if not names:
         return empty_array(VIOLATION_TYPE)
     return F.transform(
-        _applicable(text, COMPETITOR, names),
+        _named(text, names),
         lambda r: F.struct(
             F.lit(COMPETITOR).alias("type"),
             r["value"].alias("value"),
@@ -130,17 +112,16 @@ def violations_by_rule(text: Column, kind: str, values: Sequence[str]) -> Column
     """array<struct<value, hits>> for the rules that hit the text."""
     if kind == COMPETITOR:
         return F.transform(
-            _applicable(text, kind, values),
+            _named(text, values),
             lambda r: F.struct(r["value"].alias("value"), F.lit(1).cast("long").alias("hits")),
         )
-    counted = F.transform(
-        _applicable(text, kind, values),
-        lambda r: F.struct(
-            r["value"].alias("value"),
-            F.regexp_count(text, r["pattern"]).cast("long").alias("hits"),
-        ),
+    if not values:
+        return empty_array("struct<value:string,hits:bigint>")
+    rules = _rule_array(kind, values)
+    return F.transform(
+        count_by_rule(rule_matches(text, values)),
+        lambda c: F.struct(F.get(rules, c["rule"])["value"].alias("value"), c["hits"].alias("hits")),
     )
-    return F.filter(counted, lambda c: c["hits"] > 0)
 
 
 def brand_score(violations: Column) -> Column:

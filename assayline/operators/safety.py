@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import brand
+from ..functions.expr import count_where
 from ..functions.pii import pii_matches
 from ..functions.rounding import format_fixed, round_entries
+from ..functions.rules import rule_matches
 from ..functions.text import excerpt
 from ..schema import CRITICAL, WARNING, flag
 from ..settings import SafetySettings, Slot
@@ -33,17 +35,17 @@ def evaluate_safety(
     df = df.withColumns(
         {
             slot.temp("pii"): pii_matches(text),
-            slot.temp("terms"): brand.count_word_rules(text, brand.TERM, terms),
-            slot.temp("topics"): brand.count_word_rules(text, brand.TOPIC, topics),
+            slot.temp("rule_matches"): rule_matches(text, (*terms, *topics)),
             slot.temp("competitors"): brand.count_competitors(text, competitors),
             slot.temp("high_toxicity"): high_toxicity(toxicity, settings.toxicity_threshold),
             slot.temp("max_toxicity"): brand.max_toxicity(toxicity),
         }
     )
-    pii = F.col(slot.temp("pii"))
+    pii, matches = F.col(slot.temp("pii")), F.col(slot.temp("rule_matches"))
+    n_terms = count_where(matches, lambda m: m["rule"] < len(terms))
     per_kind = {
-        brand.TERM: F.col(slot.temp("terms")),
-        brand.TOPIC: F.col(slot.temp("topics")),
+        brand.TERM: n_terms,
+        brand.TOPIC: F.size(matches) - n_terms,
         brand.COMPETITOR: F.col(slot.temp("competitors")),
     }
     n_brand = sum(per_kind.values(), F.lit(0))
@@ -53,8 +55,8 @@ def evaluate_safety(
 
     def violations() -> Column:
         return F.concat(
-            brand.word_violations(text, brand.TERM, terms),
-            brand.word_violations(text, brand.TOPIC, topics),
+            brand.word_violations(matches, brand.TERM, terms),
+            brand.word_violations(matches, brand.TOPIC, topics, len(terms)),
             brand.competitor_violations(text, competitors),
         )
 
