@@ -169,6 +169,63 @@ CORPUS_TOPICS = ("mit", "une")
 CORPUS_COMPETITORS = ("tion", "SCH")
 
 
+def pair_model():
+    """A stand-in for an entailment model, by the lengths of source and sentence.
+
+    It refuses sentences with a percent sign, as a model may fail on odd input.
+    """
+
+    def probabilities(pairs):
+        out = []
+        for source, sentence in pairs:
+            if "%" in sentence:
+                raise ValueError("the model refused a sentence")
+            con = (len(sentence) * 7 + len(source)) % 64
+            ent = (len(sentence) * 11 + len(source) * 3) % 64
+            out.append([con / 128, ent / 128, (128 - con - ent) / 128])
+        return out
+
+    return probabilities
+
+
+def fragile_model():
+    """The letter counts, but texts with an at sign raise, and such with a percent sign get short vectors."""
+    embed = letter_model()
+
+    def vectors(texts):
+        if any("@" in t for t in texts):
+            raise ValueError("the model refused a text")
+        return [v[:5] if "%" in t else v for t, v in zip(texts, embed(texts), strict=True)]
+
+    return vectors
+
+
+def toxicity_model():
+    """A stand-in for a toxicity model, by the length of the text; it refuses texts with an at sign."""
+
+    def score(texts):
+        if any("@" in t for t in texts):
+            raise ValueError("the model refused a text")
+        return [{"toxicity": len(t) % 64 / 64, "insult": len(t) % 16 / 16} for t in texts]
+
+    return score
+
+
+def strict_scorer():
+    """A user's evaluator over batches: half the score for a text with a bar, an error for one with an at sign."""
+
+    def score(rows):
+        out = []
+        for row in rows:
+            if "@" in row["text"]:
+                raise RuntimeError("no addresses, please")
+            barred = "|" in row["text"]
+            out.append({"score": 0.5 if barred else 1.0, "passed": not barred, "categories": ["strict:bar"] if barred else []})
+        return out
+
+    return score
+
+
 def letter_model():
     """A deterministic stand-in for an embedding model: the counts of the letters a to z."""
     import numpy as np

@@ -645,6 +645,34 @@ SELECT o.sample_id, count(l.pos) AS num_sentences,
        count(*) FILTER (l.label = 'contradiction') AS num_contradictions,
        count(*) FILTER (l.ent < 0.3::DOUBLE AND l.sim < 0.5::DOUBLE) AS num_unsupported
 FROM outs o LEFT JOIN labelled l USING (sample_id) GROUP BY ALL""")
+_add("nli_scored", _with(SAMPLES, SENTS, GROUNDING) + f""",
+paired AS (
+  SELECT g.sample_id, contains(g.s, '%') AS refused, g.sim,
+         (length(g.s) * 7 + length(o.source)) % 64 AS con, (length(g.s) * 11 + length(o.source) * 3) % 64 AS ent
+  FROM grounding g JOIN outs o USING (sample_id, slot)),
+per AS (
+  SELECT sample_id, count(*) AS n, bool_or(refused) AS refused, avg(ent / 128.0::DOUBLE) AS e, avg(sim) AS s,
+         count(*) FILTER (con >= ent AND con >= 128 - con - ent) AS contradictions
+  FROM paired GROUP BY ALL),
+judged AS (
+  SELECT o.sample_id, o.source, p.*, CASE WHEN o.source <> '' AND p.refused THEN 'the model refused a sentence' END AS error
+  FROM outs o LEFT JOIN per p USING (sample_id))
+SELECT sample_id, CASE WHEN source = '' OR error IS NOT NULL THEN 0.0 WHEN n IS NULL THEN 1.0
+       ELSE {r('0.6::DOUBLE * e + 0.4::DOUBLE * s')} END AS hallucination_score,
+       CASE WHEN error IS NULL THEN 'model' END AS hallucination_method, error AS hallucination_error,
+       CASE WHEN error IS NULL THEN coalesce(n, 0) END AS sentences,
+       CASE WHEN error IS NULL THEN coalesce(contradictions, 0) END AS contradictions
+FROM judged""")
+_add("toxicity_scored", _with(SAMPLES, SAFETY) + """,
+modelled AS (
+  SELECT s.sample_id, contains(o.generated, '@') AS refused, n_pii,
+         greatest(length(o.generated) % 64 / 64.0::DOUBLE, length(o.generated) % 16 / 16.0::DOUBLE) AS tox
+  FROM s_scores s JOIN outs o USING (sample_id))
+SELECT sample_id, CASE WHEN refused THEN 'the model refused a text' END AS model_error,
+       CASE WHEN refused THEN 0.0::DOUBLE ELSE tox END AS max_toxicity,
+       CASE WHEN refused THEN 'toxicity scores are missing' END AS content_safety_error,
+       refused OR (tox < 0.5::DOUBLE AND n_pii = 0) AS content_safety_passed
+FROM modelled""")
 _add("sentence_source_cosine", _with(SAMPLES, SENTS, GROUNDING) + f"""
 SELECT sample_id, pos, {r('sim')} AS similarity, {r('ent')} AS entailment FROM grounding""")
 _add("no_content_guard", _with(SAMPLES, SENTS) + """
@@ -678,6 +706,31 @@ SELECT sample_id,
        CASE WHEN sample_id % 10 IN (3, 7) THEN 0::BIGINT END AS safety_flags,
        CASE WHEN sample_id % 10 = 3 THEN 0.0::DOUBLE END AS quality_on_error
 FROM s_scores""")
+_add("failing_evaluators", _with(SAMPLES, SENTS, SRC_SENTS) + """,
+seen AS (
+  SELECT o.sample_id, any_value(o.generated) AS generated, any_value(o.source) AS source,
+         count(s.pos) > 0 AS any_sentence,
+         bool_or(contains(o.source, '@') OR coalesce(contains(s.s, '@'), false)) AS refused,
+         bool_or(contains(o.source, '%')) AS odd_source, coalesce(bool_or(contains(s.s, '%')), false) AS odd,
+         coalesce(bool_and(contains(s.s, '%')), false) AS all_odd
+  FROM outs o LEFT JOIN sents s USING (sample_id, slot) GROUP BY o.sample_id),
+ragged AS (
+  SELECT e.sample_id, bool_and(contains(e.s, '%')) AS all_odd FROM src_sents e GROUP BY ALL),
+errors AS (
+  SELECT s.*, CASE WHEN NOT any_sentence OR source = '' THEN NULL
+                   WHEN refused THEN 'the model refused a text'
+                   WHEN (odd_source OR odd) AND NOT (odd_source AND s.all_odd AND r.all_odd)
+                     THEN 'vectors of different sizes' END AS error
+  FROM seen s LEFT JOIN ragged r USING (sample_id))
+SELECT sample_id, error AS hallucination_error, error AS factual_accuracy_error,
+       CASE WHEN error IS NOT NULL THEN 0.0::DOUBLE END AS score_on_error,
+       CASE WHEN error IS NOT NULL THEN 0::BIGINT END AS flags_on_error,
+       CASE WHEN contains(generated, '@') THEN 'no addresses, please' END AS strict_error,
+       CASE WHEN contains(generated, '@') THEN 0.0::DOUBLE WHEN contains(generated, '|') THEN 0.5::DOUBLE
+            ELSE 1.0::DOUBLE END AS strict_score,
+       contains(generated, '@') OR NOT contains(generated, '|') AS strict_passed,
+       CASE WHEN NOT contains(generated, '@') AND contains(generated, '|') THEN 1 ELSE 0 END::BIGINT AS strict_flags
+FROM errors""")
 _JUDGED = _with(SAMPLES, QUALITY) + """
 SELECT q.sample_id, l.quality, q.q, q.fluency, CASE WHEN l.quality = 1 THEN 4 ELSE 2 END AS level
 FROM q_scores q LEFT JOIN labels l ON l.doc_id = q.sample_id"""

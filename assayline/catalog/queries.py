@@ -615,6 +615,25 @@ def error_row(spark, sf):
     )
 
 
+@query
+def failing_evaluators(spark, sf):
+    """An evaluator that raises, an embedder that raises and one with ragged vectors: rows, not jobs, fail."""
+    from ..operators.models import with_embedding_scores
+    from ..operators.registry import from_function, registered
+
+    samples = with_embedding_scores(given.samples(spark, sf), given.fragile_model)
+    samples = samples.withColumn("nli", given.nli(text.split_sentences(F.col("generated"))))
+    slot = Slot(nli="nli", similarity="similarity", claim_matches="claim_matches", model_error="embedding_error")
+    with registered("strict", from_function("strict", given.strict_scorer)):
+        scored = evaluate(samples, slot, names=["hallucination", "factual_accuracy", "strict"])
+    return scored.select(
+        "sample_id", "hallucination_error", "factual_accuracy_error",
+        F.when(F.col("hallucination_error").isNotNull(), F.col("hallucination_score")).alias("score_on_error"),
+        F.when(F.col("hallucination_error").isNotNull(), F.size("hallucination_flags")).cast("long").alias("flags_on_error"),
+        "strict_error", "strict_score", "strict_passed", _long(F.size("strict_flags")).alias("strict_flags"),
+    )
+
+
 @query
 def judge_or_heuristic(spark, sf):
     scored = evaluate(
@@ -1081,6 +1100,37 @@ def model_scored_evaluators(spark, sf):
     )
 
 
+@query
+def nli_scored(spark, sf):
+    """Hallucination scores on entailment probabilities from a pair model that is loaded in the tasks."""
+    from ..operators.models import with_nli_scores
+
+    samples = with_nli_scores(given.samples(spark, sf), given.pair_model, most_pairs=64)
+    slot = Slot(nli="nli", model_error="nli_error")
+    scored = evaluate(samples, slot, names=["hallucination"], parts=("score", "details", "method", "error"))
+    failed = F.col("hallucination_error").isNotNull()
+    return scored.select(
+        "sample_id", "hallucination_score", "hallucination_method", "hallucination_error",
+        F.when(~failed, _long(F.col("hallucination_details.num_sentences"))).alias("sentences"),
+        F.when(~failed, _long(F.col("hallucination_details.num_contradictions"))).alias("contradictions"),
+    )
+
+
+@query
+def toxicity_scored(spark, sf):
+    """Safety scores on toxicity from a model that is loaded in the tasks."""
+    from ..operators.models import toxicity_scorer
+
+    samples = given.samples(spark, sf).drop("toxicity")
+    tox = toxicity_scorer(given.toxicity_model)(F.col("generated"))
+    samples = samples.withColumn("scored", tox).withColumn("toxicity", F.col("scored.scores"))
+    scored = evaluate(samples, settings=CORPUS, names=["content_safety"], parts=("passed", "error"))
+    return scored.select(
+        "sample_id", F.col("scored.error").alias("model_error"),
+        brand.max_toxicity(F.col("toxicity")).alias("max_toxicity"), "content_safety_error", "content_safety_passed",
+    )
+
+
 # --- configured or documented, not part of a decision ---------------------------------------
 
 

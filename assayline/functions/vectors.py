@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -52,26 +50,35 @@ def vector_cosines(sentences: Column, source: Column) -> Column:
     return _once(cosines, T.ArrayType(T.DoubleType()))(sentences, source)
 
 
+def best_vector(mine: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best cosine of each row of one matrix with the rows of another, and the first to reach it."""
+    my_squares, their_squares = (mine * mine).sum(axis=1), (theirs * theirs).sum(axis=1)
+    best = np.full(len(mine), -np.inf)
+    position = np.zeros(len(mine), dtype=np.int32)
+    for a in range(0, len(mine), _BLOCK):
+        b = min(a + _BLOCK, len(mine))
+        for c in range(0, len(theirs), _BLOCK):
+            d = min(c + _BLOCK, len(theirs))
+            similarity = _safe_divide(
+                mine[a:b] @ theirs[c:d].T, np.outer(my_squares[a:b], their_squares[c:d])
+            )
+            top = similarity.argmax(axis=1)
+            value = similarity[np.arange(b - a), top]
+            better = value > best[a:b]
+            best[a:b][better] = value[better]
+            position[a:b][better] = c + top[better]
+    return best, position
+
+
 def _best_vectors(sentences: pa.Array, evidence: pa.Array) -> pa.Array:
     per_row, ev_per_row = _lengths(sentences), _lengths(evidence)
     mine, theirs = _matrix(sentences), _matrix(evidence)
-    my_squares, their_squares = (mine * mine).sum(axis=1), (theirs * theirs).sum(axis=1)
     first, ev_first = _starts(per_row), _starts(ev_per_row)
     best = np.full(len(mine), -np.inf)
     position = np.zeros(len(mine), dtype=np.int32)
     for row in range(len(per_row)):
-        for a in range(first[row], first[row + 1], _BLOCK):
-            b = min(a + _BLOCK, first[row + 1])
-            for c in range(ev_first[row], ev_first[row + 1], _BLOCK):
-                d = min(c + _BLOCK, ev_first[row + 1])
-                similarity = _safe_divide(
-                    mine[a:b] @ theirs[c:d].T, np.outer(my_squares[a:b], their_squares[c:d])
-                )
-                top = similarity.argmax(axis=1)
-                value = similarity[np.arange(b - a), top]
-                better = value > best[a:b]
-                best[a:b][better] = value[better]
-                position[a:b][better] = c - ev_first[row] + top[better]
+        own = slice(first[row], first[row + 1])
+        best[own], position[own] = best_vector(mine[own], theirs[ev_first[row] : ev_first[row + 1]])
     return _list_of_structs(
         per_row, sentences, {"similarity": pa.array(best), "position": pa.array(position)}
     )
@@ -86,27 +93,16 @@ def best_vector_matches(sentences: Column, evidence: Column) -> Column:
     return _once(match, MATCH_TYPE)(sentences, evidence)
 
 
-def embed_lists(load_model: Callable[[], Callable[[list[str]], np.ndarray]]) -> Callable:
-    """Turn a model into a column function: array<string> -> array<array<float>>.
-
-    ``load_model`` runs once per task. The model sees the texts of many rows in one
-    call, whatever the number of texts per row.
-    """
-    loaded: list = []
-
-    def embed(texts: pa.Array) -> pa.Array:
-        if not loaded:
-            loaded.append(load_model())
-        flat = texts.flatten().to_pylist()
-        vectors = np.asarray(loaded[0](flat), dtype=np.float32) if flat else np.zeros((0, 1))
-        width = vectors.shape[1]
-        items = pa.ListArray.from_arrays(
-            pa.array(np.arange(0, len(flat) * width + 1, width, dtype=np.int32)),
-            pa.array(vectors.reshape(-1), pa.float32()),
-        )
-        return pa.ListArray.from_arrays(
-            pa.array(_starts(_lengths(texts)).astype(np.int32)), items
-        )
-
-    result = T.ArrayType(T.ArrayType(T.FloatType()))
-    return lambda texts: _once(embed, result)(texts)
+def stacked(parts: list, n: int) -> np.ndarray:
+    """The vectors of ``n`` texts as one matrix; it is an error if they differ in size."""
+    rows = [np.asarray(v, dtype=np.float32) for part in parts for v in part]
+    if len(rows) != n:
+        raise ValueError(f"{len(rows)} vectors for {n} texts")
+    if len({v.shape for v in rows}) > 1 or rows[0].ndim != 1:
+        raise ValueError("vectors of different sizes")
+    return np.stack(rows).astype(np.float64)
+
+
+def cosines_with(mine: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Cosine of each row with one vector."""
+    return _safe_divide((mine * whole).sum(axis=1), (mine * mine).sum(axis=1) * (whole * whole).sum())

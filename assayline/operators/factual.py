@@ -18,7 +18,7 @@ from ..functions.text import excerpt
 from ..schema import WARNING, flag, no_flags
 from ..settings import FactualSettings, Slot
 from .results import add_result
-from .shared import missing_text, source_column, with_shared
+from .shared import missing_text, model_error, source_column, with_shared
 
 NAME = "factual_accuracy"
 
@@ -142,7 +142,7 @@ def evaluate_factual(
         score=F.when(no_source, F.lit(0.0))
         .when(no_content, F.lit(1.0))
         .otherwise(verified.cast("double") / total.cast("double")),
-        error=F.when(~no_source, missing_text(slot)),
+        error=F.when(~no_source, F.coalesce(missing_text(slot), model_error(slot))),
         sub_scores=lambda: {
             "textual_accuracy": accuracy("textual"),
             "numerical_accuracy": accuracy("numerical"),

@@ -16,7 +16,7 @@ from ..functions.text import excerpt
 from ..schema import CRITICAL, WARNING, flag, no_flags
 from ..settings import HallucinationSettings, Slot
 from .results import add_result
-from .shared import missing_text, source_column, with_shared
+from .shared import missing_text, model_error, source_column, with_shared
 
 NAME = "hallucination"
 
@@ -140,7 +140,7 @@ def evaluate_hallucination(
         slot,
         NAME,
         score=F.when(no_source, F.lit(0.0)).when(no_content, F.lit(1.0)).otherwise(composite),
-        error=F.when(~no_source, missing_text(slot)),
+        error=F.when(~no_source, F.coalesce(missing_text(slot), model_error(slot))),
         sub_scores=lambda: {"entailment": entailment, "semantic_similarity": similarity},
         has_sub_scores=~(no_source | no_content),
         passed=lambda: no_source | ~F.exists(scored, contradicts),

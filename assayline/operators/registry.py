@@ -6,14 +6,19 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.batches import bounded, halved
+from ..schema import WARNING, flag
 from ..settings import BUILT_IN, Settings, Slot
 from .factual import evaluate_factual
 from .hallucination import evaluate_hallucination
 from .quality import evaluate_quality
+from .results import add_result
 from .safety import evaluate_safety
-from .shared import without_shared
+from .shared import missing_text, without_shared
 
 # (rows, slot, settings of the evaluator) -> rows with the evaluator's result columns
 Evaluator = Callable[[DataFrame, Slot, object], DataFrame]
@@ -36,6 +41,78 @@ def register(name: str) -> Callable[[Evaluator], Evaluator]:
     return add
 
 
+def from_function(
+    name: str,
+    load_scorer: Callable[[], Callable[[list[dict]], list[dict]]],
+    most_rows: int = 1024,
+    most_chars: int = 1 << 22,
+) -> Evaluator:
+    """An evaluator from a Python function over batches of ``{text, source, prompt}``.
+
+    Each answer has a ``score`` in 0..1 and, as it likes, ``passed`` and ``categories`` (the flags, all
+    warnings). ``load_scorer`` runs once per task. Where the function raises, or gives no valid
+    score, only the rows that fail become error rows.
+    """
+
+    def evaluator(df: DataFrame, slot: Slot, settings: object) -> DataFrame:
+        loaded: list = []
+
+        def checked(rows: list[dict]) -> list[tuple]:
+            answers = loaded[0](rows)
+            out = []
+            for answer in answers:
+                score = float(answer["score"])
+                if not 0.0 <= score <= 1.0:
+                    raise ValueError(f"a score has to be from 0 to 1, not {score}")
+                out.append((score, bool(answer.get("passed", True)), [str(c) for c in answer.get("categories", ())]))
+            return out
+
+        def score(text: pa.Array, source: pa.Array, prompt: pa.Array) -> pa.Array:
+            if not loaded:
+                loaded.append(load_scorer())
+            rows = [
+                dict(zip(("text", "source", "prompt"), values, strict=True))
+                for values in zip(text.to_pylist(), source.to_pylist(), prompt.to_pylist(), strict=True)
+            ]
+            asked = [i for i, row in enumerate(rows) if row["text"] is not None]
+            answers: list = [(None, None)] * len(rows)
+            sizes = [sum(len(x or "") for x in rows[i].values()) for i in asked]
+            for a, b in bounded(sizes, most_chars, most_rows):
+                for i, answer in zip(asked[a:b], halved(checked, [rows[i] for i in asked[a:b]]), strict=True):
+                    answers[i] = answer
+            found = [result or (None, None, None) for result, _ in answers]
+            return pa.StructArray.from_arrays(
+                [pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.bool_()),
+                 pa.array([x[2] for x in found], pa.list_(pa.string())), pa.array([e for _, e in answers], pa.string())],
+                ["score", "passed", "categories", "error"],
+            )
+
+        hook = F.arrow_udf(
+            score, "struct<score:double,passed:boolean,categories:array<string>,error:string>"
+        ).asNondeterministic()
+        inputs = [
+            F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
+            for c in (slot.text, slot.source, slot.prompt)
+        ]
+        answer = slot.temp(f"{name}_answer")
+        df = df.withColumn(answer, hook(*inputs))
+        categories = F.col(f"{answer}.categories")
+        return add_result(
+            df, slot, name,
+            score=F.col(f"{answer}.score"),
+            error=F.coalesce(missing_text(slot), F.col(f"{answer}.error")),
+            sub_scores=dict,
+            has_sub_scores=F.lit(False),
+            passed=lambda: F.col(f"{answer}.passed"),
+            categories=lambda: categories,
+            flags=lambda: F.transform(categories, lambda c: flag(c, c, WARNING)),
+            details=lambda: F.struct(F.size(categories).alias("num_categories")),
+            method=lambda: F.lit("function"),
+        )
+
+    return evaluator
+
+
 def unregister(name: str) -> None:
     if name in BUILT_IN:
         raise ValueError(f"{name} is built in")

@@ -46,7 +46,7 @@ def add_result(
         df = df.withColumns({slot.temp(f"{name}_{k}"): v for k, v in raw.items()})
         rounded = F.create_map(
             *[x for k in raw for x in (F.lit(k), round_exact(slot.temp(f"{name}_{k}"), 4))]
-        )
+        ) if raw else no_sub_scores()
         none = failed if has_sub_scores is None else failed | ~has_sub_scores
         out["sub_scores"] = F.when(none, no_sub_scores()).otherwise(rounded)
     if "score" in slot.parts:

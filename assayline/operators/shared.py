@@ -58,3 +58,8 @@ def without_shared(df: DataFrame, given: list[str]) -> DataFrame:
 def missing_text(slot: Slot) -> Column:
     """The error of an evaluator that was given no text at all."""
     return F.when(F.col(slot.text).isNull(), F.lit("generated text is missing"))
+
+
+def model_error(slot: Slot) -> Column:
+    """Why a row has no model scores, if it should have some."""
+    return F.col(slot.model_error) if slot.model_error else F.lit(None).cast("string")

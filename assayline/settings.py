@@ -74,8 +74,9 @@ class Slot:
     ``nli`` is array<struct<contradiction, entailment, neutral>> and ``similarity`` is
     array<double>, both aligned with the kept sentences; ``claim_matches`` is
     array<struct<similarity, position>> aligned the same way. Without them the lexical
-    stand-ins are used. ``judge`` is struct<coherence, fluency, relevance, ...>. Only the listed ``parts``
-    of each result are built.
+    stand-ins are used. ``model_error`` names a column that says why a row has no model scores.
+    ``judge`` is struct<coherence, fluency, relevance, ...>. Only the listed ``parts`` of each result
+    are built.
     """
 
     text: str = "generated"
@@ -85,6 +86,7 @@ class Slot:
     nli: str | None = None
     similarity: str | None = None
     claim_matches: str | None = None
+    model_error: str | None = None
     judge: str | None = None
     prefix: str = ""
     parts: tuple[str, ...] = PARTS
