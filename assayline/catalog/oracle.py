@@ -1123,6 +1123,20 @@ SELECT sample_id, concat_ws('|', CASE WHEN ah < bh THEN 'hallucination' END,
          CASE WHEN asf < bsf THEN 'content_safety' END,
          CASE WHEN aq < bq THEN 'quality' END) AS regressed
 FROM wide""")
+_add("spot_check_gate", GATE + """,
+timed AS (
+  SELECT sample_id, TIMESTAMP '2024-01-01' + to_hours((sample_id - CASE WHEN sample_id % 10 = 0 THEN 720 ELSE 0 END)::INT) AS t,
+         floor(sample_id * 3 / ((SELECT max(doc_id) FROM documents) + 1))::INT AS part
+  FROM (SELECT doc_id AS sample_id FROM documents)),
+marks AS (
+  SELECT a.part, max(b.t) - INTERVAL 10 MINUTE AS mark
+  FROM (SELECT DISTINCT part FROM timed) a JOIN timed b ON b.part < a.part GROUP BY ALL)
+SELECT strftime(date_trunc('day', t), '%Y-%m-%d') AS day, d.suite_id, d.decision,
+       coalesce(date_trunc('day', t) + INTERVAL 1 DAY <= mark, false) AS late, count(*) AS n
+FROM timed JOIN decided d USING (sample_id)
+LEFT JOIN marks USING (part)
+WHERE ('0x' || substr(md5(sample_id::VARCHAR), 1, 8))::BIGINT < 2147483648
+GROUP BY ALL""")
 _add("spot_check_stream", _with(_RUNS) + """
 SELECT strftime(day, '%Y-%m-%d') AS day, suite_id, decision, count(*) AS n
 FROM (SELECT *, date_trunc('day', saved_at) AS day FROM runs)

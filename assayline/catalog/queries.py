@@ -1217,38 +1217,55 @@ def no_regression_on_blockers(spark, sf):
     return scored.select("sample_id", _joined(down).alias("regressed"))
 
 
+def _streamed(spark, parts, **how):
+    """Run a spot check over ``parts`` of rows that arrive one after the other; its folder."""
+    from ..session import shared_folder
+    from ..streaming.spot_check import start_spot_check
+
+    incoming, out = shared_folder(spark, "spot-check-in"), shared_folder(spark, "spot-check")
+    checkpoint = shared_folder(spark, "spot-check-state")
+    for part in parts:
+        part.write.mode("append").parquet(incoming)
+        # every part is a run of its own, so all but the first are restarts from the checkpoint
+        stream = spark.readStream.schema(part.schema).parquet(incoming)
+        start_spot_check(stream, path=out, checkpoint=checkpoint, available_now=True, **how).awaitTermination()
+    return out
+
+
+def _day(c):
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(c).cast("timestamp_ntz"))
+    return F.date_format(utc, "yyyy-MM-dd")
+
+
 @query
 def spot_check_stream(spark, sf):
-    """The events as a stream of decided runs, counted per day once a day is final.
+    """The events as a stream of decided runs, counted per day."""
+    from ..streaming.spot_check import current_windows
 
-    A closing event three days after the last one makes all days final; its own is not.
-    """
-    from ..session import shared_folder
-    from ..streaming.spot_check import start_spot_check
+    runs = given.runs_of(given.table(spark, sf, "events"))
+    out = _streamed(spark, [runs], decide=lambda df: df, key="run_id", time="saved_at", window="1 day")
+    return current_windows(spark, out).select(_day("window_start").alias("day"), "suite_id", "decision", "n")
 
-    events = given.table(spark, sf, "events")
-    closing = events.groupBy().agg(F.max("ts").alias("last")).select(
-        *[
-            (F.col("last") + F.expr("INTERVAL 3 DAYS") if c.name == "ts" else F.lit(0)).cast(c.dataType).alias(c.name)
-            for c in events.schema
-        ]
-    )
-    incoming = shared_folder(spark, "spot-check-events")
-    events.union(closing).write.parquet(incoming)
-    stream = spark.readStream.schema(events.schema).parquet(incoming)
-    out, checkpoint = shared_folder(spark, "spot-check"), shared_folder(spark, "spot-check-state")
-    running = start_spot_check(
-        given.runs_of(stream), lambda df: df, out, checkpoint, key="run_id", time="saved_at",
-        window="1 day", available_now=True,
-    )
-    running.awaitTermination()
-    result = "window_start timestamp, window_end timestamp, suite_id string, decision string, n long"
-    return spark.read.schema(result).parquet(out).select(
-        F.date_format(
-            F.convert_timezone(
-                F.current_timezone(), F.lit("UTC"), F.col("window_start").cast("timestamp_ntz")
-            ),
-            "yyyy-MM-dd",
-        ).alias("day"),
-        "suite_id", "decision", "n",
-    )
+
+@query
+def spot_check_gate(spark, sf):
+    """Gate requests in three arrivals: half of the keys decided in the stream, late ones apart.
+
+    Requests are an hour apart; every tenth comes thirty days after its time.
+    """
+    from ..streaming.spot_check import current_windows, read_table
+
+    requests = given.requests(spark, sf)
+    last = given.table(spark, sf, "documents").agg(F.max("doc_id")).first()[0] or 0
+    hours = F.col("sample_id") - F.when(F.col("sample_id") % 10 == 0, 720).otherwise(0)
+    timed = requests.withColumn("asked_at", F.timestamp_seconds(F.lit(1704067200) + hours * 3600))
+    part = F.floor(F.col("sample_id") * 3 / (last + 1))
+    out = _streamed(
+        spark, [timed.where(part == i) for i in range(3)], decide=lambda df: gate.decide(df, CORPUS),
+        key="sample_id", time="asked_at", rate=0.5, window="1 day",
+    )
+    late = read_table(spark, out, "late").groupBy("window_start", "window_end", "suite_id", "decision").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    both = current_windows(spark, out).withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
+    return both.select(_day("window_start").alias("day"), "suite_id", "decision", "n", "late")

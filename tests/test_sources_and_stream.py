@@ -2,6 +2,7 @@ import json
 import os
 import subprocess
 import sys
+from datetime import datetime as at
 from types import SimpleNamespace
 
 import pytest
@@ -15,7 +16,7 @@ from assayline.plans import report
 from assayline.session import shared_folder
 from assayline.settings import Settings
 from assayline.sources import ab_json, config, requests, runs
-from assayline.streaming.spot_check import start_spot_check
+from assayline.streaming.spot_check import SpotCheck, current_windows, read_table, sampled, start_spot_check
 
 SF = "/root/testdata/sf0.001"
 
@@ -126,28 +127,78 @@ def test_report_files(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out" / "details")).count() == 1
 
 
-def test_spot_check_stream(spark, tmp_path):
-    source = tmp_path / "in"
-
-    def add(rows):
-        df = spark.createDataFrame(rows, "run_id string, saved_at timestamp, suite_id string, decision string")
-        df.coalesce(1).write.mode("append").parquet(str(source))
-
-    def run():
-        schema = "run_id string, saved_at timestamp, suite_id string, decision string"
-        q = start_spot_check(
-            spark.readStream.schema(schema).parquet(str(source)), lambda d: d, str(tmp_path / "out"),
-            str(tmp_path / "state"), key="run_id", time="saved_at", available_now=True)
-        q.awaitTermination()
-
-    from datetime import datetime as at
-    add([("a", at(2024, 1, 1, 0, 5), "s", "pass"), ("b", at(2024, 1, 1, 0, 50), "s", "pass"),
-         ("c", at(2024, 1, 1, 2, 0), "s", "fail")])
-    run()
-    add([("late", at(2024, 1, 1, 0, 55), "s", "pass"), ("d", at(2024, 1, 1, 5, 0), "s", "pass")])
-    run()
-    got = spark.read.parquet(str(tmp_path / "out")).orderBy("window_start").collect()
-    assert [(r["window_start"].hour, r["decision"], r["n"]) for r in got] == [(0, "pass", 2), (2, "fail", 1)]
+def stream_rows(spark, folder, rows):
+    schema = "run_id string, saved_at timestamp, suite_id string, verdict string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+    return schema
+
+
+def run_check(spark, tmp_path, schema, decide=lambda d: d.withColumn("decision", F.col("verdict")), rate=1.0):
+    start_spot_check(
+        spark.readStream.schema(schema).parquet(str(tmp_path / "in")), decide, str(tmp_path / "out"),
+        str(tmp_path / "state"), key="run_id", time="saved_at", rate=rate, available_now=True,
+    ).awaitTermination()
+
+
+def windows(spark, tmp_path):
+    got = current_windows(spark, str(tmp_path / "out")).collect()
+    return sorted(((r.window_start.hour, r.suite_id, r.decision, r.n) for r in got), key=str)
+
+
+def test_spot_check_upserts_windows_and_keeps_late_rows_apart(spark, tmp_path):
+    out = str(tmp_path / "out")
+    schema = stream_rows(spark, tmp_path / "in", [
+        ("a", at(2024, 1, 1, 0, 5), "s", "pass"), ("b", at(2024, 1, 1, 0, 50), "s", "pass"),
+        ("c", at(2024, 1, 1, 1, 0), "s", "fail"), ("e", at(2024, 1, 1, 1, 5), None, "fail")])
+    run_check(spark, tmp_path, schema)
+    assert windows(spark, tmp_path) == sorted([(0, "s", "pass", 2), (1, "s", "fail", 1), (1, None, "fail", 1)], key=str)
+    # after 01:05 less ten minutes the first window is open still
+    stream_rows(spark, tmp_path / "in", [
+        ("f", at(2024, 1, 1, 0, 55), "s", "pass"), ("g", at(2024, 1, 1, 1, 30), None, "fail"),
+        ("d", at(2024, 1, 1, 5, 0), "s", "pass")])
+    run_check(spark, tmp_path, schema)
+    stream_rows(spark, tmp_path / "in", [("late", at(2024, 1, 1, 0, 56), "s", "pass"), ("h", at(2024, 1, 1, 5, 1), "s", "pass")])
+    run_check(spark, tmp_path, schema)
+    want = sorted([(0, "s", "pass", 3), (1, "s", "fail", 1), (1, None, "fail", 2), (5, "s", "pass", 2)], key=str)
+    assert windows(spark, tmp_path) == want
+    assert [r.key for r in read_table(spark, out, "late").collect()] == ["late"]
+    assert read_table(spark, out, "decisions").count() == 8
+    progress = read_table(spark, out, "progress").orderBy("batch").collect()
+    assert [(r.seen, r.sampled, r.late) for r in progress] == [(4, 4, 0), (3, 3, 0), (2, 2, 1)]
+
+
+def test_a_batch_that_runs_twice_changes_nothing(spark, tmp_path):
+    check = SpotCheck(lambda d: d.withColumn("decision", F.lit("pass")), str(tmp_path / "out"), "k", "t", 1.0, "1 hour", "10 minutes")
+    make = lambda *hours: spark.createDataFrame([(h, at(2024, 1, 1, h), "s") for h in hours], "k long, t timestamp, suite_id string")
+    check(make(1, 1, 3), 0)
+    check(make(1, 3, 4), 1)
+    before = windows(spark, tmp_path)
+    check(make(1, 3, 4), 1)
+    assert windows(spark, tmp_path) == before
+    assert read_table(spark, str(tmp_path / "out"), "late").count() == 1  # the hour from 01:00 has closed by 02:50
+
+
+def test_failed_batches_are_redone_from_the_checkpoint(spark, tmp_path):
+    schema = stream_rows(spark, tmp_path / "in", [(str(i), at(2024, 1, 1, i % 5), "s", "pass") for i in range(50)])
+
+    def broken(d):
+        raise RuntimeError("the gate is down")
+
+    with pytest.raises(Exception, match="the gate is down"):
+        run_check(spark, tmp_path, schema, broken)
+    run_check(spark, tmp_path, schema)
+    assert sum(n for *_, n in windows(spark, tmp_path)) == 50
+
+
+def test_sampling_keeps_the_same_share_of_keys(spark, tmp_path):
+    keys = spark.range(2000)
+    half = {r.id for r in keys.where(sampled(F.col("id"), 0.5)).collect()}
+    assert 900 < len(half) < 1100
+    assert {r.id for r in keys.where(sampled(F.col("id"), 0.25)).collect()} < half
+    assert keys.where(sampled(F.col("id"), 1.0)).count() == 2000 and keys.where(sampled(F.col("id"), 0.0)).count() == 0
+    schema = stream_rows(spark, tmp_path / "in", [(str(i), at(2024, 1, 1, 1), "s", "pass") for i in range(200)])
+    run_check(spark, tmp_path, schema, rate=0.5)
+    assert sum(n for *_, n in windows(spark, tmp_path)) == len(half & set(range(200)))
 
 
 def test_shared_folder_follows_the_cluster_setting(spark):
