@@ -823,6 +823,20 @@ SELECT doc_id, slot, CASE slot WHEN 'a' THEN 'model_a' ELSE lang END AS model_id
        count(*) FILTER (pos < n - 1) AS prompts,
        count(*) FILTER (pos % 3 = 1) AS metadata_keys
 FROM counted, (VALUES ('a'), ('b')) slots(slot) GROUP BY ALL""")
+_add("ab_quarantine", _with(_sentences("sents", "documents", "text", "doc_id")) + """,
+sized AS (
+  SELECT d.doc_id, d.doc_id % 14 AS k, count(s.pos) AS n
+  FROM documents d LEFT JOIN sents s USING (doc_id) GROUP BY ALL),
+judged AS (
+  SELECT doc_id, n, CASE k
+    WHEN 1 THEN 'not valid JSON' WHEN 2 THEN 'not an object' WHEN 3 THEN 'model_a has no list of outputs'
+    WHEN 4 THEN 'model_b has no list of outputs'
+    WHEN 5 THEN CASE WHEN n <> 1 THEN 'unequal outputs: ' || n || ' and 1' END
+    WHEN 6 THEN 'model_b has outputs that are neither text nor object: 2'
+    WHEN 7 THEN 'prompts is no list' WHEN 8 THEN 'no document' END AS reason
+  FROM sized)
+SELECT doc_id, reason, CASE WHEN reason IS NULL THEN 2 * n END AS outputs
+FROM judged WHERE reason IS NOT NULL OR n > 0""")
 _add("attach_prompt_source", _with(_DOC_SENTS) + """
 SELECT doc_id AS suite_id, pos AS sample_index, 'model_a' AS model_id, md5(s) AS generated_md5,
        CASE WHEN pos % 2 = 0 THEN 'p' || pos ELSE '' END AS prompt, '' AS source

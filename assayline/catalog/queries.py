@@ -900,6 +900,28 @@ def ab_json_source(spark, sf):
     )
 
 
+@query
+def ab_quarantine(spark, sf):
+    """A/B documents, half of them damaged: what is wrong with each, and what the others hold."""
+    n = F.col("doc_id") % 14
+    value = F.col("value")
+    outputs = r'(?s)("model_b":\{"id":.*?"outputs":)\[.*\]'
+    damaged = (
+        F.when(n == 1, F.substring(value, 1, F.length(value) - 1))
+        .when(n == 2, F.concat(F.lit("["), value, F.lit("]")))
+        .when(n == 3, F.replace(value, F.lit('"model_a"'), F.lit('"model_x"')))
+        .when(n == 4, F.regexp_replace(value, outputs, '$1"none"'))
+        .when(n == 5, F.regexp_replace(value, outputs, '$1["one"]'))
+        .when(n == 6, F.regexp_replace(value, outputs, '$1[7,null,"x"]'))
+        .when(n == 7, F.replace(value, F.lit('{"prompts":['), F.lit('{"prompts":{},"was":[')))
+        .when(n != 8, value)
+    )
+    docs = _ab_documents(spark, sf).select("doc_id", damaged.alias("value"))
+    bad = ab_json.quarantined_ab(docs).select("doc_id", "reason", F.lit(None).cast("long").alias("outputs"))
+    good = ab_json.parse_ab(docs, comparable=True).groupBy("doc_id").agg(F.count(F.lit(1)).alias("outputs"))
+    return bad.unionByName(good.select("doc_id", F.lit(None).cast("string").alias("reason"), "outputs"))
+
+
 @query
 def attach_prompt_source(spark, sf):
     """The long form: outputs meet their prompt and source on (document, position)."""

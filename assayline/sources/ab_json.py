@@ -38,51 +38,104 @@ def _metadata_of(output: Column) -> Column:
     ).otherwise(F.create_map().cast("map<string,string>"))
 
 
-def parse_ab(df: DataFrame, json_column: str = "value") -> DataFrame:
+def _list(path: str, item: str) -> Column:
+    """A list of a document; null when it is missing or no list of such items."""
+    return F.try_variant_get("_doc", path, f"array<{item}>")
+
+
+def _outputs(slot: str) -> Column:
+    return _list(f"$.model_{slot}.outputs", "variant")
+
+
+def _is_output(output: Column) -> Column:
+    kind = F.schema_of_variant(output)
+    return (kind == "STRING") | kind.startswith("OBJECT")
+
+
+def _reason(json_column: str) -> Column:
+    """Why a document cannot be compared, or null: the first fault that applies."""
+
+    def no_list(name: str) -> Column:
+        there = F.try_variant_get("_doc", f"$.{name}", "variant").isNotNull()
+        return F.when(there & _list(f"$.{name}", "string").isNull(), F.lit(f"{name} is no list"))
+
+    def side(slot: str) -> Column:
+        bad = F.filter(_outputs(slot), lambda o: ~F.coalesce(_is_output(o), F.lit(False)))
+        return F.when(_outputs(slot).isNull(), F.lit(f"model_{slot} has no list of outputs")).when(
+            F.size(bad) > 0,
+            F.concat(F.lit(f"model_{slot} has outputs that are neither text nor object: "), F.size(bad).cast("string")),
+        )
+
+    sizes = [F.size(_outputs(slot)) for slot in ("a", "b")]
+    return F.coalesce(
+        F.when(F.col(f"`{json_column}`").isNull(), F.lit("no document")),
+        F.when(F.col("_doc").isNull(), F.lit("not valid JSON")),
+        F.when(~F.schema_of_variant("_doc").startswith("OBJECT"), F.lit("not an object")),
+        side("a"), side("b"), no_list("prompts"), no_list("sources"),
+        F.when(
+            sizes[0] != sizes[1],
+            F.concat(F.lit("unequal outputs: "), sizes[0].cast("string"), F.lit(" and "), sizes[1].cast("string")),
+        ),
+    )
+
+
+def checked_ab(df: DataFrame, json_column: str = "value") -> DataFrame:
+    """A/B documents with ``_doc``, the parsed document, and ``reason``, why it cannot be compared.
+
+    A document that is not valid JSON fails alone, not the job.
+    """
+    parsed = df.withColumn("_doc", F.try_parse_json(F.col(f"`{json_column}`")))
+    return parsed.withColumn("reason", _reason(json_column))
+
+
+def quarantined_ab(df: DataFrame, json_column: str = "value") -> DataFrame:
+    """The documents that cannot be compared, as they came, with ``reason``."""
+    return checked_ab(df, json_column).where("reason is not null").drop("_doc")
+
+
+def parse_ab(df: DataFrame, json_column: str = "value", comparable: bool = False) -> DataFrame:
     """One row per output of each A/B document.
 
     Adds slot ('a' or 'b'), sample_index, model_id, generated, prompt, source, metadata.
-    Prompts and sources go by position; a position past the end of the list gives "".
+    Prompts and sources go by position; a position past the end of the list gives "". With
+    ``comparable`` the documents of :func:`quarantined_ab` are left out whole; without, a document
+    gives the outputs it has, even if its sides differ in number.
     """
-    doc = df.withColumn("_doc", F.parse_json(json_column))
+    doc = checked_ab(df, json_column)
+    if comparable:
+        doc = doc.where("reason is null")
 
-    def array_at(path: str, item: str) -> Column:
-        return F.variant_get("_doc", path, f"array<{item}>")
+    def at(values: str, i: Column) -> Column:
+        return F.coalesce(F.get(F.col(values), i), F.lit(""))
 
     def side(slot: str) -> Column:
         key = f"model_{slot}"
+        # every output carries its own prompt and source, so the lists are not repeated per row
+        items = F.transform(
+            _outputs(slot),
+            lambda o, i: F.struct(
+                o.alias("output"), at("_prompts", i).alias("prompt"), at("_sources", i).alias("source")
+            ),
+        )
         return F.struct(
             F.lit(slot).alias("slot"),
-            F.coalesce(
-                F.variant_get("_doc", f"$.{key}.id", "string"), F.lit(key)
-            ).alias("model_id"),
-            array_at(f"$.{key}.outputs", "variant").alias("outputs"),
+            F.coalesce(F.try_variant_get("_doc", f"$.{key}.id", "string"), F.lit(key)).alias("model_id"),
+            items.alias("items"),
         )
 
-    kept = [c for c in df.columns if c != json_column]
-    sides = doc.select(
-        *kept,
-        array_at("$.prompts", "string").alias("_prompts"),
-        array_at("$.sources", "string").alias("_sources"),
-        F.inline(F.array(side("a"), side("b"))),
-    )
-    outputs = sides.select(
-        *kept, "_prompts", "_sources", "slot", "model_id",
-        F.posexplode("outputs").alias("sample_index", "_output"),
-    )
-
-    def by_position(values: str) -> Column:
-        return F.coalesce(F.get(F.col(values), F.col("sample_index")), F.lit(""))
-
+    kept = [F.col(f"`{c}`") for c in df.columns if c != json_column]
+    lists = doc.withColumns({"_prompts": _list("$.prompts", "string"), "_sources": _list("$.sources", "string")})
+    sides = lists.select(*kept, F.inline(F.array(side("a"), side("b"))))
+    outputs = sides.select(*kept, "slot", "model_id", F.posexplode("items").alias("sample_index", "_item"))
     return outputs.select(
         *kept,
         "slot",
         "sample_index",
         "model_id",
-        _text_of(F.col("_output")).alias("generated"),
-        by_position("_prompts").alias("prompt"),
-        by_position("_sources").alias("source"),
-        _metadata_of(F.col("_output")).alias("metadata"),
+        _text_of(F.col("_item.output")).alias("generated"),
+        F.col("_item.prompt").alias("prompt"),
+        F.col("_item.source").alias("source"),
+        _metadata_of(F.col("_item.output")).alias("metadata"),
     )
 
 

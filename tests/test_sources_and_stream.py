@@ -36,6 +36,29 @@ def test_ab_document(spark, tmp_path):
     assert [dict(r["metadata"]) for r in rows] == [{}, {"rank": "1"}, {}, {"other": "2"}, {"x": '{"y":1}'}]
 
 
+def test_bad_ab_documents_are_quarantined(spark):
+    good = {"model_a": {"outputs": ["x", {"text": "y"}]}, "model_b": {"outputs": ["z", "w"]}, "prompts": ["p"]}
+    bad = {
+        "no document": None, "not valid JSON": '{"model_a": ', "not an object": "[1]",
+        "model_a has no list of outputs": json.dumps({**good, "model_a": {"id": "a"}}),
+        "model_b has no list of outputs": json.dumps({**good, "model_b": {"outputs": "text"}}),
+        "model_b has outputs that are neither text nor object: 3": json.dumps(
+            {**good, "model_b": {"outputs": [1, None, ["x"], "t"]}}),
+        "sources is no list": json.dumps({**good, "sources": "s"}),
+        "unequal outputs: 2 and 0": json.dumps({**good, "model_b": {"outputs": []}}),
+    }
+    docs = spark.createDataFrame(
+        [(i, "keep", v) for i, v in enumerate([json.dumps(good), *bad.values()])], "id int, `a.b` string, value string")
+    out = ab_json.quarantined_ab(docs)
+    assert out.columns == ["id", "a.b", "value", "reason"]
+    assert [(r.reason, r.value) for r in out.orderBy("id").collect()] == list(bad.items())
+    rows = ab_json.parse_ab(docs, comparable=True).collect()
+    assert {r.id for r in rows} == {0} and len(rows) == 4 and {r["a.b"] for r in rows} == {"keep"}
+    assert sorted(r.prompt for r in rows) == ["", "", "p", "p"]
+    # without the demand every readable side is read
+    assert {r.id for r in ab_json.parse_ab(docs).collect()} == {0, 4, 5, 6, 7, 8}
+
+
 def test_requests(spark, tmp_path):
     lines = [
         {"input": {"prompt": "p"}, "candidate": {"output": "o"}},
