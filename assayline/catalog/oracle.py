@@ -975,6 +975,24 @@ SELECT suite_id, lang, evaluator,
          AS method,
        CASE WHEN nz >= 2 THEN w END AS w_statistic, {r('p', 6)} AS p_value
 FROM compared WHERE n < 30""")
+_add("raw_score_ranks", _with(PAIRS) + """,
+scores AS (
+  SELECT suite_id, lang, 1.0::DOUBLE / (length(candidate) % 97 + 3) AS a, 1.0::DOUBLE / (length(baseline) % 97 + 3) AS b
+  FROM pairs WHERE baseline IS NOT NULL),
+ranked AS (
+  SELECT suite_id, lang, a - b AS d,
+         rank() OVER w + (count(*) OVER (PARTITION BY suite_id, lang, abs(a - b)) - 1) / 2.0::DOUBLE AS r,
+         count(*) OVER (PARTITION BY suite_id, lang, abs(a - b)) AS ties
+  FROM scores WHERE a <> b WINDOW w AS (PARTITION BY suite_id, lang ORDER BY abs(a - b))),
+sums AS (
+  SELECT suite_id, lang, count(*) AS n_nonzero, sum(r) FILTER (d > 0) AS p, sum(r) FILTER (d < 0) AS m,
+         sum(ties * ties - 1.0::DOUBLE) AS tie
+  FROM ranked GROUP BY ALL)
+SELECT s.suite_id, s.lang, count(*) AS n, coalesce(any_value(n_nonzero), 0) AS n_nonzero,
+       coalesce(any_value(p), 0.0::DOUBLE) AS rank_plus, coalesce(any_value(m), 0.0::DOUBLE) AS rank_minus,
+       coalesce(any_value(tie), 0.0::DOUBLE) AS tie_term, round(avg(a), 9) AS mean_a, round(stddev_pop(a), 9) AS std_a,
+       round(stddev_pop(b), 9) AS std_b, round(avg(a - b), 9) AS mean_diff, round(stddev_pop(a - b), 9) AS std_diff
+FROM scores s LEFT JOIN sums USING (suite_id, lang) GROUP BY ALL""")
 _add("ab_winner", _BY_SUITE + "SELECT suite_id, evaluator, winner FROM compared")
 _OVERALL = """
 SELECT suite_id, count(*) FILTER (winner = 'model_a') AS a_wins,

@@ -979,6 +979,19 @@ def wilcoxon_signed_rank(spark, sf):
     )
 
 
+@query
+def raw_score_ranks(spark, sf):
+    """Paired statistics of scores that are not rounded: a function of the lengths of both texts."""
+    pairs = given.eval_pairs(spark, sf).where("baseline is not null")
+    raw = lambda c: F.lit(1.0) / (F.length(c) % 97 + F.lit(3))
+    scores = pairs.select("suite_id", "lang", raw("candidate").alias("score_a"), raw("baseline").alias("score_b"))
+    stats = ab.raw_statistics(scores, ["suite_id", "lang"])
+    return stats.select(
+        "suite_id", "lang", "n", "n_nonzero", "rank_plus", "rank_minus", "tie_term",
+        *[F.round(c, 9).alias(c) for c in ("mean_a", "std_a", "std_b", "mean_diff", "std_diff")],
+    )
+
+
 @query
 def ab_winner(spark, sf):
     return ab.compare(_paired_scores(spark, sf), BY_SUITE).select(

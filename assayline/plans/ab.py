@@ -6,12 +6,19 @@ rows at most. Ranks, ties and moments are all read off the histogram: no suite i
 sorted or collected whole, and a suite with a third of all samples costs no more than
 another. Moments are sums of whole 1e-4 units, which makes them independent of the order
 and the partitioning of the rows.
+
+Scores of any other kind, raw doubles, give a histogram as long as the suite. ``raw_statistics``
+ranks it in parts: differences fall into buckets by their binary logarithm, ``OCTAVE`` to a
+doubling, a window ranks within a bucket, and the offsets of the buckets come from one more
+aggregate. Equal differences share a bucket, so ties never cross a border.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Context, Decimal
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +29,8 @@ from ..settings import Slot
 T_TEST_MIN = 30  # fixed value: sample size from which the t-test is used
 SPREAD_FLOOR = 1e-10  # fixed value: least divisor of the effect size
 _UNIT = 10_000.0
+OCTAVE = 1024  # buckets of raw differences from one power of two to the next
+_EXACT = "decimal(38,18)"
 
 
 def paired_scores(
@@ -134,6 +143,10 @@ def paired_statistics(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
         _spread("ud").alias("std_diff"),
         _spread("ud", sample=True).alias("sample_std_diff"),
     )
+    return _with_tests(stats)
+
+
+def _with_tests(stats: DataFrame) -> DataFrame:
     error = F.col("sample_std_diff") / F.sqrt(F.col("n").cast("double"))
     nan, infinity = F.lit(float("nan")), F.lit(float("inf"))
     t = F.coalesce(
@@ -151,9 +164,97 @@ def paired_statistics(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def compare(pairs: DataFrame, by: Sequence[str], alpha: float = 0.05) -> DataFrame:
-    """The full comparison per group of ``by``: statistics, p-value and winner."""
-    stats = paired_statistics(pairs, by)
+def _same(left: str, right: str, by: Sequence[str]) -> list[Column]:
+    return [F.col(f"{left}.`{c}`").eqNullSafe(F.col(f"{right}.`{c}`")) for c in by]
+
+
+def _exact_spread(n: Column, total: Column, squares: Column) -> Column:
+    """Population standard deviation from decimal moments, one call per batch of groups."""
+    context = Context(prec=100)
+
+    def spread(count, first, second) -> float:
+        scatter = context.subtract(context.multiply(Decimal(int(count)), second), context.multiply(first, first))
+        return float(context.sqrt(max(scatter, Decimal(0)))) / float(count)
+
+    @F.pandas_udf("double")
+    def spreads(n: pd.Series, total: pd.Series, squares: pd.Series) -> pd.Series:
+        return pd.Series([spread(*x) for x in zip(n, total, squares, strict=True)], dtype="float64")
+
+    return spreads(n, total, squares)
+
+
+def raw_statistics(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """What :func:`paired_statistics` gives, for scores that are not rounded (up to 1e9 in size).
+
+    Ranks are exact; sums are decimals with 18 places, so they do not depend on the order of rows.
+    No window holds more than the distinct differences of a bucket of a group.
+    """
+    by = list(by)
+
+    def total(x: Column) -> Column:
+        return F.sum(x.cast(_EXACT))
+
+    a, b = F.col("score_a"), F.col("score_b")
+    rows = pairs.select(*by, a, b, (a - b).alias("d")).withColumn("distance", F.abs("d"))
+    histogram = rows.groupBy(*by, "distance").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") > 0).alias("n_plus"),
+        F.count_if(F.col("d") < 0).alias("n_minus"), total(F.col("d")).alias("d_sum"),
+        total(a).alias("a_sum"), total(a * a).alias("a_squares"), total(b).alias("b_sum"), total(b * b).alias("b_squares"),
+    ).withColumn(
+        "bucket", F.when(F.col("distance") > 0, F.floor(F.log2("distance") * OCTAVE))
+    ).withColumn("ties", F.col("n_plus") + F.col("n_minus"))
+    sums = ("n", "d_sum", "a_sum", "a_squares", "b_sum", "b_squares")
+    totals = histogram.groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums]).withColumn(
+        "mean_diff", F.col("d_sum").cast("double") / F.col("n")
+    )
+    buckets = histogram.where("ties > 0").groupBy(*by, "bucket").agg(F.sum("ties").alias("held"))
+    below = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = buckets.withColumn("below", F.coalesce(F.sum("held").over(below), F.lit(0)))
+    within = Window.partitionBy(*by, "bucket").orderBy("distance").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    placed = histogram.withColumn("upto", F.sum("ties").over(within))
+    # rows without a difference have no bucket and no rank
+    ranked = (
+        placed.alias("h").join(offsets.alias("o"), [*_same("h", "o", by), F.col("h.bucket") == F.col("o.bucket")], "left")
+        .join(totals.alias("t"), _same("h", "t", by))
+    )
+    # twice the mean rank of equal differences, a whole number
+    twice = 2 * (F.col("o.below") + F.col("h.upto")) - F.col("h.ties") + 1
+    whole = lambda c: c.cast("decimal(19,0)")
+    mean, distance = F.col("t.mean_diff"), F.col("h.distance")
+    zeros = F.col("h.n") - F.col("h.ties")
+    scatter = (
+        F.col("h.n_plus") * F.pow(distance - mean, F.lit(2)) + F.col("h.n_minus") * F.pow(distance + mean, F.lit(2))
+        + zeros * mean * mean
+    )
+    ties = whole(F.col("h.ties"))
+    parts = ranked.groupBy(*[F.col(f"h.`{c}`").alias(c) for c in by]).agg(
+        F.sum("h.ties").alias("n_nonzero"),
+        (F.coalesce(F.sum(whole(F.col("h.n_plus")) * whole(twice)), F.lit(0)).cast("double") / 2).alias("rank_plus"),
+        (F.coalesce(F.sum(whole(F.col("h.n_minus")) * whole(twice)), F.lit(0)).cast("double") / 2).alias("rank_minus"),
+        F.sum(F.pow(ties.cast("double"), F.lit(3)) - ties.cast("double")).alias("tie_term"),
+        total(scatter).cast("double").alias("scatter"),
+    )
+    n = F.col("t.n").cast("double")
+    stats = totals.alias("t").join(parts.alias("p"), _same("t", "p", by)).select(
+        *[F.col(f"t.`{c}`").alias(c) for c in by],
+        F.col("t.n").alias("n"), "n_nonzero", "rank_plus", "rank_minus", "tie_term",
+        *[(F.col(f"t.{x}_sum").cast("double") / n).alias(f"mean_{x}") for x in "ab"],
+        *[_exact_spread(F.col("t.n"), F.col(f"t.{x}_sum"), F.col(f"t.{x}_squares")).alias(f"std_{x}") for x in "ab"],
+        F.col("t.mean_diff").alias("mean_diff"),
+        F.sqrt(F.col("scatter") / n).alias("std_diff"),
+        F.sqrt(F.try_divide(F.col("scatter"), n - 1)).alias("sample_std_diff"),
+    )
+    return _with_tests(stats)
+
+
+def compare(pairs: DataFrame, by: Sequence[str], alpha: float = 0.05, raw: bool = False) -> DataFrame:
+    """The full comparison per group of ``by``: statistics, p-value and winner.
+
+    Evaluator scores have four decimals; ``raw`` is for scores of any other kind.
+    """
+    stats = raw_statistics(pairs, by) if raw else paired_statistics(pairs, by)
     use_t, nonzero = F.col("is_t_test"), F.col("n_nonzero")
     p_value = paired_p_value(
         use_t, F.col("t"), (F.col("n") - 1).cast("double"), F.col("w"), nonzero,

@@ -174,6 +174,38 @@ def test_against_brute_force_whatever_the_partitions(spark):
             assert r["w_statistic"] == want["w"]
 
 
+def test_raw_scores_have_exact_ranks_whatever_the_partitions(spark):
+    rng = random.Random(12)
+    groups = {f"g{n}": [(rng.random(), rng.choice([rng.random(), 0.25])) for _ in range(n)] for n in (1, 2, 7, 29, 30, 500)}
+    groups["ties"] = [(x, y) for x in (0.1, 1 / 3, 1e-9, 3.5e5) for y in (0.1, 2 / 7, 1e-9)] * 4
+    groups["equal"] = [(0.3, 0.3)] * 40
+    groups["shift"] = [(0.75, 0.5)] * 40
+    groups[None] = [(1.0, 2.0), (5.0, 3.0), (2.0, 1.0)]
+    first = ab.raw_statistics(pairs(spark, groups, 1), BY).orderBy("suite_id").collect()
+    again = ab.raw_statistics(pairs(spark, groups, 16), BY).orderBy("suite_id").collect()
+    assert str(first) == str(again)  # as text, since a test statistic may be undefined
+    for r in first:
+        want = brute(groups[r["suite_id"]])
+        assert r["w"] == want["w"], r["suite_id"]
+        assert r["mean_diff"] == pytest.approx(want["mean_diff"], rel=1e-12, abs=1e-15)
+        assert r["effect_size"] == pytest.approx(want["effect"], rel=1e-9)
+        a = [x for x, _ in groups[r["suite_id"]]]
+        mean = sum(a) / len(a)
+        assert r["std_a"] == pytest.approx(math.sqrt(sum((x - mean) ** 2 for x in a) / len(a)), rel=1e-9, abs=1e-12)
+        if "t" in want and r["suite_id"] != "shift":
+            assert r["t"] == pytest.approx(want["t"], rel=1e-9)
+    by_suite = {r["suite_id"]: r for r in first}
+    assert by_suite["shift"]["t"] == math.inf and math.isnan(by_suite["equal"]["t"]) and by_suite["equal"]["n_nonzero"] == 0
+    won = {r["suite_id"]: r["winner"] for r in ab.compare(pairs(spark, groups), BY, raw=True).collect()}
+    assert won["shift"] == "model_a" and won["equal"] == "tie"
+
+
+def test_no_window_holds_a_whole_suite_of_raw_scores(spark):
+    plan = ab.raw_statistics(pairs(spark, {"s": [(0.1, 0.2)]}), BY)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if line.strip(" :+-").startswith("Window")]
+    assert len(windows) == 2 and all("bucket" in line for line in windows)
+
+
 def test_a_hot_suite_is_folded_before_the_shuffle(spark):
     plan = ab.paired_statistics(pairs(spark, {"s": [(0.1, 0.2)]}), BY)._jdf.queryExecution()
     text = plan.executedPlan().toString()
