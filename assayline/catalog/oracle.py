@@ -1126,6 +1126,19 @@ FROM (SELECT suite_id, count(*) AS runs, count(*) FILTER (decision = 'pass') AS
              count(*) FILTER (decision = 'human_review') AS reviews,
              count(*) FILTER (reason_code IN ('3a', '3b')) AS regressions
       FROM runs GROUP BY ROLLUP (suite_id))""")
+_add("metrics_by_evaluator", _with(PAIRS, AB_OUTS, _PAIRED) + f""",
+judged AS (
+  SELECT *, evaluator = 'content_safety' AND sample_id % 10 = 7 AS failed, round(a * 10000)::BIGINT AS units FROM paired),
+summed AS (
+  SELECT CASE grouping(suite_id, evaluator) WHEN 0 THEN 'suite and evaluator' WHEN 1 THEN 'suite'
+         WHEN 2 THEN 'evaluator' ELSE 'all' END AS level,
+         suite_id, evaluator, count(*) AS results, count(*) FILTER (failed) AS errors,
+         count(*) FILTER (NOT failed) AS scored, count(*) FILTER (NOT failed AND a < b) AS regressions,
+         sum(units) FILTER (NOT failed) AS units
+  FROM judged GROUP BY GROUPING SETS ((suite_id, evaluator), (suite_id), (evaluator), ()))
+SELECT level, suite_id, evaluator, results, errors, scored, regressions, CASE WHEN scored > 0 THEN scored END AS sketched,
+       {r('errors / results::DOUBLE', 6)} AS error_rate, {r('units / (scored * 10000.0::DOUBLE)', 6)} AS mean_score
+FROM summed""")
 _add("regression_trend", _with(_RUNS) + f""",
 means AS (
   SELECT suite_id, suite_version, count(*) AS runs, min(ingest_seq) AS first_saved,

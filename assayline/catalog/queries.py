@@ -1210,6 +1210,25 @@ def run_metrics(spark, sf):
     return metrics(given.runs(spark, sf)).withColumn("pass_ratio", round_exact("pass_ratio", 6))
 
 
+@query
+def metrics_by_evaluator(spark, sf):
+    """Error rate and regressions by suite and metric, from partials of every language merged."""
+    from ..plans.monitoring import metric_partials, metric_report
+
+    pairs = _pairs(spark, sf).withColumn("toxicity", F.when(F.col("sample_id") % 10 != 7, F.col("toxicity")))
+    scored = evaluate(pairs, (A, B), CORPUS, BUILT_IN, ("score", "error"))
+    rows = ab.paired_scores(scored, BUILT_IN, ["suite_id", "lang"], A, B, errors=True)
+    results = rows.select(
+        F.concat_ws("/", "suite_id", "lang").alias("suite_id"), "evaluator", F.col("score_a").alias("score"),
+        F.when(F.col("error_b").isNull(), F.col("score_b")).alias("baseline"), F.col("error_a").alias("error"),
+    )
+    partials = metric_partials(results).withColumn("suite_id", F.substring_index("suite_id", "/", 1))
+    return metric_report(partials).select(
+        "level", "suite_id", "evaluator", "results", "errors", "scored", "regressions", "sketched",
+        round_exact("error_rate", 6).alias("error_rate"), round_exact("mean_score", 6).alias("mean_score"),
+    )
+
+
 @query
 def regression_trend(spark, sf):
     from ..plans.monitoring import regression_trend as trend

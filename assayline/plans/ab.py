@@ -34,9 +34,9 @@ _EXACT = "decimal(38,18)"
 
 
 def paired_scores(
-    df: DataFrame, names: Sequence[str], keys: Sequence[str], a: Slot, b: Slot
+    df: DataFrame, names: Sequence[str], keys: Sequence[str], a: Slot, b: Slot, errors: bool = False
 ) -> DataFrame:
-    """One row per (sample, evaluator) with both scores, without a shuffle."""
+    """One row per (sample, evaluator) with both scores, without a shuffle; with both ``errors``, if asked."""
     rows = F.array(
         *[
             F.struct(
@@ -44,6 +44,7 @@ def paired_scores(
                 F.lit(n).alias("evaluator"),
                 F.col(a.out(f"{n}_score")).alias("score_a"),
                 F.col(b.out(f"{n}_score")).alias("score_b"),
+                *([F.col(x.out(f"{n}_error")).alias(f"error_{y}") for x, y in ((a, "a"), (b, "b"))] if errors else ()),
             )
             for i, n in enumerate(names)
         ]

@@ -75,6 +75,55 @@ def run_metrics(runs: DataFrame) -> DataFrame:
     )
 
 
+def metric_partials(results: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """One mergeable row per suite and evaluator of ``suite_id, evaluator, score, baseline, error`` rows.
+
+    Partials of days or batches can be stored, put together with a union, and reported by
+    :func:`metric_report`. Scores are summed in units of their four decimals; their distribution
+    is a KLL sketch. Rows with an error count as errors and nowhere else; without a baseline
+    score there is no regression.
+    """
+    good = F.col("error").isNull() & F.col("score").isNotNull()
+    worse = good & (F.col("score") < F.col("baseline") - F.lit(tolerance))
+    return results.groupBy("suite_id", "evaluator").agg(
+        F.count(F.lit(1)).alias("results"),
+        F.count_if(F.col("error").isNotNull()).alias("errors"),
+        F.count_if(good).alias("scored"),
+        F.count_if(worse).alias("regressions"),
+        F.coalesce(F.sum(F.when(good, F.round(F.col("score") * 10000).cast("long"))), F.lit(0)).alias("units"),
+        F.kll_sketch_agg_double(F.when(good, F.col("score"))).alias("sketch"),
+    )
+
+
+def metric_report(partials: DataFrame, quantiles: Sequence[float] = (0.5, 0.05)) -> DataFrame:
+    """Error rate, regressions, mean and quantiles by suite and metric, by each alone, and overall.
+
+    ``level`` says what a row is about; in a total the other key is null. Only partials are grouped
+    several ways, one short row each, never the results.
+    """
+    sums = ("results", "errors", "scored", "regressions", "units")
+    merged = partials.groupingSets(
+        [["suite_id", "evaluator"], ["suite_id"], ["evaluator"], []], "suite_id", "evaluator"
+    ).agg(
+        F.grouping_id().alias("grouping"), *[F.sum(c).alias(c) for c in sums],
+        F.kll_merge_agg_double("sketch").alias("sketch"),
+    )
+    level = F.element_at(
+        F.array(*map(F.lit, ("suite and evaluator", "suite", "evaluator", "all"))), (F.col("grouping") + 1).cast("int")
+    )
+    some = F.col("scored") > 0
+    return merged.select(
+        level.alias("level"), "suite_id", "evaluator", "results", "errors", "scored", "regressions",
+        (F.col("errors") / F.col("results")).alias("error_rate"),
+        F.when(some, F.col("units") / (F.col("scored") * 10000.0)).alias("mean_score"),
+        F.when(some, F.kll_sketch_get_n_double("sketch")).alias("sketched"),
+        *[
+            F.when(some, F.kll_sketch_get_quantile_double("sketch", F.lit(q))).alias(f"p{round(q * 100):02d}")
+            for q in quantiles
+        ],
+    )
+
+
 def regression_trend(
     runs: DataFrame, version: str = "suite_version", rolling: int = 3, saved: str = "ingest_seq"
 ) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayline.functions import stats
-from assayline.plans import ab, gate, report
+from assayline.plans import ab, gate, monitoring, report
 from assayline.plans.monitoring import enforcement_level, regressed_dimensions, weighted_score
 from assayline.settings import BUILT_IN, Settings, Slot
 
@@ -243,3 +243,31 @@ def test_extensions(spark):
     assert r["w"] == pytest.approx(0.7) and (r["l"], r["h"]) == ("ticket", "hard_gate")
     assert list(r["d"]) == ["x"]
     assert Slot().prefix == "" and Settings().is_enabled("quality")
+
+
+def test_metrics_by_suite_and_evaluator_merge(spark):
+    rng = random.Random(3)
+    rows = [
+        (rng.choice(["s", "t"]), rng.choice(["m", "n"]), round(rng.random(), 4), round(rng.random(), 4) if i % 3 else None,
+         "down" if i % 10 == 0 else None)
+        for i in range(4000)
+    ] + [("u", "m", None, None, "down")]
+    df = spark.createDataFrame(rows, "suite_id string, evaluator string, score double, baseline double, error string")
+    whole = monitoring.metric_report(monitoring.metric_partials(df)).collect()
+    parts = [monitoring.metric_partials(df.where(F.expr(c))) for c in ("score < 0.3", "score >= 0.3 or score is null")]
+    merged = monitoring.metric_report(parts[0].union(parts[1])).collect()
+    exact = ("results", "errors", "scored", "regressions", "error_rate", "mean_score", "sketched")
+    key = lambda r: (r.level, r.suite_id, r.evaluator)
+    assert {key(r): [r[c] for c in exact] for r in whole} == {key(r): [r[c] for c in exact] for r in merged}
+    assert len(whole) == 5 + 3 + 2 + 1
+    for r in merged:
+        own = [x for x in rows if r.suite_id in (None, x[0]) and r.evaluator in (None, x[1])]
+        good = [x for x in own if x[4] is None]
+        assert (r.results, r.errors, r.scored) == (len(own), len(own) - len(good), len(good))
+        assert r.regressions == sum(x[3] is not None and x[2] < x[3] for x in good)
+        if not good:
+            assert r.mean_score is None and r.p50 is None and r.error_rate == 1.0
+            continue
+        assert r.mean_score == pytest.approx(sum(x[2] for x in good) / len(good), abs=1e-9)
+        for q, got in ((0.5, r.p50), (0.05, r.p05)):
+            assert abs(sum(x[2] <= got for x in good) / len(good) - q) < 0.03
