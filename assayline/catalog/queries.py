@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import brand, text
+from ..functions.expr import elements
 from ..functions.numbers import extract_claims, extract_numbers
 from ..functions.pii import detect_pii, pii_matches
 from ..functions.rounding import round_exact
@@ -80,9 +81,7 @@ def explode_sentences(spark, sf):
 @query
 def extract_numbers_query(spark, sf):
     docs = given.documents(spark, sf)
-    return docs.select(
-        "doc_id", F.posexplode(extract_numbers(F.col("text"))).alias("pos", "n")
-    ).select(
+    return elements(docs, ["doc_id"], extract_numbers(F.col("text")), "n", "pos").select(
         "doc_id", _long(F.col("pos")).alias("pos"), "n.value", "n.unit", "n.match", "n.negative"
     )
 
@@ -108,9 +107,9 @@ QUERIES["extract_claims"] = QUERIES.pop("extract_claims_query")
 @query
 def detect_pii_query(spark, sf):
     docs = given.documents(spark, sf)
-    return docs.select(
-        "doc_id", F.explode(pii_matches(F.col("text"))).alias("p")
-    ).select("doc_id", F.col("p.type").alias("pii_type"), F.col("p.match").alias("found"))
+    return elements(docs, ["doc_id"], pii_matches(F.col("text")), "p").select(
+        "doc_id", F.col("p.type").alias("pii_type"), F.col("p.match").alias("found")
+    )
 
 
 QUERIES["detect_pii"] = QUERIES.pop("detect_pii_query")
@@ -119,9 +118,7 @@ QUERIES["detect_pii"] = QUERIES.pop("detect_pii_query")
 @query
 def match_spans(spark, sf):
     docs = given.documents(spark, sf)
-    return docs.select(
-        "doc_id", "text", F.explode(detect_pii(F.col("text"))).alias("p")
-    ).select(
+    return elements(docs, ["doc_id", "text"], detect_pii(F.col("text")), "p").select(
         "doc_id",
         F.col("p.type").alias("pii_type"),
         _long(F.col("p.start")).alias("span_start"),
@@ -258,7 +255,7 @@ def quality_score(spark, sf):
 @query
 def flag_messages(spark, sf):
     scored = evaluate(given.samples(spark, sf), names=["factual_accuracy"])
-    flags = scored.select("sample_id", F.posexplode("factual_accuracy_flags").alias("pos", "f"))
+    flags = elements(scored, ["sample_id"], "factual_accuracy_flags", "f", "pos")
     return flags.select(
         "sample_id", _long(F.col("pos")).alias("pos"), "f.message", "f.evidence", "f.severity"
     )
@@ -400,7 +397,7 @@ def hallucination_score(spark, sf):
 @query
 def hallucination_flags(spark, sf):
     scored = evaluate(_with_model_scores(spark, sf), MODEL_SLOT, names=["hallucination"])
-    flags = scored.select("sample_id", F.posexplode("hallucination_flags").alias("pos", "f"))
+    flags = elements(scored, ["sample_id"], "hallucination_flags", "f", "pos")
     return flags.select(
         "sample_id", _long(F.col("pos")).alias("pos"), "f.category", "f.severity", "f.message"
     )
@@ -422,9 +419,7 @@ def hallucination_counts(spark, sf):
 def sentence_source_cosine(spark, sf):
     """Each sentence against its whole source, by the lexical stand-in."""
     scored = evaluate(given.samples(spark, sf), names=["hallucination"])
-    rows = scored.select(
-        "sample_id", F.posexplode("hallucination_details.sentence_results").alias("pos", "r")
-    )
+    rows = elements(scored, ["sample_id"], "hallucination_details.sentence_results", "r", "pos")
     return rows.select(
         "sample_id",
         _long(F.col("pos")).alias("pos"),
@@ -472,10 +467,7 @@ def no_source_guard(spark, sf):
 
 def _claim_results(spark, sf, settings=Settings()):
     scored = evaluate(given.samples(spark, sf), names=["factual_accuracy"], settings=settings)
-    return scored.select(
-        "sample_id",
-        F.posexplode("factual_accuracy_details.claim_results").alias("pos", "c"),
-    )
+    return elements(scored, ["sample_id"], "factual_accuracy_details.claim_results", "c", "pos")
 
 
 @query
@@ -490,9 +482,7 @@ def verify_textual(spark, sf):
 def verify_numerical(spark, sf):
     scored = evaluate(given.numeric_claims(spark, sf).withColumn("prompt", F.lit("")),
                       names=["factual_accuracy"])
-    claims = scored.select(
-        "sample_id", F.explode("factual_accuracy_details.claim_results").alias("c")
-    ).filter("c.type = 'numerical'")
+    claims = elements(scored, ["sample_id"], "factual_accuracy_details.claim_results", "c").filter("c.type = 'numerical'")
     return claims.select(
         "sample_id",
         F.col("c.value").alias("value"),
@@ -537,8 +527,8 @@ def corpus_as_knowledge(spark, sf):
     """Every sentence of every turn against the sentences of all documents as facts."""
     from ..operators.knowledge import match_with_knowledge
 
-    facts = given.documents(spark, sf).select(
-        "doc_id", F.posexplode(text.split_sentences(F.col("text"))).alias("pos", "fact")
+    facts = elements(
+        given.documents(spark, sf), ["doc_id"], text.split_sentences(F.col("text")), "fact", "pos"
     ).select((F.col("doc_id") * 100_000 + F.col("pos")).alias("fact_id"), "fact")
     turns = given.table(spark, sf, "conversations").select(
         (F.col("conv_id") * 100_000 + F.col("turn")).alias("sample_id"), F.col("text").alias("generated"),
@@ -928,7 +918,7 @@ def attach_prompt_source(spark, sf):
     docs = given.documents(spark, sf).select(
         F.col("doc_id").alias("suite_id"), text.split_sentences(F.col("text")).alias("s")
     )
-    rows = docs.select("suite_id", F.posexplode("s").alias("sample_index", "t"))
+    rows = elements(docs, ["suite_id"], "s", "t", "sample_index")
     outputs = rows.select(
         "suite_id",
         F.lit("a").alias("slot"),

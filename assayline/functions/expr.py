@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,14 @@ def count_where(values: Column, test: Callable[[Column], Column]) -> Column:
 
 def empty_array(element_type: str) -> Column:
     return F.array().cast(f"array<{element_type}>")
+
+
+def elements(df: DataFrame, kept: list, array: Column | str, name: str, position: str = "_at") -> DataFrame:
+    """``kept`` columns with one row per element of an array; without ``position`` it is dropped.
+
+    From a plain generator the optimizer infers filters on the array, which it then pushes down
+    as copies of whatever makes the array: an extraction would run two or three times a row. From an
+    outer one it infers none, so the array is made once, and the empty ones go afterwards.
+    """
+    rows = df.select(*kept, F.posexplode_outer(array).alias(position, name)).where(F.col(position).isNotNull())
+    return rows.drop(position) if position == "_at" else rows

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .expr import empty_array, let
-from .text import spans, split_sentences, unicode_pattern
+from .text import spans_of, split_sentences, unicode_pattern
 
 # The number grammar (groups: sign, currency, digits, percent, unit).
 NUMBER_PATTERN = (
@@ -85,12 +85,21 @@ def extract_numbers(text: Column) -> Column:
             ),
         )
 
+    def from_matches(parts: Column) -> Column:
+        matches = parts["matches"]
+        return F.filter(
+            F.zip_with(matches, spans_of(matches, parts["gaps"]), describe), lambda n: n["value"].isNotNull()
+        )
+
+    # the text is matched once for the numbers and once for what lies between them
     found = let(
-        text,
-        lambda t: F.filter(
-            F.zip_with(F.regexp_extract_all(t, F.lit(_PATTERN), F.lit(0)), spans(t, _PATTERN), describe),
-            lambda n: n["value"].isNotNull(),
+        let(
+            text,
+            lambda t: F.struct(
+                F.regexp_extract_all(t, F.lit(_PATTERN), F.lit(0)).alias("matches"), F.split(t, _PATTERN).alias("gaps")
+            ),
         ),
+        from_matches,
     )
     return F.when(text.rlike(_HAS_DIGIT), found).otherwise(empty_array(NUMBER_TYPE))
 

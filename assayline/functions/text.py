@@ -74,10 +74,15 @@ def words(text: Column) -> Column:
 def spans(text: Column, pattern: str | Column) -> Column:
     """(start, end) character offsets of each non-overlapping match."""
     regex = F.lit(pattern) if isinstance(pattern, str) else pattern
+    return spans_of(F.regexp_extract_all(text, regex, F.lit(0)), F.split(text, regex))
+
+
+def spans_of(matches: Column, gaps: Column) -> Column:
+    """(start, end) character offsets of matches between the gaps that are left of the text."""
     # zip_with pads the shorter side: there is one more gap than there are matches
     lengths = F.zip_with(
-        F.regexp_extract_all(text, regex, F.lit(0)),
-        F.split(text, regex),
+        matches,
+        gaps,
         lambda m, gap: F.struct(F.length(gap).alias("gap"), F.length(m).alias("size")),
     )
     start = F.struct(

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayline.functions import brand
+from assayline.functions.expr import elements
 from assayline.functions.lexical import best_matches, sentence_grounding
 from assayline.functions.text import split_sentences
 from assayline.functions.vectors import best_vector_matches, vector_cosines
@@ -397,3 +398,21 @@ def test_scoring_is_one_narrow_stage(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1  # the repartition of the input itself
     assert "Join" not in plan
+
+
+# --- plans
+
+
+@pytest.mark.parametrize(
+    ("array", "name"), [("factual_accuracy_details.claim_results", "c"), ("factual_accuracy_flags", "f")],
+)
+def test_extractions_run_once_below_a_generator(spark, array, name):
+    df = rows(spark, [("Sold 5 of them. Then 7 more came in.", "Sold 5.", "", CALM), ("", "x", "", CALM)])
+    scored = evaluate(df, names=["factual_accuracy"])
+    each = elements(scored, ["sample_id"], array, name, "pos")
+    plan = each._jdf.queryExecution().optimizedPlan().toString()
+    # the numbers of the sentences and those of the source
+    assert plan.count("regexp_extract_all") == 2
+    plain = scored.select("sample_id", F.posexplode(array).alias("pos", name))
+    assert sorted(map(str, each.collect())) == sorted(map(str, plain.collect()))
+    assert elements(scored, ["sample_id"], array, name).columns == ["sample_id", name]
