@@ -29,6 +29,7 @@ from assayline.llm.shared import cut
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SEEDS = 32
+FEW = 100_000  # sources that may be broadcast, of some 50 bytes each
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -85,7 +86,7 @@ def plan(narrow: DataFrame, weights: tuple[int, ...], most: int, seed: str) -> D
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     goals = targets(sizes, weights, most).withColumn("rate", rate).withColumnRenamed("source", "s")
-    rows = narrow.join(goals, F.col("source").eqNullSafe(F.col("s")))
+    rows = narrow.join(_sized(goals), F.col("source").eqNullSafe(F.col("s")))
     fraction = F.col("rate") - F.floor("rate")
     more = [F.sum(F.when(draw < fraction, F.col("size")).otherwise(F.lit(0))) for draw in draws(F.col("name"), seed)]
     near = rows.groupBy("s", "source_size", "target", "rate").agg(F.array(*more).alias("more"))
@@ -98,11 +99,17 @@ def plan(narrow: DataFrame, weights: tuple[int, ...], most: int, seed: str) -> D
     )
 
 
+def _sized(goals: DataFrame) -> DataFrame:
+    """The table of sources, broadcast if it has at most ``FEW`` rows, else joined by sorting."""
+    goals = cut(goals)
+    return F.broadcast(goals) if goals.count() <= FEW else goals
+
+
 def _taken(rows: DataFrame, goals: DataFrame, seed: str) -> DataFrame:
-    """Rows with ``source, size, name`` and what their source's plan gives them: ``copies``."""
+    """Rows with ``source, name`` and what their source's plan gives them: ``copies``."""
     draw = F.get(F.array(*draws(F.col("name"), seed)), F.col("use"))
     copies = F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")
-    return rows.join(goals, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", copies.cast("long"))
+    return rows.join(_sized(goals), F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", copies.cast("long"))
 
 
 def _narrow(docs: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def load(path: str):
 
 
 def counts(texts: list[str], encode, split, piece: int = PIECE_BYTES, batch: int = BATCH_BYTES) -> list[int]:
-    """Tokens per text, encoded in batches of about ``batch`` characters."""
+    """Tokens per text, encoded in batches of about ``batch`` bytes."""
     total = [0] * len(texts)
     held, owners, size = [], [], 0
 
@@ -81,7 +81,7 @@ def counts(texts: list[str], encode, split, piece: int = PIECE_BYTES, batch: int
         for part in split(text, piece):
             held.append(part)
             owners.append(i)
-            size += len(part)
+            size += len(part) if part.isascii() else len(part.encode())
             if size >= batch:
                 flush()
                 size = 0

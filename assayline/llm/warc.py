@@ -25,6 +25,7 @@ import gzip
 import hashlib
 import io
 import json
+import math
 import struct
 import uuid
 import zipfile
@@ -42,6 +43,7 @@ DATA = "archive/data.warc.gz"
 INDEX = "indexes/index.cdxj"
 PACKAGE_BYTES = 64 << 20
 RUN_BYTES = 1 << 20
+TASK_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6f2f6e9c-0a51-4d0b-8f3e-000000000000").int
@@ -275,8 +277,12 @@ def read(packages: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
                     raise ValueError(f"{run['path']} has {len(found)} records, not {run['records']}")
                 yield pa.RecordBatch.from_pylist(found, schema=_SCHEMA)
 
-    spread = packages.select("path").mapInArrow(runs, "path string, start long, length long, records long")
-    return spread.repartition("path", "start").mapInArrow(
+    found = cut(packages.select("path").mapInArrow(runs, "path string, start long, length long, records long"))
+    # descriptors are short: the number of tasks follows from the bytes they stand for
+    whole, number = found.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
+    cores = packages.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(number, max(cores, math.ceil(whole / TASK_BYTES))))
+    return found.repartition(tasks, "path", "start").mapInArrow(
         records,
         "page_id long, url string, payload_bytes long, payload_digest string, record_type string, "
         "refers_to long, payload binary",
