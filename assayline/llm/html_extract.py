@@ -1,11 +1,14 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
-A page is cut into blocks at block-level tags. A block has its number of words, its link
-density, whether it stands in a container that is furniture by tag or class name, in an
-article, or in a heading; the words and link density of the blocks before and after it are
-features as well. A decision tree (Spark ML) trained on a small labelled table tells main
-text from the rest. The tree is applied as an expression over the array of blocks, so pages
-are never exploded or shuffled.
+A page is cut into blocks at block-level tags. A block has its number of words and its link
+density, those of its neighbours, and what its containers say. Tags such as ``nav`` or ``footer`` are
+strong evidence. Class, id and role names are weak: a container is suspected by a part of one of
+its names (``site-footer``) unless another part says the opposite (``entry-content comments-open``), ``html``,
+``body``, ``main`` and ``article`` never are, and a suspected container comes with the share of the
+page's words it holds and its link density, as counter-evidence: furniture is rarely most of a page. The
+tree also learns whether a block lies in an article, and whether it lies outside of one on a page that
+has some. A decision tree (Spark ML) trained on a small labelled table tells main text from the rest.
+It is applied as an expression over the array of blocks, so pages are never exploded or shuffled.
 
 Character references are decoded, white space in a block becomes one space, and the chosen
 blocks are joined in page order by two newlines. Scripts, styles, comments and the like are
@@ -26,7 +29,7 @@ from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset "
@@ -36,6 +39,8 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED_TAGS = frozenset("script style noscript template svg math iframe object textarea title select".split())
 FURNITURE_TAGS = frozenset("nav footer aside form button menu dialog fieldset".split())
+NEUTRAL_TAGS = frozenset("html body main article".split())
+COMMENT_WORDS = frozenset("comment comments disqus replies reply respond".split())
 FURNITURE_WORDS = frozenset(
     "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
     "cookies copyright disclaimer disqus footer form gdpr header legal login masthead menu modal nav navbar "
@@ -57,25 +62,40 @@ _PARTS = re.compile(r"[a-z]+")
 
 FEATURES = (
     "words", "density", "words_before", "density_before", "words_after", "density_after",
-    "furniture", "main", "heading",
+    "strong", "suspected", "comment", "share", "container_density", "main", "outside", "header", "heading",
 )
+_SHARES = ("share", "container_density")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def _kind(name: str, rest: str) -> tuple[int, int]:
-    """Whether a container is furniture, and whether it is an article."""
-    words = set(_PARTS.findall(" ".join(_NAMES.findall(rest)).lower())) if rest else set()
-    hidden = bool(rest) and _HIDDEN.search(rest) is not None
-    furniture = name in FURNITURE_TAGS or bool(words & FURNITURE_WORDS) or hidden
-    return int(furniture), int(name in ("article", "main") or bool(words & MAIN_WORDS))
+class _Container:
+    """An open element: what it says about its text, and how much text and links it holds."""
 
+    __slots__ = ("name", "strong", "suspected", "comment", "main", "header", "heading", "words", "linked")
 
-def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
-    """``text, words, linked, furniture, main, heading`` of every block with text."""
-    out: list[tuple[str, int, int, int, int, int]] = []
+    def __init__(self, name: str, rest: str):
+        parts = set(_PARTS.findall(" ".join(_NAMES.findall(rest)).lower())) if rest else set()
+        hidden = bool(rest) and _HIDDEN.search(rest) is not None
+        self.name = name
+        self.main = name in ("article", "main") or bool(parts & MAIN_WORDS)
+        self.comment = bool(parts & COMMENT_WORDS) and not parts & MAIN_WORDS
+        self.suspected = bool(parts & FURNITURE_WORDS) and not parts & MAIN_WORDS and name not in NEUTRAL_TAGS
+        self.strong = name in FURNITURE_TAGS or hidden
+        self.header = name == "header"
+        self.heading = name in _HEADINGS
+        self.words = self.linked = 0
+
+
+BLOCK = ("text", "words", "linked", *FEATURES[6:])
+
+
+def blocks(page: str) -> list[tuple]:
+    """What ``BLOCK`` names of every block with text."""
+    out: list[tuple] = []
     pieces: list[str] = []
     linked = 0
     link_from = -1  # number of pieces when the open link began
-    stack: list[tuple[str, int, int]] = []
+    stack: list[_Container] = []
 
     def count_link() -> None:
         nonlocal linked, link_from
@@ -89,11 +109,10 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
         count_link()
         words = html.unescape("".join(pieces)).split()
         if words:
-            out.append((
-                " ".join(words), len(words), min(linked, len(words)),
-                int(any(x[1] for x in stack)), int(any(x[2] for x in stack)),
-                int(any(x[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for x in stack)),
-            ))
+            for container in stack:
+                container.words += len(words)
+                container.linked += min(linked, len(words))
+            out.append((" ".join(words), len(words), min(linked, len(words)), tuple(stack)))
         pieces.clear()
         linked, link_from = 0, 0 if in_link else -1
 
@@ -130,24 +149,43 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
             if name in VOID_TAGS:
                 continue
             if not end:
-                if stack and stack[-1][0] == "p":  # a paragraph ends where a block begins
+                if stack and stack[-1].name == "p":  # a paragraph ends where a block begins
                     stack.pop()
                 if not rest.endswith("/"):
-                    stack.append((name, *_kind(name, rest)))
+                    stack.append(_Container(name, rest))
             else:
                 for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
+                    if stack[i].name == name:
                         del stack[i:]
                         break
     close()
+    return _judged(out)
+
+
+def _judged(found: list[tuple]) -> list[tuple]:
+    """Blocks with what their containers say, once all text has been counted."""
+    total = max(1, sum(words for _, words, _, _ in found))
+    some_main = any(x.main for *_, stack in found for x in stack)
+    out = []
+    for text, words, linked, stack in found:
+        suspects = [x for x in stack if x.suspected or x.comment]
+        widest = suspects[0] if suspects else None
+        main = any(x.main for x in stack)
+        out.append((
+            text, words, linked, int(any(x.strong for x in stack)), int(bool(suspects)),
+            int(any(x.comment for x in stack)), widest.words / total if widest else 0.0,
+            widest.linked / max(1, widest.words) if widest else 0.0, int(main), int(some_main and not main),
+            int(any(x.header for x in stack) and not main), int(any(x.heading for x in stack)),
+        ))
     return out
 
 
-def labelled_pages(seed: int = 5, pages: int = 60) -> list[tuple[str, list[int]]]:
+def labelled_pages(seed: int = 5, pages: int = 400) -> list[tuple[str, list[int]]]:
     """Pages in common layouts with a label for each block (1: main text).
 
-    The layouts vary by rule: semantic tags, class names or neither; menus, notices, adverts,
-    side columns, forms, reader comments and footers around an article.
+    The layouts vary by rule: the article in a semantic tag, a named container, a container whose
+    name looks like furniture, or none; menus, headers, notices, adverts, side columns, forms,
+    reader comments, teasers and footers around it, marked by tags, by names or not at all.
     """
     draw = random.Random(seed)
 
@@ -155,52 +193,69 @@ def labelled_pages(seed: int = 5, pages: int = 60) -> list[tuple[str, list[int]]
         return " ".join(["word"] * draw.randint(low, high)) + "."
 
     def links(n: int) -> str:
-        return "".join(f'<li><a href="#">{" ".join(["link"] * draw.randint(1, 3))}</a></li>' for _ in range(n))
+        return "".join(f'<li><a href="#">{" ".join(["link"] * draw.randint(1, 4))}</a></li>' for _ in range(n))
+
+    def paragraph() -> str:
+        kind = draw.random()
+        if kind < 0.08:
+            return f'<p><a href="#">{prose(1, 12)}</a></p>'
+        text = prose(1, 12) if kind < 0.45 else prose(12, 120)
+        return f'<p>{text} <a href="#">{prose(1, 4)}</a></p>' if draw.random() < 0.2 else f"<p>{text}</p>"
 
     out = []
     for i in range(pages):
-        plain = i % 4 == 3  # neither tags nor class names tell anything
+        layout = ("tag", "name", "wrapped", "bare", "tag", "name")[i % 6]
+        marked = layout != "bare"
         parts: list[tuple[str, list[int]]] = []
 
-        def furniture(tag: str, name: str, inner: str, n: int, parts=parts, plain=plain) -> None:
-            tag, name = ("div", "") if plain else (tag, name)
-            parts.append((f'<{tag} class="{name}">{inner}</{tag}>', [0] * n))
-
-        n = draw.randint(3, 8)
-        bare = draw.random() < 0.3  # nothing before or after the article
-        if not bare:
-            furniture("nav", draw.choice(["menu", "top", ""]), f"<ul>{links(n)}</ul>", n)
-        if not plain:
-            furniture("div", draw.choice(["cookie-notice", "banner", "ad"]), f"<p>{prose(4, 60)}</p>", 1)
+        def furniture(chance: float, tag: str, names: str, inner: str, n: int, parts=parts, marked=marked) -> None:
+            if draw.random() < chance:
+                by_tag = marked and draw.random() < 0.5
+                name = draw.choice(names.split()) if marked and not by_tag else ""
+                parts.append((f'<{tag if by_tag else "div"} class="{name}">{inner}</{tag if by_tag else "div"}>', [0] * n))
+
+        n = draw.randint(3, 9)
+        furniture(0.8, "nav", "menu site-nav navbar top-menu", f"<ul>{links(n)}</ul>", n)
+        if marked and draw.random() < 0.5:
+            parts.append((f"<header><p>{prose(1, 8)}</p></header>", [0]))
+        if marked and draw.random() < 0.5:
+            parts.append((f'<div class="{draw.choice(["cookie-notice", "banner", "ad-box"])}"><p>{prose(4, 60)}</p></div>', [0]))
         body, labels = [], []
         if draw.random() < 0.9:
-            body.append(f"<h1>{prose(3, 12)}</h1>")
+            body.append(f"<h1>{prose(2, 12)}</h1>")
             labels.append(1)
-        for _ in range(draw.randint(2, 9)):
-            short = draw.random() < (0.15 if plain else 0.5)
-            text = prose(1, 12) if short and not plain else prose(15, 120)
-            if draw.random() < 0.2:
-                text += f' <a href="#">{prose(1, 3)}</a>'
-            body.append(f"<p>{text}</p>")
+        for _ in range(draw.randint(1, 9)):
+            body.append(paragraph())
             labels.append(1)
-            if draw.random() < 0.15 and not plain:
-                body.append(f'<div class="ad">{prose(3, 40)}</div>')
+            if draw.random() < 0.12 and marked:
+                body.append(f'<div class="{draw.choice(["ad", "advert", "share-bar", "newsletter"])}">{prose(3, 40)}</div>')
                 labels.append(0)
-        if not plain and draw.random() < 0.5:
-            body.append(f'<section class="comments"><p>{prose(5, 80)}</p><p>{prose(5, 80)}</p></section>')
-            labels += [0, 0]
-        tag = "div" if plain else draw.choice(["article", "main", 'div class="content"', 'div class="post"'])
-        parts.append((f"<{tag}>{''.join(body)}</{tag.split()[0]}>", labels))
-        if not plain and draw.random() < 0.5:
-            furniture("aside", "sidebar", f"<h3>{prose(1, 3)}</h3><p>{prose(5, 50)}</p>", 2)
-            furniture("form", "", f"<p>{prose(2, 10)}</p>", 1)
-            # text of a page outside any article that no container marks
+        if marked and draw.random() < 0.3:
+            n = draw.randint(1, 12)
+            name = draw.choice(["comments", "comment-list", "replies"])
+            body.append(f'<section class="{name}">{"".join(f"<p>{prose(3, 80)}</p>" for _ in range(n))}</section>')
+            labels += [0] * n
+        opening, tag = {
+            "tag": (draw.choice(["article", "main"]),) * 2,
+            "name": (f'div class="{draw.choice(["content", "post", "entry-content comments-open", "story form-article"])}"', "div"),
+            "wrapped": (f'div class="{draw.choice(["social-science", "legal-news", "has-sidebar", "header-page"])}"', "div"),
+            "bare": ("div", "div"),
+        }[layout]
+        parts.append((f"<{opening}>{''.join(body)}</{tag}>", labels))
+        if marked:
+            furniture(0.4, "aside", "sidebar side-widget promo", f"<h3>{prose(1, 3)}</h3><p>{prose(4, 40)}</p>", 2)
+            furniture(0.3, "form", "newsletter signup search-box", f"<p>{prose(2, 10)}</p>", 1)
+        n = draw.randint(2, 6)
+        furniture(0.5, "aside", "related recommended", f"<ul>{links(n)}</ul>", n)
+        if layout in ("tag", "name") and draw.random() < 0.3:
+            # text of a page outside its article that no container marks
             parts.append((f"<div><p>{prose(1, 6)}</p></div>", [0]))
-        n = draw.randint(2, 5)
-        if not bare:
-            furniture("div", "related", f"<ul>{links(n)}</ul>", n)
-            furniture("footer", "", f"<p>{prose(2, 9)}</p>", 1)
-        out.append(("".join(p for p, _ in parts), [x for _, own in parts for x in own]))
+        if marked:
+            furniture(0.7, "footer", "site-footer copyright legal-notice", f"<p>{prose(2, 12)}</p>", 1)
+        page = "".join(p for p, _ in parts)
+        if draw.random() < 0.3:
+            page = f'<body class="{draw.choice(["home has-sidebar", "page-with-comments", "single-post"])}">{page}</body>'
+        out.append((page, [x for _, own in parts for x in own]))
     return out
 
 
@@ -212,7 +267,7 @@ def _neighbours(found: list[tuple]) -> list[tuple[float, ...]]:
     ]
 
 
-def train(spark: SparkSession, pages: list[tuple[str, list[int]]] | None = None, depth: int = 6):
+def train(spark: SparkSession, pages: list[tuple[str, list[int]]] | None = None, depth: int = 8):
     """A decision tree as nested tuples ``(feature, threshold, left, right)`` or a label."""
     rows = []
     for page, labels in pages or labelled_pages():
@@ -242,15 +297,16 @@ def parsed(pages: DataFrame, keep: tuple[str, ...], text: str) -> DataFrame:
     """The kept columns and ``blocks`` of every page."""
     source = pages.select(*(F.col(c) for c in keep), F.col(text).alias("__html"))
     schema = source.select(*keep).schema.add("blocks", _block_type())
-    names = ("text", "words", "linked", "furniture", "main", "heading")
-    kind = pa.list_(pa.struct([("text", pa.string()), *((n, pa.int32()) for n in names[1:])]))
+    kind = pa.list_(pa.struct(
+        [("text", pa.string()), *((n, pa.float64() if n in _SHARES else pa.int32()) for n in BLOCK[1:])]
+    ))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 found = [
-                    [dict(zip(names, b, strict=True)) for b in blocks(x or "")]
+                    [dict(zip(BLOCK, b, strict=True)) for b in blocks(x or "")]
                     for x in part.column("__html").to_pylist()
                 ]
                 yield pa.RecordBatch.from_arrays(
@@ -262,8 +318,8 @@ def parsed(pages: DataFrame, keep: tuple[str, ...], text: str) -> DataFrame:
 
 def _block_type():
     block = StructType().add("text", StringType())
-    for name in ("words", "linked", "furniture", "main", "heading"):
-        block = block.add(name, IntegerType())
+    for name in BLOCK[1:]:
+        block = block.add(name, DoubleType() if name in _SHARES else IntegerType())
     return ArrayType(block)
 
 
@@ -283,7 +339,7 @@ def extract(
 
     def chosen(block: Column, i: Column) -> Column:
         features = [size(i), density(i), size(i - 1), density(i - 1), size(i + 1), density(i + 1),
-                    block["furniture"], block["main"], block["heading"]]
+                    *(block[name] for name in FEATURES[6:])]
         return F.when(_decide(tree, features) == 1, block["text"])
 
     body = F.array_join(F.array_compact(F.transform("blocks", chosen)), "\n\n")

@@ -56,6 +56,47 @@ def test_held_out_accuracy(spark, tree):
     assert right / total > 0.97
 
 
+ARTICLE = (
+    "<h1>Rivers of the north</h1><p>The long river rises in the hills and runs east for many days before it meets the sea.</p>"
+    "<p>Boats went up as far as the rapids, where the goods were carried over land by men and mules.</p><p>Few do so today.</p>"
+)
+BODY = (
+    "Rivers of the north\n\nThe long river rises in the hills and runs east for many days before it meets the sea.\n\n"
+    "Boats went up as far as the rapids, where the goods were carried over land by men and mules.\n\nFew do so today."
+)
+MENU = '<ul><li><a href="/">Start</a></li><li><a href="/n">News</a></li><li><a href="/m">Maps and plans</a></li></ul>'
+HAND_LABELLED = [
+    # names that look like furniture around a whole article
+    (f'<body class="home has-sidebar">{ARTICLE}</body>', BODY),
+    (f'<div class="entry-content comments-open">{ARTICLE}</div>', BODY),
+    (f'<div class="social-science">{ARTICLE}</div>', BODY),
+    (f'<div class="form-article">{ARTICLE}</div>', BODY),
+    # short paragraphs and links in an article
+    ('<article><p>Short one.</p><p><a href="#">A paragraph that is a link</a></p><p>Last words.</p></article>',
+     "Short one.\n\nA paragraph that is a link\n\nLast words."),
+    ("<h1>Notice of change</h1><p>We have moved.</p><p>The new hall is round the corner.</p><p>See you there.</p>",
+     "Notice of change\n\nWe have moved.\n\nThe new hall is round the corner.\n\nSee you there."),
+    # usual pages
+    (f"<nav>{MENU}</nav><main>{ARTICLE}</main><footer><p>All rights reserved by us.</p></footer>", BODY),
+    (f'<div id="top-menu">{MENU}</div><div class="post-content">{ARTICLE}</div><div id="site-footer"><p>Imprint and so on</p></div>', BODY),
+    (f'<header><p>The river paper, daily since long ago</p></header><article>{ARTICLE}</article>', BODY),
+    (f'<article><header><h1>Rivers of the north</h1></header>{ARTICLE.partition("</h1>")[2]}</article><aside><p>Read this too.</p></aside>', BODY),
+    (f'<article>{ARTICLE}</article><section id="comments"><p>I liked this very much, please write more of it.</p><p>So did I.</p></section>', BODY),
+    (f'<div class="cookie-banner"><p>We use cookies to make this page work for you, click here.</p></div><article>{ARTICLE}</article>', BODY),
+    (f'<main>{ARTICLE}<div class="newsletter"><p>Sign up for letters from us, once a week.</p></div></main>', BODY),
+    (f'<article>{ARTICLE}<form><p>Send us your own view of it.</p></form></article>', BODY),
+    (f'<div>{MENU}</div><div>{ARTICLE}</div>', BODY),
+    (f'<main>{ARTICLE}</main><div class="related"><ul><li><a href="#">Lakes of the south</a></li><li><a href="#">Hills</a></li></ul></div>', BODY),
+]
+
+
+def test_hand_labelled_pages(spark, tree):
+    pages = spark.createDataFrame([(i, "u", p) for i, (p, _) in enumerate(HAND_LABELLED)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(pages, tree).collect()}
+    wrong = {i: got[i] for i, (_, want) in enumerate(HAND_LABELLED) if got[i] != want}
+    assert not wrong
+
+
 def test_odd_markup():
     texts = lambda page: [b[0] for b in html_extract.blocks(page)]
     assert texts("a < b and c<1") == ["a < b and c<1"]
