@@ -1168,6 +1168,9 @@ SELECT sample_id, concat_ws('|', CASE WHEN ah < bh THEN 'hallucination' END,
          CASE WHEN asf < bsf THEN 'content_safety' END,
          CASE WHEN aq < bq THEN 'quality' END) AS regressed
 FROM wide""")
+_add("compacted_history", _with(_RUNS) + """
+SELECT run_id, ingest_seq % 5 AS ingest_seq, suite_id, decision, aggregate_score FROM runs
+QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY ingest_seq % 5 DESC, ingest_seq DESC) = 1""")
 _add("spot_check_gate", GATE + """,
 timed AS (
   SELECT sample_id, TIMESTAMP '2024-01-01' + to_hours((sample_id - CASE WHEN sample_id % 10 = 0 THEN 720 ELSE 0 END)::INT) AS t,

@@ -1037,6 +1037,23 @@ def save_run(spark, sf):
     )
 
 
+@query
+def compacted_history(spark, sf):
+    """Runs saved in five appends, compacted after three and again after five, read latest-wins."""
+    from ..session import shared_folder
+
+    path = shared_folder(spark, "history")
+    saves = given.runs(spark, sf)
+    for batch in range(5):
+        own = history.latest_by(saves.where(F.col("ingest_seq") % 5 == batch), "run_id", "ingest_seq")
+        history.save_runs(own.drop("ingest_seq", "saved_at"), path, batch)
+        if batch in (2, 4):
+            history.compact_runs(spark, path, target_bytes=64 << 10)
+    return history.latest_runs(history.read_runs(spark, path)).select(
+        "run_id", "ingest_seq", "suite_id", "decision", "aggregate_score"
+    )
+
+
 @query
 def recent_runs(spark, sf):
     return history.recent_runs(given.runs(spark, sf)).select(

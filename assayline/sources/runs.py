@@ -1,11 +1,25 @@
-"""The run history: an append-only Parquet table, read latest-wins."""
+"""The run history: an append-only Parquet table, read latest-wins.
+
+Many small appends are put together by :func:`compact_runs`. Compacted files lie beside the table, and a
+manifest of the same name says which files are live, which they replace, and what range of run ids and
+times each holds. It is written last and replaced as a whole version, so a compaction that is lost leaves
+the table as it was, and a reader always sees one version. Files that no manifest knows
+have been appended since and are live. Nothing is deleted; old files can go once no reader of an older
+version is left.
+"""
 
 from __future__ import annotations
 
+import math
+import uuid
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WRITERS = 16  # tasks that share a day and suite when runs are saved
+TARGET_BYTES = 128 << 20  # of a compacted file
 DEFAULT_RECENT = 10  # fixed value: runs listed when no limit is given
 
 
@@ -43,8 +57,122 @@ def save_runs(runs: DataFrame, path: str, ingest_seq: int) -> None:
     )
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+_MANIFEST = (
+    "root string, file string, live boolean, bytes long, n long, first_id string, last_id string, "
+    "first_at string, last_at string"
+)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest manifest of a table: one row per file it knows; nothing before the first compaction."""
+    folder = f"{path.rstrip('/')}.manifest"
+    if not _exists(spark, folder):
+        return None
+    every = spark.read.schema(f"{_MANIFEST}, version long").parquet(folder)
+    newest = every.agg(F.max("version")).first()[0]
+    return every.where(F.col("version") == newest)
+
+
+def _named(file: str) -> str:
+    """The one form in which a file is known; Spark writes local ones in two ways."""
+    return file.replace("file:///", "file:/", 1)
+
+
+def _files(spark: SparkSession, root: str, files: list[str]) -> DataFrame:
+    """The rows of some files; names are URIs, and a path is read as it is spelt."""
+    return spark.read.option("basePath", root).parquet(*map(unquote, files))
+
+
+def _described(df: DataFrame, root: str) -> DataFrame:
+    """Manifest rows of the files of a table; reads run ids and times only."""
+    file = F.replace(F.col("_metadata.file_path"), F.lit("file:///"), F.lit("file:/"))
+    return df.groupBy(file.alias("file")).agg(
+        F.max("_metadata.file_size").alias("bytes"), F.count(F.lit(1)).alias("n"),
+        F.min("run_id").alias("first_id"), F.max("run_id").alias("last_id"),
+        F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"),
+    ).select(F.lit(root).alias("root"), "file", F.lit(True).alias("live"), "bytes", "n", "first_id", "last_id", "first_at", "last_at")
+
+
+def _appended(spark: SparkSession, path: str, known: DataFrame | None) -> list[str]:
+    """The files of the table that no manifest knows: names only."""
+    files = set(map(_named, spark.read.parquet(path).inputFiles()))
+    if known is not None:
+        files -= {r["file"] for r in known.select("file").collect()}
+    return sorted(files)
+
+
+def compact_runs(spark: SparkSession, path: str, target_bytes: int = TARGET_BYTES) -> None:
+    """Put what was appended, and compacted files of less than half the target, into files of about the target.
+
+    Rows are laid out by day, suite and run id, so a file holds a narrow range of ids; no version of
+    a run is left out.
+    """
+    path = path.rstrip("/")
+    known = manifest(spark, path)
+    appended = _appended(spark, path, known)
+    rows = [] if known is None else [r.asDict() for r in known.drop("version").collect()]
+    small = [r for r in rows if r["live"] and r["bytes"] < target_bytes // 2]
+    if len(appended) + len(small) < 2:
+        return
+    parts = [_files(spark, path, appended)] if appended else []
+    for root in sorted({r["root"] for r in small}):
+        parts.append(_files(spark, root, [r["file"] for r in small if r["root"] == root]))
+    found = _described(parts[0], path).collect() if appended else []
+    whole = sum(r["bytes"] for r in found) + sum(r["bytes"] for r in small)
+    out = f"{path}.compacted/{uuid.uuid4().hex}"
+    order = ("run_date", "suite", "run_id")
+    (
+        reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        .repartitionByRange(max(1, math.ceil(whole / target_bytes)), *order).sortWithinPartitions(*order, "ingest_seq")
+        .write.option("parquet.bloom.filter.enabled#run_id", "true").partitionBy("run_date", "suite").parquet(out)
+    )
+    gone = [{**r.asDict(), "live": False} for r in found] + [{**r, "live": False} for r in small]
+    kept = [r for r in rows if r not in small]
+    old = spark.createDataFrame([tuple(r[c.split()[0]] for c in _MANIFEST.split(", ")) for r in gone + kept], _MANIFEST)
+    version = 0 if known is None else known.agg(F.max("version")).first()[0] + 1
+    new = _described(spark.read.parquet(out), out)
+    old.unionByName(new).coalesce(1).write.parquet(f"{path}.manifest/version={version}")
+
+
+def read_runs(
+    spark: SparkSession, path: str, run_id: str | None = None, since: str | None = None, until: str | None = None
+) -> DataFrame:
+    """All saved versions, of one run or of those created from ``since`` to ``until`` if given.
+
+    Compacted files whose ranges exclude what is asked for are not opened.
+    """
+    path = path.rstrip("/")
+    known = manifest(spark, path)
+    if known is None:
+        parts = [spark.read.parquet(path)]
+    else:
+        wanted = known.where("live")
+        if run_id is not None:
+            wanted = wanted.where((F.col("first_id") <= run_id) & (F.col("last_id") >= run_id))
+        if since is not None:
+            wanted = wanted.where(F.col("last_at") >= since)
+        if until is not None:
+            wanted = wanted.where(F.col("first_at") <= until)
+        held = wanted.groupBy("root").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("root").collect()
+        parts = [_files(spark, r["root"], r["files"]) for r in held]
+        appended = _appended(spark, path, known)
+        if appended:
+            parts.append(_files(spark, path, appended))
+        if not parts:
+            parts = [spark.read.parquet(path).limit(0)]
+    runs = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    for column, low, high in (("run_id", run_id, run_id), ("created_at", since, until)):
+        if low is not None:
+            runs = runs.where(F.col(column) >= low)
+        if high is not None:
+            runs = runs.where(F.col(column) <= high)
+    return runs
 
 
 def latest_by(df: DataFrame, key: str, version: str) -> DataFrame:

@@ -150,6 +150,59 @@ def test_report_files(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out" / "details")).count() == 1
 
 
+def test_compaction_keeps_all_versions_and_skips_files(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    saved = []
+
+    def save(seq, ids, day):
+        rows = [(f"run-{i:03d}", f"2024-01-{day:02d}T{i % 24:02d}:00:00Z", "s: 5%" if i % 2 else "t", seq / 10) for i in ids]
+        df = spark.createDataFrame(rows, "run_id string, created_at string, suite_id string, aggregate_score double")
+        runs.save_runs(df, path, seq)
+        saved.extend((r[0], seq, r[3]) for r in rows)
+
+    def all_of(**which):
+        return sorted((r.run_id, r.ingest_seq, r.aggregate_score) for r in runs.read_runs(spark, path, **which).collect())
+
+    save(1, range(0, 40), 1)
+    assert runs.manifest(spark, path) is None and all_of() == sorted(saved)
+    save(2, range(20, 60), 1)
+    save(3, range(100, 140), 2)
+    runs.compact_runs(spark, path)
+    assert all_of() == sorted(saved)
+    many = len(spark.read.parquet(path).inputFiles())
+    live = runs.manifest(spark, path).where("live")
+    assert live.count() == 4 < many  # a file for each day and suite
+    save(4, range(30, 35), 3)  # appended after the manifest
+    assert all_of() == sorted(saved)
+    # one run: files of other days are not opened
+    one = runs.read_runs(spark, path, run_id="run-120")
+    compacted = [f for f in one.inputFiles() if "compacted" in f]
+    assert len(compacted) == 2 and all("run_date=2024-01-02" in f for f in compacted)
+    assert all_of(run_id="run-031") == [x for x in sorted(saved) if x[0] == "run-031"]
+    assert runs.get_run(runs.read_runs(spark, path, run_id="run-031"), "run-031").first()["ingest_seq"] == 4
+    assert all_of(since="2024-01-02T00:00:00Z", until="2024-01-02T23:00:00Z") == [x for x in sorted(saved) if x[1] == 3]
+    assert all_of(run_id="nothing") == []
+    runs.compact_runs(spark, path)
+    assert all_of() == sorted(saved)
+    runs.compact_runs(spark, path, target_bytes=1)  # nothing is small enough
+    assert all_of() == sorted(saved)
+
+
+def test_a_lost_compaction_changes_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "runs")
+    df = spark.createDataFrame([("a", "s"), ("b", "s")], "run_id string, suite_id string")
+    for seq in (1, 2):
+        runs.save_runs(df, path, seq)
+    monkeypatch.setattr(runs, "_described", lambda df, root: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        runs.compact_runs(spark, path)
+    assert runs.read_runs(spark, path).count() == 4
+    monkeypatch.undo()
+    runs.compact_runs(spark, path)
+    assert runs.read_runs(spark, path).count() == 4
+    assert {r.run_id: r.ingest_seq for r in runs.latest_runs(runs.read_runs(spark, path)).collect()} == {"a": 2, "b": 2}
+
+
 def stream_rows(spark, folder, rows):
     schema = "run_id string, saved_at timestamp, suite_id string, verdict string"
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
