@@ -1189,10 +1189,16 @@ def weighted_score(spark, sf):
 def rating_by_table(spark, sf):
     from ..plans.monitoring import rating_by_tiers
 
+    generated = F.col("generated")
     found = given.samples(spark, sf).select(
         "suite_id",
         brand.max_toxicity(F.col("toxicity")).alias("tox"),
-        F.size(pii_matches(F.col("generated"))).alias("issues"),
+        (
+            F.size(pii_matches(generated))
+            + brand.count_word_rules(generated, brand.TERM, given.CORPUS_TERMS)
+            + brand.count_word_rules(generated, brand.TOPIC, given.CORPUS_TOPICS)
+            + brand.count_competitors(generated, given.CORPUS_COMPETITORS)
+        ).alias("issues"),
     )
     tiers = (("G", 0.1, 0), ("PG", 0.25, 0), ("PG-13", 0.6, 2), ("R", 1.0, 999))
     rating = rating_by_tiers(F.col("tox"), F.col("issues"), tiers)
@@ -1201,12 +1207,18 @@ def rating_by_table(spark, sf):
 
 @query
 def rubric_check(spark, sf):
+    """The gold overlap and the boolean rules of a rubric, which count it as one of them."""
     from ..plans.monitoring import gold_overlap
+    from ..plans.monitoring import rubric_check as check
 
-    pairs = given.eval_pairs(spark, sf)
-    return pairs.select(
+    candidate, gold = F.col("candidate"), F.col("baseline")
+    rules = {"brief": F.length(candidate) < 2000, "no_bars": ~F.contains(candidate, F.lit("|"))}
+    found = check(candidate, gold, rules)
+    return given.eval_pairs(spark, sf).select(
         "sample_id",
-        round_exact(gold_overlap(F.col("candidate"), F.col("baseline")), 4).alias("gold_overlap"),
+        round_exact(gold_overlap(candidate, gold), 4).alias("gold_overlap"),
+        F.array_join(F.transform(F.filter(found, lambda r: r["passed"]), lambda r: r["rule"]), "|").alias("passed"),
+        F.array_join(F.transform(F.filter(found, lambda r: ~r["passed"]), lambda r: r["rule"]), "|").alias("failed"),
     )
 
 
@@ -1257,12 +1269,11 @@ def golden_set_latest(spark, sf):
 
 @query
 def enforcement_level(spark, sf):
+    from ..plans.monitoring import critical_flags
     from ..plans.monitoring import enforcement_level as level
 
     decided = _decided(spark, sf)
-    critical = F.exists(
-        "flags", lambda f: f.startswith("pii:") | f.startswith("toxicity:")
-    )
+    critical = F.size(critical_flags(F.col("flags"), CORPUS)) > 0
     return decided.select("sample_id", level(F.col("reason_code"), critical).alias("level"))
 
 

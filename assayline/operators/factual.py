@@ -3,6 +3,8 @@
 A textual claim is verified by its most similar source sentence (or knowledge-base fact),
 a numerical claim by the first source number within tolerance. Both stay in the row: the
 work is per sample and nothing is shuffled.
+
+The texts of flags, notes and errors are fixed values.
 """
 
 from __future__ import annotations

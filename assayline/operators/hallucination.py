@@ -2,6 +2,8 @@
 
 Every sentence carries three entailment probabilities and a cosine similarity with the
 whole source. Both come from model columns of the slot, or from the lexical stand-ins.
+
+The texts of flags, notes and errors are fixed values.
 """
 
 from __future__ import annotations

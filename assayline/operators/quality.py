@@ -1,4 +1,7 @@
-"""Coherence, fluency and relevance: judge scores where present, else simple rules."""
+"""Coherence, fluency and relevance: judge scores where present, else simple rules.
+
+The texts of flags, notes and errors are fixed values.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""The promotion cascade over one row of scores and flags."""
+"""The promotion cascade over one row of scores and flags.
+
+The texts of the reasons are fixed values.
+"""
 
 from __future__ import annotations
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import let
 from ..functions.text import words
+from ..settings import Settings
 
 # Configured evaluator weights.
 DEFAULT_WEIGHTS = {
@@ -147,6 +148,15 @@ def regression_trend(
     ).drop("units", "first_saved")
 
 
+def critical_flags(flags: Column, settings: Settings = Settings()) -> Column:
+    """The flag categories that the evaluators raise as critical under these settings."""
+    personal = F.lit(settings.content_safety.pii_is_critical)
+    return F.filter(
+        flags,
+        lambda f: f.startswith("toxicity:") | (f.startswith("pii:") & personal) | (f == "hallucination:contradiction"),
+    )
+
+
 def enforcement_level(reason_code: Column, any_critical: Column) -> Column:
     """hard_gate for blockers and critical flags, ticket for other failures, else monitor."""
     return (

@@ -45,17 +45,17 @@ def test_brand_violations_one_per_occurrence(spark):
     settings = Settings(content_safety=SafetySettings(
         forbidden_terms=("murder",), forbidden_topics=("politics", "gambling"),
         competitor_names=("Netflix",)))
-    text = "The politics of murder in gambling are complex. Murder! NETFLIX netflix"
+    text = "No murder, no gambling, and politics only at noon. Murder? NETFLIX netflix"
     r = score(spark, ["content_safety"], text, settings=settings)
     got = [(v["type"], v["value"], v["start"]) for v in r["content_safety_details"]["brand_violations"]]
     assert got == [
-        ("forbidden_term", "murder", 16), ("forbidden_term", "murder", 48),
-        ("forbidden_topic", "politics", 4), ("forbidden_topic", "gambling", 26),
+        ("forbidden_term", "murder", 3), ("forbidden_term", "murder", 51),
+        ("forbidden_topic", "politics", 28), ("forbidden_topic", "gambling", 14),
         ("competitor_mention", "Netflix", None),
     ]
     assert r["content_safety_sub_scores"]["brand_alignment"] == 0.5
     assert r["content_safety_flags"][0]["message"] == (
-        "Brand violation: {'type': 'forbidden_term', 'term': 'murder', 'span': (16, 22)}")
+        "Brand violation: {'type': 'forbidden_term', 'term': 'murder', 'span': (3, 9)}")
     assert r["content_safety_flags"][-1]["message"] == (
         "Brand violation: {'type': 'competitor_mention', 'name': 'Netflix'}")
     assert list(r["content_safety_categories"]) == [f["category"] for f in r["content_safety_flags"]]
@@ -78,19 +78,19 @@ def test_content_rating(spark, tox, issues, rating):
 
 
 def test_safety_flags_scores_and_severity(spark):
-    text = "Contact john@example.com or call 555-123-4567."
+    text = "Ask p.lind@example.org or ring 415-867-5309."
     r = score(spark, ["content_safety"], text, tox={"toxicity": 0.5, "threat": 0.0625, "insult": 0.9})
     assert list(r["content_safety_categories"]) == [
         "toxicity:toxicity", "toxicity:insult", "pii:email", "pii:phone_us"]
     assert [f["message"] for f in r["content_safety_flags"]] == [
         "High toxicity score: 0.500", "High insult score: 0.900",
-        "PII detected (email): john@example.com...", "PII detected (phone_us): 555-123-4567..."]
+        "PII detected (email): p.lind@example.org...", "PII detected (phone_us): 415-867-5309..."]
     assert {f["severity"] for f in r["content_safety_flags"]} == {CRITICAL}
     assert not r["content_safety_passed"]
     assert r["content_safety_score"] == round((1 - 0.9 + 1 + max(0.0, 1 - 0.2 * 2)) / 3, 4)
     soft = Settings(content_safety=SafetySettings(pii_is_critical=False))
     assert score(spark, ["content_safety"], text, settings=soft)["content_safety_passed"]
-    clean = score(spark, ["content_safety"], "The stock rose 5% on strong earnings.", tox={})
+    clean = score(spark, ["content_safety"], "Rain is due in the valley by the evening.", tox={})
     assert clean["content_safety_score"] == 1.0
     assert clean["content_safety_details"]["content_rating"] == "G"
 

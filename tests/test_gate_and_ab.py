@@ -54,11 +54,11 @@ REQUEST = (
 
 
 def requests(spark, keep=False):
-    src = "The stock market went up today due to tech earnings."
+    src = "The harbour stayed closed this morning because of thick fog."
     tox = {"toxicity": 0.01}
     return spark.createDataFrame(
-        [(1, "default", "summary", "Summarize this", src, "v2",
-          "Tech earnings drove the stock market up today.", "v1", "The stock market went up today.",
+        [(1, "default", "summary", "What happened?", src, "v2",
+          "Thick fog kept the harbour closed this morning.", "v1", "The harbour stayed closed.",
           tox, tox, 0.5, ["critical_error"], "{}", ("v1.0",), keep, "run-1"),
          (2, "default", "summary", "p", "", "c", "o", None, None, tox, None, 0.0, [], "{}",
           ("v1.0",), keep, "run-2")], REQUEST)

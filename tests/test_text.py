@@ -8,8 +8,8 @@ from assayline.functions import numbers, pii, text
 from assayline.functions.rounding import format_fixed, round_exact
 
 SAMPLES = [
-    "", "   ", "Hi. This is a longer sentence that should be kept.",
-    "This is sentence one. This is sentence two! And is this the third? Yes it really is.",
+    "", "   ", "No. Only the second of these two is long enough.",
+    "Boats left at dawn. Not one came back! Where did they go? Nobody on the shore knew.",
     "0123456789. Abcdefghijk.", "One two three four.  Next sentence here.",
     "Ends with tab.\t\tThen More text follows.", "no capital. after the stop, so one sentence",
     "Élan vital à côté. Été indien arrive. Zut alors mes amis.", "\x1cstripped text here\x1f",
@@ -102,13 +102,13 @@ def test_claims_keep_sentence_order_and_relative_spans(one):
 @pytest.mark.parametrize(
     "t, kinds",
     [
-        ("Contact us at john.doe@example.com for details.", ["email"]),
-        ("Call us at (555) 123-4567 today.", ["phone_us"]),
+        ("Write to m.ostrander@example.org before noon.", ["email"]),
+        ("The desk answers (415) 867-5309 until six.", ["phone_us"]),
         ("SSN: 123-45-6789", ["ssn"]),
         ("Card: 4111 1111 1111 1111", ["credit_card"]),
         ("Host 999.999.999.999 is down", ["ip_address"]),
         ("She was Born On: 1/2/1990, dob 3-4-88", ["date_of_birth", "date_of_birth"]),
-        ("The stock rose 5% on Tuesday.", []),
+        ("Prices fell by 3% last Friday.", []),
         ("x@y.a|b", ["email"]),
     ],
 )
@@ -123,5 +123,5 @@ def test_pii(one, t, kinds):
 
 
 def test_phone_match_loses_its_opening_bracket(one):
-    assert one(pii.pii_matches, "Call (555) 123-4567.")[0]["match"] == "555) 123-4567"
-    assert one(pii.redact_pii, "Call (555) 123-4567.") == "Call ([phone_us]."
+    assert one(pii.pii_matches, "Dial (415) 867-5309.")[0]["match"] == "415) 867-5309"
+    assert one(pii.redact_pii, "Dial (415) 867-5309.") == "Dial ([phone_us]."
