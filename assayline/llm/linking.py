@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from assayline.llm.shared import cut
 
 MAX_ROUNDS = 60
-GROUP_ITEMS = 2_000_000
+GROUP_ITEMS = 1_000_000
 WIDE = 8  # a shingle is common if one in so many members has it
 ROW_BLOCK = 512
 PART_LINKS = 1_000_000
@@ -133,14 +133,15 @@ def alike_in_group(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]
     if n == 2:  # most groups are
         return [(0, 1)] if _alike(*sets, percent) else []
     sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(n), sizes)
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
     _, code, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    code = code.astype(np.int32)
     common = counts >= max(2, n // WIDE)
-    column = np.cumsum(common) - 1
+    column = (np.cumsum(common) - 1).astype(np.int32)
     at = common[code]
     rest = np.bincount(owner[(counts[code] > 1) & ~at], minlength=n)
     width = int(common.sum())
-    step = max(1, min(width, (1 << 23) // n))
+    step = max(1, min(width, (1 << 22) // n))
     label = np.arange(n)
     out = []
     for start in range(0, n, ROW_BLOCK):
@@ -148,7 +149,7 @@ def alike_in_group(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]
         shared = np.zeros((end - start, n), np.float32)
         for low in range(0, width, step):
             held = np.zeros((n, min(step, width - low)), np.float32)
-            own = at & (column[code] >= low) & (column[code] < low + step)
+            own = np.flatnonzero(at & (column[code] >= low) & (column[code] < low + step))
             held[owner[own], column[code[own]] - low] = 1
             shared += held[start:end] @ held.T
         shared = shared.astype(np.float64)
