@@ -5,9 +5,11 @@ different views of it: the text view its style (shares of symbols, capitals and
 and the like) and which words of a vocabulary occur; the metadata view its length, language
 and source. Both start from the labelled documents. In every round each view labels, among
 all unlabelled documents, those of which it is confident, and the other view learns from
-them by a Newton step whose sums executors add up. A view may teach only as far as it is right
-on labelled documents it has not seen: its bounds are those at which its precision there, with
-one wrong answer added, is at least ``TRUST``. A step that raises the loss on those documents is undone.
+them by a step whose sums executors add up (Newton's, with a curvature that cannot overshoot). A
+view may teach only as far as it is right on labelled documents it has not seen: its bounds are
+those at which its precision there, with one wrong answer added, is at least ``TRUST``, and it teaches
+no label that it does not believe itself. A step that raises the mean loss on those documents by more
+than ``SLACK`` is undone.
 
 Labelled documents fall into ``FOLDS`` folds by a hash of their id. Co-training runs once for
 each fold set aside, all of them in the same passes. Both views are calibrated on the scores that
@@ -51,6 +53,7 @@ LEAST_DEVIATION = 1.0
 FOLDS = 3
 ROUNDS = 3
 TRUST = 0.98
+SLACK = 0.02
 LIMIT = 0.5
 BUCKETS = 64
 BLOCK = 2048
@@ -101,16 +104,30 @@ def _ridge(size: int, n: float, penalty: float) -> np.ndarray:
     return ridge
 
 
-def _newton(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def _newton(
+    x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = 1e-3, safe: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
     """Curvature and slope of the penalised loss; x ends in ones."""
     ridge = _ridge(len(w), len(x), penalty)
-    slope, curve = _sums(x, y, w)
+    slope, curve = _sums(x, y, w, safe)
     return curve + np.diag(ridge), slope + ridge * w
 
 
-def _sums(x: np.ndarray, y, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    p = _probability(np.clip(x @ w, -30, 30))
-    return x.T @ (p - y), (x * (p * (1 - p) + 1e-6)[:, None]).T @ x
+def _sums(x: np.ndarray, y, w: np.ndarray, safe: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and curvature of the loss; a ``safe`` curvature bounds the loss from above.
+
+    Far from 0 the true curvature vanishes and a full step overshoots. The bound touches the loss at
+    the present scores, so that a step by it never raises the loss.
+    """
+    score = np.clip(x @ w, -30, 30)
+    p = _probability(score)
+    if safe:
+        far = np.abs(score) > 1e-6
+        curvature = np.full(len(score), 0.25)
+        curvature[far] = (p[far] - 0.5) / score[far]
+    else:
+        curvature = p * (1 - p) + 1e-6
+    return x.T @ (p - y), (x * curvature[:, None]).T @ x
 
 
 def odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -189,7 +206,8 @@ def _bounds(score: np.ndarray, bad: np.ndarray, trust: float) -> tuple[float, fl
         sure = np.cumsum(right[order]) / np.arange(2, len(order) + 2) >= trust
         out.append(score[order][np.flatnonzero(sure)[-1]] if sure.any() else None)
     low, high = out
-    return (-np.inf if low is None else low), (np.inf if high is None else high)
+    # a view teaches no label that it does not believe itself
+    return (-np.inf if low is None else min(low, 0.0)), (np.inf if high is None else max(high, 0.0))
 
 
 def _known(labels: DataFrame, most: int) -> DataFrame:
@@ -293,7 +311,7 @@ def _taught(pool: DataFrame, features: Features, weights: list, bounds: list) ->
                     low, high = bounds[k][1 - student]
                     sure = wide[student][score >= high if y else score <= low]
                     if len(sure):
-                        slope, curve = _sums(sure, float(y), weights[k][student])
+                        slope, curve = _sums(sure, float(y), weights[k][student], safe=True)
                         out += np.concatenate([[len(sure)], slope, curve[upper[student]]])
         yield packed(total)
 
@@ -356,14 +374,14 @@ def fit(
         for k, s in enumerate(seen):
             for view in (0, 1):
                 w = weights[k][view]
-                curve, slope = _newton(wide[view][s], y[s], w)
+                curve, slope = _newton(wide[view][s], y[s], w, safe=True)
                 for label in (0, 1):
                     n, more_slope, more_curve = sums[k, view, label]
                     # what is taught weighs as much as what is known, however large the corpus is
                     share = min(1.0, np.sum(bad[s] == label) / n) if n else 0.0
                     slope, curve = slope + share * more_slope, curve + share * more_curve
                 step = _rounded(w - np.linalg.solve(curve, slope))
-                if _loss(odds(views[view][~s], step), y[~s]) <= _loss(aside[k][view], y[~s]):
+                if _loss(odds(views[view][~s], step), y[~s]) <= _loss(aside[k][view], y[~s]) + SLACK:
                     weights[k][view] = step
     apart = [np.zeros(len(y)) for _ in views]
     for own, s in zip(weights, seen, strict=True):
