@@ -27,8 +27,9 @@ MATCH_TYPE = T.ArrayType(
     T.StructType().add("similarity", T.DoubleType()).add("position", T.IntegerType())
 )
 
-# Word budget of one block of evidence: bounds the dense block of a comparison.
+# Budget of one block of evidence in words, and in cells of its dense form (items by words).
 _BLOCK_WORDS = 16384
+_BLOCK_CELLS = 1 << 23
 _BLOCK_SENTENCES = 256
 # Rows with at most this many (sentence, evidence) pairs are compared together, in runs of
 # at most so many pairs; larger rows are compared one by one as dense blocks.
@@ -120,10 +121,11 @@ def sentence_grounding(sentences: Column, source: Column) -> Column:
 
 
 def _blocks(sizes: np.ndarray):
-    """Consecutive ranges of evidence, each within the word budget (one item at least)."""
+    """Consecutive ranges of evidence, each within the budget (one item at least)."""
     start, total = 0, 0
     for i, size in enumerate(sizes):
-        if i > start and total + size > _BLOCK_WORDS:
+        words = total + size
+        if i > start and (words > _BLOCK_WORDS or words * (i + 1 - start) > _BLOCK_CELLS):
             yield start, i
             start, total = i, 0
         total += size

@@ -416,3 +416,14 @@ def test_extractions_run_once_below_a_generator(spark, array, name):
     plain = scored.select("sample_id", F.posexplode(array).alias("pos", name))
     assert sorted(map(str, each.collect())) == sorted(map(str, plain.collect()))
     assert elements(scored, ["sample_id"], array, name).columns == ["sample_id", name]
+
+
+def test_blocks_of_evidence_are_bounded_in_cells():
+    from assayline.functions.lexical import _BLOCK_CELLS, _BLOCK_WORDS, _blocks
+
+    for sizes in ([1] * 20_000, [40_000, 1, 1], [100] * 500, [0] * 9):
+        ranges = list(_blocks(sizes))
+        assert [a for a, _ in ranges[1:]] == [b for _, b in ranges[:-1]] and ranges[-1][1] == len(sizes)
+        for a, b in ranges:
+            words = sum(sizes[a:b])
+            assert b - a == 1 or (words <= _BLOCK_WORDS and words * (b - a) <= _BLOCK_CELLS)
