@@ -2,12 +2,12 @@
 
 Lines are split at ``\\n`` and compared without the white space around them. A line's set
 holds its distinct strings of ``GRAM`` bytes; a shorter line is one string, so it is alike with
-equal lines only. ``BANDS`` bands of ``ROWS`` minhashes make the
-table keys: at similarity 0.8 a pair is missed with probability (1 - 0.8**ROWS)**BANDS, about
-0.2 %, at 0.9 with 3e-6, and unlike lines rarely share a key however many there are. Candidates are confirmed by exact Jaccard similarity of the full
-sets, and components come from :mod:`assayline.llm.linking`. Of each component the first
-occurrence stays (smallest ``doc_id``, then a hash of the text, then line number); all
-others, exact and fuzzy, are removed.
+equal lines only. ``BANDS`` bands of ``ROWS`` minhashes make the table keys: at similarity 0.8 a
+pair is missed with probability (1 - 0.8**ROWS)**BANDS, about 0.2 %, at 0.9 with 3e-6, and unlike
+lines rarely share a key however many there are. Candidates are confirmed by exact Jaccard
+similarity of the full sets, and components come from :mod:`assayline.llm.linking`. Of each
+component the first occurrence stays (smallest ``doc_id``, then a hash of the text, then line
+number); all others, exact and fuzzy, are removed.
 
 Blank lines are always kept. Null texts stay null and empty ones empty. A null ``doc_id`` sorts
 first. Rows that repeat both id and text are one document: both keep the same lines. All
