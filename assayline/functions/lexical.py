@@ -20,6 +20,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import in_runs
+
 GROUNDING_TYPE = T.ArrayType(
     T.StructType().add("containment", T.DoubleType()).add("cosine", T.DoubleType())
 )
@@ -34,7 +36,7 @@ _BLOCK_SENTENCES = 256
 # Rows with at most this many (sentence, evidence) pairs are compared together, in runs of
 # at most so many pairs; larger rows are compared one by one as dense blocks.
 _SMALL_ROW_PAIRS = 2048
-_SMALL_RUN_PAIRS = 131072
+_SMALL_RUN_PAIRS = 32768
 
 
 def token_set(text: Column) -> Column:
@@ -115,7 +117,7 @@ def sentence_grounding(sentences: Column, source: Column) -> Column:
     """Containment in, and cosine with, the whole source, for each sentence of a row."""
 
     def grounding(sentences: pa.Array, source: pa.Array) -> pa.Array:
-        return _grounding(sentences, source)
+        return in_runs(_grounding, sentences, source)
 
     return _once(grounding, GROUNDING_TYPE)(sentences, source)
 
@@ -264,6 +266,6 @@ def best_matches(sentences: Column, evidence: Column, facts: Sequence[str] = ())
     fact_sets = token_sets_of(facts)
 
     def match(sentences: pa.Array, evidence: pa.Array) -> pa.Array:
-        return _matches(sentences, evidence, fact_sets)
+        return in_runs(lambda s, e: _matches(s, e, fact_sets), sentences, evidence)
 
     return _once(match, MATCH_TYPE)(sentences, evidence)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .batches import in_runs
 from .expr import let
 
 MATCH_TYPE = "array<struct<rule:int,start:int,end:int>>"
@@ -106,9 +107,7 @@ def rule_matches(text: Column, values: Sequence[str]) -> Column:
     values = tuple(values)
     built: list[RuleIndex] = []
 
-    def find(texts: pa.Array) -> pa.Array:
-        if not built:
-            built.append(RuleIndex(values))
+    def find_in(texts: pa.Array) -> pa.Array:
         found = [built[0].matches(t) if t else [] for t in texts.to_pylist()]
         flat = np.array([m for matches in found for m in matches], np.int32).reshape(-1, 3)
         offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
@@ -117,6 +116,11 @@ def rule_matches(text: Column, values: Sequence[str]) -> Column:
         )
         return pa.ListArray.from_arrays(pa.array(offsets), structs, mask=texts.is_null())
 
+    def find(texts: pa.Array) -> pa.Array:
+        if not built:
+            built.append(RuleIndex(values))
+        return in_runs(find_in, texts)
+
     # computed in a projection of its own, however often the result is used
     return F.arrow_udf(find, MATCH_TYPE).asNondeterministic()(text)
 

@@ -42,15 +42,25 @@ def lexical_matches(slot: Slot, settings: FactualSettings) -> Column:
     )
 
 
+def lexical_claims(
+    df: DataFrame, slot: Slot, settings: FactualSettings
+) -> tuple[DataFrame, dict[str, Column]]:
+    """The rows with their word sets, and the columns that are computed in Python and not there yet."""
+    df, name = with_shared(df, slot), slot.temp("matches")
+    if name in df.columns or slot.claim_matches:
+        return df, {}
+    return df, {name: lexical_matches(slot, settings)}
+
+
 def with_verified_claims(df: DataFrame, slot: Slot, settings: FactualSettings) -> DataFrame:
     """Add the array of verified claims of a slot, in text order."""
-    df = with_shared(df, slot)
+    df, matches = lexical_claims(df, slot, settings)
+    if slot.claim_matches:
+        matches = {slot.temp("matches"): F.col(slot.claim_matches)}
     df = df.withColumns(
         {
             slot.temp("claims"): claims_of(F.col(slot.temp("sentences"))),
-            slot.temp("matches"): F.col(slot.claim_matches)
-            if slot.claim_matches
-            else lexical_matches(slot, settings),
+            **matches,
             source_column(slot, "numbers"): extract_numbers(F.col(source_column(slot, "text"))),
         }
     )

@@ -68,17 +68,25 @@ def _scored_sentences(slot: Slot) -> Column:
     )
 
 
+def lexical_grounding(
+    df: DataFrame, slot: Slot, settings: HallucinationSettings
+) -> tuple[DataFrame, dict[str, Column]]:
+    """The rows with their word sets, and the columns that are computed in Python and not there yet."""
+    df, name = with_shared(df, slot), slot.temp("lexical_grounding")
+    if name in df.columns or not (slot.nli is None or slot.similarity is None):
+        return df, {}
+    return df, {
+        name: sentence_grounding(
+            F.col(slot.temp("sentence_tokens")), F.col(source_column(slot, "tokens"))
+        )
+    }
+
+
 def evaluate_hallucination(
     df: DataFrame, slot: Slot = Slot(), settings: HallucinationSettings = HallucinationSettings()
 ) -> DataFrame:
-    df = with_shared(df, slot)
-    if slot.nli is None or slot.similarity is None:
-        df = df.withColumn(
-            slot.temp("lexical_grounding"),
-            sentence_grounding(
-                F.col(slot.temp("sentence_tokens")), F.col(source_column(slot, "tokens"))
-            ),
-        )
+    df, grounding = lexical_grounding(df, slot, settings)
+    df = df.withColumns(grounding) if grounding else df
     df = df.withColumn(slot.temp("grounding"), _scored_sentences(slot))
     scored = F.col(slot.temp("grounding"))
     df = df.withColumns(

@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import in_runs
 from ..functions.lexical import best_matches, token_set
 from ..settings import FactualSettings, Slot
 from .shared import source_column, with_shared, without_shared
@@ -52,7 +53,7 @@ def indexed_words(words: Column, frequent: list[str], floor: float) -> Column:
         offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), words.take(pa.array(kept)).cast(pa.string()))
 
-    return F.arrow_udf(prefixes, "array<string>").asNondeterministic()(words)
+    return F.arrow_udf(lambda sets: in_runs(prefixes, sets), "array<string>").asNondeterministic()(words)
 
 
 def indexed(sets: DataFrame, frequent: list[str], floor: float) -> DataFrame:

@@ -1,6 +1,6 @@
 """Hooks for model scores: load once per task, score bounded batches, keep failures to their rows.
 
-Every hook cuts what it gives a model into chunks of a bounded number of texts and characters,
+Every hook unpacks its batch in runs of rows (see ``functions.batches``) and cuts what it gives a model into chunks of a bounded number of texts and characters,
 across rows, and puts the answers together again by row. A chunk that fails is split until
 the failing rows alone carry the error (see ``functions.batches``). ``Slot.model_error`` names a
 column of such errors; the evaluators that read model columns turn them into error rows.
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.batches import bounded, halved
+from ..functions.batches import bounded, halved, in_runs
 from ..functions.text import split_sentences
 from ..functions.vectors import best_vector, cosines_with, stacked
 from ..settings import Slot
@@ -64,9 +64,7 @@ def with_embedding_scores(
             out.append((cosines_with(mine, vectors[at - 1]), matches))
         return out
 
-    def score(own: pa.Array, evidence: pa.Array, source: pa.Array) -> pa.Array:
-        if not loaded:
-            loaded.append(load_embedder())
+    def score_run(own: pa.Array, evidence: pa.Array, source: pa.Array) -> pa.Array:
         rows = list(zip(own.to_pylist(), evidence.to_pylist(), source.to_pylist(), strict=True))
         asked = [i for i, (sentences, _, _) in enumerate(rows) if sentences]
         answers: list = [(([], []), None)] * len(rows)
@@ -81,6 +79,11 @@ def with_embedding_scores(
             ["similarity", "claim_matches", "error"],
         )
 
+    def score(own: pa.Array, evidence: pa.Array, source: pa.Array) -> pa.Array:
+        if not loaded:
+            loaded.append(load_embedder())
+        return in_runs(score_run, own, evidence, source)
+
     source = F.coalesce(F.col(slot.source), F.lit(""))
     own = F.coalesce(split_sentences(F.col(slot.text)), F.array().cast("array<string>"))
     hook = _hook(
@@ -116,12 +119,10 @@ def with_nli_scores(
     """
     loaded: list[PairModel] = []
 
-    def score(source: pa.Array, sentences: pa.Array) -> pa.Array:
-        if not loaded:
-            loaded.append(load_model())
-        sources = source.to_pylist()
-        owners = [(row, s) for row, own in enumerate(sentences.to_pylist()) for s in own or ()]
-        found: list[list | None] = [None if own is None else [] for own in sentences.to_pylist()]
+    def score_run(source: pa.Array, sentences: pa.Array) -> pa.Array:
+        sources, owned = source.to_pylist(), sentences.to_pylist()
+        owners = [(row, s) for row, own in enumerate(owned) for s in own or ()]
+        found: list[list | None] = [None if own is None else [] for own in owned]
         errors: list[str | None] = [None] * len(sources)
         for a, b in bounded([len(sources[row]) + len(s) for row, s in owners], most_chars, most_pairs):
             pairs = [(sources[row], s) for row, s in owners[a:b]]
@@ -138,6 +139,11 @@ def with_nli_scores(
             [pa.array(whole, _NLI), pa.array(errors, pa.string())], ["nli", "error"]
         )
 
+    def score(source: pa.Array, sentences: pa.Array) -> pa.Array:
+        if not loaded:
+            loaded.append(load_model())
+        return in_runs(score_run, source, sentences)
+
     hook = _hook(
         score, "struct<nli:array<struct<contradiction:double,entailment:double,neutral:double>>,error:string>"
     )
@@ -154,9 +160,7 @@ def toxicity_scorer(
     """Column function text -> struct<scores map, error>; a null text has neither."""
     loaded: list[ToxicityModel] = []
 
-    def score(texts: pa.Array) -> pa.Array:
-        if not loaded:
-            loaded.append(load_model())
+    def score_run(texts: pa.Array) -> pa.Array:
         rows = texts.to_pylist()
         asked = [i for i, t in enumerate(rows) if t is not None]
         answers: list = [(None, None)] * len(rows)
@@ -169,4 +173,9 @@ def toxicity_scorer(
             ["scores", "error"],
         )
 
+    def score(texts: pa.Array) -> pa.Array:
+        if not loaded:
+            loaded.append(load_model())
+        return in_runs(score_run, texts)
+
     return _hook(score, "struct<scores:map<string,double>,error:string>")

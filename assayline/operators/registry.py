@@ -7,17 +7,17 @@ from contextlib import contextmanager
 from dataclasses import replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.batches import bounded, halved
+from ..functions.batches import bounded, halved, in_runs
 from ..schema import WARNING, flag
 from ..settings import BUILT_IN, Settings, Slot
-from .factual import evaluate_factual
-from .hallucination import evaluate_hallucination
+from .factual import evaluate_factual, lexical_claims
+from .hallucination import evaluate_hallucination, lexical_grounding
 from .quality import evaluate_quality
 from .results import add_result
-from .safety import evaluate_safety
+from .safety import brand_matches, evaluate_safety
 from .shared import missing_text, without_shared
 
 # (rows, slot, settings of the evaluator) -> rows with the evaluator's result columns
@@ -30,6 +30,13 @@ _EVALUATORS: dict[str, Evaluator] = {
     "quality": evaluate_quality,
 }
 
+# What these evaluators have computed in Python: (rows, slot, settings) -> rows with the inputs, columns.
+_IN_PYTHON = {
+    evaluate_hallucination: lexical_grounding,
+    evaluate_factual: lexical_claims,
+    evaluate_safety: brand_matches,
+}
+
 
 def register(name: str) -> Callable[[Evaluator], Evaluator]:
     """Decorator that adds an evaluator, or replaces one, under ``name``."""
@@ -67,9 +74,7 @@ def from_function(
                 out.append((score, bool(answer.get("passed", True)), [str(c) for c in answer.get("categories", ())]))
             return out
 
-        def score(text: pa.Array, source: pa.Array, prompt: pa.Array) -> pa.Array:
-            if not loaded:
-                loaded.append(load_scorer())
+        def score_run(text: pa.Array, source: pa.Array, prompt: pa.Array) -> pa.Array:
             rows = [
                 dict(zip(("text", "source", "prompt"), values, strict=True))
                 for values in zip(text.to_pylist(), source.to_pylist(), prompt.to_pylist(), strict=True)
@@ -87,6 +92,11 @@ def from_function(
                 ["score", "passed", "categories", "error"],
             )
 
+        def score(text: pa.Array, source: pa.Array, prompt: pa.Array) -> pa.Array:
+            if not loaded:
+                loaded.append(load_scorer())
+            return in_runs(score_run, text, source, prompt)
+
         hook = F.arrow_udf(
             score, "struct<score:double,passed:boolean,categories:array<string>,error:string>"
         ).asNondeterministic()
@@ -158,7 +168,8 @@ def evaluate(
     """Score every row for every slot.
 
     One narrow pass: a candidate and its baseline are scored side by side in the same row,
-    so nothing has to be regrouped afterwards. Disabled evaluators never enter the plan, and
+    so nothing has to be regrouped afterwards. The Arrow functions of all evaluators and slots stand in
+    one projection, so that a task runs one Python worker for them and not one for each. Disabled evaluators never enter the plan, and
     neither do result parts other than ``parts``.
     """
     given = df.columns
@@ -166,6 +177,13 @@ def evaluate(
     if parts is not None:
         slots = [replace(slot, parts=tuple(parts)) for slot in slots]
     names = enabled_evaluators(settings) if names is None else list(names)
+    together: dict[str, Column] = {}
+    for slot in slots:
+        for name in names:
+            if own := _IN_PYTHON.get(get_evaluator(name)):
+                df, columns = own(df, slot, settings.of(name))
+                together |= columns
+    df = df.withColumns(together) if together else df
     for slot in slots:
         for name in names:
             df = get_evaluator(name)(df, slot, settings.of(name))

@@ -24,18 +24,31 @@ def high_toxicity(toxicity: Column, threshold: float) -> Column:
     return F.map_entries(F.map_filter(toxicity, lambda _, v: v >= F.lit(threshold)))
 
 
+def _word_rules(settings: SafetySettings) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    return brand.terms_or_default(settings.forbidden_terms), brand.topics_or_default(settings.forbidden_topics)
+
+
+def brand_matches(df: DataFrame, slot: Slot, settings: SafetySettings) -> tuple[DataFrame, dict[str, Column]]:
+    """The rows, and the columns that are computed in Python and not there yet."""
+    name = slot.temp("rule_matches")
+    if name in df.columns:
+        return df, {}
+    terms, topics = _word_rules(settings)
+    return df, {name: rule_matches(F.col(slot.text), (*terms, *topics))}
+
+
 def evaluate_safety(
     df: DataFrame, slot: Slot = Slot(), settings: SafetySettings = SafetySettings()
 ) -> DataFrame:
     text, toxicity = F.col(slot.text), F.col(slot.toxicity)
-    terms = brand.terms_or_default(settings.forbidden_terms)
-    topics = brand.topics_or_default(settings.forbidden_topics)
+    terms, topics = _word_rules(settings)
     competitors = tuple(settings.competitor_names)
 
+    df, in_python = brand_matches(df, slot, settings)
     df = df.withColumns(
         {
             slot.temp("pii"): pii_matches(text),
-            slot.temp("rule_matches"): rule_matches(text, (*terms, *topics)),
+            **in_python,
             slot.temp("competitors"): brand.count_competitors(text, competitors),
             slot.temp("high_toxicity"): high_toxicity(toxicity, settings.toxicity_threshold),
             slot.temp("max_toxicity"): brand.max_toxicity(toxicity),
