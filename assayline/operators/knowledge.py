@@ -1,14 +1,19 @@
 """Claims against a knowledge base that is a table: a set-cosine join over an inverted index.
 
 A fact is evidence for a sentence when the cosine of their word sets is at least ``floor``, below
-which no claim is supported. Both sides are reduced to distinct word sets, and each set is
-indexed by its rarest words only: with cosine c, two sets of n and m words share at least
-c**2 * max(n, m) of them, so one of the first n - ceil(c**2 * n) + 1 words of either, in one
-order for all sets, is common. The order puts the ``FREQUENT`` most frequent words of the facts
-last, by frequency, so that they are seldom looked up; all other words come first.
-Sets whose sizes are too far apart never meet, a pair that shares several indexed words is
-compared at the first of them only, and the best fact per sentence combines on the map
-side. There is one path for few and for many facts; only the bounded list of frequent
+which no claim is supported. Both sides are reduced to distinct word sets. With cosine c, two sets
+of n and m words share at least c * sqrt(n * m) of them, c**2 * n or more. So, in one order of the words
+for all sets, their first common word is one of the first p = n - ceil(c**2 * n) + 1 of either,
+and a second one of the first p + 1. The order puts the ``FREQUENT`` most frequent words of the facts
+last, by frequency. A set is indexed by each rare word of its first p, and by each pair of
+frequent ones among its first p + 1: single frequent words would let nearly all sets meet. Single ones
+serve where pairs cannot: sets so short that one common word is enough, and sets of more than ``LONG``
+words, which have too many pairs, with all that are long enough to be like them.
+
+Sets meet as hashes of what they are indexed by, with two bounds of what they can share: the words
+from there on, and the bits that 64-bit signatures of the sets do not share. Pairs that pass
+are compared word by word, so no result depends on a hash. The best fact per sentence combines
+on the map side. There is one path for few and for many facts; only the bounded list of frequent
 words is sent to the tasks.
 """
 
@@ -26,19 +31,14 @@ from ..settings import FactualSettings, Slot
 from .shared import source_column, with_shared, without_shared
 
 FREQUENT = 10_000
+LONG = 96  # sets of more words are indexed by single words only
 # keeps a product that is a whole number from being rounded up by its last bit
 _SLACK = 1e-9
-
-
-def frequent_words(facts: DataFrame, most: int = FREQUENT) -> list[str]:
-    """The most frequent words of ``words`` sets, most frequent last."""
-    counts = facts.select(F.explode("words").alias("word")).groupBy("word").count()
-    top = counts.where("count > 1").orderBy(F.desc("count"), "word").limit(most).collect()
-    return [r["word"] for r in reversed(top)]
+_KEYS = "struct<signature:long,keys:array<struct<hash:long,reach:int>>>"
 
 
 def indexed_words(words: Column, frequent: list[str], floor: float) -> Column:
-    """The words of a sorted set by which it has to be found, in the order of all sets."""
+    """The words of a sorted set of which it shares one with every like set, in the order of all sets."""
     known = pa.array(frequent, pa.string())
 
     def prefixes(sets: pa.Array) -> pa.Array:
@@ -57,31 +57,111 @@ def indexed_words(words: Column, frequent: list[str], floor: float) -> Column:
 
 
 def indexed(sets: DataFrame, frequent: list[str], floor: float) -> DataFrame:
-    """``words`` sets with their size ``n`` and ``prefix``, the words by which they have to be found."""
+    """``words`` sets with their size ``n`` and ``prefix``, words of which like sets share one."""
     return sets.where(F.size("words") > 0).withColumn("n", F.size("words")).withColumn(
         "prefix", indexed_words(F.col("words"), frequent, floor)
     )
 
 
+def frequent_words(facts: DataFrame, most: int = FREQUENT) -> list[int]:
+    """Hashes of the most frequent words of ``words`` sets, most frequent last."""
+    counts = facts.select(F.explode("words").alias("word")).groupBy("word").count()
+    top = counts.where("count > 1").orderBy(F.desc("count"), "word").limit(most)
+    return [r["hash"] for r in reversed(top.select(F.xxhash64("word").alias("hash")).collect())]
+
+
+def _mixed(first: np.ndarray, second: np.ndarray | int) -> np.ndarray:
+    """One hash of two, which are in order."""
+    mixed = (first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (first.astype(np.uint64) >> np.uint64(29))
+    return ((mixed + np.asarray(second).astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)).astype(np.int64)
+
+
+def set_keys(sets: pa.Array, frequent: np.ndarray, floor: float) -> pa.Array:
+    """Signature of every set of word hashes, and the keys by which it has to be found.
+
+    ``reach`` is what two sets can share at most if they share the words of the key and none before.
+    """
+    sizes = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    words = sets.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    starts = np.cumsum(sizes) - sizes
+    by_hash = np.argsort(frequent, kind="stable")
+    rank = np.full(len(words), -1)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent[by_hash], words), len(frequent) - 1)
+        rank = np.where(frequent[by_hash][at] == words, by_hash[at], -1)
+    order = np.lexsort((words, rank, row))
+    words, rank = words[order], rank[order]
+    place = np.arange(len(words)) - np.repeat(starts, sizes)
+    needed = np.maximum(np.ceil(floor * floor * sizes - _SLACK).astype(np.int64), 1)
+    first = sizes - needed + 1
+    rare = np.bincount(row[rank < 0], minlength=len(sizes))
+
+    def single(chosen: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        chosen = np.flatnonzero(chosen & (place < first[row]))
+        return row[chosen], _mixed(words[chosen], kind), sizes[row[chosen]] - place[chosen]
+
+    short, long = needed <= 1, sizes >= floor * floor * LONG - _SLACK
+    found = [single(rank < 0, 0), single((rank >= 0) & short[row], 1), single((rank >= 0) & long[row], 2)]
+    paired = np.where(sizes <= LONG, np.minimum(first + 1, sizes) - rare, 0)
+    for k in np.unique(paired[paired > 1]):
+        own = np.flatnonzero(paired == k)
+        i, j = np.triu_indices(k, 1)
+        taken = words[(starts[own] + rare[own])[:, None] + np.arange(k)]
+        found.append((
+            np.repeat(own, len(i)), _mixed(_mixed(taken[:, i], 3), taken[:, j]).ravel(),
+            (sizes[own, None] - (rare[own, None] + j) + 1).ravel(),
+        ))
+    rows, hashes, reach = (np.concatenate(part) for part in zip(*found, strict=True))
+    by_row = np.argsort(rows, kind="stable")
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(sizes)))]).astype(np.int32)
+    bits = np.left_shift(np.uint64(1), words.astype(np.uint64) & np.uint64(63))
+    signature = np.bitwise_or.reduceat(bits, starts) if len(words) else np.zeros(0, np.uint64)
+    keys = pa.StructArray.from_arrays(
+        [pa.array(hashes[by_row]), pa.array(reach[by_row].astype(np.int32))], ["hash", "reach"]
+    )
+    return pa.StructArray.from_arrays(
+        [pa.array(signature.astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), keys)], ["signature", "keys"]
+    )
+
+
+def keyed(sets: DataFrame, frequent: list[int], floor: float) -> DataFrame:
+    """``hash, id, n, signature, reach``: the keys of sets that have ``id, words``."""
+    known = np.array(frequent, np.int64)
+    keys = F.arrow_udf(lambda s: in_runs(lambda run: set_keys(run, known, floor), s), _KEYS).asNondeterministic()
+    found = sets.where(F.size("words") > 0).select(
+        "id", F.size("words").alias("n"), keys(F.transform("words", lambda w: F.xxhash64(w))).alias("k")
+    )
+    return found.select("id", "n", "k.signature", F.explode("k.keys").alias("key")).select(
+        "key.hash", "id", "n", "signature", "key.reach"
+    )
+
+
 def similar_sets(sentences: DataFrame, facts: DataFrame, floor: float, most: int = FREQUENT) -> DataFrame:
     """``words, similarity, fact_id``: the best fact of every ``words`` set that has one.
 
     ``facts`` has ``fact_id, words``, one row per set; equal similarities go to the smaller id.
     """
     frequent = frequent_words(facts, most)
-    asked, known = indexed(sentences, frequent, floor), indexed(facts, frequent, floor)
-    probes = asked.select("words", "n", "prefix", F.explode("prefix").alias("word"))
-    index = known.select(
-        "fact_id", F.col("words").alias("f_words"), F.col("n").alias("f_n"), F.col("prefix").alias("f_prefix"),
-        F.explode("prefix").alias("word"),
+    asked = sentences.select(F.xxhash64("words").alias("id"), "words")
+    # the id takes in fact_id, so that both uses of the facts read the same columns and share their shuffle
+    known = facts.select(F.xxhash64("words", "fact_id").alias("id"), "words", "fact_id")
+    probes, index = keyed(asked, frequent, floor), keyed(known, frequent, floor)
+    index = index.select("hash", *[F.col(c).alias(f"f_{c}") for c in ("id", "n", "signature", "reach")])
+    mine, theirs = F.col("signature"), F.col("f_signature")
+    most_shared = F.least(
+        "reach", "f_reach",
+        F.col("n") - F.bit_count(mine.bitwiseAND(F.bitwise_not(theirs))),
+        F.col("f_n") - F.bit_count(theirs.bitwiseAND(F.bitwise_not(mine))),
     )
-    low = F.lit(floor * floor) * F.greatest("n", "f_n") - F.lit(_SLACK)
-    first = F.get(F.array_intersect("prefix", "f_prefix"), F.lit(0))
-    met = probes.join(index, "word").where((F.least("n", "f_n") >= low) & (F.col("word") == first))
+    least_shared = F.lit(floor) * F.sqrt((F.col("n") * F.col("f_n")).cast("double")) - F.lit(_SLACK)
+    met = probes.join(index, "hash").where(most_shared >= least_shared).select("id", "f_id").distinct()
+    facts_met = known.select(F.col("id").alias("f_id"), F.col("words").alias("f_words"), "fact_id")
+    compared = met.join(asked, "id").join(facts_met, "f_id")
     shared = F.size(F.array_intersect("words", "f_words"))
-    similarity = shared / F.sqrt((F.col("n") * F.col("f_n")).cast("double"))
+    similarity = shared / F.sqrt((F.size("words") * F.size("f_words")).cast("double"))
     return (
-        met.select("words", "fact_id", similarity.alias("similarity")).where(F.col("similarity") >= floor)
+        compared.select("words", "fact_id", similarity.alias("similarity")).where(F.col("similarity") >= floor)
         .groupBy("words").agg(F.max(F.struct("similarity", (-F.col("fact_id")).alias("back"))).alias("m"))
         .select("words", "m.similarity", (-F.col("m.back")).alias("fact_id"))
     )
