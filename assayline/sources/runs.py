@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 WRITERS = 16  # tasks that share a day and suite when runs are saved
 TARGET_BYTES = 128 << 20  # of a compacted file
+# Of the sizes tried, the least that holds the ids of a file; without it every file has a filter of 1 MB.
+_BLOOM = {"parquet.bloom.filter.enabled#run_id": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 DEFAULT_RECENT = 10  # fixed value: runs listed when no limit is given
 
 
@@ -51,7 +53,7 @@ def save_runs(runs: DataFrame, path: str, ingest_seq: int) -> None:
         .repartition("run_date", "suite", F.pmod(F.xxhash64("run_id"), F.lit(WRITERS)))
         .sortWithinPartitions("run_date", "suite", "run_id")
         .write.mode("append")
-        .option("parquet.bloom.filter.enabled#run_id", "true")
+        .options(**_BLOOM)
         .partitionBy("run_date", "suite")
         .parquet(path)
     )
@@ -130,7 +132,7 @@ def compact_runs(spark: SparkSession, path: str, target_bytes: int = TARGET_BYTE
     (
         reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
         .repartitionByRange(max(1, math.ceil(whole / target_bytes)), *order).sortWithinPartitions(*order, "ingest_seq")
-        .write.option("parquet.bloom.filter.enabled#run_id", "true").partitionBy("run_date", "suite").parquet(out)
+        .write.options(**_BLOOM).partitionBy("run_date", "suite").parquet(out)
     )
     gone = [{**r.asDict(), "live": False} for r in found] + [{**r, "live": False} for r in small]
     kept = [r for r in rows if r not in small]

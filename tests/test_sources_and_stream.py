@@ -327,3 +327,20 @@ def test_oracle(spark, name):
 def test_every_query_of_the_library_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
     assert set(QUERIES) <= set(entry_point.queries()) and set(ORACLE) <= set(entry_point.oracle_sql())
+
+
+def test_small_files_of_the_history_have_small_filters(spark, tmp_path):
+    import pathlib
+
+    from assayline.sources import runs as history
+
+    runs = spark.range(2000).selectExpr(
+        "concat('run-', uuid()) run_id", "'2024-01-01T00:00:00Z' created_at", "'s' suite_id", "'pass' decision"
+    )
+    path = str(tmp_path / "runs")
+    history.save_runs(runs, path, 1)
+    history.compact_runs(spark, path)
+    files = [f.stat().st_size for f in pathlib.Path(tmp_path).rglob("*.parquet")]
+    # 2,000 distinct ids: a filter of the default size alone takes a megabyte in each file
+    assert len(files) > 2 and max(files) < 400_000
+    assert history.read_runs(spark, path).count() == 2000
