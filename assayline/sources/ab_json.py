@@ -59,14 +59,16 @@ def _reason(json_column: str) -> Column:
         there = F.try_variant_get("_doc", f"$.{name}", "variant").isNotNull()
         return F.when(there & _list(f"$.{name}", "string").isNull(), F.lit(f"{name} is no list"))
 
+    outputs = {slot: F.col(f"_lists.{slot}") for slot in ("a", "b")}
+
     def side(slot: str) -> Column:
-        bad = F.filter(_outputs(slot), lambda o: ~F.coalesce(_is_output(o), F.lit(False)))
-        return F.when(_outputs(slot).isNull(), F.lit(f"model_{slot} has no list of outputs")).when(
+        bad = F.filter(outputs[slot], lambda o: ~F.coalesce(_is_output(o), F.lit(False)))
+        return F.when(outputs[slot].isNull(), F.lit(f"model_{slot} has no list of outputs")).when(
             F.size(bad) > 0,
             F.concat(F.lit(f"model_{slot} has outputs that are neither text nor object: "), F.size(bad).cast("string")),
         )
 
-    sizes = [F.size(_outputs(slot)) for slot in ("a", "b")]
+    sizes = [F.size(outputs[slot]) for slot in ("a", "b")]
     return F.coalesce(
         F.when(F.col(f"`{json_column}`").isNull(), F.lit("no document")),
         F.when(F.col("_doc").isNull(), F.lit("not valid JSON")),
@@ -79,13 +81,23 @@ def _reason(json_column: str) -> Column:
     )
 
 
+def _with(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """A column that is made once a row: filters on it are not pushed down as copies of what makes it."""
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
+def _parsed(df: DataFrame, json_column: str) -> DataFrame:
+    return _with(df, "_doc", F.try_parse_json(F.col(f"`{json_column}`")))
+
+
 def checked_ab(df: DataFrame, json_column: str = "value") -> DataFrame:
     """A/B documents with ``_doc``, the parsed document, and ``reason``, why it cannot be compared.
 
     A document that is not valid JSON fails alone, not the job.
     """
-    parsed = df.withColumn("_doc", F.try_parse_json(F.col(f"`{json_column}`")))
-    return parsed.withColumn("reason", _reason(json_column))
+    lists = F.struct(*[_outputs(slot).alias(slot) for slot in ("a", "b")])
+    listed = _with(_parsed(df, json_column), "_lists", lists)
+    return _with(listed, "reason", _reason(json_column)).drop("_lists")
 
 
 def quarantined_ab(df: DataFrame, json_column: str = "value") -> DataFrame:
@@ -101,9 +113,7 @@ def parse_ab(df: DataFrame, json_column: str = "value", comparable: bool = False
     ``comparable`` the documents of :func:`quarantined_ab` are left out whole; without, a document
     gives the outputs it has, even if its sides differ in number.
     """
-    doc = checked_ab(df, json_column)
-    if comparable:
-        doc = doc.where("reason is null")
+    doc = checked_ab(df, json_column).where("reason is null") if comparable else _parsed(df, json_column)
 
     def at(values: str, i: Column) -> Column:
         return F.coalesce(F.get(F.col(values), i), F.lit(""))

@@ -339,8 +339,21 @@ def test_small_files_of_the_history_have_small_filters(spark, tmp_path):
     )
     path = str(tmp_path / "runs")
     history.save_runs(runs, path, 1)
+    history.save_runs(runs, path, 2)
     history.compact_runs(spark, path)
     files = [f.stat().st_size for f in pathlib.Path(tmp_path).rglob("*.parquet")]
     # 2,000 distinct ids: a filter of the default size alone takes a megabyte in each file
-    assert len(files) > 2 and max(files) < 400_000
-    assert history.read_runs(spark, path).count() == 2000
+    assert len(files) > 2 and max(files) < 600_000
+    assert history.read_runs(spark, path).count() == 4000
+
+
+def test_ab_documents_are_parsed_once(spark):
+    from assayline.sources import ab_json
+
+    docs = spark.createDataFrame(
+        [(1, '{"model_a":{"outputs":["x"]},"model_b":{"outputs":["y"]}}'), (2, "["), (3, None)], "doc_id long, value string"
+    )
+    for df in (ab_json.parse_ab(docs, comparable=True), ab_json.quarantined_ab(docs)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("parse_json") <= 1
+    assert ab_json.parse_ab(docs, comparable=True).count() == 2
+    assert {r.doc_id: r.reason for r in ab_json.quarantined_ab(docs).collect()} == {2: "not valid JSON", 3: "no document"}
