@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-RUN_BYTES = 1 << 21  # what an Arrow function unpacks of a batch at a time
+RUN_BYTES = 1 << 20  # what an Arrow function unpacks of a batch at a time
 
 
 def halved(score: Callable[[Sequence], Sequence], items: Sequence) -> list[tuple[Any, str | None]]:

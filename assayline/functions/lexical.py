@@ -4,9 +4,10 @@ They are used when no model columns are given, and their rows say ``method = 'le
 A text is its set of distinct words; similarity is the cosine of two such sets, and
 entailment is the share of a sentence's words that the source also holds.
 
-Words are cut by the JVM. The comparisons of one row (every sentence against the source,
-or against each source sentence) run as array operations over Arrow batches: set functions
-inside SQL lambdas rebuild a hash set per pair and were several times slower.
+The comparisons of one row (every sentence against the source, or against each source sentence)
+run as array operations over Arrow batches: set functions inside SQL lambdas rebuild a hash set
+per pair and were several times slower. The evaluators hand over whole texts, whose words are cut
+for many rows at once (see ``functions.words``); word sets that a table already has are taken as they are.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import in_runs
+from .words import word_sets
 
 GROUNDING_TYPE = T.ArrayType(
     T.StructType().add("containment", T.DoubleType()).add("cosine", T.DoubleType())
@@ -64,6 +66,8 @@ def _codes(*token_arrays: pa.Array) -> list[np.ndarray]:
     filled = [a for a in token_arrays if len(a)]
     if not filled:
         return [np.zeros(0, dtype=np.int64) for _ in token_arrays]
+    if all(pa.types.is_integer(a.type) for a in filled):
+        return [a.to_numpy(zero_copy_only=False).astype(np.int64) for a in token_arrays]
     encoded = pa.concat_arrays(filled).dictionary_encode()
     codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     return np.split(codes, np.cumsum([len(a) for a in token_arrays])[:-1])
@@ -122,6 +126,18 @@ def sentence_grounding(sentences: Column, source: Column) -> Column:
     return _once(grounding, GROUNDING_TYPE)(sentences, source)
 
 
+def text_grounding(sentences: Column, source: Column) -> Column:
+    """:func:`sentence_grounding` of an array of sentences in a source text."""
+
+    def of_texts(sentences: pa.Array, source: pa.Array) -> pa.Array:
+        return _grounding(*word_sets(sentences, source))
+
+    def grounding(sentences: pa.Array, source: pa.Array) -> pa.Array:
+        return in_runs(of_texts, sentences, source)
+
+    return _once(grounding, GROUNDING_TYPE)(sentences, source)
+
+
 def _blocks(sizes: np.ndarray):
     """Consecutive ranges of evidence, each within the budget (one item at least)."""
     start, total = 0, 0
@@ -226,11 +242,11 @@ def _row_groups(pairs_per_row: np.ndarray):
         yield start, len(pairs_per_row), True
 
 
-def _matches(sentences: pa.Array, evidence: pa.Array, facts: list[list[str]]) -> pa.Array:
+def _matches(sentences: pa.Array, evidence: pa.Array, facts: list[list]) -> pa.Array:
     per_row, per_sentence, words = _nested(sentences)
     ev_per_row, ev_per_sentence, ev_words = _nested(evidence)
     fact_sizes = np.array([len(f) for f in facts], dtype=np.int64)
-    fact_words = pa.array([w for f in facts for w in f], pa.string())
+    fact_words = pa.array([w for f in facts for w in f], words.type)
     codes, ev_codes, fact_codes = _codes(words, ev_words, fact_words)
     first, ev_first = _starts(per_row), _starts(ev_per_row)
     at, ev_at = _starts(per_sentence), _starts(ev_per_sentence)
@@ -269,3 +285,17 @@ def best_matches(sentences: Column, evidence: Column, facts: Sequence[str] = ())
         return in_runs(lambda s, e: _matches(s, e, fact_sets), sentences, evidence)
 
     return _once(match, MATCH_TYPE)(sentences, evidence)
+
+
+def text_matches(sentences: Column, evidence: Column, facts: Sequence[str] = ()) -> Column:
+    """:func:`best_matches` of an array of sentences among an array of texts."""
+    facts = list(facts)
+
+    def of_texts(sentences: pa.Array, evidence: pa.Array) -> pa.Array:
+        own, theirs, common = word_sets(sentences, evidence, pa.array(facts, pa.string()))
+        return _matches(own, theirs, common.to_pylist())
+
+    def match(sentences: pa.Array, evidence: pa.Array) -> pa.Array:
+        return in_runs(of_texts, sentences, evidence)
+
+    return _once(match, MATCH_TYPE)(sentences, evidence)

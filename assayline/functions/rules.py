@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .batches import in_runs
 from .expr import let
+from .words import code_points, strings, words_of
 
 MATCH_TYPE = "array<struct<rule:int,start:int,end:int>>"
 
@@ -34,6 +35,7 @@ def _folded(char: str) -> str:
 
 
 _FOLDS: dict[int, str] = {}
+_FOLD_POINTS: list[np.ndarray] = []
 
 
 def _fold_table() -> dict[int, str]:
@@ -50,6 +52,22 @@ def fold(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(_fold_table())
 
 
+def folded(texts: Sequence[str]) -> list[str]:
+    """All texts folded, by one pass over their code points."""
+    whole = "\n".join(texts)
+    if whole.isascii():
+        whole = whole.lower()
+    else:
+        if not _FOLD_POINTS:
+            table = np.arange(0x110000, dtype="<u4")
+            for point, to in _fold_table().items():
+                table[point] = ord(to)
+            _FOLD_POINTS.append(table)
+        whole = _FOLD_POINTS[0][code_points(whole)].tobytes().decode("utf-32-le")
+    ends = np.cumsum([len(t) + 1 for t in texts]).tolist()
+    return [whole[end - len(t) - 1 : end - 1] for t, end in zip(texts, ends, strict=True)]
+
+
 def _is_word(char: str) -> bool:
     return char.isalnum() or char == "_"
 
@@ -76,7 +94,7 @@ class RuleIndex:
         if not self.by_char and not self.empty and self.by_word.keys().isdisjoint(_WORD.findall(text)):
             return []
         found: list[tuple[int, int, int]] = []
-        free = [0] * len(self.rules)
+        free: dict[int, int] = {}
         for word in _WORD.finditer(text):
             for i in self.by_word.get(word.group(), ()):
                 self._compare(text, i, word.start(), free, found)
@@ -87,10 +105,31 @@ class RuleIndex:
         found.sort()
         return found
 
-    def _compare(self, text: str, i: int, start: int, free: list[int], found: list) -> None:
+    def matches_of(self, texts: Sequence[str | None]) -> list[list[tuple[int, int, int]]]:
+        """The matches of every text; only words that begin a rule are looked at one by one."""
+        if self.empty:
+            return [self.matches(t) if t else [] for t in texts]
+        texts = folded([t or "" for t in texts])
+        found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        words, free = words_of(texts), [{} for _ in texts]
+        begun = [self.by_word.get(w, ()) for w in words.different.to_pylist()]
+        met = np.flatnonzero(np.array([bool(b) for b in begun], bool)[words.codes])
+        rules_at = [(met, words.start, [begun[c] for c in words.codes[met]])]
+        if self.by_char:
+            met = np.flatnonzero(np.isin(words.after, [ord(c) for c in self.by_char]))
+            rules_at.append((met, words.end, [self.by_char[chr(c)] for c in words.after[met]]))
+        for met, at, begun_there in rules_at:
+            for n, start, some in zip(words.owner[met].tolist(), at[met].tolist(), begun_there, strict=True):
+                for i in some:
+                    self._compare(texts[n], i, start, free[n], found[n])
+        for matches in found:
+            matches.sort()
+        return found
+
+    def _compare(self, text: str, i: int, start: int, free: dict[int, int], found: list) -> None:
         rule = self.rules[i]
         end = start + len(rule)
-        if start < free[i] or not text.startswith(rule, start):
+        if start < free.get(i, 0) or not text.startswith(rule, start):
             return
         if _is_word(rule[-1]) != (end < len(text) and _is_word(text[end])):
             free[i] = end
@@ -108,7 +147,7 @@ def rule_matches(text: Column, values: Sequence[str]) -> Column:
     built: list[RuleIndex] = []
 
     def find_in(texts: pa.Array) -> pa.Array:
-        found = [built[0].matches(t) if t else [] for t in texts.to_pylist()]
+        found = built[0].matches_of(strings(texts))
         flat = np.array([m for matches in found for m in matches], np.int32).reshape(-1, 3)
         offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
         structs = pa.StructArray.from_arrays(

@@ -60,10 +60,16 @@ def raw_sentences(text: Column) -> Column:
 
 def split_sentences(text: Column) -> Column:
     """Stripped sentences longer than ten characters."""
-    return F.filter(
-        F.transform(raw_sentences(text), strip),
-        lambda s: F.length(s) > MIN_SENTENCE_CHARS,
-    )
+    return kept_sentences(raw_sentences(text))
+
+
+def kept_sentences(pieces: Column) -> Column:
+    """Those of the raw sentences that are long enough.
+
+    They are stripped as they are: a boundary takes all white space between its neighbours, and the text's
+    own ends are stripped before.
+    """
+    return F.filter(pieces, lambda s: F.length(s) > MIN_SENTENCE_CHARS)
 
 
 def words(text: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import count_where, empty_array, let
-from ..functions.lexical import best_matches
+from ..functions.lexical import text_matches
 from ..functions.numbers import claims_of, extract_numbers, first_close_number
 from ..functions.rounding import round_sql
 from ..functions.text import excerpt
@@ -35,9 +35,9 @@ def evidence_sentences(slot: Slot, settings: FactualSettings) -> Column:
 
 def lexical_matches(slot: Slot, settings: FactualSettings) -> Column:
     """array<struct<similarity, position>>: the best evidence of each kept sentence."""
-    return best_matches(
-        F.col(slot.temp("sentence_tokens")),
-        F.col(source_column(slot, "sentence_tokens")),
+    return text_matches(
+        F.col(slot.temp("sentences")),
+        F.col(source_column(slot, "sentences")),
         settings.knowledge_base,
     )
 
@@ -45,7 +45,7 @@ def lexical_matches(slot: Slot, settings: FactualSettings) -> Column:
 def lexical_claims(
     df: DataFrame, slot: Slot, settings: FactualSettings
 ) -> tuple[DataFrame, dict[str, Column]]:
-    """The rows with their word sets, and the columns that are computed in Python and not there yet."""
+    """The rows with their sentences, and the columns that are computed in Python and not there yet."""
     df, name = with_shared(df, slot), slot.temp("matches")
     if name in df.columns or slot.claim_matches:
         return df, {}

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import array_mean, count_where, empty_array
-from ..functions.lexical import sentence_grounding
+from ..functions.lexical import text_grounding
 from ..functions.rounding import round_sql
 from ..functions.text import excerpt
 from ..schema import CRITICAL, WARNING, flag, no_flags
@@ -71,14 +71,12 @@ def _scored_sentences(slot: Slot) -> Column:
 def lexical_grounding(
     df: DataFrame, slot: Slot, settings: HallucinationSettings
 ) -> tuple[DataFrame, dict[str, Column]]:
-    """The rows with their word sets, and the columns that are computed in Python and not there yet."""
+    """The rows with their sentences, and the columns that are computed in Python and not there yet."""
     df, name = with_shared(df, slot), slot.temp("lexical_grounding")
     if name in df.columns or not (slot.nli is None or slot.similarity is None):
         return df, {}
     return df, {
-        name: sentence_grounding(
-            F.col(slot.temp("sentence_tokens")), F.col(source_column(slot, "tokens"))
-        )
+        name: text_grounding(F.col(slot.temp("sentences")), F.col(source_column(slot, "text")))
     }
 
 

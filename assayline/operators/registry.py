@@ -15,7 +15,7 @@ from ..schema import WARNING, flag
 from ..settings import BUILT_IN, Settings, Slot
 from .factual import evaluate_factual, lexical_claims
 from .hallucination import evaluate_hallucination, lexical_grounding
-from .quality import evaluate_quality
+from .quality import evaluate_quality, quality_counts
 from .results import add_result
 from .safety import brand_matches, evaluate_safety
 from .shared import missing_text, without_shared
@@ -35,6 +35,7 @@ _IN_PYTHON = {
     evaluate_hallucination: lexical_grounding,
     evaluate_factual: lexical_claims,
     evaluate_safety: brand_matches,
+    evaluate_quality: quality_counts,
 }
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import let
 from ..functions.lexical import token_set
-from ..functions.text import split_sentences
+from ..functions.text import kept_sentences, raw_sentences, split_sentences
 from ..settings import Slot
 
 
@@ -42,7 +42,13 @@ def with_shared(df: DataFrame, slot: Slot) -> DataFrame:
             F.transform(source_column(slot, "sentences"), token_set),
         )
     if slot.temp("sentences") not in present:
-        df = df.withColumn(slot.temp("sentences"), split_sentences(F.col(slot.text)))
+        df = df.withColumn(slot.temp("pieces"), raw_sentences(F.col(slot.text)))
+        df = df.withColumns(
+            {
+                slot.temp("sentences"): kept_sentences(F.col(slot.temp("pieces"))),
+                slot.temp("n_pieces"): F.size(slot.temp("pieces")),
+            }
+        )
         df = df.withColumn(
             slot.temp("sentence_tokens"), F.transform(slot.temp("sentences"), token_set)
         )
