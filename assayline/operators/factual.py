@@ -57,13 +57,10 @@ def with_verified_claims(df: DataFrame, slot: Slot, settings: FactualSettings) -
     df, matches = lexical_claims(df, slot, settings)
     if slot.claim_matches:
         matches = {slot.temp("matches"): F.col(slot.claim_matches)}
-    df = df.withColumns(
-        {
-            slot.temp("claims"): claims_of(F.col(slot.temp("sentences"))),
-            **matches,
-            source_column(slot, "numbers"): extract_numbers(F.col(source_column(slot, "text"))),
-        }
-    )
+    if source_column(slot, "numbers") not in df.columns:  # slots that read the same source share it
+        numbers = extract_numbers(F.col(source_column(slot, "text")))
+        df = df.withColumn(source_column(slot, "numbers"), numbers)
+    df = df.withColumns({slot.temp("claims"): claims_of(F.col(slot.temp("sentences"))), **matches})
 
     def verify(claim: Column, matches: Column, numbers: Column, evidence: Column) -> Column:
         textual = claim["type"] == "textual"

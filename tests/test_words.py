@@ -89,3 +89,10 @@ def test_evaluators_cut_no_words_in_the_jvm(spark):
     slots = (Slot(text="candidate", prefix="a_"), Slot(text="baseline", prefix="b_"))
     plan = evaluate(rows, slots, names=BUILT_IN, parts=("score",))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "array_intersect" not in plan and r"\p{L}\p{N}_]+" not in plan
+
+
+def test_slots_share_the_numbers_of_their_source(spark):
+    rows = spark.createDataFrame([("It is 5 km.", "It was 6 km long.", "It is 5 km.")], "candidate string, baseline string, source string")
+    slots = (Slot(text="candidate", prefix="a_"), Slot(text="baseline", prefix="b_"))
+    plan = evaluate(rows, slots, names=["factual_accuracy"], parts=("score",))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("AS _source__numbers") == 1
