@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.batches import bounded, halved, in_runs
 from ..schema import WARNING, flag
+from ..session import bound_batches
 from ..settings import BUILT_IN, Settings, Slot
 from .factual import evaluate_factual, lexical_claims
 from .hallucination import evaluate_hallucination, lexical_grounding
@@ -170,9 +171,11 @@ def evaluate(
 
     One narrow pass: a candidate and its baseline are scored side by side in the same row,
     so nothing has to be regrouped afterwards. The Arrow functions of all evaluators and slots stand in
-    one projection, so that a task runs one Python worker for them and not one for each. Disabled evaluators never enter the plan, and
+    one projection, so that a task runs one Python worker for them and not one for each, and the session sends
+    them small batches (see ``session.bound_batches``). Disabled evaluators never enter the plan, and
     neither do result parts other than ``parts``.
     """
+    bound_batches(df.sparkSession)
     given = df.columns
     slots = [slots] if isinstance(slots, Slot) else list(slots)
     if parts is not None:

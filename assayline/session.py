@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# What Spark sends to an Arrow function at a time, bytes. A worker holds two such batches, the JVM one for every task
+# outside of its heap, together with the rows that wait for their results.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+_UNITS = {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40, "p": 50}
+
 # Recommended for every session; none of them is required for right results.
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     # Text columns make wide rows: bound the Arrow batches by size, not only by row count.
-    "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
+    _BATCH_KEY: str(BATCH_BYTES),
     # Evaluators are large expressions; recording a call site for each node is slow.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -26,6 +33,20 @@ def recommended(builder):
     return builder
 
 
+def _bytes(size: str) -> int:
+    number, unit = re.fullmatch(r"(-?\d+)([bkmgtp]?)b?", size.strip().lower()).groups()
+    return int(number) << _UNITS[unit]
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Have the Arrow functions of this session get at most :data:`BATCH_BYTES` (and a row) at a time from now on.
+
+    The setting is read when a query runs, so it stays. A smaller one is left as it is.
+    """
+    if not 0 < _bytes(spark.conf.get(_BATCH_KEY)) <= BATCH_BYTES:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores when the input has fewer splits than the cluster has cores.
 

@@ -2,9 +2,12 @@
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from assayline import session
 from assayline.functions import batches, lexical, rules
 from assayline.operators.registry import evaluate
+from assayline.session import BATCH_BYTES, bound_batches
 from assayline.settings import BUILT_IN, Slot
 
 
@@ -59,3 +62,28 @@ def test_a_large_batch_is_unpacked_in_runs(monkeypatch):
     batches.in_runs(lexical._grounding, sets, words)
     assert sum(calls) == 1000 and max(calls) * 10_000 <= batches.RUN_BYTES
     assert rules.in_runs is batches.in_runs and lexical.in_runs is batches.in_runs
+
+
+KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@pytest.mark.parametrize("setting", ["64m", "2147483647"])
+def test_evaluators_get_small_batches_whatever_the_session_says(spark, setting):
+    own = spark.newSession()
+    own.conf.set(KEY, setting)
+    rows = own.range(0, 2000, 1, 1).select(
+        F.concat(F.repeat(F.lit("The sky is blue today. "), 500), F.col("id").cast("string")).alias("generated"),
+        F.lit("The sky is green.").alias("source"),
+    )
+    scored = evaluate(rows, names=["hallucination"], parts=("score",))
+    batch = F.arrow_udf(lambda texts: pa.array([texts.nbytes] * len(texts)), "long").asNondeterministic()
+    sizes = scored.select(batch("generated").alias("n"), "hallucination_score").agg(F.max("n"), F.count("n")).first()
+    assert sizes[1] == 2000 and sizes[0] < BATCH_BYTES + 20_000
+
+
+@pytest.mark.parametrize("setting, bound", [("64k", 65536), ("1048576", 1048576), ("4mb", 4194304), ("1g", 4194304)])
+def test_a_smaller_bound_of_the_session_stays(spark, setting, bound):
+    own = spark.newSession()
+    own.conf.set(KEY, setting)
+    bound_batches(own)
+    assert session._bytes(own.conf.get(KEY)) == bound
