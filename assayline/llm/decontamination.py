@@ -8,9 +8,10 @@ word by word, and a window with at least 80 % equal words makes the document con
 Every window with up to two substituted words is met by a seed of ``MASKS`` (tested).
 
 The benchmark is cut into pieces of bounded length and taken in blocks of a bounded number
-of seeds; only a block is broadcast, so its size has a bound for any benchmark. The corpus
-is not shuffled: seeds are made, probed and verified in one stage, and only verified hits
-are grouped.
+of seeds, one after the other; only a block is broadcast, so its size has a bound for any
+benchmark. A piece that several items share is compared once. The corpus is not shuffled: seeds
+are made, probed and verified in one stage, and only verified hits are grouped. A hit takes along
+the few words that its windows can hold, for Spark keeps all hits of a document until the last is found.
 
 Items shorter than the window are compared whole. An item of fewer than ``EXACT_WORDS`` words has
 no room for substitutions: it is met by a mask of all of its words, where they follow each
@@ -26,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayline.llm.shared import row_key
+from assayline.llm.shared import cut, row_key
 
 # One is a word that is compared, zero a word that is ignored.
 MASKS = ("1001111", "11001101", "11100011")
@@ -72,17 +73,18 @@ def item_seeds(masks: tuple[str, ...]) -> Column:
 
 
 def pieces(benchmark: DataFrame) -> DataFrame:
-    """``item_id, piece, item``: hashed words in overlapping pieces of bounded length."""
+    """``item_id, piece, item``: hashed words in overlapping pieces of bounded length, and a hash of them."""
     hashed = benchmark.select("item_id", word_hashes("text").alias("words")).where(F.size("words") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - WINDOW, F.lit(0)), F.lit(PIECE_WORDS))
     return hashed.select("item_id", "words", F.explode(starts).alias("start")).select(
         "item_id", F.slice("words", F.col("start") + 1, F.lit(PIECE_WORDS + WINDOW - 1)).alias("item"),
-    ).distinct().withColumn("piece", F.xxhash64("item_id", "item"))
+    ).distinct().withColumn("piece", F.xxhash64("item"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, block: int = BLOCK_SEEDS) -> DataFrame:
     """``d, h, item_id, matched``: verified overlaps; ``matched`` is the best share of equal words."""
-    known = pieces(benchmark)
+    owned = pieces(benchmark)
+    known = owned.select("piece", "item").distinct()
     total = known.agg(F.sum(F.size("item"))).first()[0] or 0
     blocks = max(1, -(-total * len(masks) // block))
     masks = (*masks, *short_masks(known))
@@ -91,12 +93,24 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     placed = corpus.select("d", "h", "words", F.posexplode("words").alias("i", "word")).select(
         "d", "h", "words", "i", F.explode(seeds(F.col("words"), F.col("i"), masks)).alias("seed")
     )
-    return reduce(DataFrame.union, (
-        _hits(placed, known.where(F.pmod("piece", F.lit(blocks)) == b), masks) for b in range(blocks)
-    )).groupBy("d", "h", "item_id").agg(F.max("matched").alias("matched"))
+    found = [
+        _verified(_hits(placed, known.where(F.pmod("piece", F.lit(blocks)) == b), masks))
+        .groupBy("d", "h", "piece").agg(F.max("matched").alias("matched"))
+        for b in range(blocks)
+    ]
+    # in one plan all blocks would be broadcast before the first is probed
+    found = reduce(DataFrame.union, (cut(part) for part in found) if blocks > 1 else found)
+    owners = owned.select("piece", "item_id")
+    owners = F.broadcast(owners) if owners.count() <= block else owners
+    return found.join(owners, "piece").groupBy("d", "h", "item_id").agg(F.max("matched").alias("matched"))
 
 
 def _hits(placed: DataFrame, known: DataFrame, masks: tuple[str, ...]) -> DataFrame:
+    """``d, h, piece, near``: the windows around every hit.
+
+    ``near`` has the words of the item (``theirs``) and of the document (``mine``) in all ``windows`` of ``window``
+    words; the first ``missing`` words lie before the document.
+    """
     tests = known.select("piece", "item", F.posexplode("item").alias("j", "word")).select(
         "piece", "j", F.explode(item_seeds(masks)).alias("seed")
     ).where("seed is not null").distinct()
@@ -105,17 +119,29 @@ def _hits(placed: DataFrame, known: DataFrame, masks: tuple[str, ...]) -> DataFr
     window = F.least(F.size("item"), F.lit(WINDOW))
     low = F.greatest(F.lit(0), F.col("j") - window + 1)
     high = F.least(F.col("j"), F.size("item") - window)
+    length, begin = high - low + window, F.col("i") - F.col("j") + low
+    missing = F.greatest(F.lit(0), -begin)
+    near = F.struct(
+        window.alias("window"), (high - low + 1).alias("windows"), missing.alias("missing"),
+        F.slice("item", low + 1, length).alias("theirs"),
+        F.slice("words", begin + missing + 1, length - missing).alias("mine"),
+    )
+    # a generator, which no projection or filter above is merged with: only its rows leave the stage of the joins
+    return hits.select("d", "h", "piece", F.explode(F.array(near)).alias("near"))
+
+
+def _verified(hits: DataFrame) -> DataFrame:
+    """``d, h, piece, matched``: the hits with a window of enough equal words."""
     equal = F.transform(
-        F.sequence(low, high + window - 1),
-        lambda t: (F.get("item", t) == F.get("words", F.col("i") - F.col("j") + t)).cast("int"),
+        "near.theirs", lambda word, t: (word == F.get("near.mine", t - F.col("near.missing"))).cast("int")
     )
     best = F.array_max(F.transform(
-        F.sequence(F.lit(1), high - low + 1),
-        lambda s: F.aggregate(F.slice("equal", s, window), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))),
+        F.sequence(F.lit(1), F.col("near.windows")),
+        lambda s: F.aggregate(F.slice("equal", s, F.col("near.window")), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))),
     ))
     return (
-        hits.where(low <= high).withColumn("equal", equal)
-        .select("d", "h", "item_id", (100 * best / window).alias("matched"))
+        hits.withColumn("equal", equal)
+        .select("d", "h", "piece", (100 * best / F.col("near.window")).alias("matched"))
         .where(F.col("matched") >= PERCENT)
     )
 

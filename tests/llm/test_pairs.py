@@ -223,3 +223,23 @@ def test_decontamination_matches_brute_force(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, x in want if not x), key=str)
     several = decontamination.overlaps(docs, bench, block=50).select("d", "h", "item_id", "matched")
     assert sorted(several.collect()) == sorted(decontamination.overlaps(docs, bench).collect())
+
+
+def test_hits_take_along_few_words_and_shared_pieces_are_compared_once(spark):
+    draw = random.Random(4)
+    passage = prose(draw, 20, 20)
+    docs = spark.createDataFrame([(0, " ".join([passage] * 200)), (1, prose(draw, 30, 30))], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, passage) for i in range(50)], "item_id long, text string")
+    known = decontamination.pieces(bench)
+    assert known.count() == 50 and known.select("piece").distinct().count() == 1
+    corpus = docs.select(F.col("doc_id").alias("d"), F.lit(0).alias("h"), decontamination.word_hashes("text").alias("words"))
+    placed = corpus.select("d", "h", "words", F.posexplode("words").alias("i", "word")).select(
+        "d", "h", "words", "i", F.explode(decontamination.seeds(F.col("words"), F.col("i"), decontamination.MASKS)).alias("seed")
+    )
+    hits = decontamination._hits(placed, known.select("piece", "item").distinct(), decontamination.MASKS)
+    assert "words" not in hits.columns and hits.count() <= 200 * 20 * len(decontamination.MASKS)
+    most = hits.agg(F.max(F.greatest(F.size("near.mine"), F.size("near.theirs")))).first()[0]
+    assert most <= 2 * decontamination.WINDOW - 1
+    assert [tuple(r) for r in decontamination.contaminated(docs, bench).sort("doc_id").collect()] == [
+        (0, True, 50, 100.0), (1, False, 0, None)
+    ]
