@@ -50,3 +50,31 @@ def test_keys_of_long_sets_are_no_pairs():
     size = 4 * knowledge.LONG
     keys = knowledge.set_keys(pa.array([list(range(size))], pa.list_(pa.int64())), np.arange(size), 0.65)
     assert len(keys.field("keys").flatten()) <= size
+
+
+@pytest.mark.parametrize("most_keys", [0, 1 << 21])
+def test_only_sentences_that_can_meet_a_fact_are_moved(spark, monkeypatch, most_keys):
+    monkeypatch.setattr(knowledge, "MOST_KEYS", most_keys)
+    rng = random.Random(3)
+    facts, asked = sorted(_sets(rng, 30, 14)), sorted(_sets(rng, 200, 14))
+    known = spark.createDataFrame([(i, list(f)) for i, f in enumerate(facts)] + [(99, list(facts[0]))], "fact_id long, words array<string>")
+    sentences = spark.createDataFrame([(list(a),) for a in asked] + [([],)], "words array<string>")
+    likely = {tuple(r.words) for r in knowledge._likely(sentences, known, 0.65, 10)[0].collect()}
+    like = {a for a in asked if any(len({*a} & {*f}) / math.sqrt(len(a) * len(f)) >= 0.65 for f in facts)}
+    assert like <= likely and (len(likely) < len(asked) if most_keys else likely == {*asked})
+    best = {tuple(r.words): r.fact_id for r in knowledge.similar_sets(sentences, known, 0.65, 10).collect()}
+    assert {*best} == like and 99 not in best.values()
+
+
+def test_words_of_facts_are_shuffled_once(spark):
+    sets = spark.createDataFrame([(i, ["a", "b", f"w{i}"]) for i in range(40)], "fact_id long, words array<string>")
+    keys = ["spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"]
+    before = [spark.conf.get(k) for k in keys]
+    for k, v in zip(keys, ["false", "-1"], strict=True):
+        spark.conf.set(k, v)
+    try:
+        plan = knowledge.similar_sets(sets, sets, 0.65)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)
+    assert plan.count("REPARTITION_BY_COL") - plan.count("ReusedExchange") <= 3, plan
