@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from decimal import Context, Decimal
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -79,7 +81,7 @@ def _histogram(pairs: DataFrame, by: list[str]) -> DataFrame:
         # The difference of the doubles themselves decides what is zero and what is tied.
         (F.col("score_a") - F.col("score_b")).alias("d"),
     ).withColumns({"distance": F.abs("d"), "ud": F.col("ua") - F.col("ub")})
-    return rows.groupBy(*by, "distance").agg(
+    histogram = rows.groupBy(*by, "distance").agg(
         F.count("*").alias("n"),
         F.count_if(F.col("d") > 0).alias("n_plus"),
         F.count_if(F.col("d") < 0).alias("n_minus"),
@@ -92,6 +94,10 @@ def _histogram(pairs: DataFrame, by: list[str]) -> DataFrame:
             )
         ],
     )
+    # Always true, but it reads every column: where a plan uses a comparison twice, both uses then need the same
+    # histogram and share its shuffle, or all scores would be computed once for each.
+    read = [F.col(c) >= 0 for c in histogram.columns if c.endswith(("_plus", "_minus", "_sum", "_squares"))]
+    return histogram.where(reduce(or_, read, F.col("n") > 0))
 
 
 def _spread(u: str, sample: bool = False) -> Column:

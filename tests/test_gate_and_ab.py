@@ -271,3 +271,22 @@ def test_metrics_by_suite_and_evaluator_merge(spark):
         assert r.mean_score == pytest.approx(sum(x[2] for x in good) / len(good), abs=1e-9)
         for q, got in ((0.5, r.p50), (0.05, r.p05)):
             assert abs(sum(x[2] <= got for x in good) / len(good) - q) < 0.03
+
+
+def test_scores_are_computed_once_for_a_report_and_its_winner(spark):
+    pairs = spark.createDataFrame(
+        [("s", 0, "quality", 0.5 + i / 100, 0.25) for i in range(40)],
+        "suite_id string, evaluator_order int, evaluator string, score_a double, score_b double",
+    )
+    result = ab.compare(pairs, ["suite_id", "evaluator_order", "evaluator"])
+    a, b = F.lit("x"), F.lit("y")
+    overall = ab.overall_winner(result, ["suite_id"], a, b).select("suite_id", "overall_winner")
+    documents = report.json_reports(result, overall, "suite_id", a, b, F.lit("now"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = documents._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert plan.count("Scan ExistingRDD") == 1
+    assert '"overall_winner":"x"' in documents.first()["report"]
